@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pricemesh.operators.series import seasonal_scale
+from pricemesh.operators.series import ordered, seasonal_scale
 
 # Season, smallest training window, horizons, parameter grid of the damped trend.
 SEASON = 7
@@ -23,12 +23,10 @@ GRID_PHI = (0.80, 0.90, 0.95, 0.98)
 # End of fixed values.
 ORIGINS_PER_BLOCK = 64
 
-ORDERED = Window.partitionBy("series_id").orderBy("index_date")
-
 
 def positions(series: DataFrame) -> DataFrame:
     return series.select("series_id", "index_date", F.col("value").cast("double").alias("value")).withColumn(
-        "pos", F.row_number().over(ORDERED) - 1
+        "pos", F.row_number().over(ordered()) - 1
     )
 
 
@@ -46,22 +44,22 @@ def _pairs(df: DataFrame, model: str) -> DataFrame:
 
 
 def naive(series: DataFrame, h: int, min_train: int) -> DataFrame:
-    pos = positions(series).withColumn("predicted", F.lag("value", h).over(ORDERED))
+    pos = positions(series).withColumn("predicted", F.lag("value", h).over(ordered()))
     return _pairs(_targets(pos, h, min_train), "naive")
 
 
 def seasonal_naive(series: DataFrame, h: int, min_train: int) -> DataFrame:
     back = SEASON * ((h - 1) // SEASON + 1)
     pos = positions(series)
-    seasonal = F.lag("value", back).over(ORDERED)
+    seasonal = F.lag("value", back).over(ordered())
     origin = F.col("pos") - (h - 1)
-    pos = pos.withColumn("predicted", F.when(origin < SEASON, F.lag("value", h).over(ORDERED)).otherwise(seasonal))
+    pos = pos.withColumn("predicted", F.when(origin < SEASON, F.lag("value", h).over(ordered())).otherwise(seasonal))
     return _pairs(_targets(pos, h, min_train), "seasonal_naive")
 
 
 def drift(series: DataFrame, h: int, min_train: int) -> DataFrame:
-    first = F.first("value").over(ORDERED.rowsBetween(Window.unboundedPreceding, 0))
-    last = F.lag("value", h).over(ORDERED)
+    first = F.first("value").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
+    last = F.lag("value", h).over(ordered())
     origin = F.col("pos") - (h - 1)
     slope = F.when(origin >= 2, (last - first) / (origin - 1)).otherwise(0.0)
     pos = positions(series).withColumn("predicted", last + slope * h)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ORDERED = Window.partitionBy("series_id").orderBy("index_date")
-WHOLE = ORDERED.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def ordered():
+    return Window.partitionBy("series_id").orderBy("index_date")
+
+
+def whole():
+    return ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def percent_change(current: Column, previous: Column) -> Column:
@@ -15,7 +20,7 @@ def percent_change(current: Column, previous: Column) -> Column:
 
 def change_over(series: DataFrame, rows_back: int, alias: str, places: int | None = None) -> DataFrame:
     """Change against the value `rows_back` rows earlier, whatever the calendar says."""
-    c = percent_change(F.col("value"), F.lag("value", rows_back).over(ORDERED))
+    c = percent_change(F.col("value"), F.lag("value", rows_back).over(ordered()))
     if places is not None:
         c = F.bround(c, places)
     return series.withColumn(alias, c)
@@ -44,11 +49,11 @@ def first_to_last(series: DataFrame) -> DataFrame:
 
 def transform(series: DataFrame, how: str) -> DataFrame:
     """Comparison transforms; differences lose the first observation of each series."""
-    v, prev = F.col("value"), F.lag("value").over(ORDERED)
+    v, prev = F.col("value"), F.lag("value").over(ordered())
     if how == "level":
         return series
     if how == "rebased_level":
-        return series.withColumn("value", 100.0 * v / F.first("value").over(WHOLE))
+        return series.withColumn("value", 100.0 * v / F.first("value").over(whole()))
     if how == "pct_change":
         return series.withColumn("value", (v - prev) / F.nullif(prev, F.lit(0.0))).filter(F.col("value").isNotNull())
     if how == "log_diff":
@@ -58,7 +63,7 @@ def transform(series: DataFrame, how: str) -> DataFrame:
 
 def rebase(series: DataFrame, anchor: int = 1) -> DataFrame:
     """Scale every series so that its anchor-th observation reads 100."""
-    at = F.nth_value("value", anchor).over(WHOLE)
+    at = F.nth_value("value", anchor).over(whole())
     return series.withColumn("rebased", F.when(at != 0, F.col("value") / at * 100))
 
 
@@ -81,7 +86,7 @@ def previous_before(df: DataFrame, before, keys: list[str]) -> DataFrame:
 
 def gaps(series: DataFrame, step_days: int = 1) -> DataFrame:
     """Pairs of neighbouring observations further apart than one step."""
-    nxt = F.lead("index_date").over(ORDERED)
+    nxt = F.lead("index_date").over(ordered())
     return (
         series.withColumn("next_date", nxt)
         .withColumn("gap_days", F.datediff("next_date", "index_date"))
@@ -128,8 +133,8 @@ def weekly_factors(series: DataFrame, season: int = 7) -> DataFrame:
     """Additive factors by position modulo the season, as deviation from a centred mean."""
     half = season // 2
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    centred = F.avg("value").over(ORDERED.rowsBetween(-half, half))
-    pos = series.withColumn("pos", F.row_number().over(ORDERED) - 1).withColumn("n", n).withColumn(
+    centred = F.avg("value").over(ordered().rowsBetween(-half, half))
+    pos = series.withColumn("pos", F.row_number().over(ordered()) - 1).withColumn("n", n).withColumn(
         "dev", F.col("value") - centred
     )
     inside = (F.col("pos") >= half) & (F.col("pos") < F.col("n") - half) & (F.col("n") >= 2 * season)
@@ -143,7 +148,7 @@ def weekly_factors(series: DataFrame, season: int = 7) -> DataFrame:
 
 def seasonal_scale(series: DataFrame, season: int = 7) -> DataFrame:
     """Mean absolute seasonal-naive error, the denominator of the scaled scores."""
-    err = F.abs(F.col("value") - F.lag("value", season).over(ORDERED))
+    err = F.abs(F.col("value") - F.lag("value", season).over(ordered()))
     return series.withColumn("e", err).groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n_observations"), F.coalesce(F.avg("e"), F.lit(0.0)).alias("scale")
     )
