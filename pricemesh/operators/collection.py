@@ -206,26 +206,30 @@ def compliance_summary(audit: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def request_intervals(audit: DataFrame, min_delay: float, slots: str = "day") -> DataFrame:
+def request_intervals(audit: DataFrame, min_delay: float) -> DataFrame:
     """Interval between consecutive sent requests of an origin, the first one zero.
 
     A busy origin may hold a third of the log, so the ordering window runs within one
-    (origin, day) and the first request of a day takes its predecessor from a table of each
-    day's last request, one row per origin and day.
+    (origin, hour) and the first request of an hour takes its predecessor from a table of each
+    hour's last request, one row per origin and hour.
     """
-    key = "source"
-    sent = audit.filter("robots_allowed").withColumn("_day", F.date_trunc("hour", "requested_at"))
     order = F.struct("requested_at", "request_id")
-    within = Window.partitionBy(key, "_day").orderBy("requested_at", "request_id")
-    edges = sent.groupBy(key, "_day").agg(F.max_by("requested_at", order).alias("_last"))
-    prior = edges.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_day"))).drop("_last")
-    rows = sent.withColumn("_prev", F.lag("requested_at").over(within)).join(prior, [key, "_day"])
-    prev = F.coalesce("_prev", "_before")
-    micros = F.timestamp_diff("MICROSECOND", prev, F.col("requested_at"))
+    sent = audit.filter("robots_allowed").select(
+        "request_id", "source", "requested_at",
+        F.col("requested_at").cast("date").alias("_day"), F.hour("requested_at").alias("_hour"),
+    )
+    slot = ["source", "_day", "_hour"]
+    within = Window.partitionBy(*slot).orderBy("requested_at", "request_id")
+    edges = sent.groupBy(*slot).agg(F.max_by("requested_at", order).alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy("source").orderBy("_day", "_hour"))
+    prior = edges.select(*slot, earlier.alias("_before"))
+    rows = sent.withColumn("_prev", F.lag("requested_at").over(within)).join(prior, slot)
+    rows = rows.withColumn("_prev", F.coalesce("_prev", "_before"))
+    seconds = F.expr("cast(cast(requested_at - _prev as interval second) as decimal(18,6))").cast("double")
     return rows.select(
-        "request_id", key, "requested_at",
-        F.when(prev.isNull(), F.lit(0.0)).otherwise(micros / 1e6).alias("interval_s"),
-        prev.isNull().alias("is_first"),
+        "request_id", "source", "requested_at",
+        F.coalesce(seconds, F.lit(0.0)).alias("interval_s"),
+        F.col("_prev").isNull().alias("is_first"),
     ).withColumn("below_floor", ~F.col("is_first") & (F.col("interval_s") < min_delay))
 
 

@@ -309,18 +309,35 @@ def period_routes(routes_daily: DataFrame, frequency: str) -> DataFrame:
     )
 
 
+def _period_keys():
+    """(frequency, period start) of a daily row: itself, its week and its month."""
+    keys = [F.struct(F.lit("daily").alias("frequency"), F.col("_day").alias("index_date"))]
+    keys += [
+        F.struct(F.lit(f).alias("frequency"), period_start("_day", f).alias("index_date")) for f in PERIOD_UNITS
+    ]
+    return F.inline(F.array(*keys))
+
+
 def all_frequencies(daily: DataFrame) -> DataFrame:
-    out = daily
-    for frequency in PERIOD_UNITS:
-        out = out.unionByName(period_headline(daily, frequency))
-    return out
+    """Daily, weekly and monthly rows in one aggregation: every daily row feeds its three periods."""
+    rows = daily.drop("frequency").withColumnRenamed("index_date", "_day")
+    return rows.select("*", _period_keys()).groupBy("frequency", "index_date").agg(
+        F.avg("index_value").alias("index_value"),
+        F.max("n_cells").alias("n_cells"),
+        F.avg("coverage_ratio").alias("coverage_ratio"),
+        F.avg("observed_pax_share").alias("observed_pax_share"),
+        F.sum("imputed_cells").alias("imputed_cells"),
+        F.sum("dropped_cells").alias("dropped_cells"),
+    )
 
 
 def all_route_frequencies(routes_daily: DataFrame) -> DataFrame:
-    out = routes_daily.withColumn("frequency", F.lit("daily"))
-    for frequency in PERIOD_UNITS:
-        out = out.unionByName(period_routes(routes_daily, frequency))
-    return out
+    """Route rows of all frequencies; weight and contribution exist on daily rows only."""
+    rows = routes_daily.withColumnRenamed("index_date", "_day")
+    only_daily = lambda c: F.sum(F.when(F.col("frequency") == "daily", F.col(c)).otherwise(0.0)).alias(c)
+    return rows.select("*", _period_keys()).groupBy("frequency", "index_date", "route_id").agg(
+        F.avg("index_value").alias("index_value"), only_daily("weight"), only_daily("contribution")
+    )
 
 
 def stored_index(headline: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pricemesh.operators import fares as fare_ops
 from pricemesh.operators import index as index_ops
 from pricemesh.operators.cleaning import CleaningResult, clean_quotes
+from pricemesh.session import checkpoint_dir
 from pricemesh.sources import defaults
 from pricemesh.sources.inline import inline_table
 
@@ -198,12 +200,43 @@ def traffic(lineitem, orders, customer, supplier) -> DataFrame:
     )
 
 
+_KNOWN: dict[tuple[str, str], Domain] = {}
+
+
 @dataclass
 class Domain:
-    """Lazily built views of one scale-factor folder."""
+    """Views of one scale-factor folder.
+
+    With `staged`, the tables a pipeline stores between its steps (fares, prices, elementary
+    cells, index rows) are written once to the shared checkpoint folder and read back, which
+    also cuts their lineage. Without it every view is one lazy plan over the input tables.
+    """
 
     spark: SparkSession
     path: str
+    staged: bool = False
+
+    @classmethod
+    def of(cls, spark: SparkSession, path: str) -> Domain:
+        """The staged views of a folder, shared by all queries of a session."""
+        key = (spark.sparkContext.applicationId, path)
+        if key not in _KNOWN:
+            _KNOWN[key] = cls(spark, path, staged=True)
+        return _KNOWN[key]
+
+    @cached_property
+    def _folder(self) -> str:
+        return f"{checkpoint_dir(self.spark)}/stage-{uuid.uuid4().hex}"
+
+    def stage(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        if not self.staged:
+            return df
+        out = f"{self._folder}/{name}"
+        if partition_by:
+            df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(out)
+        else:
+            df.write.parquet(out)
+        return self.spark.read.parquet(out)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -247,7 +280,7 @@ class Domain:
     @cached_property
     def fares(self) -> DataFrame:
         kept = fare_ops.require_known_routes(self.cleaned.persistable, self.routes)
-        return fare_ops.stored_fares(kept)
+        return self.stage("fares", fare_ops.stored_fares(kept), "scrape_date")
 
     @cached_property
     def usable(self) -> DataFrame:
@@ -255,7 +288,7 @@ class Domain:
 
     @cached_property
     def price_table(self) -> DataFrame:
-        return fare_ops.price_table(self.fares)
+        return self.stage("price_table", fare_ops.price_table(self.fares))
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -271,7 +304,8 @@ class Domain:
 
     @cached_property
     def elementary(self) -> DataFrame:
-        return index_ops.build_elementary(self.prices, self.base, self.weights, self.days)
+        rows = index_ops.build_elementary(self.prices, self.base, self.weights, self.days)
+        return self.stage("elementary", rows)
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -279,11 +313,12 @@ class Domain:
 
     @cached_property
     def headline(self) -> DataFrame:
-        return index_ops.stored_index(index_ops.all_frequencies(self.daily))
+        return self.stage("headline", index_ops.stored_index(index_ops.all_frequencies(self.daily)))
 
     @cached_property
     def route_rows(self) -> DataFrame:
-        return index_ops.all_route_frequencies(index_ops.route_index(self.elementary, self.weights))
+        rows = index_ops.all_route_frequencies(index_ops.route_index(self.elementary, self.weights))
+        return self.stage("route_rows", rows)
 
     @cached_property
     def requests(self) -> DataFrame:
