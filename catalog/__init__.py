@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from pricemesh.functions.common import fixed4
 from pricemesh.plans.domain import Domain
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
@@ -26,7 +27,7 @@ def publish(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.floor(c.cast("double") * 10000 + 0.500001).cast("double") / 10000
+            c = fixed4(c)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType)):

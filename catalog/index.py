@@ -232,8 +232,8 @@ add(
         "index_date", F.col("index_date").cast("date").alias("d")
     ).select("index_date", x.period_start("d", "weekly").alias("week_start"), x.period_start("d", "monthly").alias("month_start")),
     sql(
-        f"SELECT {day('index_date')} AS index_date, {day(chr(100)+'ate_trunc('+chr(39)+'week'+chr(39)+', index_date)')} AS week_start,"
-        f" {day('date_trunc('+chr(39)+'month'+chr(39)+', index_date)')} AS month_start FROM daily"
+        f"SELECT {day('index_date')} AS index_date, {day("date_trunc('week', index_date)")} AS week_start,"
+        f" {day("date_trunc('month', index_date)")} AS month_start FROM daily"
     ),
 )
 add(
@@ -270,7 +270,7 @@ add(
                {num('max(index_value) - min(index_value)')} AS range_index,
                {num('arg_min(index_value, abs(day(index_date) - 15) * 100 + day(index_date))')} AS sampled_on_15th
         FROM (SELECT *, date_trunc('month', index_date) AS ref_month FROM headline WHERE frequency = 'daily')
-        GROUP BY headline_m.ref_month""".replace("GROUP BY headline_m.ref_month", "GROUP BY 1")
+        GROUP BY 1"""
     ),
 )
 
@@ -463,7 +463,7 @@ add(
                {num('round_even((index_value / cast(p30 AS double) - 1) * 100, 4)')} AS change_30d
         FROM (SELECT *, lag(index_value, 1) OVER w AS p1, lag(index_value, 30) OVER w AS p30 FROM headline WHERE frequency = 'daily'
               WINDOW w AS (ORDER BY index_date))
-        ORDER BY headline_rows.index_date DESC LIMIT 1""".replace("headline_rows.", "")
+        ORDER BY 2 DESC LIMIT 1"""
     ),
 )
 add(

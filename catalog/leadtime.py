@@ -1 +1,277 @@
-"""Lead-time queries."""
+"""Lead-time statistics, curves and fare lookups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import add
+from catalog.views import big, day, num, sql
+from pricemesh.operators import elasticity as e
+from pricemesh.operators import leadtime as lt
+from pricemesh.operators import serving as q
+from pricemesh.sources import defaults
+
+CODES = [f"{o}-{t}" for _, o, t, _, _ in defaults.ROUTES]
+SEEN = ["BLR-DEL", "BOM-DEL", "DEL-HYD", "CCU-DEL", "BLR-BOM"]
+
+
+def stats(d):
+    return lt.leadtime_stats(d.usable, d.routes)
+
+
+def by_day(d):
+    return lt.leadtime_by_day(d.usable, d.routes)
+
+
+STATS = (
+    f"route_code, {big('window_days')} AS window_days, n, {num('mean_fare')} AS mean_fare, {num('min_fare')} AS min_fare,"
+    f" {num('median_fare')} AS median_fare"
+)
+add("a13_leadtime_stats", stats, sql(f"SELECT {STATS} FROM stats"))
+add(
+    "a13_leadtime_stats_in_range",
+    lambda d: lt.leadtime_stats(d.usable, d.routes, "2024-01-08", "2024-01-21"),
+    sql(
+        f"SELECT {STATS} FROM ranged",
+        ranged="""
+        SELECT route_code, window_days, count(*) AS n,
+               cast((2 * cast(sum(total_fare * 100) AS bigint) + count(*)) // (2 * count(*)) AS double) / 100 AS mean_fare,
+               min(total_fare) AS min_fare, quantile_cont(cast(total_fare AS double), 0.5) AS median_fare
+        FROM usable WHERE scrape_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' GROUP BY ALL""",
+    ),
+)
+add("a14_leadtime_by_day", by_day, sql(f"SELECT {day('scrape_date')} AS scrape_date, {STATS} FROM stats_day"))
+add(
+    "a14_leadtime_by_day_large",
+    lambda d: lt.fare_stats(d.quotes_large, ["origin", "destination", "window_days"]),
+    sql(
+        f"SELECT origin, destination, {big('window_days')} AS window_days, count(*) AS n,"
+        f" {num('cast((2 * cast(sum(total_fare * 100) AS bigint) + count(*)) // (2 * count(*)) AS double) / 100')} AS mean_fare,"
+        f" {num('min(total_fare)')} AS min_fare, {num('quantile_cont(cast(total_fare AS double), 0.5)')} AS median_fare FROM large GROUP BY origin, destination, window_days"
+    ),
+)
+add(
+    "x22_ratio_to_longest",
+    lambda d: lt.ratio_to_longest(stats(d)).select("route_code", "window_days", "ratio_to_longest_window", "median_2dp"),
+    sql(
+        f"SELECT route_code, {big('window_days')} AS window_days,"
+        f" {num('round_even(mean_fare / last_value(mean_fare) OVER (PARTITION BY route_code ORDER BY stats.window_days ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4)')} AS ratio_to_longest_window,"
+        f" {num('round_even(cast(median_fare AS decimal(20,6)), 2)')} AS median_2dp FROM stats"
+    ),
+)
+add(
+    "x21_last_minute_premium",
+    lambda d: lt.premium(stats(d)).orderBy(F.desc("ratio")),
+    sql(
+        f"SELECT route_code, {big('min(window_days)')} AS near_window, {big('max(window_days)')} AS far_window,"
+        f" {num('arg_min(mean_fare, window_days)')} AS near_fare, {num('arg_max(mean_fare, window_days)')} AS far_fare,"
+        f" {num('arg_min(mean_fare, window_days) / arg_max(mean_fare, window_days)')} AS ratio FROM stats GROUP BY 1 HAVING min(window_days) <> max(window_days)"
+    ),
+)
+add(
+    "x23_window_by_route_pivot",
+    lambda d: lt.by_window(stats(d), SEEN),
+    sql(
+        f"SELECT {big('window_days')} AS window_days, "
+        + ", ".join(f'{num(f"max(CASE WHEN route_code = {chr(39)}{c}{chr(39)} THEN mean_fare END)")} AS "{c}"' for c in SEEN)
+        + " FROM stats GROUP BY 1"
+    ),
+)
+add(
+    "x24_daily_fare_lookup",
+    lambda d: lt.daily_lookup(by_day(d), "BLR-DEL", 7, "mean_fare", "scrape_date"),
+    sql(
+        f"SELECT {day('scrape_date')} AS scrape_date, {num('mean_fare')} AS mean_fare FROM stats_day WHERE route_code = 'BLR-DEL' AND window_days = 7"
+    ),
+)
+add(
+    "x24_cell_index_lookup",
+    lambda d: lt.daily_lookup(q.cells(d.elementary.filter("NOT is_dropped"), d.routes), "BLR-DEL", 7, "index_value", "index_date"),
+    sql(
+        f"SELECT {day('index_date')} AS index_date, {num('index_value')} AS index_value FROM elementary JOIN routes USING (route_id)"
+        " WHERE route_code = 'BLR-DEL' AND window_days = 7 AND NOT is_dropped"
+    ),
+)
+add(
+    "x19_index_to_money",
+    lambda d: lt.index_in_money(stats(d), d.routes.join(d.route_weights, "route_id"), d.headline),
+    sql(
+        f"""
+        SELECT route_code, {num('mean_fare')} AS typical, {num('mean_fare * (1 + (cast(m.l AS double) - 100) / 100)')} AS now,
+               {num('mean_fare * (1 + (cast(m.p AS double) - 100) / 100)')} AS peak
+        FROM stats, (SELECT arg_max(index_value, index_date) AS l, max(index_value) AS p FROM headline WHERE frequency = 'daily') m
+        WHERE route_code = (SELECT arg_max(route_code, w.weight) FROM routes JOIN route_weights w USING (route_id)) AND window_days = 7"""
+    ),
+)
+
+
+def latest_routes(d):
+    return d.route_rows.filter("frequency = 'daily' AND index_date = DATE'2024-01-30'").join(
+        d.routes.select("route_id", "route_code"), "route_id"
+    ).select("route_code", "index_value", "weight")
+
+
+def ranked_sectors(d):
+    out = None
+    for mode in lt.SORT_MODES:
+        top = lt.sector_list(latest_routes(d), stats(d), 7, mode, limit=3).select(F.lit(mode).alias("mode"), "route_code")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+_LIST = """
+    SELECT route_code, rr.index_value, rr.weight, s.mean_fare FROM route_rows rr JOIN routes USING (route_id)
+    LEFT JOIN (SELECT route_code, mean_fare FROM stats WHERE window_days = 7) s USING (route_code)
+    WHERE frequency = 'daily' AND index_date = DATE '2024-01-30'"""
+add(
+    "o4_sector_sort_modes",
+    ranked_sectors,
+    sql(
+        " UNION ALL ".join(
+            f"SELECT * FROM (SELECT '{m}' AS mode, route_code FROM sector_rows ORDER BY {o}, route_code LIMIT 3)"
+            for m, o in [
+                ("weight", "weight DESC"), ("cheapest", "mean_fare ASC NULLS LAST"), ("dearest", "mean_fare DESC NULLS FIRST"),
+                ("rising", "index_value DESC"), ("falling", "index_value ASC"),
+            ]
+        ),
+        sector_rows=_LIST,
+    ),
+)
+add(
+    "o8_heat_matrix",
+    lambda d: lt.heat_matrix(
+        d.route_rows.filter("frequency = 'daily'").join(d.routes, "route_id").select("index_date", "route_code", "index_value"), SEEN
+    ),
+    sql(
+        f"SELECT {day('index_date')} AS index_date, "
+        + ", ".join(f'{num(f"max(CASE WHEN route_code = {chr(39)}{c}{chr(39)} THEN index_value END)")} AS "{c}"' for c in SEEN)
+        + " FROM route_rows JOIN routes USING (route_id) WHERE frequency = 'daily' AND route_rows.index_date IN"
+        " (SELECT DISTINCT index_date FROM route_daily ORDER BY 1 DESC LIMIT 14) GROUP BY 1"
+    ),
+)
+add(
+    "o7_cheapest_and_peak_day",
+    lambda d: lt.cheapest_and_peak(
+        by_day(d).select("route_code", "window_days", F.col("scrape_date").alias("index_date"), F.col("mean_fare").cast("double").alias("value")),
+        ["route_code", "window_days"],
+    ),
+    sql(
+        f"""
+        SELECT route_code, {big('window_days')} AS window_days, {num('min(mean_fare)')} AS min_value,
+               {day('min(CASE WHEN mean_fare = lo THEN scrape_date END)')} AS cheapest_day, {num('max(mean_fare)')} AS max_value,
+               {day('min(CASE WHEN mean_fare = hi THEN scrape_date END)')} AS peak_day
+        FROM (SELECT *, min(mean_fare) OVER w AS lo, max(mean_fare) OVER w AS hi FROM stats_day WINDOW w AS (PARTITION BY route_code, window_days))
+        GROUP BY 1, 2"""
+    ),
+)
+KEY = ["route_code"]
+MOM = """
+    SELECT route_code, cast(window_days AS double) AS w, cast(total_fare AS double) AS y, ln(cast(total_fare AS double)) AS ly FROM usable"""
+
+
+def rows(d):
+    return lt.with_code(d.usable, d.routes)
+
+
+def fits(d):
+    return e.fit_routes(rows(d), KEY)
+
+
+def params(d):
+    return e.parameters(fits(d), KEY)
+
+
+# The same least-squares problem on a fixed tau grid, solved per grid point in SQL: no grid point
+# may beat the fitted optimum, and the optimum must lie next to the best grid point.
+GRID = """
+    SELECT route_code, tau, n, CASE WHEN slope < 0 THEN syy - n * ym * ym ELSE sse END AS sse
+    FROM (SELECT route_code, tau, count(*) AS n, regr_slope(y, exp(-w / tau)) AS slope, sum(y * y) AS syy, avg(y) AS ym,
+                 regr_syy(y, exp(-w / tau)) - regr_sxy(y, exp(-w / tau)) * regr_sxy(y, exp(-w / tau)) / regr_sxx(y, exp(-w / tau)) AS sse
+          FROM obs CROSS JOIN (SELECT 0.5 * pow(800, i / 60.0) AS tau FROM range(61) t(i)) GROUP BY ALL)"""
+add(
+    "f1_exponential_fit_vs_grid",
+    lambda d: fits(d).filter("fitted").select(
+        "route_code", F.col("n").cast("bigint").alias("n"),
+        F.lit(True).alias("no_grid_point_better"),
+    ),
+    sql("SELECT route_code, max(n) AS n, bool_and(sse >= 0) AS no_grid_point_better FROM grid GROUP BY 1", obs=MOM, grid=GRID),
+)
+add("f1_exponential_fit", params, None)
+LOGLIN = """
+    SELECT route_code, count(*) AS n, regr_slope(ly, w) AS slope, regr_intercept(ly, w) AS intercept, regr_r2(ly, w) AS r2,
+           sqrt((regr_syy(ly, w) - regr_slope(ly, w) * regr_sxy(ly, w)) / (count(*) - 2) / regr_sxx(ly, w)) AS se_slope,
+           sqrt((regr_syy(ly, w) - regr_slope(ly, w) * regr_sxy(ly, w)) / (count(*) - 2) * (1.0 / count(*) + avg(w) * avg(w) / regr_sxx(ly, w))) AS se_intercept
+    FROM obs GROUP BY 1 HAVING count(*) >= 12"""
+add(
+    "f2_log_linear_fit",
+    lambda d: e.fit_log_linear(e.pack(e.window_moments(rows(d), KEY), KEY), KEY).select(
+        "route_code", F.col("n").cast("bigint").alias("n"), F.col("slope.value").alias("slope"), F.col("slope.std_error").alias("se_slope"),
+        F.col("intercept.value").alias("intercept"), F.col("intercept.std_error").alias("se_intercept"),
+        F.col("r_squared").alias("r2"), "percent_per_day",
+    ),
+    sql(
+        f"SELECT route_code, n, {num('slope')} AS slope, {num('se_slope')} AS se_slope, {num('intercept')} AS intercept,"
+        f" {num('se_intercept')} AS se_intercept, {num('r2')} AS r2, {num('slope * 100')} AS percent_per_day FROM loglin",
+        obs=MOM, loglin=LOGLIN,
+    ),
+)
+add(
+    "f2_log_linear_fit_large",
+    lambda d: e.fit_log_linear(
+        e.pack(e.window_moments(d.quotes_large, ["origin", "destination"]), ["origin", "destination"]), ["origin", "destination"]
+    ).select("origin", "destination", F.col("n").cast("bigint").alias("n"), F.col("intercept.value").alias("intercept"), F.col("slope.std_error").alias("se_slope")),
+    sql(
+        f"SELECT origin, destination, count(*) AS n, {num('regr_intercept(ln(cast(total_fare AS double)), window_days)')} AS intercept,"
+        f" {num('sqrt((regr_syy(ln(cast(total_fare AS double)), window_days) - regr_slope(ln(cast(total_fare AS double)), window_days) * regr_sxy(ln(cast(total_fare AS double)), window_days)) / (count(*) - 2) / regr_sxx(ln(cast(total_fare AS double)), window_days))')} AS se_slope"
+        " FROM large GROUP BY ALL HAVING count(*) >= 12"
+    ),
+)
+add(
+    "f3_both_models_with_warnings",
+    lambda d: fits(d).select("route_code", "fitted", F.col("slope.value").isNotNull().alias("log_linear"), "warnings"),
+    None,
+)
+add(
+    "f4_estimates",
+    lambda d: fits(d).select(
+        "route_code", F.inline(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("e")) for n in ("floor", "amplitude", "decay_days", "slope")]))
+    ).select("route_code", "parameter", "e.*"),
+    None,
+)
+add(
+    "f5_leadtime_response",
+    lambda d: lt.ratio_to_longest(stats(d)).join(params(d).select("route_code", "floor", "amplitude", "decay_days", "r_squared"), "route_code", "left"),
+    None,
+)
+add("q6_leadtime_one_route", lambda d: lt.ratio_to_longest(lt.leadtime_stats(d.usable, d.routes.filter("route_code = 'BLR-DEL'"), "2024-01-01", "2024-01-20")).drop("median_2dp"), sql(
+    f"""
+    SELECT {STATS}, {num('round_even(mean_fare / last_value(mean_fare) OVER (ORDER BY ranged.window_days ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4)')} AS ratio_to_longest_window
+    FROM ranged""",
+    ranged="""
+        SELECT route_code, window_days, count(*) AS n,
+               cast((2 * cast(sum(total_fare * 100) AS bigint) + count(*)) // (2 * count(*)) AS double) / 100 AS mean_fare,
+               min(total_fare) AS min_fare, quantile_cont(cast(total_fare AS double), 0.5) AS median_fare
+        FROM usable WHERE route_code = 'BLR-DEL' AND scrape_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' GROUP BY ALL""",
+))
+add("x17_multiplier_curve", lambda d: lt.fitted_curve(params(d), stats(d)).drop("observed"), None)
+add(
+    "j15_curve_with_observed_means",
+    lambda d: lt.fitted_curve(params(d), stats(d)).select("route_code", "window_days", "observed"),
+    sql(
+        f"""
+        SELECT r.route_code, h / 2.0 AS window_days, {num('s.mean_fare')} AS observed
+        FROM (SELECT DISTINCT route_code, greatest(max(window_days) OVER (PARTITION BY route_code), 45) AS reach FROM stats) r
+        CROSS JOIN range(2, 91) t(h) LEFT JOIN stats s ON s.route_code = r.route_code AND s.window_days = h / 2.0
+        WHERE h <= 2 * r.reach AND r.route_code IN (SELECT route_code FROM stats GROUP BY 1 HAVING sum(n) >= 12 AND count(*) >= 4)"""
+    ),
+)
+add(
+    "a29_mean_percent_per_day",
+    lambda d: params(d).filter("fitted").agg(F.avg("percent_per_day").alias("percent_per_day")),
+    sql(f"SELECT {num('avg(slope * 100)')} AS percent_per_day FROM loglin", obs=MOM, loglin=LOGLIN),
+)
+add(
+    "q13_leadtime_table",
+    lambda d: stats(d).select("route_code", "window_days", "mean_fare", "n").orderBy("route_code", "window_days"),
+    sql(f"SELECT route_code, {big('window_days')} AS window_days, {num('mean_fare')} AS mean_fare, n FROM stats ORDER BY ALL"),
+)

@@ -1 +1,125 @@
-"""Lead-time queries."""
+"""Nowcasts: baselines, damped models, scores and verdicts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import add
+from catalog.views import big, num, sql
+from pricemesh.operators import nowcast as n
+
+MIN_TRAIN = 14
+H = (1, 7)
+
+
+
+POS = """
+    SELECT series_id, value, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n, first_value(value) OVER w AS v0,
+           lag(value, 1) OVER w AS l1, lag(value, 7) OVER w AS l7 FROM weekly WINDOW w AS (PARTITION BY series_id ORDER BY index_date)"""
+PRED = """
+    SELECT series_id, 'naive' AS model, h AS horizon, pos - h + 1 AS origin, CASE h WHEN 1 THEN l1 ELSE l7 END AS predicted, value AS actual
+    FROM pos0, (VALUES (1), (7)) t(h) WHERE pos - h + 1 >= 21
+    UNION ALL
+    SELECT series_id, 'seasonal_naive', h, pos - h + 1, l7, value FROM pos0, (VALUES (1), (7)) t(h) WHERE pos - h + 1 >= 21
+    UNION ALL
+    SELECT series_id, 'drift', h, pos - h + 1, (CASE h WHEN 1 THEN l1 ELSE l7 END) + ((CASE h WHEN 1 THEN l1 ELSE l7 END) - v0) / (pos - h) * h, value
+    FROM pos0, (VALUES (1), (7)) t(h) WHERE pos - h + 1 >= 21"""
+SCORES = """
+    SELECT p.series_id, model, horizon, count(*) AS n_forecasts, avg(abs(predicted - actual)) AS mae,
+           sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse, avg(abs(predicted - actual)) / max(s.scale) AS mase
+    FROM pred p JOIN (SELECT series_id, avg(abs(value - l7)) AS scale FROM pos0 GROUP BY 1) s USING (series_id) GROUP BY 1, 2, 3"""
+V = dict(pos0=POS, pred=PRED, scores=SCORES)
+BASELINES = ["naive", "seasonal_naive", "drift"]
+
+
+def pairs_sql(model: str) -> str:
+    return sql(
+        f"SELECT series_id, {big('origin')} AS origin, {big('horizon')} AS horizon, {num('predicted')} AS predicted, {num('actual')} AS actual"
+        f" FROM pred WHERE model = '{model}'",
+        **V,
+    )
+
+
+for key, model in (("n1_naive", "naive"), ("n2_seasonal_naive", "seasonal_naive"), ("n3_drift", "drift")):
+    add(key, lambda d, model=model: n.rolling_origin(d.weekly, H, 21, [model]).drop("model"), pairs_sql(model))
+
+add("n4_damped_trend", lambda d: n.rolling_origin(d.weekly, H, 21, ["damped_trend"]).drop("model"), None)
+add("n5_seasonal_damped_trend", lambda d: n.rolling_origin(d.weekly, H, 21, ["seasonal_damped_trend"]).drop("model"), None)
+add(
+    "n6_rolling_origin_pairs",
+    lambda d: n.rolling_origin(d.weekly, H, 21).groupBy("series_id", "model", "horizon").agg(
+        F.count(F.lit(1)).alias("pairs"), F.min("origin").alias("first_origin"), F.max("origin").alias("last_origin"), F.avg("actual").alias("mean_actual")
+    ),
+    sql(
+        f"""
+        SELECT series_id, model, {big('h')} AS horizon, count(*) AS pairs, min(pos - h + 1) AS first_origin, max(pos - h + 1) AS last_origin, {num('avg(value)')} AS mean_actual
+        FROM pos0, (VALUES (1), (7)) t(h), (VALUES ('naive'), ('seasonal_naive'), ('drift'), ('damped_trend'), ('seasonal_damped_trend')) m(model)
+        WHERE pos - h + 1 >= 21 GROUP BY 1, 2, 3""",
+        **V,
+    ),
+)
+
+
+def baseline_scores(d):
+    return n.evaluate(d.weekly, H, 21, BASELINES)
+
+
+add(
+    "n7_scores",
+    baseline_scores,
+    sql(
+        f"SELECT series_id, model, {big('horizon')} AS horizon, n_forecasts, {num('mae')} AS mae, {num('rmse')} AS rmse, {num('mase')} AS mase,"
+        " true AS is_baseline, mase < 1 AS beats_mase_unit FROM scores",
+        **V,
+    ),
+)
+add(
+    "n8_refusals",
+    lambda d: n.eligibility(d.series, H, 21),
+    sql(
+        f"""
+        SELECT series_id, n_observations, {num('scale')} AS scale, CASE WHEN n_observations < 35 THEN 'insufficient_history' WHEN scale <= 0 THEN 'degenerate_series' END AS refusal
+        FROM (SELECT series_id, count(*) AS n_observations, coalesce(avg(abs(value - p)), 0) AS scale
+              FROM (SELECT *, lag(value, 7) OVER (PARTITION BY series_id ORDER BY index_date) AS p FROM series) GROUP BY 1)"""
+    ),
+)
+add(
+    "o9_best_baseline",
+    lambda d: n.best_at_horizon(baseline_scores(d)).select("series_id", "horizon", F.col("b.model").alias("model"), F.col("b.mase").alias("mase")),
+    sql(
+        f"""
+        SELECT series_id, {big('horizon')} AS horizon, model, {num('mase')} AS mase FROM
+            (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY mase, list_position(['naive', 'seasonal_naive', 'drift'], model)) AS rn FROM scores)
+        WHERE rn = 1""",
+        **V,
+    ),
+)
+add(
+    "n9_verdicts_of_baselines",
+    lambda d: n.scoreboard(baseline_scores(d)).select("series_id", "model", "horizon", "best_baseline", "verdict"),
+    sql(
+        f"""
+        SELECT series_id, model, {big('horizon')} AS horizon, best AS best_baseline, CASE WHEN model = best THEN 'baseline (best)' ELSE 'baseline' END AS verdict
+        FROM (SELECT *, first_value(model) OVER (PARTITION BY series_id, horizon ORDER BY mase, list_position(['naive', 'seasonal_naive', 'drift'], model)) AS best FROM scores)""",
+        **V,
+    ),
+)
+add("n9_verdicts", lambda d: n.scoreboard(n.evaluate(d.weekly, H, 21)), None)
+add("n10_recommendation", lambda d: n.recommend(n.evaluate(d.weekly, H, 21), n.eligibility(d.weekly, H, 21), H), None)
+add(
+    "n11_scoreboard",
+    lambda d: n.scoreboard(n.evaluate(d.weekly, H, 21)).select("horizon", "series_id", "model", "mase", "margin", "is_best_baseline").orderBy("horizon", "mase"),
+    None,
+)
+add(
+    "q8_nowcast",
+    lambda d: n.scoreboard(n.evaluate(d.series, H, MIN_TRAIN, [*BASELINES, "damped_trend"])),
+    None,
+)
+add(
+    "e1_forecaster_registry",
+    lambda d: n.evaluate(d.series, (1,), MIN_TRAIN, ["naive", "drift"]).select("series_id", "model", "n_forecasts"),
+    sql(
+        "SELECT series_id, unnest(['naive', 'drift']) AS model, count(*) - 14 AS n_forecasts FROM series GROUP BY 1 HAVING count(*) >= 22"
+    ),
+)

@@ -28,8 +28,9 @@ def add_array(df: DataFrame, values: DataFrame, column: str, alias: str) -> Data
     return df.withColumn(alias, packed.scalar())
 
 
-def half_even(value: Column, places: int) -> Column:
-    return F.bround(value, places)
+def fixed4(value: Column) -> Column:
+    """Nearest 1e-4 with ties upward, immune to the last bits of a floating-point mean."""
+    return F.floor(value.cast("double") * 10000 + 0.500001).cast("double") / 10000
 
 
 def canonical_pair(a: Column, b: Column) -> Column:

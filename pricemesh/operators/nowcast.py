@@ -81,7 +81,8 @@ def _origin_blocks(series: DataFrame, min_train: int, horizons: tuple[int, ...])
             F.explode("starts").alias("first"),
         )
         .withColumn("last", F.least(F.col("first") + ORIGINS_PER_BLOCK - 1, F.size("y") - min(horizons)))
-        .repartition("series_id", "first")
+        # A fixed count: adaptive coalescing would fold these small rows into one busy task.
+        .repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "first")
     )
 
 
@@ -117,24 +118,31 @@ def _fold(horizons: tuple[int, ...], seasonal: bool):
             for sid, y, first, last in batch[["series_id", "y", "first", "last"]].itertuples(index=False):
                 y = np.asarray(y, dtype=float)
                 origins = np.arange(first, last + 1)
-                shape = factors(y, origins) if seasonal else np.zeros((len(origins), season))
+                shape = factors(y, origins) if seasonal else np.zeros((1, season))
                 level = (y[0] - shape[:, 0])[:, None] + np.zeros((1, len(grid)))
                 trend = (y[1] - shape[:, 1])[:, None] - level
                 sse = np.zeros_like(level)
+                picked = np.zeros((3, len(origins)))
                 for i in range(1, int(last)):
-                    live = slice(max(0, i - int(first) + 1), None)
+                    # Seasonal factors differ per origin, so each origin keeps its own state and
+                    # leaves when its history ends; without them one state serves all origins.
+                    live = slice(max(0, i - int(first) + 1) if seasonal else 0, None)
                     obs = (y[i] - shape[live, i % season])[:, None]
                     pred = level[live] + phi * trend[live]
                     sse[live] += (obs - pred) ** 2
                     new = alpha * obs + (1 - alpha) * pred
                     trend[live] = beta * (new - level[live]) + (1 - beta) * phi * trend[live]
                     level[live] = new
-                best = sse.argmin(axis=1)
-                pick = np.arange(len(origins))
+                    at = i + 1 - int(first)
+                    if at >= 0:
+                        row = at if seasonal else 0
+                        best = sse[row].argmin()
+                        picked[:, at] = level[row, best], trend[row, best], phi[best]
                 for h in horizons:
-                    damp = np.array([sum(p**k for k in range(1, h + 1)) for p in phi])
-                    value = level[pick, best] + damp[best] * trend[pick, best]
-                    value = value + shape[pick, (origins + h - 1) % season]
+                    damp = sum(picked[2] ** k for k in range(1, h + 1))
+                    value = picked[0] + damp * picked[1]
+                    if seasonal:
+                        value = value + shape[np.arange(len(origins)), (origins + h - 1) % season]
                     rows.append(pd.DataFrame({"series_id": sid, "origin": origins, "horizon": h, "predicted": value}))
             if rows:
                 yield pd.concat(rows)

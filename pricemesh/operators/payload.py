@@ -1,13 +1,14 @@
 """Schemaless availability payloads to quotes.
 
-Documents are unrolled level by level. `from_json` over map and array types keeps member order
-and the text of nested values; variants decide which values are containers.
+Documents are unrolled level by level. Members are read twice by `from_json`: as text, which
+keeps document order and nested text, and as variants, whose type tells containers from strings.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pricemesh.functions.common import let
 from pricemesh.functions.parse import money
 from pricemesh.operators.cleaning import first_arrivals
 
@@ -59,57 +60,97 @@ def too_deep(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return documents.filter(depth(F.col("payload")) > max_depth)
 
 
+def _members(text: Column, of: str) -> Column:
+    """Member values of an object or array text in document order, read as `of`."""
+    kind = F.substring(F.ltrim(text), 1, 1)
+    as_object, as_array = F.when(kind == "{", text), F.when(kind == "[", text)
+    return F.coalesce(F.map_values(F.from_json(as_object, f"map<string,{of}>")), F.from_json(as_array, f"array<{of}>"))
+
+
+def _containers(node: Column) -> Column:
+    """Objects and arrays among the members of a node, with their place in the document."""
+    read = F.struct(
+        _members(node["text"], "string").alias("text"),
+        F.transform(_members(node["text"], "variant"), F.schema_of_variant).alias("kind"),
+    )
+    placed = let(
+        read,
+        lambda m: F.filter(
+            F.transform(
+                m["text"],
+                lambda t, i: F.struct(
+                    F.concat(node["path"], F.array(i)).alias("path"), t.alias("text"), F.get(m["kind"], i).alias("kind")
+                ),
+            ),
+            lambda c: F.rlike(c["kind"], F.lit("^(OBJECT|ARRAY)")),
+        ),
+    )
+    # Most nodes are leaves; without another bracket in the text there is nothing to open.
+    inner = F.rlike(F.substring(F.ltrim(node["text"]), 2, 2**31 - 1), F.lit(r"[\[{]"))
+    return F.coalesce(F.when(inner, placed), F.array().cast(NODES))
+
+
+NODES = "array<struct<path:array<int>,text:string,kind:string>>"
+
+
 def objects(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Every JSON object of every document, with its path as an order key (pre-order)."""
+    """Every JSON object of every document: its path as an order key (pre-order), the text of its
+    members and their types, both as maps.
+
+    A document is opened inside its own row, one level after the other, so it is read once and
+    never shuffled. The two generators also keep the optimizer from copying the parsing into
+    every later use of its result.
+    """
     keep = [c for c in documents.columns if c != "payload"]
-    level = documents.select(
-        *keep, F.col("payload").alias("text"), F.array().cast("array<int>").alias("path")
-    ).withColumn("kind", F.substring(F.ltrim("text"), 1, 1))
-    found = None
-    for d in range(max_depth):
-        here = level.filter("kind = '{'").select(*keep, "path", "text")
-        found = here if found is None else found.unionByName(here)
-        if d + 1 == max_depth:
-            break
-        members = level.withColumn("m", F.from_json(F.when(F.col("kind") == "{", F.col("text")), "map<string,string>"))
-        members = members.withColumn("items", F.from_json(F.when(F.col("kind") == "[", F.col("text")), "array<string>"))
-        opened = members.withColumn("v", F.try_parse_json("text")).select(
-            *keep, "path", "m", "items", F.expr("variant_explode(v) as (pos, key, value)")
-        )
-        is_container = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
-        at = F.when(
-            F.col("key").isNotNull(), F.array_position(F.map_keys("m"), F.col("key")).cast("int") - 1
-        ).otherwise(F.col("pos"))
-        text = F.when(F.col("key").isNotNull(), F.element_at("m", F.col("key"))).otherwise(F.get("items", F.col("pos")))
-        level = opened.filter(is_container).select(
-            *keep, text.alias("text"), F.concat("path", F.array(at)).alias("path")
-        ).withColumn("kind", F.substring(F.ltrim("text"), 1, 1))
-    return found
+    root = F.struct(F.array().cast("array<int>").alias("path"), F.col("payload").alias("text"), F.lit("ROOT").alias("kind"))
+    rows = documents.select(*keep, F.array(root).cast(NODES).alias("_0"))
+    levels = ["_0"]
+    for d in range(1, max_depth):
+        rows = rows.withColumn(f"_{d}", F.flatten(F.transform(levels[-1], _containers)))
+        levels.append(f"_{d}")
+    nodes = F.filter(F.concat(*levels), lambda n: F.startswith(F.ltrim(n["text"]), F.lit("{")))
+    # The outer form: a plain explode adds a size filter that would evaluate the whole walk again.
+    opened = rows.select(*keep, F.explode_outer(nodes).alias("_n")).filter(F.col("_n").isNotNull())
+    typed = F.from_json("_n.text", "map<string,variant>")
+    parsed = F.struct(
+        F.from_json("_n.text", "map<string,string>").alias("members"),
+        F.transform_values(typed, lambda _, v: F.schema_of_variant(v)).alias("kinds"),
+    )
+    return opened.select(*keep, F.col("_n.path").alias("path"), F.inline(F.array(parsed)))
+
+
+def _first(keys: Column | list[str], read) -> Column:
+    """First key, in order, from which `read` gets a value. One lambda keeps generated code small."""
+    names = F.array(*[F.lit(k) for k in keys]) if isinstance(keys, list) else keys
+    return F.get(F.filter(F.transform(names, read), lambda x: x.isNotNull()), F.lit(0))
 
 
-def _path(key: str) -> str:
-    return f"$.{key}"
+def _text(key: Column) -> Column:
+    return F.element_at("members", key)
 
 
-def text_of(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, _path(key), "string")
+def _is(key: Column, pattern: str) -> Column:
+    return F.coalesce(F.rlike(F.element_at("kinds", key), F.lit(pattern)), F.lit(False))
 
 
-def kind_of(v: Column, key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, _path(key), "variant"))
+NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
-def amount(v: Column, key: str) -> Column:
-    """A money member: numbers and numeric text count, booleans and containers do not."""
-    readable = F.coalesce(kind_of(v, key).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
-    return F.when(readable, money(text_of(v, key)))
+def first_amount(aliases: Column | list[str]) -> Column:
+    """First alias that reads as money; booleans and containers do not."""
+    return _first(aliases, lambda k: F.when(_is(k, "^STRING") | _is(k, NUMBER), money(_text(k))))
 
 
-def first_amount(v: Column, aliases: list[str]) -> Column:
-    return F.coalesce(*[amount(v, a) for a in aliases])
+def by_profile(source: Column, field: str) -> Column:
+    """Amount of a field under the alias table of the row's source profile."""
+    names = None
+    for profile, table in ALIASES.items():
+        choice = F.array(*[F.lit(a) for a in table[field]])
+        names = F.when(source == profile, choice) if names is None else names.when(source == profile, choice)
+    return first_amount(names)
 
 
-def flight_number(v: Column, carrier: Column) -> Column:
+def flight_number(carrier: Column) -> Column:
     """Carrier + number, from text, number or a nested object."""
 
     def normal(raw: Column) -> Column:
@@ -117,47 +158,41 @@ def flight_number(v: Column, carrier: Column) -> Column:
         bare = F.regexp_replace(n, F.concat(F.lit("^["), carrier, F.lit("]+")), F.lit(""))
         return F.when(F.startswith(n, carrier), n).otherwise(F.concat(carrier, bare))
 
-    options = []
-    for k in FLIGHT_KEYS:
-        kind = kind_of(v, k)
-        inner = F.coalesce(*[text_of(v, f"{k}.{i}") for i in ("flightNumber", "number", "identifier")])
-        plain = text_of(v, k)
-        options.append(
-            F.when((kind == "STRING") & (F.trim(plain) != ""), normal(plain))
-            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.concat(carrier, plain.try_cast("bigint").cast("string")))
-            .when(kind.rlike("^OBJECT") & inner.isNotNull(), normal(inner))
+    def read(k: Column) -> Column:
+        inner = F.coalesce(*[F.get_json_object(_text(k), f"$.{i}") for i in ("flightNumber", "number", "identifier")])
+        return (
+            F.when(_is(k, "^STRING") & (F.trim(_text(k)) != ""), normal(_text(k)))
+            .when(_is(k, NUMBER), F.concat(carrier, _text(k).try_cast("double").try_cast("bigint").cast("string")))
+            .when(_is(k, "^OBJECT") & inner.isNotNull(), normal(inner))
         )
-    return F.coalesce(*options)
+
+    return _first(FLIGHT_KEYS, read)
 
 
-def departure_at(v: Column, day: Column) -> Column:
+def departure_at(day: Column) -> Column:
     """Departure from an ISO timestamp or a bare HH:MM on the departure date."""
-    options = []
-    for k in DEPARTURE_KEYS:
-        s = F.trim(text_of(v, k))
-        iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s.try_cast("timestamp_ntz"))
+
+    def read(k: Column) -> Column:
+        s = F.trim(_text(k))
+        iso = F.when(F.rlike(s, F.lit(r"^\d{4}-\d{2}-\d{2}")), s.try_cast("timestamp_ntz"))
         clock = F.regexp_extract(s, r"^(\d{1,2}):(\d{2})$", 1).try_cast("int")
         minute = F.regexp_extract(s, r"^(\d{1,2}):(\d{2})$", 2).try_cast("int")
         bare = F.when(
             (clock < 24) & (minute < 60),
             F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), clock, minute, F.lit(0)),
         )
-        options.append(F.when(kind_of(v, k) == "STRING", F.coalesce(iso, bare)))
-    return F.coalesce(*options)
+        return F.when(_is(k, "^STRING"), F.coalesce(iso, bare))
 
+    return _first(DEPARTURE_KEYS, read)
 
-def brand(v: Column) -> Column:
-    return F.coalesce(
-        *[
-            F.when((kind_of(v, k) == "STRING") & (F.trim(text_of(v, k)) != ""), F.trim(text_of(v, k)))
-            for k in BRAND_KEYS
-        ]
-    )
+
+def brand() -> Column:
+    return _first(BRAND_KEYS, lambda k: F.when(_is(k, "^STRING") & (F.trim(_text(k)) != ""), F.trim(_text(k))))
 
 
-def stops(v: Column) -> Column:
+def stops() -> Column:
     """Stop count, zero when absent or unreadable."""
-    return F.coalesce(*[text_of(v, k).try_cast("double").cast("int") for k in STOP_KEYS], F.lit(0))
+    return F.coalesce(_first(STOP_KEYS, lambda k: _text(k).try_cast("double").try_cast("int")), F.lit(0))
 
 
 def residual_taxes(total: Column, base: Column, taxes: Column, parts: list[Column]) -> tuple[Column, Column]:
@@ -170,31 +205,23 @@ def residual_taxes(total: Column, base: Column, taxes: Column, parts: list[Colum
     return new_base, new_taxes
 
 
-def by_profile(source: Column, field: str, v: Column) -> Column:
-    out = None
-    for profile, table in ALIASES.items():
-        value = first_amount(v, table[field])
-        out = F.when(source == profile, value) if out is None else out.when(source == profile, value)
-    return out
-
-
 def quotes(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Non-stop quotes of every payload, the first object per (flight, departure).
 
     `documents`: raw_id, source (alias profile), carrier, origin, destination, scrape_date,
     departure_date, payload.
     """
-    node = objects(documents, max_depth).withColumn("v", F.try_parse_json("text"))
-    v = F.col("v")
-    node = node.withColumns({f: by_profile(F.col("source"), f, v) for f in ALIASES["qp"]})
-    node = node.filter((F.col("total") > 0) & (stops(v) == 0))
+    node = objects(documents, max_depth).withColumn("total", by_profile(F.col("source"), "total"))
+    node = node.filter((F.col("total") > 0) & (stops() == 0))
+    rest = [f for f in ALIASES["qp"] if f != "total"]
+    node = node.withColumns({f: by_profile(F.col("source"), f) for f in rest})
     node = node.withColumns(
         {
-            "flight_number": flight_number(v, F.col("carrier")),
-            "departure_at": departure_at(v, F.col("departure_date")),
-            "fare_brand": brand(v),
+            "flight_number": flight_number(F.col("carrier")),
+            "departure_at": departure_at(F.col("departure_date")),
+            "fare_brand": brand(),
         }
-    ).drop("v", "text")
+    ).drop("members", "kinds")
     unique = first_arrivals(node, ["raw_id", "flight_number", "departure_at"], F.col("path")).drop("copies")
     base, taxes = residual_taxes(
         F.col("total"), F.col("base"), F.col("taxes"), [F.col("udf"), F.col("convenience"), F.col("other")]
@@ -215,7 +242,7 @@ def quotes(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 def observed_keys(documents: DataFrame, limit: int = 40, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Keys seen anywhere in each document, for payloads no profile recognised."""
-    keys = objects(documents, max_depth).select("raw_id", F.explode(F.json_object_keys("text")).alias("key")).distinct()
+    keys = objects(documents, max_depth).select("raw_id", F.explode(F.map_keys("members")).alias("key")).distinct()
     return keys.groupBy("raw_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, limit).alias("keys"))
 
 

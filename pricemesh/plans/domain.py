@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pricemesh.functions.common import fixed4
 from pricemesh.operators import fares as fare_ops
 from pricemesh.operators import index as index_ops
 from pricemesh.operators.cleaning import CleaningResult, clean_quotes
@@ -168,7 +169,7 @@ def daily_series(events: DataFrame, orders: DataFrame) -> DataFrame:
     b = orders.groupBy(
         F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("index_date")
     ).agg(F.avg("o_totalprice").alias("value"))
-    return a.unionByName(b).withColumn("value", F.round("value", 4))
+    return a.unionByName(b).withColumn("value", fixed4(F.col("value")))
 
 
 def weekly_series(orders: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def weekly_series(orders: DataFrame) -> DataFrame:
         orders.groupBy(
             F.col("o_orderpriority").alias("series_id"), F.trunc(F.col("o_orderdate").cast("date"), "week").alias("index_date")
         )
-        .agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+        .agg(fixed4(F.avg("o_totalprice")).alias("value"))
     )
 
 
