@@ -295,7 +295,9 @@ def raw_table(d):
     """The raw payload table of this folder, written once per session."""
     if d.path not in _RAW or _RAW[d.path][0] is not d:
         path = folder(d)
-        documents(d).write.parquet(path)
+        # The store holds documents in many files, so parsing them is spread from the start.
+        n = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+        documents(d).repartition(n, "raw_id").write.parquet(path)
         _RAW[d.path] = (d, path)
     return ld.raw_payloads(d.spark, _RAW[d.path][1])
 

@@ -63,12 +63,9 @@ def first_arrivals(quotes: DataFrame, key: list[str], order: Column, copies: str
     An aggregate rather than a ranking window: copies collapse map-side, so a key that holds
     a third of the input costs one row per upstream task after the shuffle.
     """
-    payload = F.struct(*[F.col(c) for c in quotes.columns])
-    return (
-        quotes.groupBy(*key)
-        .agg(F.min_by(payload, order).alias("_first"), F.count(F.lit(1)).alias(copies))
-        .select("_first.*", copies)
-    )
+    payload = F.struct(*[F.col(c) for c in quotes.columns if c not in key])
+    rows = quotes.groupBy(*key).agg(F.min_by(payload, order).alias("_first"), F.count(F.lit(1)).alias(copies))
+    return rows.select(*[c if c in key else f"_first.{c}" for c in quotes.columns], copies)
 
 
 def deduplicate(quotes: DataFrame) -> DataFrame:

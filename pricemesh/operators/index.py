@@ -218,7 +218,7 @@ def route_days(elementary: DataFrame, weights: DataFrame, shares: DataFrame | No
 def route_index(elementary: DataFrame, weights: DataFrame) -> DataFrame:
     """Young index within each route, its weight in use and its part of the headline."""
     day = Window.partitionBy("index_date")
-    return route_days(elementary, weights).filter(F.col("n_cells") > 0).select(
+    return route_days(elementary, weights).filter(F.col("weight") > 0).select(
         "index_date", "route_id",
         (F.col("num") / F.col("weight")).alias("index_value"),
         "weight",

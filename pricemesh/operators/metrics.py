@@ -40,8 +40,12 @@ def complete_pairs(pairs: DataFrame) -> DataFrame:
 
 def correlation(a: str, b: str) -> Column:
     """Pearson r, null when one side does not vary or fewer than two pairs exist."""
-    varies = (F.count(a) >= 2) & (F.max(a) != F.min(a)) & (F.max(b) != F.min(b))
-    return F.when(varies, F.corr(a, b))
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    varies = (F.count(x) >= 2) & (F.max(x) != F.min(x)) & (F.max(y) != F.min(y))
+    # Spelled out because the built-in corr fails on a constant side under ANSI arithmetic.
+    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return F.when(varies, F.covar_pop(x, y) / spread)
 
 
 def mae(a: str = "a", b: str = "b") -> Column:

@@ -245,7 +245,7 @@ def scoreboard(scores: DataFrame) -> DataFrame:
     at = Window.partitionBy("series_id", "horizon")
     bar = F.min(F.when(F.col("is_baseline"), row)).over(at)
     s = scores.withColumn("bar", bar).withColumn(
-        "margin", F.when(~F.col("is_baseline"), (F.col("bar.mase") - F.col("mase")) / F.col("bar.mase"))
+        "margin", F.when(~F.col("is_baseline"), (F.col("bar.mase") - F.col("mase")) / F.nullif(F.col("bar.mase"), F.lit(0.0)))
     )
     verdict = (
         F.when(F.col("is_baseline") & (F.col("bar.model") == F.col("model")), "baseline (best)")
@@ -277,7 +277,7 @@ def best_at_horizon(scores: DataFrame) -> DataFrame:
 def recommend(scores: DataFrame, eligible: DataFrame, horizons=HORIZONS) -> DataFrame:
     """One line per series: whether any model earned its place, and why not otherwise."""
     best = best_at_horizon(scores).filter(F.col("m").isNotNull() & F.col("b").isNotNull())
-    margin = (F.col("b.mase") - F.col("m.mase")) / F.col("b.mase")
+    margin = (F.col("b.mase") - F.col("m.mase")) / F.nullif(F.col("b.mase"), F.lit(0.0))
     wins = margin > 0.05
     tail_worse = F.col("m.rmse") > F.col("b.rmse")
     at = F.format_string("At h=%d, ", F.col("horizon"))

@@ -41,8 +41,8 @@ def first_to_last(series: DataFrame) -> DataFrame:
         .filter(F.col("n") >= 2)
         .select(
             "series_id", "n", "first", "last",
-            ((F.col("last") - F.col("first")) / F.col("first")).alias("period_change"),
-            ((F.col("last") - F.col("before_last")) / F.col("before_last")).alias("last_change"),
+            ((F.col("last") - F.col("first")) / F.nullif(F.col("first"), F.lit(0.0))).alias("period_change"),
+            ((F.col("last") - F.col("before_last")) / F.nullif(F.col("before_last"), F.lit(0.0))).alias("last_change"),
         )
     )
 
@@ -163,6 +163,6 @@ def cpi_overlay(monthly: DataFrame, cpi: DataFrame, sector: str = "combined") ->
     first = Window.partitionBy("series_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return both.select(
         "series_id", "month",
-        (F.col("value") / F.first("value").over(first) * 100).alias("series"),
-        (F.col("cpi") / F.first("cpi").over(first) * 100).alias("cpi"),
+        (F.col("value") / F.nullif(F.first("value").over(first), F.lit(0.0)) * 100).alias("series"),
+        (F.col("cpi") / F.nullif(F.first("cpi").over(first), F.lit(0.0)) * 100).alias("cpi"),
     )
