@@ -165,6 +165,11 @@ add(
         fenced=IQR,
     ),
 )
+add(
+    "e4_method_by_name",
+    lambda d: c.clean_quotes(d.quotes, "iqr").survivors.filter("is_outlier").select("ingest_seq", "outlier_method"),
+    sql("SELECT ingest_seq, 'iqr' AS outlier_method FROM fenced WHERE n >= 5 AND iqr > 0 AND (x < q1 - 3 * iqr OR x > q3 + 3 * iqr)", fenced=IQR),
+)
 add(
     "x27_outlier_verdict_from_flag",
     lambda d: d.cleaned.survivors.withColumn("v", c.parse_outlier_flag(F.col("quality_flags"))).select(
@@ -252,16 +257,6 @@ def raw_rows(d):
     return c.with_window(d.quotes)
 
 
-add(
-    "g1_constraint_audit",
-    lambda d: g.audit_all(
-        {
-            "route": d.routes, "route_weight": d.route_weights, "advance_window": d.windows, "source": d.sources,
-            "raw_quote": raw_rows(d), "fare": d.fares, "base_price": d.base, "headline": d.headline,
-        }
-    ),
-    None,
-)
 _FARE_RULES = {
     "stops_not_negative": "stops >= 0",
     "base_fare_not_negative": "base_fare >= 0",
@@ -312,13 +307,40 @@ add(
         " classified.departure_date, fare_class, classified.total_fare HAVING count(*) > 1"
     ),
 )
+_KEYED = {
+    "route": ("routes", "origin, destination"),
+    "advance_window": ("windows", "window_days"),
+    "base_price": ("base", "route_id, window_days, carrier"),
+    "headline": ("headline", "index_date, frequency"),
+    "route_index": ("route_rows", "index_date, frequency, route_id"),
+}
 add(
     "g2_key_audit",
-    lambda d: g.audit_keys(
-        {"route": d.routes, "route_weight": d.route_weights, "advance_window": d.windows, "source": d.sources,
-         "base_price": d.base, "headline": d.headline, "route_index": d.route_rows}
+    lambda d: g.audit_keys({"route": d.routes, "advance_window": d.windows, "base_price": d.base, "headline": d.headline, "route_index": d.route_rows}),
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS duplicate_keys FROM (SELECT 1 FROM {v} GROUP BY {k} HAVING count(*) > 1)" for t, (v, k) in _KEYED.items()
+        )
+    ),
+)
+_HEAD_RULES = {
+    "frequency_known": "frequency IN ('daily','weekly','monthly')",
+    "value_positive": "index_value > 0",
+    "cells_positive": "n_cells > 0",
+    "coverage_in_unit": "coverage_ratio > 0 AND coverage_ratio <= 1",
+    "pax_share_in_unit": "observed_pax_share > 0 AND observed_pax_share <= 1",
+}
+_BASE_RULES = {"base_positive": "base_price > 0", "observations_positive": "n_observations > 0"}
+add(
+    "g1_constraint_audit",
+    lambda d: g.audit_all({"raw_quote": raw_rows(d), "fare": d.fares, "base_price": d.base, "headline": d.headline}),
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, '{r}' AS rule, count(*) FILTER (NOT coalesce({p}, true)) AS violations FROM {v}"
+            for t, v, rules in (("raw_quote", "classified", _RAW_RULES), ("fare", "fares", _FARE_RULES), ("base_price", "base", _BASE_RULES), ("headline", "headline", _HEAD_RULES))
+            for r, p in rules.items()
+        )
     ),
-    None,
 )
 add(
     "g2_reference_audit",

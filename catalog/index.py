@@ -333,8 +333,7 @@ CHECKS = f"""
     SELECT * FROM (VALUES
         ('monthly_equals_mean_of_daily', 'error'), ('weekly_equals_mean_of_daily', 'error'), ('contributions_sum_to_headline', 'error'),
         ('rebuild_is_reproducible', 'error')) AS t("check", severity)"""
-add("v10_check_roll_up", lambda d: checks(d).select("check", "passed", "severity"), sql(
-    """
+ROLL_UP = """
     SELECT 'base_period_is_100' AS "check", abs(avg(cast(index_value AS double)) - 100) <= 10 AS passed, 'error' AS severity FROM headline
     WHERE frequency = 'daily' AND index_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-14'
     UNION ALL SELECT "check", true, severity FROM identities
@@ -343,10 +342,18 @@ add("v10_check_roll_up", lambda d: checks(d).select("check", "passed", "severity
               FROM headline WHERE frequency = 'daily'
     UNION ALL SELECT 'no_impossible_values', bool_and(index_value > 0 AND coverage_ratio > 0 AND coverage_ratio <= 1), 'error' FROM headline WHERE frequency = 'daily'
     UNION ALL SELECT 'daily_series_has_no_gaps', date_diff('day', min(index_date), max(index_date)) + 1 = count(*), 'warning' FROM headline WHERE frequency = 'daily'
-    UNION ALL SELECT 'at_least_30_daily_observations', count(*) >= 30, 'error' FROM headline WHERE frequency = 'daily'""",
-    identities=CHECKS,
-))
-add("v10_report_summary", lambda d: v.summarise(checks(d)), None)
+    UNION ALL SELECT 'at_least_30_daily_observations', count(*) >= 30, 'error' FROM headline WHERE frequency = 'daily'"""
+add("v10_check_roll_up", lambda d: checks(d).select("check", "passed", "severity"), sql(ROLL_UP, identities=CHECKS))
+add(
+    "v10_report_summary",
+    lambda d: v.summarise(checks(d)),
+    sql(
+        """
+        SELECT count(*) AS n_checks, count(*) FILTER (passed) AS n_passed, count(*) FILTER (NOT passed AND severity = 'error') AS failures,
+               count(*) FILTER (NOT passed AND severity = 'warning') AS warnings, count(*) FILTER (NOT passed AND severity = 'error') = 0 AS passed FROM rolled""",
+        identities=CHECKS, rolled=ROLL_UP,
+    ),
+)
 for key, build, cond, sev in [
     ("v4_coverage_reported", lambda d: v.coverage_reported(last_month(d)), "NOT coalesce(coverage_ratio > 0 AND coverage_ratio <= 1, false)", ("every_value_reports_coverage", "error")),
     ("v5_coverage_arithmetic", lambda d: v.coverage_arithmetic(last_month(d), 40), "(n_cells >= 40 AND abs(coverage_ratio - 1) > 0.02) OR (n_cells < 40 AND coverage_ratio >= 1)", ("coverage_matches_cells", "error")),
@@ -474,6 +481,14 @@ add(
         " FROM headline WHERE frequency = 'daily' AND headline.index_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'"
     ),
 )
+add(
+    "p8_date_range_filter",
+    lambda d: q.series(d.headline, "daily", start="2024-01-10", limit=15).select("index_date", "index_value"),
+    sql(
+        f"SELECT {day('index_date')} AS index_date, {num('index_value')} AS index_value FROM headline WHERE frequency = 'daily'"
+        " AND headline.index_date >= DATE '2024-01-10' ORDER BY headline.index_date LIMIT 15"
+    ),
+)
 add(
     "q3_route_breakdown",
     lambda d: q.route_breakdown(d.route_rows, d.headline, d.routes),

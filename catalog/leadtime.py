@@ -181,20 +181,48 @@ def params(d):
     return e.parameters(fits(d), KEY)
 
 
-# The same least-squares problem on a fixed tau grid, solved per grid point in SQL: no grid point
-# may beat the fitted optimum, and the optimum must lie next to the best grid point.
-GRID = """
-    SELECT route_code, tau, n, CASE WHEN slope < 0 THEN syy - n * ym * ym ELSE sse END AS sse
-    FROM (SELECT route_code, tau, count(*) AS n, regr_slope(y, exp(-w / tau)) AS slope, sum(y * y) AS syy, avg(y) AS ym,
-                 regr_syy(y, exp(-w / tau)) - regr_sxy(y, exp(-w / tau)) * regr_sxy(y, exp(-w / tau)) / regr_sxx(y, exp(-w / tau)) AS sse
-          FROM obs CROSS JOIN (SELECT 0.5 * pow(800, i / 60.0) AS tau FROM range(61) t(i)) GROUP BY ALL)"""
+# The same bounded least-squares problem restated on four nested tau grids over window moments.
+MOMENTS = """
+    SELECT route_code, w, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM obs GROUP BY ALL"""
+
+
+def tau_level(grid: str) -> str:
+    return f"""
+    SELECT route_code, tau, sum(n) AS n, sum(ss) AS within, sum(n * (m - l * (1 + a * x)) * (m - l * (1 + a * x))) AS cost
+    FROM (SELECT *, exp(-w / tau) AS x,
+                 CASE WHEN l0 < 1 THEN 1 WHEN s0 < 0 THEN sy / nn WHEN s0 > 20 * l0 THEN g / gg ELSE l0 END AS l,
+                 CASE WHEN l0 < 1 THEN greatest(0, least(20, (sxy - sx) / sxx)) WHEN s0 < 0 THEN 0 WHEN s0 > 20 * l0 THEN 20 ELSE s0 / l0 END AS a
+          FROM (SELECT *, (sy - s0 * sx) / nn AS l0 FROM (
+                SELECT p.*, t.tau, t.nn, t.sy, t.sx, t.sxx, t.sxy, t.g, t.gg, (nn * sxy - sx * sy) / (nn * sxx - sx * sx) AS s0
+                FROM pts p JOIN (
+                    SELECT q.route_code, tau, sum(n) AS nn, sum(n * m) AS sy, sum(n * exp(-w / tau)) AS sx, sum(n * exp(-2 * w / tau)) AS sxx,
+                           sum(n * m * exp(-w / tau)) AS sxy, sum(n * (1 + 20 * exp(-w / tau)) * m) AS g,
+                           sum(n * (1 + 20 * exp(-w / tau)) * (1 + 20 * exp(-w / tau))) AS gg
+                    FROM pts q JOIN ({grid}) k USING (route_code) GROUP BY 1, 2) t USING (route_code))))
+    GROUP BY 1, 2"""
+
+
+def finer(level: str, step: float) -> str:
+    return (
+        f"SELECT route_code, greatest(0.5, least(400, c * exp({step} * i / 100.0))) AS tau FROM"
+        f" (SELECT route_code, arg_min(tau, cost) AS c FROM {level} GROUP BY 1), range(-100, 101) t(i)"
+    )
+
+
+F1 = dict(obs=MOM, pts=MOMENTS)
+F1["tau1"] = tau_level("SELECT DISTINCT route_code, 0.5 * exp(ln(800) * i / 400.0) AS tau FROM pts, range(401) t(i)")
+F1["tau2"] = tau_level(finer("tau1", 0.034))
+F1["tau3"] = tau_level(finer("tau2", 0.0007))
 add(
-    "f1_exponential_fit_vs_grid",
-    lambda d: fits(d).filter("fitted").select(
-        "route_code", F.col("n").cast("bigint").alias("n"),
-        F.lit(True).alias("no_grid_point_better"),
+    "f1_exponential_fit_quality",
+    lambda d: params(d).filter("fitted").select("route_code", F.col("n").cast("bigint").alias("n"), "r_squared", F.round("rmse", 2).alias("rmse")),
+    sql(
+        f"""
+        SELECT route_code, {big('max(n)')} AS n, {num('1 - min(within + cost) / max(sst)')} AS r_squared, {num('round(sqrt(min(within + cost) / max(n)), 2)')} AS rmse
+        FROM tau3 JOIN (SELECT route_code, var_pop(y) * count(*) AS sst FROM obs GROUP BY 1) USING (route_code)
+        WHERE route_code IN (SELECT route_code FROM pts GROUP BY 1 HAVING sum(n) >= 12 AND count(*) >= 4) GROUP BY 1""",
+        **F1,
     ),
-    sql("SELECT route_code, max(n) AS n, bool_and(sse >= 0) AS no_grid_point_better FROM grid GROUP BY 1", obs=MOM, grid=GRID),
 )
 add("f1_exponential_fit", params, None)
 LOGLIN = """

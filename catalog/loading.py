@@ -338,6 +338,11 @@ add(
     lambda d: nodes(d).groupBy("raw_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum("total").alias("total")),
     sql(f"SELECT event_id AS raw_id, 3 AS nodes, {num('3 * total + 10')} AS total FROM two", **Q),
 )
+add(
+    "e6_alias_tables",
+    lambda d: nodes(d).groupBy("source").agg(F.count(F.lit(1)).alias("nodes"), F.sum(pl.by_profile(F.col("source"), "convenience")).alias("convenience")),
+    sql(f"SELECT source, 3 * count(*) AS nodes, {num('2 * sum(conv)')} AS convenience FROM two GROUP BY 1", **Q),
+)
 add(
     "x6_flight_number",
     lambda d: nodes(d).select("raw_id", pl.flight_number(F.col("carrier")).alias("flight_number")).distinct(),

@@ -229,8 +229,28 @@ add(
             lambda z: z IS NOT NULL), '|') AS l
           FROM (SELECT DISTINCT cast(o_orderdate AS date) AS dt FROM orders))""",
 )
-add("d5_detect_label_group", lambda d: an.detect_and_group(d.weekly, threshold=3.0), None)
+HYP = """CASE WHEN l = '' THEN 'no candidate identified; cause unknown' ELSE l END AS hypotheses
+    FROM (SELECT *, array_to_string(list_filter([
+            CASE WHEN (month(peak), day(peak)) >= (10, 15) AND month(peak) <= 11 THEN 'candidate: Diwali travel period (date varies by year; verify)' END,
+            CASE WHEN (month(peak), day(peak)) >= (12, 20) OR month(peak) <= 1 THEN 'candidate: Christmas and New Year peak' END,
+            CASE WHEN (month(peak), day(peak)) >= (3, 1) AND month(peak) <= 3 THEN 'candidate: financial year end, business travel' END,
+            CASE WHEN (month(peak), day(peak)) >= (5, 1) AND month(peak) <= 6 THEN 'candidate: summer school holidays' END],
+            lambda z: z IS NOT NULL), '|') AS l"""
+add(
+    "d5_detect_label_group",
+    lambda d: an.episodes(flags(d), 15).select("series_id", "start", "end", "peak_date", "hypotheses"),
+    flags_sql(
+        f"""
+        SELECT series_id, {day('st')} AS start, {day('en')} AS "end", {day('peak')} AS peak_date, {HYP}
+        FROM (SELECT series_id, episode, min(index_date) AS st, max(index_date) AS en, arg_max(index_date, abs(score)) AS peak FROM ({EPI}) GROUP BY 1, 2))"""
+    ),
+)
 add("q7_anomalies_daily", lambda d: an.detect_and_group(d.series, window=14, threshold=3.5), None)
+add(
+    "e5_period_key",
+    lambda d: d.series.groupBy("series_id", F.trunc("index_date", "quarter").alias("period")).agg(F.avg("value").alias("value")),
+    sql(f"SELECT series_id, {day('p')} AS period, {num('avg(value)')} AS value FROM (SELECT *, date_trunc('quarter', index_date) AS p FROM series) GROUP BY 1, 2"),
+)
 
 
 def pairs(d):

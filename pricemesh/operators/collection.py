@@ -209,26 +209,34 @@ def compliance_summary(audit: DataFrame, sources: DataFrame) -> DataFrame:
 def request_intervals(audit: DataFrame, min_delay: float) -> DataFrame:
     """Interval between consecutive sent requests of an origin, the first one zero.
 
-    A busy origin may hold a third of the log, so the ordering window runs within one
-    (origin, hour) and the first request of an hour takes its predecessor from a table of each
-    hour's last request, one row per origin and hour.
+    A busy origin may hold a third of the log, so rows are ordered only within one (origin,
+    second). The predecessor of a second's first request comes from two small edge tables: the
+    last request of each second, ordered within its hour, and of each hour, ordered per origin.
     """
-    order = F.struct("requested_at", "request_id")
     sent = audit.filter("robots_allowed").select(
         "request_id", "source", "requested_at",
-        F.col("requested_at").cast("date").alias("_day"), F.hour("requested_at").alias("_hour"),
+        F.substring(F.col("requested_at").cast("string"), 1, 13).alias("_hour"),
+        F.substring(F.col("requested_at").cast("string"), 15, 5).alias("_second"),
     )
-    slot = ["source", "_day", "_hour"]
-    within = Window.partitionBy(*slot).orderBy("requested_at", "request_id")
-    edges = sent.groupBy(*slot).agg(F.max_by("requested_at", order).alias("_last"))
-    earlier = F.lag("_last").over(Window.partitionBy("source").orderBy("_day", "_hour"))
-    prior = edges.select(*slot, earlier.alias("_before"))
-    rows = sent.withColumn("_prev", F.lag("requested_at").over(within)).join(prior, slot)
+    last = F.max("requested_at").alias("_last")
+    seconds = sent.groupBy("source", "_hour", "_second").agg(last)
+    hours = seconds.groupBy("source", "_hour").agg(F.max("_last").alias("_last"))
+    in_hour = Window.partitionBy("source", "_hour").orderBy("_second")
+    before_hour = hours.select(
+        "source", "_hour", F.lag("_last").over(Window.partitionBy("source").orderBy("_hour")).alias("_before_hour")
+    )
+    before = (
+        seconds.withColumn("_before_second", F.lag("_last").over(in_hour))
+        .join(before_hour, ["source", "_hour"])
+        .select("source", "_hour", "_second", F.coalesce("_before_second", "_before_hour").alias("_before"))
+    )
+    within = Window.partitionBy("source", "_hour", "_second").orderBy("requested_at", "request_id")
+    rows = sent.withColumn("_prev", F.lag("requested_at").over(within)).join(before, ["source", "_hour", "_second"])
     rows = rows.withColumn("_prev", F.coalesce("_prev", "_before"))
-    seconds = F.expr("cast(cast(requested_at - _prev as interval second) as decimal(18,6))").cast("double")
+    gap = F.expr("cast(cast(requested_at - _prev as interval second) as decimal(18,6))").cast("double")
     return rows.select(
         "request_id", "source", "requested_at",
-        F.coalesce(seconds, F.lit(0.0)).alias("interval_s"),
+        F.coalesce(gap, F.lit(0.0)).alias("interval_s"),
         F.col("_prev").isNull().alias("is_first"),
     ).withColumn("below_floor", ~F.col("is_first") & (F.col("interval_s") < min_delay))
 

@@ -37,23 +37,39 @@ def absent_rows(new: DataFrame, stored: DataFrame | None, keys: list[str], where
     return missing if where is None else missing.unionByName(new.filter(~where))
 
 
+def _staged(spark: SparkSession, new: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
+    """Write the incoming rows beside the table once, and read them back.
+
+    This computes them a single time, cuts their lineage before the table is touched, and
+    makes their partition values readable from folder names alone.
+    """
+    folder = f"{path}_staging/{uuid.uuid4().hex}"
+    new.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(folder)
+    return spark.read.schema(new.schema).parquet(folder)
+
+
+def _touched(stored: DataFrame | None, staged: DataFrame, column: str) -> DataFrame | None:
+    """Stored rows of the partitions the staged rows belong to: a static partition filter.
+
+    The values collected are partition names (days, frequencies), never rows.
+    """
+    if stored is None:
+        return None
+    values = [r[0] for r in staged.select(column).distinct().collect()]
+    return stored.filter(F.col(column).isin(values))
+
+
 def insert_absent(
     spark: SparkSession, new: DataFrame, path: str, keys: list[str], partition_by: list[str], order: str, where=None
 ) -> None:
-    """Append what the target lacks. Replaying the same input adds nothing.
-
-    Only the partitions the new rows belong to are read back for the comparison.
-    """
-    stored = read_table(spark, path)
-    if stored is not None:
-        touched = new.select(*partition_by).distinct()
-        stored = stored.join(touched, partition_by, "left_semi")
-    keyed = new if where is None else new.filter(where)
+    """Append what the target lacks. Replaying the same input adds nothing."""
+    staged = _staged(spark, new, path, partition_by)
+    stored = _touched(read_table(spark, path), staged, partition_by[0])
+    keyed = staged if where is None else staged.filter(where)
     unique = first_arrivals(keyed, keys, F.col(order)).drop("copies")
     fresh = absent_rows(unique, stored, keys)
     if where is not None:
-        own = new.filter(~where)
-        fresh = fresh.unionByName(absent_rows(own, stored, [order]))
+        fresh = fresh.unionByName(absent_rows(staged.filter(~where), stored, [order]))
     fresh.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
@@ -68,16 +84,13 @@ def merged(new: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFra
 def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
     """Keyed upsert: the touched partitions are rebuilt beside the table, then swapped in.
 
-    Rows are staged before the overwrite because the overwrite replaces the files they come from.
+    The merged rows are staged too, because the overwrite replaces the files they come from.
     """
-    stored = read_table(spark, path)
-    if stored is not None:
-        stored = stored.join(new.select(*partition_by).distinct(), partition_by, "left_semi")
-    staged = f"{path}_staging/{uuid.uuid4().hex}"
-    merged(new, stored, keys).write.parquet(staged)
+    staged = _staged(spark, new, path, partition_by)
+    stored = _touched(read_table(spark, path), staged, partition_by[0])
+    result = staged if stored is None else _staged(spark, merged(staged, stored, keys), path, partition_by)
     (
-        spark.read.parquet(staged)
-        .hint("rebalance", *partition_by)
+        result.hint("rebalance", *partition_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
