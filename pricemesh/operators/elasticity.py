@@ -139,7 +139,7 @@ def estimate(value: Column, se: Column, critical: Column | float = Z95) -> Colum
     )
 
 
-def fit_exponential(packed: DataFrame, keys: list[str]) -> DataFrame:
+def fit_exponential(packed: DataFrame, keys: list[str], keep: list[str] = []) -> DataFrame:
     """fare(w) = L (1 + a exp(-w / tau)), with standard errors from the Jacobian at the optimum."""
     ok = (F.col("n") >= MIN_OBSERVATIONS) & (F.col("distinct_windows") >= MIN_DISTINCT_WINDOWS)
     fit = packed.withColumn("b", F.when(ok, _profile(F.col("m"), F.col("n"), F.col("sy"))))
@@ -194,7 +194,7 @@ def fit_exponential(packed: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("amplitude", F.when(ok, estimate(a, se(minor_a))))
         .withColumn("decay_days", F.when(ok, estimate(tau, se(minor_t))))
         .select(
-            *keys, "n", "distinct_windows", ok.alias("fitted"), "floor", "amplitude", "decay_days",
+            *keys, *keep, "n", "distinct_windows", ok.alias("fitted"), "floor", "amplitude", "decay_days",
             F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(0.0).alias("r_squared"),
             F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
             F.coalesce(usable, F.lit(False)).alias("converged"),
@@ -213,43 +213,51 @@ def t_quantile_975(df: Column) -> Column:
     return F.lit(z) + g1 / df + g2 / df**2 + g3 / df**3 + g4 / df**4
 
 
-def fit_log_linear(packed: DataFrame, keys: list[str]) -> DataFrame:
-    """ln fare on window: slope, intercept, t-intervals, R2 and percent per day."""
+def _with_log_linear(packed: DataFrame) -> DataFrame:
+    """Add the log-linear fit to packed moments; null where it is not identified."""
     total = lambda f: F.aggregate("m", F.lit(0.0), lambda acc, p: acc + f(p))
-    s = (
-        packed.filter(F.col("n") >= MIN_OBSERVATIONS)
-        .withColumn("wbar", total(lambda p: p["n"] * p["w"]) / F.col("n"))
-        .withColumn("ybar", total(lambda p: p["n"] * p["lmean"]) / F.col("n"))
-    )
+    enough = F.col("n") >= MIN_OBSERVATIONS
+    s = packed.withColumn("wbar", F.when(enough, total(lambda p: p["n"] * p["w"]) / F.col("n")))
+    s = s.withColumn("ybar", F.when(enough, total(lambda p: p["n"] * p["lmean"]) / F.col("n")))
     dw, dy = (lambda p: p["w"] - F.col("wbar")), (lambda p: p["lmean"] - F.col("ybar"))
-    s = (
-        s.withColumn("sxx", total(lambda p: p["n"] * dw(p) * dw(p)))
-        .withColumn("sxy", total(lambda p: p["n"] * dw(p) * dy(p)))
-        .withColumn("syy", total(lambda p: p["lss"] + p["n"] * dy(p) * dy(p)))
-        .filter(F.col("sxx") > 0)
-        .withColumn("slope", F.col("sxy") / F.col("sxx"))
-        .withColumn("intercept", F.col("ybar") - F.col("slope") * F.col("wbar"))
-        .withColumn("s2", (F.col("syy") - F.col("slope") * F.col("sxy")) / (F.col("n") - 2))
-        .withColumn("t", t_quantile_975(F.col("n") - 2))
+    s = s.withColumns(
+        {
+            "sxx": total(lambda p: p["n"] * dw(p) * dw(p)),
+            "sxy": total(lambda p: p["n"] * dw(p) * dy(p)),
+            "syy": total(lambda p: p["lss"] + p["n"] * dy(p) * dy(p)),
+        }
     )
+    s = s.withColumn("b", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")))
+    s = s.withColumns(
+        {
+            "a": F.col("ybar") - F.col("b") * F.col("wbar"),
+            "s2": F.when(F.col("b").isNotNull(), (F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2)),
+            "t": F.when(enough, t_quantile_975(F.col("n") - 2)),
+        }
+    )
+    known = F.col("b").isNotNull()
     se_b = F.sqrt(F.col("s2") / F.col("sxx"))
     se_a = F.sqrt(F.col("s2") * (1 / F.col("n") + F.col("wbar") ** 2 / F.col("sxx")))
     return s.select(
-        *keys, "n",
-        estimate(F.col("intercept"), se_a, F.col("t")).alias("intercept"),
-        estimate(F.col("slope"), se_b, F.col("t")).alias("slope"),
-        F.when(F.col("syy") > 0, F.col("slope") * F.col("sxy") / F.col("syy")).otherwise(0.0).alias("r_squared"),
-        (F.col("slope") * 100).alias("percent_per_day"),
+        *packed.columns,
+        F.when(known, estimate(F.col("a"), se_a, F.col("t"))).alias("intercept"),
+        F.when(known, estimate(F.col("b"), se_b, F.col("t"))).alias("slope"),
+        F.when(known, F.when(F.col("syy") > 0, F.col("b") * F.col("sxy") / F.col("syy")).otherwise(0.0)).alias("log_r_squared"),
+        (F.col("b") * 100).alias("percent_per_day"),
+    )
+
+
+def fit_log_linear(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """ln fare on window: slope, intercept, t-intervals, R2 and percent per day."""
+    return _with_log_linear(packed).filter(F.col("slope").isNotNull()).select(
+        *keys, "n", "intercept", "slope", F.col("log_r_squared").alias("r_squared"), "percent_per_day"
     )
 
 
 def fit_routes(usable: DataFrame, keys: list[str]) -> DataFrame:
-    """Both models per route, with warnings in place of a fit that is not identified."""
+    """Both models per route from one pass over fares, with warnings in place of a missing fit."""
     packed = pack(window_moments(usable, keys), keys)
-    linear = fit_log_linear(packed, keys).select(
-        *keys, "intercept", "slope", F.col("r_squared").alias("log_r_squared"), "percent_per_day"
-    )
-    out = fit_exponential(packed, keys).join(linear, keys, "left")
+    out = _with_log_linear(fit_exponential(packed, keys, ["m"])).drop("m")
     thin = F.when(
         F.col("slope").isNull(),
         F.array(F.format_string("log-linear fit not identified: %.0f observations, need 12", F.col("n"))),
