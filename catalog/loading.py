@@ -130,7 +130,7 @@ add(
     lambda d: ld.accepted(cpi_parsed(d)).select("ref_month", "sector", "index_value", "base_year", "description"),
     sql(
         f"SELECT {day('m')} AS ref_month, CASE WHEN mm % 2 = 0 THEN 'urban' ELSE 'combined' END AS sector, cast(n AS double) AS index_value,"
-        " CASE WHEN mm % 3 = 0 THEN 2012 ELSE 2024 END AS base_year, 'CPI Division 07 Transport' AS description FROM cpiok",
+        " cast(CASE WHEN mm % 3 = 0 THEN 2012 ELSE 2024 END AS bigint) AS base_year, 'CPI Division 07 Transport' AS description FROM cpiok",
         **C,
     ),
 )
@@ -160,7 +160,7 @@ add(
     cpi_upsert,
     sql(
         f"SELECT {day('m')} AS ref_month, CASE WHEN mm % 2 = 0 THEN 'urban' ELSE 'combined' END AS sector, cast(n + CASE WHEN mm % 3 = 0 THEN 1 ELSE 0 END AS double) AS index_value,"
-        " CASE WHEN mm % 3 = 0 THEN 2012 ELSE 2024 END AS base_year FROM cpiok",
+        " cast(CASE WHEN mm % 3 = 0 THEN 2012 ELSE 2024 END AS bigint) AS base_year FROM cpiok",
         **C,
     ),
 )
@@ -325,7 +325,7 @@ add(
         **Q,
     ),
 )
-add("x11_depth_overflow", lambda d: pl.too_deep(raw_table(d), 6).agg(F.count(F.lit(1)).alias("too_deep")), "SELECT 0 AS too_deep FROM events LIMIT 1")
+add("x11_depth_overflow", lambda d: pl.too_deep(raw_table(d), 6).agg(F.count(F.lit(1)).alias("too_deep")), "SELECT cast(0 AS bigint) AS too_deep FROM events LIMIT 1")
 
 
 def nodes(d):
@@ -336,7 +336,7 @@ def nodes(d):
 add(
     "x5_first_money_alias",
     lambda d: nodes(d).groupBy("raw_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum("total").alias("total")),
-    sql(f"SELECT event_id AS raw_id, 3 AS nodes, {num('3 * total + 10')} AS total FROM two", **Q),
+    sql(f"SELECT event_id AS raw_id, cast(3 AS bigint) AS nodes, {num('3 * total + 10')} AS total FROM two", **Q),
 )
 add(
     "e6_alias_tables",
@@ -360,7 +360,7 @@ add(
 add(
     "x8_brand_and_stops",
     lambda d: nodes(d).groupBy(pl.brand().alias("brand"), pl.stops().alias("stops")).agg(F.count(F.lit(1)).alias("nodes")),
-    sql("SELECT 'SAVER' AS brand, 0 AS stops, 2 * count(*) AS nodes FROM two UNION ALL SELECT NULL, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END, count(*) FROM two GROUP BY 2", **Q),
+    sql("SELECT 'SAVER' AS brand, cast(0 AS bigint) AS stops, 2 * count(*) AS nodes FROM two UNION ALL SELECT NULL, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END, count(*) FROM two GROUP BY 2", **Q),
 )
 add(
     "x9_residual_taxes",

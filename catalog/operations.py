@@ -296,7 +296,7 @@ add(
     lambda d: q.basket(d.routes, defaults.airports(d.spark), d.route_weights, defaults.WEIGHT_REF_START)
     .join(d.fares.groupBy("route_id").agg(F.count(F.lit(1)).alias("n")), "route_id", "left")
     .select("route_code", "passengers", "weight", "n"),
-    sql(f"SELECT route_code, passengers, {num('weight')} AS weight, n FROM listing", listing=LISTING),
+    sql(f"SELECT route_code, {big('passengers')} AS passengers, {num('weight')} AS weight, n FROM listing", listing=LISTING),
 )
 add(
     "q9_observed_basket_weight",
@@ -366,7 +366,7 @@ add(
 )
 add("x30_rule_table", lambda d: r.rules(r.directives(snapshots(d))).groupBy("group_no", "allow", "pattern").agg(F.count(F.lit(1)).alias("hosts")), sql(
     """
-    SELECT g AS group_no, a AS allow, pt AS pattern, count(*) AS hosts FROM (SELECT DISTINCT host, length(host) % 3 AS k FROM pageparts)
+    SELECT cast(g AS bigint) AS group_no, a AS allow, pt AS pattern, count(*) AS hosts FROM (SELECT DISTINCT host, length(host) % 3 AS k FROM pageparts)
     JOIN (VALUES (0, 1, true, '/'), (0, 1, false, '/fr/'), (0, 1, false, '/*?utm_source='), (0, 1, false, '/de/*.html$'), (0, 2, false, '/es/'), (0, 2, true, '/es/1'),
                  (1, 1, false, '/en/2*'), (1, 1, true, '/en/2*'), (1, 2, false, '/'), (2, 1, false, '/fr/8'), (2, 1, true, '/fr/82'), (2, 2, false, '/')) t(k, g, a, pt) USING (k)
     GROUP BY ALL""",
@@ -382,7 +382,7 @@ add("x31_pattern_regex", lambda d: r.rules(r.directives(snapshots(d))).select("p
 add(
     "x32_agent_group",
     lambda d: r.chosen_group(r.directives(snapshots(d)), AGENT),
-    sql("SELECT DISTINCT host AS snapshot_id, CASE length(host) % 3 WHEN 0 THEN 2 ELSE 1 END AS group_no FROM pageparts", **R),
+    sql("SELECT DISTINCT host AS snapshot_id, cast(CASE length(host) % 3 WHEN 0 THEN 2 ELSE 1 END AS bigint) AS group_no FROM pageparts", **R),
 )
 add(
     "x34_landing_recheck",
@@ -396,8 +396,8 @@ add(
     "g5_snapshot_inventory",
     lambda d: r.snapshot_inventory(snapshots(d)).select("host", "http_status", "body_bytes"),
     sql(
-        "SELECT DISTINCT host, CASE length(host) % 11 WHEN 0 THEN 503 WHEN 1 THEN 404 WHEN 2 THEN 403 ELSE 200 END AS http_status,"
-        f" CASE length(host) % 3 WHEN 0 THEN {len(BODIES[0])} WHEN 1 THEN {len(BODIES[1])} ELSE {len(BODIES[2])} END AS body_bytes FROM pageparts",
+        "SELECT DISTINCT host, cast(CASE length(host) % 11 WHEN 0 THEN 503 WHEN 1 THEN 404 WHEN 2 THEN 403 ELSE 200 END AS bigint) AS http_status,"
+        f" cast(CASE length(host) % 3 WHEN 0 THEN {len(BODIES[0])} WHEN 1 THEN {len(BODIES[1])} ELSE {len(BODIES[2])} END AS bigint) AS body_bytes FROM pageparts",
         **R,
     ),
 )
