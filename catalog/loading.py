@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from catalog import add
-from catalog.views import VIEWS, big, day, num, sql
+from catalog.views import big, day, num, sql
 from pricemesh import schema as S
 from pricemesh.functions import parse as ps
 from pricemesh.operators import payload as pl
@@ -95,7 +95,6 @@ add("k9_weights_csv", weights_csv, sql(f"SELECT origin || '-' || destination AS
 # Official monthly index.
 CPI = """
     SELECT date_trunc('month', l_shipdate) AS m, month(l_shipdate) AS mm, year(l_shipdate) AS yy, count(*) AS n FROM lineitem GROUP BY ALL"""
-SHAPES = ["{y}-{m:02}", "{y}-{m}", "Mon-{y}", "Month {y}", "{m}/{y}", "bad {y}"]
 
 
 def cpi_rows(d):
@@ -176,7 +175,7 @@ add(
             .otherwise(F.date_format("m", "yyyy/MM/dd/01"))
         ).alias("ref_month"),
     ),
-    f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE {day(chr(100) + 'ate_trunc(' + repr('month') + ', o_orderdate)')} END AS ref_month FROM orders",
+    f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE {day("date_trunc('month', o_orderdate)")} END AS ref_month FROM orders",
 )
 
 # Reference fares.
@@ -451,7 +450,7 @@ def base_upsert(d):
 add(
     "k4_base_price_upsert",
     base_upsert,
-    sql(f"SELECT {big('route_id')} AS route_id, {big('window_days')} AS window_days, carrier, {num('base_price * CASE WHEN carrier = ' + repr('QP') + ' THEN 2 ELSE 1 END')} AS base_price FROM base"),
+    sql(f"SELECT {big('route_id')} AS route_id, {big('window_days')} AS window_days, carrier, {num("base_price * CASE WHEN carrier = 'QP' THEN 2 ELSE 1 END")} AS base_price FROM base"),
 )
 
 

@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 
 from catalog import add
 from catalog.views import big, day, num, sql, text_list
-from pricemesh import schema as S
-from pricemesh.operators import cleaning as cl
 from pricemesh.operators import collection as c
-from pricemesh.operators import fares as f
 from pricemesh.operators import governance as g
 from pricemesh.operators import robots as r
 from pricemesh.operators import serving as q
-from pricemesh.plans.domain import Domain, quotes_from_events
+from pricemesh.plans.domain import quotes_from_events
 from pricemesh.session import checkpoint_dir
 from pricemesh.sources import defaults, sinks
 from pricemesh.streaming import ingest

@@ -33,8 +33,9 @@ def order_statistic(value: Column, rank: Column, lo: str, hi: str) -> Column:
     return F.when((F.col(lo) <= rank) & (rank < F.col(hi)), value)
 
 
-def interpolated(value: Column, p: float, lo: str, hi: str, reduce_) -> Column:
-    """Linear-interpolated quantile; `reduce_` picks the one non-null row of the group."""
+def interpolated(value: Column, p: float, lo: str, hi: str, reduce_) -> tuple[Column, Column, Column]:
+    """The two order statistics around a quantile and its position; `reduce_` picks the one
+    non-null row of the group."""
     pos = (F.col("n") - 1) * F.lit(float(p))
     below = reduce_(order_statistic(value, F.floor(pos), lo, hi))
     above = reduce_(order_statistic(value, F.ceil(pos), lo, hi))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pricemesh import schema as S
-from pricemesh.operators.cleaning import first_arrivals, lowest_by
+from pricemesh.functions.stats import grouped_quantiles
+from pricemesh.operators.cleaning import first_arrivals
 
 
 class ReferenceMissing(Exception):
@@ -114,24 +115,13 @@ def naive_mean(fares: DataFrame) -> DataFrame:
     return usable(fares).groupBy("scrape_date").agg(F.avg(F.col("total_fare").cast("double")).alias("mean_fare"))
 
 
-def price_concepts() -> dict:
-    """Named aggregates that can stand for "the price" of a carrier cell on a day."""
-    x = F.col("total_fare").cast("double")
-    return {
-        "lowest": F.min(x),
-        "median": "median",
-        "mean": F.avg(x),
-        "highest": F.max(x),
-    }
-
-
 def prices_by_concept(fares: DataFrame) -> DataFrame:
-    """One row per (concept, day, carrier cell). The median comes from the price histogram."""
-    from pricemesh.functions.stats import grouped_quantiles
+    """One row per (concept, day, carrier cell): the day's lowest, median, mean and highest fare.
 
+    All four come from one price histogram per carrier cell and day.
+    """
     keys = ["scrape_date", *S.CARRIER_CELL]
     q = grouped_quantiles(usable(fares), keys, "total_fare", {"median": 0.5})
-    mean = F.col("total").cast("double") / F.col("n")
     return q.select(
         *keys,
         F.expr(

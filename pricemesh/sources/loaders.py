@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricemesh.functions.parse import money, month_start, route_pair
+from pricemesh.functions.parse import month_start, route_pair
 from pricemesh.sources.defaults import CARRIER_NAMES
 from pricemesh.sources.inline import inline_table
 

@@ -13,7 +13,6 @@ from pricemesh.operators import fares as f
 from pricemesh.sources import defaults
 
 DAY = dt.date(2026, 9, 4)
-NAMES = [part.split()[0] for part in S.QUOTE.replace("\n", " ").split(", ")]
 
 
 def quote(i, total, **over):

@@ -1,7 +1,6 @@
 """Elementary cells, carry-forward and the headline against hand-worked figures."""
 
 import datetime as dt
-import itertools
 import random
 
 import pytest

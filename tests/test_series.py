@@ -5,7 +5,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pricemesh.operators import anomalies as an
 from pricemesh.operators import elasticity as e
