@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pricemesh import staging
-from pricemesh.llm import blocks, components
+from pricemesh.llm import blocks, components, rows
 
 SEED = 42
 SHINGLE = 3
@@ -178,16 +178,16 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Component ids are the smallest doc_id reachable over links, the row's own included.
     """
-    hashed = docs.withColumn("row_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = staging.written(fingerprints(hashed, text, ("doc_id", "row_hash")), "simhash-rows")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    hashed = docs.withColumn("row_hash", rows.row_hash(docs))
+    printed = staging.written(fingerprints(hashed, text, ("doc_id", "row_hash")), "simhash-rows")
+    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = links(distinct.select("fp"))
     linked = components.labels(edges)
     named = linked.join(distinct.withColumnRenamed("fp", "node"), "node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("root_id"))
     joined = linked.join(smallest, "root").select(F.col("node").alias("fp"), "root_id")
     known = distinct.join(joined, "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"))
-    return rows.join(known, "fp", "left").select("doc_id", "row_hash", "fp", "component_id")
+    return printed.join(known, "fp", "left").select("doc_id", "row_hash", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -201,6 +201,6 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("best")
     )
     chosen = best.select(F.col("best.doc_id").alias("_id"), F.col("best.row_hash").alias("_hash"))
-    hashed = docs.withColumn("_row_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    hashed = docs.withColumn("_row_hash", rows.row_hash(docs))
     kept = hashed.join(chosen, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_row_hash") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
