@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricemesh.llm import decontaminate, rules, simhash
+from pricemesh.llm import decontaminate, mixing, rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,76 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         decontaminate.contaminated().alias("contaminated"),
         F.size(F.array_distinct(F.transform("near", lambda x: x["item_id"]))).cast("bigint").alias("n_near_items"),
     )
+
+
+#: An example target: which domain a source belongs to goes by its number; weights are parts of the budget.
+DOMAINS = ("web", "forum", "reference", "code")
+MIX_WEIGHTS = {
+    "domain": {"web": 50, "forum": 10, "reference": 25, "code": 15},
+    "lang": {"en": 40, "de": 20, "fr": 20, "es": 20},
+}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 3, 7
+
+
+def domain_of_source() -> Column:
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    at = F.pmod(F.when(number != "", number.cast("bigint")), F.lit(len(DOMAINS)))
+    return F.element_at(F.array(*[F.lit(x) for x in DOMAINS]), (at + 1).cast("int"))
+
+
+def _weight_sql(level: str) -> str:
+    known = MIX_WEIGHTS.get(level, {})
+    return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in known.items()) + " ELSE 1 END" if known else "1"
+
+
+def _level_sql(name: str, path: list[str], parent: str) -> str:
+    """Budget of every node of a level, as share; parent: the level above, or the whole budget."""
+    keys, above = ", ".join(path), ", ".join(path[:-1])
+    part = f"PARTITION BY {above}" if above else ""
+    source = f"JOIN (SELECT {above}, share AS budget FROM {parent}) USING ({above})" if above else "CROSS JOIN whole"
+    return f"""
+{name}_nodes AS (
+    SELECT *, {_weight_sql(path[-1])} AS weight
+    FROM (SELECT {keys}, cast(sum(tokens) * {MIX_EPOCHS} AS hugeint) AS supply FROM leaves GROUP BY {keys}) {source}),
+{name}_filled AS (
+    SELECT *, coalesce(sum(supply) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent_before,
+           sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+    FROM {name}_nodes
+    WINDOW o AS ({part} ORDER BY cast(supply AS double) / cast(weight AS double), {path[-1]})),
+{name}_tested AS (
+    SELECT *, supply * open_weight <= (budget - spent_before) * weight AS filled FROM {name}_filled),
+{name} AS (
+    SELECT {keys}, CASE WHEN filled THEN supply ELSE least(supply, greatest(0, budget
+               - coalesce(sum(supply) FILTER (filled) OVER g, 0)) * weight // sum(weight) FILTER (NOT filled) OVER g) END AS share
+    FROM {name}_tested WINDOW g AS ({part}))"""
+
+
+OP6_SQL = rf"""
+WITH tokens AS (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           coalesce(({list(DOMAINS)})[cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS bigint) % {len(DOMAINS)} + 1], '') AS domain,
+           coalesce(len({_words_sql("text")}), 0) AS n_tokens
+    FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM tokens GROUP BY ALL),
+whole AS (SELECT cast(sum(tokens) * {MIX_PERCENT} // 100 AS hugeint) AS budget FROM leaves),
+{_level_sql("by_domain", ["domain"], "whole")},
+{_level_sql("by_lang", ["domain", "lang"], "by_domain")},
+{_level_sql("by_source", ["domain", "lang", "source"], "by_lang")},
+targets AS (
+    SELECT domain, lang, source, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS full_epochs,
+           CASE WHEN tokens > 0 THEN share % tokens ELSE 0 END AS rest
+    FROM leaves JOIN by_source USING (domain, lang, source)),
+keyed AS (
+    SELECT *, md5('{MIX_SEED}:' || cast(full_epochs AS varchar) || ':' || coalesce(cast(doc_id AS varchar), '')) AS key
+    FROM tokens JOIN targets USING (domain, lang, source)),
+reached AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS reach FROM keyed)
+SELECT doc_id, domain, lang, source, cast(n_tokens AS bigint) AS n_tokens,
+       cast(full_epochs + CASE WHEN rest > 0 AND reach <= rest THEN 1 ELSE 0 END AS bigint) AS copies
+FROM reached WHERE full_epochs > 0 OR (rest > 0 AND reach <= rest)"""
+
+
+@register(OP6_SQL)
+def op6_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = mixing.mix(docs, domain_of_source(), MIX_PERCENT, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return picked.select("doc_id", "domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "copies")
