@@ -2,7 +2,7 @@
 
 Folding lowers case, undoes look-alike letters of other scripts, full-width forms and digit or sign substitutions
 ("m0r0n"), drops invisible characters and parts words at everything else. The lexicon holds word beginnings that stand
-in toxic training texts far more often than in others (log-likelihood ratio), each with its log-odds as weight;
+in toxic training texts far more often than in others (log-likelihood ratio), each with its log rate ratio as weight;
 exception phrases, given and learned, silence the entries they cover. The weighted hits of a text, divided by its
 words, pass through a logistic curve fitted on the training rows.
 
@@ -30,8 +30,8 @@ from pricemesh.llm import blocks
 TRAIN_ROWS = 20_000
 #: Lengths of word beginnings that may become entries.
 SHORTEST, LONGEST = 4, 9
-#: An entry's least log-likelihood ratio and least share of toxic texts among those that hold it.
-EVIDENCE, PURITY = 24.0, 0.4
+#: An entry's least log-likelihood ratio, least log rate ratio, and least number of toxic texts that hold it.
+EVIDENCE, RATIO, SUPPORT = 24.0, 1.0, 4
 #: A learned exception phrase must stand in so many clean texts and be clean in nearly all.
 EXCEPTION_TEXTS = 3
 
@@ -127,36 +127,38 @@ def feature(rate: float) -> float:
 
 
 def _counted(docs: DataFrame, features) -> DataFrame:
-    """(feature, toxic, clean): in how many texts of each kind a feature stands, counted per task before the shuffle."""
+    """For each feature how often it stands in toxic and in clean texts, and in how many of either, counted per task
+    before the shuffle."""
+    names = ("toxic", "clean", "toxic_texts", "clean_texts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (Counter(), Counter())
+        times, texts = (Counter(), Counter()), (Counter(), Counter())
         for batch in blocks.cut(batches, "text"):
             for text, toxic in zip(blocks.texts(batch.column(0)), batch.column(1).to_pylist()):
-                kinds[toxic].update(features(fold(text)))
-        names = list(kinds[0].keys() | kinds[1].keys())
-        counts = [pa.array([kinds[k][x] for x in names], pa.int64()) for k in (1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], ["feature", "toxic", "clean"])
+                found = features(fold(text))
+                times[toxic].update(found)
+                texts[toxic].update(found.keys())
+        known = list(times[0].keys() | times[1].keys())
+        counts = [pa.array([c[x] for x in known], pa.int64()) for c in (times[1], times[0], texts[1], texts[0])]
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), *counts], ["feature", *names])
 
-    counted = docs.select("text", "toxic").mapInArrow(run, "feature string, toxic bigint, clean bigint")
-    return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    schema = "feature string, " + ", ".join(f"{n} bigint" for n in names)
+    counted = docs.select("text", "toxic").mapInArrow(run, schema)
+    return counted.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _beginnings(folded: str) -> set[str]:
-    return {w[:n] for w in set(folded.split()) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+def _beginnings(folded: str) -> Counter:
+    """Beginnings of the distinct words; the empty one counts the words themselves."""
+    words = set(folded.split())
+    return Counter(w[:n] for w in words for n in (0, *range(SHORTEST, min(LONGEST, len(w)) + 1)))
 
 
-def _evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
-    """Log-likelihood ratio of the two kinds having unlike shares of texts with the feature."""
-
-    def part(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
-
-    p = (toxic + clean) / (all_toxic + all_clean)
-    if p in (0.0, 1.0):
-        return 0.0
-    own = part(toxic, all_toxic, toxic / all_toxic) + part(clean, all_clean, clean / all_clean)
-    return 2 * (own - part(toxic, all_toxic, p) - part(clean, all_clean, p))
+def _evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> tuple[float, float]:
+    """Log-likelihood ratio of the feature being more frequent among the toxic words, and its log rate ratio."""
+    ratio = math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
+    expected = (toxic + clean) * all_toxic / (all_toxic + all_clean)
+    spread = [(toxic, expected), (clean, toxic + clean - expected)]
+    return 2 * sum(k * math.log(k / e) for k, e in spread if k), ratio
 
 
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -188,24 +190,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
         share = n_toxic / max(1, n_toxic + n_clean)
         return Lexicon({}, exceptions, (30.0 if share == 1 else -30.0, 0.0))
 
-    pure = F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))
-    # Bounded by the bounded training texts; of nested beginnings the one with the most evidence is the entry.
+    # Bounded by the bounded training texts; of nested beginnings the one with the most evidence,
+    # and of those the longest, is the entry.
+    counted = staging.written(_counted(texts, _beginnings), "toxicity-words")
+    words = {r.feature: r for r in counted.where(F.col("feature") == "").collect()}[""]
+    dense = F.col("toxic") * F.lit(words.clean) > F.lit(math.e) * F.col("clean") * F.lit(words.toxic)
     likely = [
-        (_evidence(r.toxic, r.clean, n_toxic, n_clean), r.feature, r.toxic, r.clean)
-        for r in _counted(texts, _beginnings).where((F.col("toxic") >= 4) & pure).toLocalIterator()
+        (*_evidence(r.toxic, r.clean, words.toxic, words.clean), r.feature)
+        for r in counted.where((F.col("toxic_texts") >= SUPPORT) & dense & (F.col("feature") != "")).toLocalIterator()
     ]
     weights: dict[str, float] = {}
     covered: set[str] = set()
-    for evidence, entry, toxic, clean in sorted(likely, key=lambda x: (-x[0], len(x[1]), x[1])):
+    for evidence, ratio, entry in sorted(likely, key=lambda x: (-x[0], -len(x[2]), x[2])):
         heads = {entry[:n] for n in range(SHORTEST, len(entry) + 1)}
-        if evidence < EVIDENCE or entry in covered or heads & weights.keys():
-            continue
-        covered |= heads
-        weights[entry] = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+        if evidence >= EVIDENCE and ratio >= RATIO and entry not in covered and not heads & weights.keys():
+            covered |= heads
+            weights[entry] = ratio
 
     raw = Matcher(Lexicon(weights, exceptions, (0.0, 0.0)))
 
-    def around(folded: str) -> set[str]:
+    def around(folded: str) -> Counter:
         out = set()
         for start, _, _ in raw.hits(folded):
             stop = folded.index(" ", start)
@@ -213,9 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
             after = folded[stop + 1 :].partition(" ")[0]
             word = folded[start:stop]
             out |= {word, *([f"{before} {word}"] if before else []), *([f"{word} {after}"] if after else [])}
-        return out
+        return Counter(out)
 
-    harmless = _counted(texts, around).where((F.col("clean") >= EXCEPTION_TEXTS) & (20 * F.col("toxic") <= F.col("clean")))
+    harmless = _counted(texts, around).where(
+        (F.col("clean_texts") >= EXCEPTION_TEXTS) & (20 * F.col("toxic_texts") <= F.col("clean_texts"))
+    )
     learned = tuple(sorted(r.feature for r in harmless.select("feature").collect()))
     matcher = Matcher(Lexicon(weights, exceptions + learned, (0.0, 0.0)))
 
