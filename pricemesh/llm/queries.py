@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricemesh.llm import chat, decontaminate, mixing, rules, secret_spans, simhash, toxicity
+from pricemesh.llm import chat, decontaminate, mixing, rules, secret_spans, simhash, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
     extra = spark.createDataFrame(sample, "conv_id bigint, turn bigint, role string, text string")
     return chat.digests(chat.format_chats(turns.unionByName(extra)))
+
+
+@register()
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
