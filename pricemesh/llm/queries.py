@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricemesh.llm import chat, decontaminate, mixing, rules, secret_spans, simhash, toxicity, wrappers
+from pricemesh.llm import chat, decontaminate, line_runs, mixing, rules, secret_spans, simhash, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,3 +207,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+@register()
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_runs.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines_cut", F.length("text").cast("bigint").alias("n_chars_left"), "text")
