@@ -187,6 +187,8 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     smallest = named.groupBy("root").agg(F.min("first_id").alias("root_id"))
     joined = linked.join(smallest, "root").select(F.col("node").alias("fp"), "root_id")
     known = distinct.join(joined, "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"))
+    # Read back from files, the lookup has an exchange of its own, so rows of a hot fingerprint can be split.
+    known = staging.written(known, "simhash-known")
     return printed.join(known, "fp", "left").select("doc_id", "row_hash", "fp", "component_id")
 
 
