@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricemesh.llm import chat, decontaminate, line_runs, mixing, rules, secret_spans, simhash, toxicity, wrappers
+from pricemesh.llm import chat, decontaminate, line_runs, mixing, quality_model, rules, secret_spans, simhash, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +213,14 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_runs.deduplicate(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines_cut", F.length("text").cast("bigint").alias("n_chars_left"), "text")
+
+
+def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that someone has marked as good text."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+@register()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_model.judge(table(spark, sf_dir, "documents"), trusted_rows(spark, sf_dir))
+    return judged.select("doc_id", "lang", "perplexity", F.col("most").alias("limit"), "kept")
