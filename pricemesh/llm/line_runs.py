@@ -169,24 +169,27 @@ def stretches(spans: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies of repeated runs cut out of the text, and n_lines_cut; n_chars follows if it is there."""
+    doc, own, of, other, spans, new = rows.fresh(docs, "_doc", "_row_hash", "_of", "_hash", "_cuts", "_text")
     cuts = staging.written(stretches(copies(docs, text, least)), "line-cuts")
-    cuts = cuts.select(F.col("doc").alias("_doc"), F.col("row_hash").alias("_hash"), F.col("cuts").alias("_cuts"))
+    cuts = cuts.select(F.col("doc").alias(of), F.col("row_hash").alias(other), F.col("cuts").alias(spans))
     keep = [c for c in docs.columns if c != "n_lines_cut"]
     keyed = docs.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_doc"),
-        rows.row_hash(docs).alias("_row_hash"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias(doc),
+        rows.row_hash(docs).alias(own),
     )
-    joined = keyed.join(cuts.withColumnRenamed("_doc", "_of"), (F.col("_doc") == F.col("_of")) & (F.col("_row_hash") == F.col("_hash")), "left")
+    joined = keyed.join(cuts, (F.col(doc) == F.col(of)) & (F.col(own) == F.col(other)), "left")
     split = F.split(F.col(f"`{text}`"), "\n")
-    left = F.filter(split, lambda x, i: ~F.exists("_cuts", lambda c: (i >= c["first"]) & (i <= c["last"])))
-    cut = F.col("_cuts").isNotNull()
+    left = F.filter(split, lambda x, i: ~F.exists(spans, lambda c: (i >= c["first"]) & (i <= c["last"])))
+    cut = F.col(spans).isNotNull()
     shortened = joined.withColumns(
         {
-            "_text": F.when(cut, F.array_join(left, "\n")).otherwise(F.col(f"`{text}`")),
-            "n_lines_cut": F.when(cut, F.aggregate("_cuts", F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)).otherwise(0).cast("bigint"),
+            new: F.when(cut, F.array_join(left, "\n")).otherwise(F.col(f"`{text}`")),
+            "n_lines_cut": F.when(cut, F.aggregate(spans, F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)).otherwise(0).cast("bigint"),
         }
     )
-    changed = {text: F.col("_text"), "n_chars": F.when(cut, F.length("_text")).otherwise(F.col("n_chars")) if "n_chars" in keep else None}
+    changed = {text: F.col(new)}
+    if "n_chars" in keep:
+        changed["n_chars"] = F.when(cut, F.length(new)).otherwise(F.col("n_chars"))
     columns = [changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in keep]
     return shortened.select(*columns, "n_lines_cut")

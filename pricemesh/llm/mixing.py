@@ -13,7 +13,8 @@ rows is never sorted in one task. Documents are picked by comparing their key wi
 
 Null language or source counts as the empty name, null text as no tokens. Rows that share a doc_id share a key and are
 taken together or not at all; rows without doc_id share one key. Texts without tokens cost nothing and ride along
-with the prefix. Leaves without weight, or without tokens, get nothing. Clashing columns of docs are replaced.
+with the prefix. Leaves without weight, or without tokens, get nothing. Columns of docs that
+clash with a column of the result, or of the way to it, are dropped.
 """
 
 from __future__ import annotations
@@ -119,7 +120,8 @@ def mix(
 
     The budget is `percent` of the tokens of docs, which has doc_id, lang and source.
     """
-    named = docs.drop("domain", "n_tokens", "copies").withColumns(
+    kept = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies", "full_epochs", "_lang", "_source", "_last", "_partial")]
+    named = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns(
         {
             "domain": F.coalesce(domain, F.lit("")),
             "_lang": F.coalesce(F.col("lang"), F.lit("")),
@@ -155,4 +157,4 @@ def mix(
     cuts = staging.written(cuts, "mix-cuts")
     picked = named.join(cuts, ["domain", "_lang", "_source"]).withColumn("_partial", (_key(seed) <= F.col("_last")).cast("bigint"))
     picked = picked.withColumn("copies", F.col("full_epochs") + F.col("_partial")).where("copies > 0")
-    return picked.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("domain", "n_tokens", "copies")], "domain", "n_tokens", "copies")
+    return picked.select(*[F.col(f"`{c}`") for c in kept], "domain", "n_tokens", "copies")

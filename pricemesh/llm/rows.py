@@ -15,9 +15,21 @@ def row_hash(docs: DataFrame) -> Column:
     )
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of docs is called so."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, unwanted: DataFrame) -> DataFrame:
     """docs minus the rows named by unwanted (doc_id, row_hash); rows equal in all columns go together."""
-    bad = unwanted.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"))
-    hashed = docs.withColumn("_row_hash", row_hash(docs))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash"))
-    return hashed.join(bad, same, "left_anti").drop("_row_hash")
+    own, doc, other = fresh(docs, "_row_hash", "_bad_id", "_bad_hash")
+    bad = unwanted.select(F.col("doc_id").alias(doc), F.col("row_hash").alias(other))
+    hashed = docs.withColumn(own, row_hash(docs))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(other))
+    return hashed.join(bad, same, "left_anti").drop(own)

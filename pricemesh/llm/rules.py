@@ -45,6 +45,9 @@ MEASURES = (
     "symbol_ratio", "mark_ratio", "stop_ratio", "upper_ratio", "dup_line_ratio", "repeat_ratio",
 )
 
+#: Names used on the way; columns of docs called so are dropped.
+WORKING = ("_words", "_lines", "_marks", "_upper", "_grams", "_ordered")
+
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(0.0)
@@ -74,7 +77,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     64-bit hashes, and only texts in which a hash repeats pay for the sort that finds where.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, *WORKING)]
     split = docs.select(
         *keep,
         F.filter(F.split(body, SPACES), lambda w: w != "").alias("_words"),

@@ -202,7 +202,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     best = grouped.groupBy("component_id", F.when(anonymous, F.col("fp")).alias("lone")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("best")
     )
-    chosen = best.select(F.col("best.doc_id").alias("_id"), F.col("best.row_hash").alias("_hash"))
-    hashed = docs.withColumn("_row_hash", rows.row_hash(docs))
-    kept = hashed.join(chosen, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_row_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, doc, other = rows.fresh(docs, "_row_hash", "_best_id", "_best_hash")
+    chosen = staging.written(best.select(F.col("best.doc_id").alias(doc), F.col("best.row_hash").alias(other)), "simhash-kept")
+    hashed = docs.withColumn(own, rows.row_hash(docs))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(other))
+    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
