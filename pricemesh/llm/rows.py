@@ -27,9 +27,12 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 
 
 def without(docs: DataFrame, unwanted: DataFrame) -> DataFrame:
-    """docs minus the rows named by unwanted (doc_id, row_hash); rows equal in all columns go together."""
+    """docs minus the rows named by unwanted (doc_id, row_hash); rows equal in all columns go together.
+
+    Always a merge join: how many rows are unwanted grows with docs, so they are never broadcast.
+    """
     own, doc, other = fresh(docs, "_row_hash", "_bad_id", "_bad_hash")
     bad = unwanted.select(F.col("doc_id").alias(doc), F.col("row_hash").alias(other))
     hashed = docs.withColumn(own, row_hash(docs))
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(other))
-    return hashed.join(bad, same, "left_anti").drop(own)
+    return hashed.hint("merge").join(bad, same, "left_anti").drop(own)

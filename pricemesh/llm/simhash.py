@@ -165,8 +165,10 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, looks = pdf["fp"].to_numpy(np.int64), pdf["looks"].to_numpy(bool)
+        # Unsigned, as numpy counts the bits of a signed number's absolute value.
+        fp, looks = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["looks"].to_numpy(bool)
         found = _forest(fp[looks], fp[~looks], pdf["own"].to_numpy(bool)[looks], distance)
+        found = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     dense = lookers.unionByName(owners).groupBy("half", "cell", "i", "j").applyInPandas(compare, "a bigint, b bigint")
@@ -206,4 +208,4 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     chosen = staging.written(best.select(F.col("best.doc_id").alias(doc), F.col("best.row_hash").alias(other)), "simhash-kept")
     hashed = docs.withColumn(own, rows.row_hash(docs))
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(other))
-    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
+    return hashed.hint("merge").join(chosen, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
