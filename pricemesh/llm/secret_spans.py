@@ -7,7 +7,7 @@ alphabet with a digit and a letter (I also for a joint directly between two such
 tag is O, so decoding the stretches around such tokens gives the best path of the whole text, however long it is.
 
 There are no hand-made labels: the field learns from what the rules find in at most TRAIN_TEXTS texts (picked by
-hash; the bound of training), with each occurrence also shown once without its neighbouring words and once
+hash; the bound of training, with at most TRAIN_CHAINS stretches in pieces of PIECE tokens), with each occurrence also shown once without its neighbouring words and once
 without its shape, so that either can carry a tag. Every text is scored whole. Null text counts as empty; repeated
 rows get equal spans; without any rule match in the training texts the field adds nothing.
 """
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from pricemesh.llm import blocks
 
 TRAIN_TEXTS = 20_000
+TRAIN_CHAINS = 2_000
+PIECE = 64
 #: Tokens of context on either side of a candidate.
 CONTEXT = 4
 KINDS = ("assign", "access", "hex", "crf")
@@ -284,8 +286,14 @@ def fit(examples: list[tuple[Chain, list[int]]], rounds: int = 120, rate: float
     return Field(index, weights, steps)
 
 
-def train(docs: DataFrame, text: str = "text", limit: int = TRAIN_TEXTS) -> Field | None:
-    """The field fitted on chains of about `limit` texts at most, picked by hash."""
+def _pieces(chain: Chain, tags: list[int]) -> Iterator[tuple[Chain, list[int]]]:
+    for a in range(0, len(tags), PIECE):
+        part = slice(a, a + PIECE)
+        yield Chain(chain.tokens[part], chain.starts[part], chain.allowed[part], chain.whole), tags[part]
+
+
+def train(docs: DataFrame, text: str = "text", limit: int = TRAIN_TEXTS, chains: int = TRAIN_CHAINS) -> Field | None:
+    """The field fitted on at most `chains` pieces of chains of about `limit` texts at most, picked by hash."""
     rows = docs.select(F.col(f"`{text}`").alias("_text"))
     total = rows.count()
     part = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, limit / max(total, 1)))
@@ -294,13 +302,13 @@ def train(docs: DataFrame, text: str = "text", limit: int = TRAIN_TEXTS) -> Fiel
         names = ["tokens", "starts", "allowed", "whole", "tags"]
         kinds = [pa.list_(t) for t in (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64())]
         for batch in blocks.cut(batches, "_text"):
-            found = [(*c, tags) for t in blocks.texts(batch.column(0)) for c, tags in _silver(t)]
+            found = [(*c, tags) for t in blocks.texts(batch.column(0)) for chain in _silver(t) for c, tags in _pieces(*chain)]
             columns = [pa.array([list(x[k]) for x in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "tokens array<string>, starts array<bigint>, allowed array<boolean>, whole array<string>, tags array<bigint>"
     # Equal texts fall on the same side of the hash; a distinct keeps copies from outweighing the rest.
-    found = rows.where(part).distinct().mapInArrow(run, schema).orderBy(F.xxhash64("tokens"), "starts").limit(limit).collect()
+    found = rows.where(part).distinct().mapInArrow(run, schema).orderBy(F.xxhash64("tokens"), "starts").limit(chains).collect()
     return fit([(Chain(r.tokens, r.starts, r.allowed, tuple(r.whole)), r.tags) for r in found])
 
 

@@ -42,6 +42,7 @@ LOOKALIKES = {
     "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l",
 }
 #: Digits and signs written for letters.
+#: A sign counts as a letter only before one, so that a closing "!" stays what it is.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: Everyday phrases in which such a word is harmless.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "class clown", "pond scum", "soap scum")
@@ -60,12 +61,15 @@ def _latin_table() -> bytes:
 
 _LATIN = _latin_table()
 _WIDE = {**{ord(k): v for k, v in LOOKALIKES.items()}, **{0xFF01 + i: chr(0x21 + i) for i in range(94)}, **_HIDDEN}
+_LOOSE = re.compile(r"[!@$](?![^\W\d_])")
 _OTHER = re.compile(r"[^\x00-\xff]")
 _NOT_WORD = re.compile(r"[^\w]|_")
 
 
 def fold(text: str) -> str:
     """The words of the text, folded, with one space before, between and after them."""
+    if "!" in text or "@" in text or "$" in text:
+        text = _LOOSE.sub(" ", text)
     if "\xad" in text or _OTHER.search(text):
         text = text.lower().translate(_WIDE)
     if _OTHER.search(text):
