@@ -13,7 +13,7 @@ and backward from its last one, so together they delete exactly the later copies
 
 As every line has a word, no shortest run is longer than MIN_WORDS lines and doubling ends there. Null text counts as
 empty. Rows equal in all columns are one document here: they stay alike. Rows without doc_id come last. Blank lines
-inside a deleted run go with it; texts with nothing deleted stay byte for byte. Clashing columns are replaced.
+between deleted lines go with them; texts with nothing deleted stay byte for byte. Clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def _same_row(a: str, b: str) -> Column:
 
 
 def copies(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """(doc, row_hash, first, last): stretches of lines that repeat an earlier run of `least` words or more."""
+    """(doc, row_hash, start, stop, first, last): places and line numbers that repeat an earlier run of `least` words or more."""
     all_lines = staging.written(lines(docs, text, least), "lines")
     names = ranked(_repeated(all_lines, ["key"]), ["key"])
     tied = all_lines.join(names, "key").drop("key").dropDuplicates([*ROW, "pos"])
@@ -129,7 +129,7 @@ def copies(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataF
         k += 1
         if 1 << k <= longest:
             suffixes = _doubled(suffixes, 1 << k - 1)
-    empty = tied.select(*ROW, F.col("line").alias("first"), F.col("line").alias("last")).where("false")
+    empty = tied.select(*ROW, *[F.col(c).alias(n) for n, c in zip(("start", "stop", "first", "last"), ("pos", "pos", "line", "line"))]).where("false")
     return empty if found is None else _later(found, tied)
 
 
@@ -154,14 +154,15 @@ def _later(found: DataFrame, tied: DataFrame) -> DataFrame:
     begin = at.select(*ROW, F.col("pos").alias("start"), F.col("line").alias("first"))
     end = at.select(*ROW, F.col("pos").alias("stop"), F.col("line").alias("last"))
     spans = later.select(*ROW, "start", (F.col("start") + F.col("size") - 1).alias("stop")).distinct()
-    return spans.join(begin, [*ROW, "start"]).join(end, [*ROW, "stop"]).select(*ROW, "first", "last")
+    return spans.join(begin, [*ROW, "start"]).join(end, [*ROW, "stop"]).select(*ROW, "start", "stop", "first", "last")
 
 
 def stretches(spans: DataFrame) -> DataFrame:
-    """Disjoint stretches per row of docs, as an array cuts of (first, last): overlapping spans are joined."""
-    by_row = W.partitionBy(*ROW).orderBy("first", "last")
-    reach = F.max("last").over(by_row.rowsBetween(W.unboundedPreceding, -1))
-    fresh = spans.withColumn("fresh", (reach.isNull() | (F.col("first") > reach + 1)).cast("int"))
+    """Disjoint stretches per row of docs, as an array cuts of line numbers (first, last): spans that overlap or follow
+    one another are joined, with the blank lines between them."""
+    by_row = W.partitionBy(*ROW).orderBy("start", "stop")
+    reach = F.max("stop").over(by_row.rowsBetween(W.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", (reach.isNull() | (F.col("start") > reach + 1)).cast("int"))
     numbered = fresh.withColumn("island", F.sum("fresh").over(by_row.rowsBetween(W.unboundedPreceding, 0)))
     islands = numbered.groupBy(*ROW, "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     return islands.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"))
@@ -178,7 +179,8 @@ def deduplicate(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) ->
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias(doc),
         rows.row_hash(docs).alias(own),
     )
-    joined = keyed.join(cuts, (F.col(doc) == F.col(of)) & (F.col(own) == F.col(other)), "left")
+    # The cuts grow with docs, so they are never broadcast.
+    joined = keyed.hint("merge").join(cuts, (F.col(doc) == F.col(of)) & (F.col(own) == F.col(other)), "left")
     split = F.split(F.col(f"`{text}`"), "\n")
     left = F.filter(split, lambda x, i: ~F.exists(spans, lambda c: (i >= c["first"]) & (i <= c["last"])))
     cut = F.col(spans).isNotNull()
