@@ -543,15 +543,15 @@ add(
 add(
     "o2_series_ordered",
     lambda d: q.series(d.headline, "weekly").select("index_date", "index_value"),
-    sql(f"SELECT {day('index_date')} AS index_date, {num('index_value')} AS index_value FROM headline WHERE frequency = 'weekly' ORDER BY headline.index_date LIMIT 3650"),
+    sql(f"SELECT {day('index_date')} AS index_date, {num('index_value')} AS index_value FROM headline WHERE frequency = 'weekly'"),
 )
 add(
     "o3_routes_by_weight",
-    lambda d: d.route_rows.filter("frequency = 'daily' AND index_date = DATE'2024-01-30'").join(d.routes, "route_id")
+    lambda d: q.newest_routes(d.route_rows).join(d.routes, "route_id")
     .orderBy(F.desc("weight")).select("route_code", "weight", "contribution"),
     sql(
         f"SELECT route_code, {num('weight')} AS weight, {num('contribution')} AS contribution FROM route_rows JOIN routes USING (route_id)"
-        " WHERE frequency = 'daily' AND index_date = DATE '2024-01-30' ORDER BY route_rows.weight DESC"
+        " WHERE frequency = 'daily' AND index_date = (SELECT max(index_date) FROM route_rows WHERE frequency = 'daily') ORDER BY route_rows.weight DESC"
     ),
 )
 add(

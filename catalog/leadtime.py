@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog import add
 from catalog.views import big, day, num, sql
@@ -106,15 +106,14 @@ add(
 
 
 def latest_routes(d):
-    return d.route_rows.filter("frequency = 'daily' AND index_date = DATE'2024-01-30'").join(
-        d.routes.select("route_id", "route_code"), "route_id"
-    ).select("route_code", "index_value", "weight")
+    return q.newest_routes(d.route_rows).join(d.routes.select("route_id", "route_code"), "route_id").select("route_code", "index_value", "weight")
 
 
 def ranked_sectors(d):
     out = None
     for mode in lt.SORT_MODES:
-        top = lt.sector_list(latest_routes(d), stats(d), 7, mode, limit=3).select(F.lit(mode).alias("mode"), "route_code")
+        place = F.row_number().over(Window.orderBy(lt.sort_order(mode), "route_code"))  # one row per route of the basket
+        top = lt.sector_list(latest_routes(d), stats(d), 7, mode).select(F.lit(mode).alias("mode"), "route_code", place.cast("bigint").alias("place"))
         out = top if out is None else out.unionByName(top)
     return out
 
@@ -122,13 +121,13 @@ def ranked_sectors(d):
 _LIST = """
     SELECT route_code, rr.index_value, rr.weight, s.mean_fare FROM route_rows rr JOIN routes USING (route_id)
     LEFT JOIN (SELECT route_code, mean_fare FROM stats WHERE window_days = 7) s USING (route_code)
-    WHERE frequency = 'daily' AND index_date = DATE '2024-01-30'"""
+    WHERE frequency = 'daily' AND index_date = (SELECT max(index_date) FROM route_rows WHERE frequency = 'daily')"""
 add(
     "o4_sector_sort_modes",
     ranked_sectors,
     sql(
         " UNION ALL ".join(
-            f"SELECT * FROM (SELECT '{m}' AS mode, route_code FROM sector_rows ORDER BY {o}, route_code LIMIT 3)"
+            f"SELECT '{m}' AS mode, route_code, row_number() OVER (ORDER BY {o}, route_code) AS place FROM sector_rows"
             for m, o in [
                 ("weight", "weight DESC"), ("cheapest", "mean_fare ASC NULLS LAST"), ("dearest", "mean_fare DESC NULLS FIRST"),
                 ("rising", "index_value DESC"), ("falling", "index_value ASC"),

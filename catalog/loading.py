@@ -314,7 +314,7 @@ PQ = """
 Q = dict(two=TWO, pq=PQ)
 add(
     "x11_payload_to_quotes",
-    lambda d: pl.quotes(raw_table(d), 6).select(
+    lambda d: pl.quotes(raw_table(d)).select(
         "raw_id", "source_code", "flight_number", "departure_at", "fare_brand", "total_fare", "base_fare", "taxes", "udf",
         F.array_join("quality_flags", "|").alias("flags"),
     ),
@@ -324,11 +324,25 @@ add(
         **Q,
     ),
 )
-add("x11_depth_overflow", lambda d: pl.too_deep(raw_table(d), 6).agg(F.count(F.lit(1)).alias("too_deep")), "SELECT cast(0 AS bigint) AS too_deep FROM events LIMIT 1")
+
+
+def wrapped(d):
+    """The same documents inside 0 to 13 more levels, objects and arrays in turn."""
+    k = (F.col("raw_id") % 14).cast("int")
+    pair = lambda left, right: F.concat(F.repeat(F.lit(left), F.floor(k / 2).cast("int")), F.when(k % 2 == 1, right).otherwise(""))
+    before, after = pair('{"w":[', '{"w":'), F.concat(F.when(k % 2 == 1, "}").otherwise(""), F.repeat(F.lit("]}"), F.floor(k / 2).cast("int")))
+    return raw_table(d).withColumn("payload", F.concat(before, "payload", after))
+
+
+add(
+    "x11_depth_overflow",
+    lambda d: pl.quotes(wrapped(d)).groupBy((F.col("raw_id") % 14).alias("levels")).agg(F.count(F.lit(1)).alias("quotes"), F.sum("total_fare").alias("total_fare")),
+    sql(f"SELECT raw_id % 14 AS levels, count(*) AS quotes, {num('sum(total)')} AS total_fare FROM pq GROUP BY 1", **Q),
+)
 
 
 def nodes(d):
-    found = pl.objects(raw_table(d), 6).withColumn("total", pl.by_profile(F.col("source"), "total"))
+    found = pl.objects(raw_table(d)).withColumn("total", pl.by_profile(F.col("source"), "total"))
     return found.filter("total IS NOT NULL")
 
 
@@ -363,12 +377,12 @@ add(
 )
 add(
     "x9_residual_taxes",
-    lambda d: pl.quotes(raw_table(d), 6).groupBy(F.col("base_fare").isNotNull().alias("has_split")).agg(F.count(F.lit(1)).alias("quotes"), F.sum("taxes").alias("taxes")),
+    lambda d: pl.quotes(raw_table(d)).groupBy(F.col("base_fare").isNotNull().alias("has_split")).agg(F.count(F.lit(1)).alias("quotes"), F.sum("taxes").alias("taxes")),
     sql(f"SELECT base IS NOT NULL AS has_split, count(*) AS quotes, {num('sum(taxes)')} AS taxes FROM pq GROUP BY 1", **Q),
 )
 add(
     "x12_observed_keys",
-    lambda d: pl.observed_keys(raw_table(d), 40, 6).groupBy(F.array_join("keys", ",").alias("keys")).agg(F.count(F.lit(1)).alias("documents")),
+    lambda d: pl.observed_keys(raw_table(d)).groupBy(F.array_join("keys", ",").alias("keys")).agg(F.count(F.lit(1)).alias("documents")),
     sql(
         "SELECT array_to_string(list_sort(list_concat(['trips', 'journeys', 'meta', 'k', 'note', 'flightNumber', 'departureTime', 'stops', 'fareType', 'baseFare', 'udf',"
         " 'convenienceFee', 'totalAmount', 'number', 'std', 'numberOfStops', 'grandTotal'], CASE WHEN event_id % 2 = 1 THEN ['taxAmount'] ELSE [] END)), ',') AS keys,"

@@ -13,6 +13,14 @@ def same_keys(left: str, right: str, keys: list[str]) -> Column:
     return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
+def must(rows: DataFrame, holds: Column, message: Column) -> DataFrame:
+    """Fail the job on the first row for which `holds` is not true.
+
+    The check is a filter: as a projected column it would be pruned wherever nobody reads that column.
+    """
+    return rows.filter(F.when(F.coalesce(holds, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def let(value: Column, body) -> Column:
     """Bind `value` once inside an expression: body receives a lambda variable."""
     return F.transform(F.array(value), body)[0]

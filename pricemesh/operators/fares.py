@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pricemesh import schema as S
+from pricemesh.functions.common import must
 from pricemesh.functions.stats import grouped_quantiles
 from pricemesh.operators.cleaning import first_arrivals
 
@@ -35,13 +36,7 @@ def unknown_routes(rows: DataFrame, routes: DataFrame) -> DataFrame:
 def require_known_routes(rows: DataFrame, routes: DataFrame) -> DataFrame:
     """Fail the job on the first row of an unknown pair, inside the tasks that read it."""
     pair = F.concat_ws("-", F.least("origin", "destination"), F.greatest("origin", "destination"))
-    return with_route(rows, routes).withColumn(
-        "route_id",
-        F.coalesce(
-            F.col("route_id"),
-            F.raise_error(F.concat(F.lit("route not in the basket: "), pair)).cast("int"),
-        ),
-    )
+    return must(with_route(rows, routes), F.col("route_id").isNotNull(), F.concat(F.lit("route not in the basket: "), pair))
 
 
 def storage_rank():

@@ -1,14 +1,17 @@
 """Schemaless availability payloads to quotes.
 
-Documents are unrolled level by level. Members are read twice by `from_json`: as text, which
-keeps document order and nested text, and as variants, whose type tells containers from strings.
+A document is parsed once and walked to the bottom, whatever its depth; every object becomes a row of
+member texts and member types, and everything after that is column expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pricemesh.functions.common import let
 from pricemesh.functions.parse import money
 from pricemesh.operators.cleaning import first_arrivals
 
@@ -36,87 +39,97 @@ DEPARTURE_KEYS = ["departureTime", "departure", "std", "departureDateTime", "dep
 BRAND_KEYS = ["fareType", "brandName", "productClass", "fareBrand", "fareFamily"]
 STOP_KEYS = ["stops", "numberOfStops", "stopCount"]
 # End of fixed values.
-MAX_DEPTH = 8
 DOC = ["raw_id"]
 
 
-def depth(text: Column) -> Column:
-    """Bracket nesting of a JSON text, ignoring brackets inside strings."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(
-        F.filter(F.split(brackets, ""), lambda c: c != ""),
-        start,
-        lambda s, c: F.struct(
-            (s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"),
-            F.greatest(s["top"], s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("top"),
-        ),
-        lambda s: s["top"],
-    )
+class Number(str):
+    """A JSON number, kept as it is written."""
 
 
-def too_deep(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Documents the unroll would not read to the bottom; must be empty or the bound raised."""
-    return documents.filter(depth(F.col("payload")) > max_depth)
+def _kind(value) -> str:
+    if isinstance(value, Number):
+        return "DECIMAL"
+    kinds = {str: "STRING", bool: "BOOLEAN", dict: "OBJECT", list: "ARRAY"}
+    return kinds.get(type(value), "VOID")
 
 
-def _members(text: Column, of: str) -> Column:
-    """Member values of an object or array text in document order, read as `of`."""
-    kind = F.substring(F.ltrim(text), 1, 1)
-    as_object, as_array = F.when(kind == "{", text), F.when(kind == "[", text)
-    return F.coalesce(F.map_values(F.from_json(as_object, f"map<string,{of}>")), F.from_json(as_array, f"array<{of}>"))
+def _text_of(value) -> str | None:
+    """Text of a member: strings bare, numbers as written, containers as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, bool):
+        return "true" if value else "false"
 
+    def written(v) -> str:
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{written(x)}" for k, x in v.items()) + "}"
+        if isinstance(v, list):
+            return "[" + ",".join(map(written, v)) + "]"
+        return v if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
 
-def _containers(node: Column) -> Column:
-    """Objects and arrays among the members of a node, with their place in the document."""
-    read = F.struct(
-        _members(node["text"], "string").alias("text"),
-        F.transform(_members(node["text"], "variant"), F.schema_of_variant).alias("kind"),
-    )
-    placed = let(
-        read,
-        lambda m: F.filter(
-            F.transform(
-                m["text"],
-                lambda t, i: F.struct(
-                    F.concat(node["path"], F.array(i)).alias("path"), t.alias("text"), F.get(m["kind"], i).alias("kind")
-                ),
-            ),
-            lambda c: F.rlike(c["kind"], F.lit("^(OBJECT|ARRAY)")),
-        ),
-    )
-    # Most nodes are leaves; without another bracket in the text there is nothing to open.
-    inner = F.rlike(F.substring(F.ltrim(node["text"]), 2, 2**31 - 1), F.lit(r"[\[{]"))
-    return F.coalesce(F.when(inner, placed), F.array().cast(NODES))
+    return written(value)
+
+
+def _parsed(text: str | None):
+    """The document, or None where the text is no JSON container."""
+    try:
+        root = json.loads(text or "", parse_int=Number, parse_float=Number, parse_constant=Number)
+    except (ValueError, RecursionError):
+        return None
+    return root if isinstance(root, (dict, list)) else None
 
 
-NODES = "array<struct<path:array<int>,text:string,kind:string>>"
+def _walk(root) -> Iterator[tuple[list[int], dict]]:
+    """Every object below the root, however deep, with its path; a stack of its own, no recursion."""
+    stack = [([], root)]
+    while stack:
+        path, node = stack.pop()
+        if isinstance(node, dict):
+            yield path, node
+        members = list(node.values()) if isinstance(node, dict) else node
+        stack += [([*path, i], m) for i, m in reversed(list(enumerate(members))) if isinstance(m, (dict, list))]
 
 
-def objects(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def objects(documents: DataFrame) -> DataFrame:
     """Every JSON object of every document: its path as an order key (pre-order), the text of its
     members and their types, both as maps.
 
-    A document is opened inside its own row, one level after the other, so it is read once and
-    never shuffled. The two generators also keep the optimizer from copying the parsing into
-    every later use of its result.
+    Each document is parsed once, in Arrow batches where it is read, and walked to the bottom.
     """
     keep = [c for c in documents.columns if c != "payload"]
-    root = F.struct(F.array().cast("array<int>").alias("path"), F.col("payload").alias("text"), F.lit("ROOT").alias("kind"))
-    rows = documents.select(*keep, F.array(root).cast(NODES).alias("_0"))
-    levels = ["_0"]
-    for d in range(1, max_depth):
-        rows = rows.withColumn(f"_{d}", F.flatten(F.transform(levels[-1], _containers)))
-        levels.append(f"_{d}")
-    nodes = F.filter(F.concat(*levels), lambda n: F.startswith(F.ltrim(n["text"]), F.lit("{")))
-    # The outer form: a plain explode adds a size filter that would evaluate the whole walk again.
-    opened = rows.select(*keep, F.explode_outer(nodes).alias("_n")).filter(F.col("_n").isNotNull())
-    typed = F.from_json("_n.text", "map<string,variant>")
-    parsed = F.struct(
-        F.from_json("_n.text", "map<string,string>").alias("members"),
-        F.transform_values(typed, lambda _, v: F.schema_of_variant(v)).alias("kinds"),
-    )
-    return opened.select(*keep, F.col("_n.path").alias("path"), F.inline(F.array(parsed)))
+    maps = T.MapType(T.StringType(), T.StringType())
+    schema = documents.select(*keep).schema.add("path", T.ArrayType(T.IntegerType())).add("members", maps).add("kinds", maps)
+    arrow_maps = pa.map_(pa.string(), pa.string())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, paths, members, kinds = [], [], [], []
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                root = _parsed(text)
+                for path, node in _walk(root) if root is not None else ():
+                    of.append(i)
+                    paths.append(path)
+                    members.append([(k, _text_of(v)) for k, v in node.items()])
+                    kinds.append([(k, _kind(v)) for k, v in node.items()])
+            rows = batch.take(pa.array(of, pa.int64()))
+            found = [pa.array(paths, pa.list_(pa.int32())), pa.array(members, arrow_maps), pa.array(kinds, arrow_maps)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], *found], [*keep, "path", "members", "kinds"])
+
+    return documents.select("payload", *keep).mapInArrow(run, schema)
+
+
+def unreadable(documents: DataFrame) -> DataFrame:
+    """Documents whose payload is no JSON object or array; they have no objects and so no quotes."""
+    root = F.try_parse_json("payload")
+    kind = F.schema_of_variant(root)
+    return documents.filter(root.isNull() | ~F.rlike(kind, F.lit("^(OBJECT|ARRAY)")))
+
+
+def without_quotes(documents: DataFrame) -> DataFrame:
+    """Documents that gave no quote, with every key seen in them: what a new profile has to learn."""
+    found = quotes(documents).select("raw_id").distinct()
+    silent = documents.join(found, "raw_id", "left_anti")
+    return silent.join(observed_keys(silent), "raw_id", "left")
 
 
 def _first(keys: Column | list[str], read) -> Column:
@@ -205,13 +218,13 @@ def residual_taxes(total: Column, base: Column, taxes: Column, parts: list[Colum
     return new_base, new_taxes
 
 
-def quotes(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def quotes(documents: DataFrame) -> DataFrame:
     """Non-stop quotes of every payload, the first object per (flight, departure).
 
     `documents`: raw_id, source (alias profile), carrier, origin, destination, scrape_date,
     departure_date, payload.
     """
-    node = objects(documents, max_depth).withColumn("total", by_profile(F.col("source"), "total"))
+    node = objects(documents).withColumn("total", by_profile(F.col("source"), "total"))
     node = node.filter((F.col("total") > 0) & (stops() == 0))
     rest = [f for f in ALIASES["qp"] if f != "total"]
     node = node.withColumns({f: by_profile(F.col("source"), f) for f in rest})
@@ -240,12 +253,15 @@ def quotes(documents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def observed_keys(documents: DataFrame, limit: int = 40, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Keys seen anywhere in each document, for payloads no profile recognised."""
-    keys = objects(documents, max_depth).select("raw_id", F.explode(F.map_keys("members")).alias("key")).distinct()
-    return keys.groupBy("raw_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, limit).alias("keys"))
+def observed_keys(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Keys seen anywhere in each document, for payloads no profile recognised; all unless limited."""
+    keys = objects(documents).select("raw_id", F.explode(F.map_keys("members")).alias("key")).distinct()
+    listed = F.array_sort(F.collect_set("key"))
+    return keys.groupBy("raw_id").agg((F.slice(listed, 1, limit) if limit else listed).alias("keys"))
 
 
-def payload_hash(text: Column) -> Column:
-    """SHA-256 of the document with sorted keys (variants store members in key order)."""
-    return F.sha2(F.to_json(F.try_parse_json(text)), 256)
+def payload_hash(text: Column | str) -> Column:
+    """SHA-256 of the document with sorted keys (variants store members in key order), written without
+    spaces; a text that is no JSON is hashed as it is, so malformed payloads stay apart."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(text)), text), 256)

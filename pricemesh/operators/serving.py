@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-MAX_POINTS = 3650
-
 
 def latest(headline: DataFrame, frequency: str = "daily") -> DataFrame:
     """Newest row with its change against the previous and the 31st newest row."""
@@ -19,18 +17,19 @@ def latest(headline: DataFrame, frequency: str = "daily") -> DataFrame:
     ).select("frequency", "r.*")
 
 
-def series(headline: DataFrame, frequency="daily", start=None, end=None, limit: int = MAX_POINTS) -> DataFrame:
-    """Ordered series inside an inclusive date range."""
+def series(headline: DataFrame, frequency="daily", start=None, end=None, limit: int | None = None) -> DataFrame:
+    """Ordered series inside an inclusive date range; the first `limit` points only where a caller asks."""
     if start is not None and end is not None and str(start) > str(end):
         raise ValueError("start must not be after end")
-    if not 1 <= limit <= MAX_POINTS:
-        raise ValueError(f"limit must lie in 1..{MAX_POINTS}")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
     rows = headline.filter(F.col("frequency") == frequency)
     if start is not None:
         rows = rows.filter(F.col("index_date") >= F.lit(start).cast("date"))
     if end is not None:
         rows = rows.filter(F.col("index_date") <= F.lit(end).cast("date"))
-    return rows.orderBy("index_date").limit(limit)
+    ordered = rows.orderBy("index_date")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def route_breakdown(route_rows: DataFrame, headline: DataFrame, routes: DataFrame, frequency="daily", date=None) -> DataFrame:
@@ -54,6 +53,12 @@ def route_breakdown(route_rows: DataFrame, headline: DataFrame, routes: DataFram
     )
 
 
+def newest_routes(route_rows: DataFrame, frequency: str = "daily") -> DataFrame:
+    """Route rows of the newest period."""
+    rows = route_rows.filter(F.col("frequency") == frequency)
+    return rows.withColumn("_d", rows.agg(F.max("index_date")).scalar()).filter(F.col("index_date") == F.col("_d")).drop("_d")
+
+
 def route_series(route_rows: DataFrame, routes: DataFrame, code: str, frequency="daily", start=None, end=None) -> DataFrame:
     rows = route_rows.join(routes.filter(F.col("route_code") == code.strip().upper()), "route_id", "left_semi")
     return series(rows, frequency, start, end).select("index_date", "index_value", "weight", "contribution")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pricemesh.functions.common import must
+
 
 def pair_totals(traffic: DataFrame, start: int, end: int) -> DataFrame:
     """Passengers of both directions per unordered pair over an inclusive yyyymm range.
@@ -34,8 +36,7 @@ def basket_traffic(totals: DataFrame, basket: DataFrame) -> DataFrame:
     """Traffic of every basket route; a route without traffic fails the job."""
     rows = basket.select("origin", "destination").join(totals, ["origin", "destination"], "left")
     code = F.concat_ws("-", "origin", "destination")
-    missing = F.raise_error(F.concat(F.lit("no traffic found for "), code)).cast("bigint")
-    return rows.withColumn("passengers", F.coalesce("passengers", missing))
+    return must(rows, F.col("passengers").isNotNull(), F.concat(F.lit("no traffic found for "), code))
 
 
 def route_weights(totals: DataFrame, basket: DataFrame, places: int = 7) -> DataFrame:

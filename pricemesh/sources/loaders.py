@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pricemesh.functions.common import must
 from pricemesh.functions.parse import month_start, route_pair
 from pricemesh.sources.defaults import CARRIER_NAMES
 from pricemesh.sources.inline import inline_table
@@ -95,12 +96,12 @@ def parse_reference_fares(
         .when(F.col("route_id").isNull(), "unknown route")
     )
     stated = F.col("fare_basis").isNotNull() & F.col("source_url").isNotNull()
-    must = F.when(F.col("reject").isNull() & ~stated, F.raise_error(F.lit("fare_basis and source_url are mandatory")))
-    return (
-        out.withColumn("reject", reject)
-        .withColumn("fare_basis", F.coalesce(must.cast("string"), F.col("fare_basis")))
-        .select("route_id", "route_code", "ref_month", "avg_fare", "fare_basis", "source_url", "reject")
+    checked = must(
+        out.withColumn("reject", reject),
+        F.col("reject").isNotNull() | stated,
+        F.lit("fare_basis and source_url are mandatory"),
     )
+    return checked.select("route_id", "route_code", "ref_month", "avg_fare", "fare_basis", "source_url", "reject")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

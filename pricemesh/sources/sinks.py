@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricemesh.functions.common import same_keys
+from pricemesh.functions.common import must, same_keys
 from pricemesh.operators.cleaning import first_arrivals
 
 
@@ -37,40 +37,64 @@ def absent_rows(new: DataFrame, stored: DataFrame | None, keys: list[str], where
     return missing if where is None else missing.unionByName(new.filter(~where))
 
 
-def _staged(spark: SparkSession, new: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
-    """Write the incoming rows beside the table once, and read them back.
+def staged(spark: SparkSession, new: DataFrame, path: str, partition_by: list[str]) -> tuple[DataFrame, str]:
+    """Write the incoming rows beside the table once, and read them back: the rows, and the folder to remove.
 
     This computes them a single time, cuts their lineage before the table is touched, and
     makes their partition values readable from folder names alone.
     """
     folder = f"{path}_staging/{uuid.uuid4().hex}"
     new.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(folder)
-    return spark.read.schema(new.schema).parquet(folder)
+    return spark.read.schema(new.schema).parquet(folder), folder
 
 
-def _touched(stored: DataFrame | None, staged: DataFrame, column: str) -> DataFrame | None:
-    """Stored rows of the partitions the staged rows belong to: a static partition filter.
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete the files of staged rows once they are merged."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def touched(stored: DataFrame | None, new: DataFrame, column: str) -> DataFrame | None:
+    """Stored rows of the partitions the new rows belong to: a static partition filter.
 
     The values collected are partition names (days, frequencies), never rows.
     """
     if stored is None:
         return None
-    values = [r[0] for r in staged.select(column).distinct().collect()]
+    values = [r[0] for r in new.select(column).distinct().collect()]
     return stored.filter(F.col(column).isin(values))
 
 
+def _overwrite(rows: DataFrame, path: str, partition_by: list[str]) -> None:
+    (
+        rows.hint("rebalance", *partition_by)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+
+
+def replace_partitions(spark: SparkSession, new: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Swap in whole partitions; new may be computed from the rows it replaces, so it is staged first."""
+    beside, work = staged(spark, new, path, partition_by)
+    _overwrite(beside, path, partition_by)
+    remove(spark, work)
+
+
 def insert_absent(
     spark: SparkSession, new: DataFrame, path: str, keys: list[str], partition_by: list[str], order: str, where=None
 ) -> None:
     """Append what the target lacks. Replaying the same input adds nothing."""
-    staged = _staged(spark, new, path, partition_by)
-    stored = _touched(read_table(spark, path), staged, partition_by[0])
-    keyed = staged if where is None else staged.filter(where)
+    beside, work = staged(spark, new, path, partition_by)
+    stored = touched(read_table(spark, path), beside, partition_by[0])
+    keyed = beside if where is None else beside.filter(where)
     unique = first_arrivals(keyed, keys, F.col(order)).drop("copies")
     fresh = absent_rows(unique, stored, keys)
     if where is not None:
-        fresh = fresh.unionByName(absent_rows(staged.filter(~where), stored, [order]))
+        fresh = fresh.unionByName(absent_rows(beside.filter(~where), stored, [order]))
     fresh.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    remove(spark, work)
 
 
 def merged(new: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -86,37 +110,31 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], part
 
     The merged rows are staged too, because the overwrite replaces the files they come from.
     """
-    staged = _staged(spark, new, path, partition_by)
-    stored = _touched(read_table(spark, path), staged, partition_by[0])
-    result = staged if stored is None else _staged(spark, merged(staged, stored, keys), path, partition_by)
-    (
-        result.hint("rebalance", *partition_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+    beside, work = staged(spark, new, path, partition_by)
+    stored = touched(read_table(spark, path), beside, partition_by[0])
+    if stored is None:
+        _overwrite(beside, path, partition_by)
+    else:
+        replace_partitions(spark, merged(beside, stored, keys), path, partition_by)
+    remove(spark, work)
 
 
 def require_registered(rows: DataFrame, sources: DataFrame, column: str = "source") -> DataFrame:
     """Fail the job on the first row whose source is not in the register."""
     known = sources.select(F.col("code").alias("_code"))
     out = rows.join(known, F.col(column) == F.col("_code"), "left")
-    bad = F.raise_error(F.concat(F.lit("source not registered: "), F.coalesce(F.col(column), F.lit("null")))).cast("string")
-    return out.withColumn(column, F.when(F.col("_code").isNull(), bad).otherwise(F.col(column))).drop("_code")
+    message = F.concat(F.lit("source not registered: "), F.coalesce(F.col(column), F.lit("null")))
+    return must(out, F.col("_code").isNotNull(), message).drop("_code")
 
 
 def append_requests(spark: SparkSession, rows: DataFrame, sources: DataFrame, path: str) -> None:
     """Append log rows that keep the fetch rules, partitioned by day."""
-    checked = require_registered(rows, sources).withColumn(
-        "outcome",
-        F.when(
-            (~F.col("robots_allowed") & ~F.col("outcome").isin("blocked_by_robots", "blocked_by_intent"))
-            | (F.col("intent_denied") & (F.col("outcome") != "blocked_by_intent"))
-            | (F.col("delay_applied_s") < 0),
-            F.raise_error(F.concat(F.lit("log row breaks a fetch rule: "), "url")).cast("string"),
-        ).otherwise(F.col("outcome")),
+    broken = (
+        (~F.col("robots_allowed") & ~F.col("outcome").isin("blocked_by_robots", "blocked_by_intent"))
+        | (F.col("intent_denied") & (F.col("outcome") != "blocked_by_intent"))
+        | (F.col("delay_applied_s") < 0)
     )
+    checked = must(require_registered(rows, sources), ~F.coalesce(broken, F.lit(False)), F.concat(F.lit("log row breaks a fetch rule: "), "url"))
     day = F.col("requested_at").cast("date")
     checked.withColumn("log_date", day).hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
 

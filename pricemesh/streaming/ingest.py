@@ -1,4 +1,8 @@
-"""Streaming forms of the three ingest rules: no duplicates, no late days, one day at a time."""
+"""Streaming forms of the three ingest rules: no duplicates, late filings set apart, days that stay true.
+
+A day may arrive in any number of micro-batches and in any order. What is stored therefore never depends on batch
+borders: quotes are merged into their day, and every touched day is cleaned again from all of its quotes.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pricemesh.operators.payload import payload_hash
 from pricemesh.sources import sinks
 
 RAW_KEY = ["source", "origin", "destination", "departure_date", "scrape_date", "payload_sha256"]
+#: Copies of a quote for the store: equal in all that plausibility looks at, so one stands for all of them.
+QUOTE_KEY = [*S.QUOTE_IDENTITY, "origin", "destination"]
 
 
 def hashed(raw: DataFrame) -> DataFrame:
@@ -21,67 +27,84 @@ def stored_raw(raw: DataFrame) -> DataFrame:
     return cleaning.first_arrivals(hashed(raw), RAW_KEY, F.col("raw_id")).drop("copies")
 
 
-def ingest_raw(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, delay: str = "1 day"):
-    """Replay-safe raw ingest: duplicates fall inside the watermark, older ones at the target."""
-    unique = hashed(stream).withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(RAW_KEY)
+def ingest_raw(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str):
+    """Replay-safe raw ingest: what the target holds already is not added again, however old it is."""
 
     def write(batch: DataFrame, _: int) -> None:
-        sinks.insert_absent(batch.sparkSession, batch, target, RAW_KEY, ["scrape_date"], "raw_id")
+        sinks.insert_absent(batch.sparkSession, hashed(batch), target, RAW_KEY, ["scrape_date"], "raw_id")
 
-    return (
-        unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def split_late(quotes: DataFrame, observed_on: str = "observed_on") -> tuple[DataFrame, DataFrame]:
     """Observations belong to the day they were made; a quote filed for another day is a gap."""
-    on_time = F.col(observed_on) == F.col("scrape_date")
+    on_time = F.col(observed_on).eqNullSafe(F.col("scrape_date"))
     late = quotes.filter(~on_time).select(
-        "source_code", "scrape_date", observed_on, "origin", "destination", "departure_date",
+        "source_code", "scrape_date", observed_on, "origin", "destination", "departure_date", "ingest_seq",
         F.datediff(observed_on, "scrape_date").alias("age_days"), F.lit("missed").alias("outcome"),
     )
-    return quotes.filter(on_time), late
+    return quotes.filter(on_time).drop(observed_on), late
+
+
+def store_quotes(spark: SparkSession, quotes: DataFrame, path: str) -> None:
+    """Merge quotes into their days: of equal ones the first in arrival order stays, whichever batch brought it."""
+    beside, work = sinks.staged(spark, quotes, path, ["scrape_date"])
+    stored = sinks.touched(sinks.read_table(spark, path), beside, "scrape_date")
+    both = beside if stored is None else beside.unionByName(stored)
+    sinks.replace_partitions(spark, cleaning.first_arrivals(both, QUOTE_KEY, F.col("ingest_seq")).drop("copies"), path, ["scrape_date"])
+    sinks.remove(spark, work)
 
 
 def build_days(
-    spark: SparkSession, new_fares: DataFrame, tables: dict[str, str], base: DataFrame, weights: DataFrame,
-    shares: DataFrame | None,
+    spark: SparkSession, days: list, tables: dict[str, str], base: DataFrame, weights: DataFrame, shares: DataFrame | None
 ) -> None:
-    """Extend the index by the days in `new_fares`.
+    """Rebuild the index from the earliest of `days` on: what is carried forward from a day changes the days after it.
 
-    The stored price table is the state: it is small (days x carrier cells), so the elementary
-    history is rebuilt from it for exact carry-forward while quotes are read only once.
+    The price table is the state. It is small (days x carrier cells), so cells are derived from all of it, while fares
+    are read for the touched days only; rows before the earliest touched day, and periods that end before it, stay.
     """
-    prices = fare_ops.price_table(new_fares)
-    sinks.upsert(spark, prices, tables["prices"], ["scrape_date", *S.CARRIER_CELL], ["scrape_date"])
+    start = min(days)
     table = spark.read.parquet(tables["prices"])
-    days = fare_ops.scrape_dates(table)
-    elementary = index_ops.build_elementary(fare_ops.daily_prices(table), base, weights, days)
-    fresh = prices.select(F.col("scrape_date").alias("index_date")).distinct()
-    daily = index_ops.daily_headline(elementary.join(fresh, "index_date", "left_semi"), weights, shares)
-    sinks.upsert(spark, daily, tables["headline"], ["index_date", "frequency"], ["frequency"])
+    elementary = index_ops.build_elementary(fare_ops.daily_prices(table), base, weights, fare_ops.scrape_dates(table))
+    cells, work = sinks.staged(spark, elementary, f"{tables['elementary']}_work", ["index_date"])
+    from_start = F.col("index_date") >= F.lit(start)
+    sinks.replace_partitions(spark, cells.filter(from_start), tables["elementary"], ["index_date"])
+    in_period = from_start | (
+        (F.col("frequency") == "weekly") & (F.col("index_date") >= F.trunc(F.lit(start), "week"))
+        | (F.col("frequency") == "monthly") & (F.col("index_date") >= F.trunc(F.lit(start), "month"))
+    )
+    headline = index_ops.stored_index(index_ops.all_frequencies(index_ops.daily_headline(cells, weights, shares)))
+    sinks.upsert(spark, headline.filter(in_period), tables["headline"], ["index_date", "frequency"], ["frequency"])
+    routes = index_ops.all_route_frequencies(index_ops.route_index(cells, weights))
+    sinks.upsert(spark, routes.filter(in_period), tables["routes"], ["index_date", "frequency", "route_id"], ["frequency"])
+    sinks.remove(spark, work)
 
 
 def ingest_quotes(
     spark: SparkSession, stream: DataFrame, tables: dict[str, str], routes: DataFrame, base: DataFrame,
     weights: DataFrame, shares: DataFrame | None, checkpoint: str,
 ):
-    """Clean every arriving micro-batch, store its fares once, and extend the daily index.
+    """Store every micro-batch of quotes and bring the index up to date with it.
 
-    After the store, the touched days are read back from the fares table, so a day that arrives
-    in several batches is indexed from all of its fares.
+    tables names the folders quotes, late, fares, prices, elementary, headline and routes. Quotes with a column
+    observed_on other than their day go to the gap table `late` and are not indexed. The touched days are cleaned anew
+    from all their stored quotes, because outlier groups and duplicates span batches. Replaying a batch changes nothing.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        kept = fare_ops.require_known_routes(cleaning.clean_quotes(batch).persistable, routes)
-        kept = fare_ops.stored_fares(kept)
-        sinks.insert_absent(
-            session, kept, tables["fares"], S.FARE_IDENTITY, ["scrape_date"], "ingest_seq",
-            where=F.col("flight_number").isNotNull(),
-        )
-        touched = batch.select("scrape_date").distinct()
-        today = session.read.parquet(tables["fares"]).join(touched, "scrape_date", "left_semi")
-        build_days(session, today, tables, base, weights, shares)
+        if "observed_on" in batch.columns:
+            batch, late = split_late(batch)
+            sinks.insert_absent(session, late, tables["late"], ["ingest_seq"], ["scrape_date"], "ingest_seq")
+        days = [r[0] for r in batch.select("scrape_date").distinct().collect()]  # days of a batch, not rows
+        if not days:
+            return
+        store_quotes(session, batch, tables["quotes"])
+        quotes = session.read.schema(batch.schema).parquet(tables["quotes"]).filter(F.col("scrape_date").isin(days))
+        kept = fare_ops.stored_fares(fare_ops.require_known_routes(cleaning.clean_quotes(quotes).persistable, routes))
+        sinks.replace_partitions(session, kept, tables["fares"], ["scrape_date"])
+        today = session.read.schema(kept.schema).parquet(tables["fares"]).filter(F.col("scrape_date").isin(days))
+        sinks.replace_partitions(session, fare_ops.price_table(today), tables["prices"], ["scrape_date"])
+        build_days(session, days, tables, base, weights, shares)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -94,11 +94,11 @@ DOC = {"trips": [{"journeys": [{"flightNumber": "1512", "departureTime": "2026-0
                                 "baseFare": 4200, "taxAmount": 520, "udf": 180, "convenienceFee": 100, "totalAmount": 5000}]}]}
 
 
-def payload_quotes(spark, *docs, depth=8):
+def payload_quotes(spark, *docs):
     rows = [(i, "qp", "QP", "DEL", "BOM", "2026-09-04", "2026-09-11", json.dumps(d)) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "raw_id int, source string, carrier string, origin string, destination string, s string, d string, payload string")
     df = df.selectExpr("raw_id", "source", "carrier", "origin", "destination", "to_date(s) scrape_date", "to_date(d) departure_date", "payload")
-    return df, {x.raw_id: x for x in pl.quotes(df, depth).collect()}
+    return df, {x.raw_id: x for x in pl.quotes(df).collect()}
 
 
 def with_fields(**over):
@@ -127,11 +127,24 @@ def test_payload_order_and_depth(spark):
     text_only = {"note": "{\"totalAmount\": 5}", "list": ["[1]", {"totalAmount": 900, "flightNumber": "3"}]}
     df, q = payload_quotes(spark, two, text_only)
     assert q[0].fare_brand == "FIRST" and float(q[1].total_fare) == 900
-    deep = 1
-    for _ in range(9):
-        deep = {"k": deep}
-    ddf, _ = payload_quotes(spark, deep, DOC)
-    assert [x.raw_id for x in pl.too_deep(ddf, 8).collect()] == [0]
+
+
+def test_payloads_are_read_to_any_depth(spark):
+    docs = [DOC]
+    for k in range(400):
+        docs.append({"k": docs[-1]} if k % 2 else [docs[-1]])
+    _, q = payload_quotes(spark, *docs)
+    assert len(q) == len(docs) and {float(x.total_fare) for x in q.values()} == {5000.0}
+
+
+def test_silent_payloads_are_listed(spark):
+    df, _ = payload_quotes(spark, DOC, {"odd": {"shape": 1}})
+    bad = df.limit(1).selectExpr("9 raw_id", "source", "carrier", "origin", "destination", "scrape_date", "departure_date", "'{broken' payload")
+    df = df.union(bad)
+    assert {r.raw_id: r["keys"] for r in pl.without_quotes(df).collect()} == {1: ["odd", "shape"], 9: None}
+    assert [r.raw_id for r in pl.unreadable(df).collect()] == [9]
+    hashes = df.select(pl.payload_hash("payload").alias("h")).collect()
+    assert len({r.h for r in hashes}) == 3
 
 
 BODY = "User-agent: *\nAllow: /\nDisallow: /cgi-bin/\nDisallow: /flights/search*\nDisallow: /m/flights/search*\nDisallow: /hotels/info*\nDisallow: /users/\n"
