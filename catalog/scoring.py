@@ -31,6 +31,75 @@ SCORES = """
 V = dict(pos0=POS, pred=PRED, scores=SCORES)
 BASELINES = ["naive", "seasonal_naive", "drift"]
 
+# The damped models restated: every origin folds its own history, for every point of the grid; no block, no shared state.
+HISTORY = """
+    SELECT s.series_id, y, o FROM (SELECT series_id, list(value ORDER BY index_date) AS y FROM weekly GROUP BY 1) s,
+           LATERAL (SELECT unnest(range(21, len(y))) AS o)"""
+GRID_SQL = """
+    SELECT (i * 5 + j) * 4 + k AS gi, a, b, p FROM (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.9])::double AS a, unnest(range(6)) AS i),
+           (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.4])::double AS b, unnest(range(5)) AS j),
+           (SELECT unnest([0.80, 0.90, 0.95, 0.98])::double AS p, unnest(range(4)) AS k)"""
+SHAPE = """
+    SELECT series_id, o, list(f - m ORDER BY slot) AS f
+    FROM (SELECT *, avg(f) OVER (PARTITION BY series_id, o) AS m
+          FROM (SELECT h.series_id, h.o, v.pos % 7 AS slot, avg(v.dev) AS f
+                FROM (SELECT series_id, pos, n, value - avg(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS dev FROM pos0) v
+                JOIN history h ON h.series_id = v.series_id AND v.pos BETWEEN 3 AND h.o - 4
+                GROUP BY 1, 2, 3)) GROUP BY 1, 2"""
+
+
+def damped_sql(shape: str) -> str:
+    """Forecasts of the best grid point (first of equals) at every origin; shape: seven factors of an origin."""
+    pred = "(z.l + p * z.t)"
+    new = f"(a * x.v + (1 - a) * {pred})"
+    return f"""
+        SELECT series_id, o AS origin, h AS horizon, y[o + h] AS actual,
+               r.l + list_sum(list_transform(range(1, h + 1), lambda k: pow(p, k))) * r.t + f[(o + h - 1) % 7 + 1] AS predicted
+        FROM (SELECT *, row_number() OVER (PARTITION BY series_id, o ORDER BY r.s, gi) AS place
+              FROM (SELECT series_id, o, y, f, gi, p, list_reduce(
+                        list_concat([{{'l': y[1] - f[1], 't': (y[2] - f[2]) - (y[1] - f[1]), 's': 0::double, 'v': 0::double}}],
+                                    list_transform(range(1, o), lambda i: {{'l': 0::double, 't': 0::double, 's': 0::double, 'v': y[i + 1] - f[i % 7 + 1]}})),
+                        lambda z, x: {{'l': {new}, 't': b * ({new} - z.l) + (1 - b) * p * z.t, 's': z.s + (x.v - {pred}) * (x.v - {pred}), 'v': x.v}}) AS r
+                    FROM ({shape}) CROSS JOIN grid)),
+             (VALUES (1), (7)) t(h)
+        WHERE place = 1 AND o + h - 1 < len(y)"""
+
+
+V |= dict(
+    history=HISTORY, grid=GRID_SQL, shape=SHAPE,
+    damped=damped_sql("SELECT *, [0, 0, 0, 0, 0, 0, 0]::double[] AS f FROM history"),
+    seasonal_damped=damped_sql("SELECT h.*, f FROM history h JOIN shape USING (series_id, o)"),
+)
+V["allpred"] = """
+    SELECT series_id, model, horizon, origin, predicted, actual FROM pred
+    UNION ALL SELECT series_id, 'damped_trend', horizon, origin, predicted, actual FROM damped
+    UNION ALL SELECT series_id, 'seasonal_damped_trend', horizon, origin, predicted, actual FROM seasonal_damped"""
+V["board"] = """
+    SELECT *, (bar_mase - mase) / nullif(bar_mase, 0) AS margin0, list_position(['naive', 'seasonal_naive', 'drift'], model) IS NOT NULL AS is_baseline
+    FROM (SELECT *, min(mase) FILTER (reg <= 3) OVER g AS bar_mase, arg_min(model, (mase, reg)) FILTER (reg <= 3) OVER g AS bar,
+                 arg_min(rmse, (mase, reg)) FILTER (reg <= 3) OVER g AS bar_rmse
+          FROM (SELECT p.series_id, model, horizon, count(*) AS n_forecasts, avg(abs(predicted - actual)) AS mae,
+                       sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse, avg(abs(predicted - actual)) / max(c.scale) AS mase,
+                       list_position(['naive', 'seasonal_naive', 'drift', 'damped_trend', 'seasonal_damped_trend'], model) AS reg
+                FROM allpred p JOIN (SELECT series_id, avg(abs(value - l7)) AS scale FROM pos0 GROUP BY 1) c USING (series_id) GROUP BY 1, 2, 3)
+          WINDOW g AS (PARTITION BY series_id, horizon))"""
+
+
+def damped_pairs(view: str) -> str:
+    return sql(
+        f"SELECT series_id, {big('origin')} AS origin, {big('horizon')} AS horizon, {num('predicted')} AS predicted, {num('actual')} AS actual FROM {view}", **V
+    )
+
+
+def percent(x: str, places: int) -> str:
+    return f"printf('%.{places}f', {x} * 100) || '%'"
+
+
+VERDICT = f"""CASE WHEN is_baseline AND bar = model THEN 'baseline (best)' WHEN is_baseline THEN 'baseline' WHEN bar IS NULL THEN 'no baseline to compare'
+    WHEN margin0 > 0.05 THEN 'BEATS ' || bar || ' by ' || {percent('margin0', 0)}
+    WHEN margin0 > 0 THEN 'ties ' || bar || ' (+' || {percent('margin0', 0)} || ', inside noise)'
+    ELSE 'LOSES to ' || bar || ' by ' || {percent('-margin0', 0)} END"""
+
 
 def pairs_sql(model: str) -> str:
     return sql(
@@ -43,8 +112,8 @@ def pairs_sql(model: str) -> str:
 for key, model in (("n1_naive", "naive"), ("n2_seasonal_naive", "seasonal_naive"), ("n3_drift", "drift")):
     add(key, lambda d, model=model: n.rolling_origin(d.weekly, H, 21, [model]).drop("model"), pairs_sql(model))
 
-add("n4_damped_trend", lambda d: n.rolling_origin(d.weekly, H, 21, ["damped_trend"]).drop("model"), None)
-add("n5_seasonal_damped_trend", lambda d: n.rolling_origin(d.weekly, H, 21, ["seasonal_damped_trend"]).drop("model"), None)
+add("n4_damped_trend", lambda d: n.rolling_origin(d.weekly, H, 21, ["damped_trend"]).drop("model"), damped_pairs("damped"))
+add("n5_seasonal_damped_trend", lambda d: n.rolling_origin(d.weekly, H, 21, ["seasonal_damped_trend"]).drop("model"), damped_pairs("seasonal_damped"))
 add(
     "n6_rolling_origin_pairs",
     lambda d: n.rolling_origin(d.weekly, H, 21).groupBy("series_id", "model", "horizon").agg(
@@ -104,16 +173,40 @@ add(
         **V,
     ),
 )
-add("n9_verdicts", lambda d: n.scoreboard(n.evaluate(d.weekly, H, 21)), None)
-add("n10_recommendation", lambda d: n.recommend(n.evaluate(d.weekly, H, 21), n.eligibility(d.weekly, H, 21), H), None)
+BOARD = f"""series_id, model, {big('horizon')} AS horizon, n_forecasts, {num('mae')} AS mae, {num('rmse')} AS rmse, {num('mase')} AS mase, is_baseline,
+    mase < 1 AS beats_mase_unit, {num('CASE WHEN NOT is_baseline THEN margin0 END')} AS margin, bar AS best_baseline, bar = model AS is_best_baseline, {VERDICT} AS verdict"""
+add("n9_verdicts", lambda d: n.scoreboard(n.evaluate(d.weekly, H, 21)), sql(f"SELECT {BOARD} FROM board", **V))
+CLAIM = f"""'At h=' || horizon || ', ' || CASE
+    WHEN m > 0.05 THEN model || ' (MASE ' || printf('%.3f', mase) || ') beats ' || bar || ' (MASE ' || printf('%.3f', bar_mase) || ') by ' || {percent('m', 1)}
+         || CASE WHEN rmse > bar_rmse THEN ', but its RMSE is worse: not recommended.' ELSE '. Worth publishing.' END
+    WHEN m > 0 THEN model || ' edges ' || bar || ' by only ' || {percent('m', 1)} || ': inside the noise. Use the baseline.'
+    ELSE 'no model beats ' || bar || '. Use it and say so.' END"""
+add(
+    "n10_recommendation",
+    lambda d: n.recommend(n.evaluate(d.weekly, H, 21), n.eligibility(d.weekly, H, 21), H),
+    sql(
+        f"""
+        SELECT series_id, n_observations, cast(NULL AS varchar) AS refusal, kept, CASE WHEN kept = 2 THEN 'A nowcast is worth shipping.'
+                   WHEN kept > 0 THEN 'A nowcast is worth shipping at some horizons only.' ELSE 'NO NOWCAST MODEL IS RECOMMENDED. Publish the baseline instead.' END
+               || ' ' || lines AS recommendation
+        FROM (SELECT series_id, count(*) FILTER (m > 0.05 AND rmse <= bar_rmse) AS kept, string_agg({CLAIM}, ' ' ORDER BY horizon) AS lines
+              FROM (SELECT *, margin0 AS m, row_number() OVER (PARTITION BY series_id, horizon ORDER BY mase, reg) AS place FROM board WHERE reg > 3)
+              WHERE place = 1 GROUP BY 1) JOIN (SELECT series_id, count(*) AS n_observations FROM weekly GROUP BY 1) USING (series_id)""",
+        **V,
+    ),
+)
 add(
     "n11_scoreboard",
     lambda d: n.scoreboard(n.evaluate(d.weekly, H, 21)).select("horizon", "series_id", "model", "mase", "margin", "is_best_baseline").orderBy("horizon", "mase"),
-    None,
+    sql(
+        f"SELECT {big('horizon')} AS horizon, series_id, model, {num('mase')} AS mase, {num('CASE WHEN NOT is_baseline THEN margin0 END')} AS margin,"
+        " bar = model AS is_best_baseline FROM board",
+        **V,
+    ),
 )
 add(
     "q8_nowcast",
-    lambda d: n.scoreboard(n.evaluate(d.series, H, MIN_TRAIN, [*BASELINES, "damped_trend"])),
+    lambda d: n.scoreboard(n.evaluate(d.series, H, MIN_TRAIN)),
     None,
 )
 add(

@@ -176,10 +176,11 @@ SQL_FLAGS = f"""
     {{body}}"""
 
 
-def flags_sql(body: str) -> str:
+def flags_sql(body: str, view: str = "weekly", threshold: str = "3.0") -> str:
     from catalog.views import VIEWS
 
-    return SQL_FLAGS.format(views=f"weekly AS ({VIEWS['weekly']})", body=body)
+    text = SQL_FLAGS.format(views=f"weekly AS ({VIEWS[view]})", body=body)
+    return text.replace("abs(s.sc) > 3.0", f"abs(s.sc) > {threshold}")
 
 
 def flags(d):
@@ -194,6 +195,10 @@ add(
         " CASE WHEN change > med THEN 'spike' ELSE 'drop' END AS direction FROM flags"
     ),
 )
+def episodes_sql(gap: int) -> str:
+    return EPI.replace("> 15, true", f"> {gap}, true")
+
+
 EPI = """SELECT *, sum(brk) OVER (PARTITION BY series_id ORDER BY index_date) AS episode FROM (SELECT *, CASE WHEN
     coalesce(date_diff('day', lag(index_date) OVER (PARTITION BY series_id ORDER BY index_date), index_date) > 15, true) THEN 1 ELSE 0 END AS brk FROM flags)"""
 add(
@@ -245,7 +250,22 @@ add(
         FROM (SELECT series_id, episode, min(index_date) AS st, max(index_date) AS en, arg_max(index_date, abs(score)) AS peak FROM ({EPI}) GROUP BY 1, 2))"""
     ),
 )
-add("q7_anomalies_daily", lambda d: an.detect_and_group(d.series, window=14, threshold=3.5), None)
+add(
+    "q7_anomalies_daily",
+    lambda d: an.detect_and_group(d.series, window=14, threshold=3.5),
+    flags_sql(
+        f"""
+        SELECT series_id, {big('episode')} AS episode, {day('st')} AS start, {day('en')} AS "end", direction, {day('peak')} AS peak_date,
+               {num('round(pc, 4)')} AS peak_change_pct, {num('pv')} AS peak_index_value, {num('round(sc, 4)')} AS score, days, {HYP}
+        FROM (SELECT series_id, episode, min(index_date) AS st, max(index_date) AS en, arg_max(index_date, abs(score)) AS peak,
+                     arg_max(CASE WHEN change > med THEN 'spike' ELSE 'drop' END, abs(score)) AS direction, arg_max(change * 100, abs(score)) AS pc,
+                     arg_max(value, abs(score)) AS pv, arg_max(score, abs(score)) AS sc,
+                     array_to_string(list_sort(list(strftime(index_date, '%Y-%m-%d'))), '|') AS days
+              FROM ({episodes_sql(2)}) GROUP BY 1, 2))""",
+        "series",
+        "3.5",
+    ),
+)
 add(
     "e5_period_key",
     lambda d: d.series.groupBy("series_id", F.trunc("index_date", "quarter").alias("period")).agg(F.avg("value").alias("value")),
