@@ -187,7 +187,7 @@ MOMENTS = """
 
 def tau_level(grid: str) -> str:
     return f"""
-    SELECT route_code, tau, sum(n) AS n, sum(ss) AS within, sum(n * (m - l * (1 + a * x)) * (m - l * (1 + a * x))) AS cost
+    SELECT route_code, tau, any_value(l) AS l, any_value(a) AS a, sum(n) AS n, sum(ss) AS within, sum(n * (m - l * (1 + a * x)) * (m - l * (1 + a * x))) AS cost
     FROM (SELECT *, exp(-w / tau) AS x,
                  CASE WHEN l0 < 1 THEN 1 WHEN s0 < 0 THEN sy / nn WHEN s0 > 20 * l0 THEN g / gg ELSE l0 END AS l,
                  CASE WHEN l0 < 1 THEN greatest(0, least(20, (sxy - sx) / sxx)) WHEN s0 < 0 THEN 0 WHEN s0 > 20 * l0 THEN 20 ELSE s0 / l0 END AS a
@@ -204,7 +204,7 @@ def tau_level(grid: str) -> str:
 def finer(level: str, step: float) -> str:
     return (
         f"SELECT route_code, greatest(0.5, least(400, c * exp({step} * i / 100.0))) AS tau FROM"
-        f" (SELECT route_code, arg_min(tau, cost) AS c FROM {level} GROUP BY 1), range(-100, 101) t(i)"
+        f" (SELECT route_code, arg_min(tau, (cost, tau)) AS c FROM {level} GROUP BY 1), range(-100, 101) t(i)"
     )
 
 
@@ -212,6 +212,21 @@ F1 = dict(obs=MOM, pts=MOMENTS)
 F1["tau1"] = tau_level("SELECT DISTINCT route_code, 0.5 * exp(ln(800) * i / 400.0) AS tau FROM pts, range(401) t(i)")
 F1["tau2"] = tau_level(finer("tau1", 0.034))
 F1["tau3"] = tau_level(finer("tau2", 0.0007))
+F1["tau4"] = tau_level(finer("tau3", 0.000014))
+F1["tau5"] = tau_level(finer("tau4", 0.0000003))
+# The optimum, and the determinant and one minor of the squared Jacobian there: what the amplitude's error needs.
+F1["best"] = """
+    SELECT *, 1 - (within + cost) / sst AS r_squared,
+           CASE WHEN det > 0 AND within + cost > 0 THEN a - 1.959963984540054 * sqrt((within + cost) / (n - 3) * (ll * tt - lt * lt) / det) END AS a_low
+    FROM (SELECT *, ll * (aa * tt - at_ * at_) - la * (la * tt - at_ * lt) + lt * (la * at_ - aa * lt) AS det
+          FROM (SELECT b.route_code, b.n, b.tau, b.l, b.a, b.within, b.cost, s.sst, s.windows,
+                       sum(p.n * jl * jl) AS ll, sum(p.n * jl * ja) AS la, sum(p.n * jl * jt) AS lt, sum(p.n * ja * ja) AS aa, sum(p.n * ja * jt) AS at_, sum(p.n * jt * jt) AS tt
+                FROM (SELECT *, row_number() OVER (PARTITION BY route_code ORDER BY cost, tau) AS place FROM tau5) b
+                JOIN (SELECT route_code, var_pop(y) * count(*) AS sst, count(DISTINCT w) AS windows FROM obs GROUP BY 1) s USING (route_code)
+                JOIN (SELECT q.*, 1 + o.a * exp(-w / o.tau) AS jl, o.l * exp(-w / o.tau) AS ja, o.l * o.a * exp(-w / o.tau) * w / (o.tau * o.tau) AS jt
+                      FROM pts q JOIN (SELECT route_code, arg_min({'l': l, 'a': a, 'tau': tau}, (cost, tau)) AS o FROM tau5 GROUP BY 1) USING (route_code)) p USING (route_code)
+                WHERE place = 1 GROUP BY ALL))"""
+FITTED = "n >= 12 AND windows >= 4"
 add(
     "f1_exponential_fit_quality",
     lambda d: params(d).filter("fitted").select("route_code", F.col("n").cast("bigint").alias("n"), "r_squared", F.round("rmse", 2).alias("rmse")),
@@ -256,7 +271,16 @@ add(
 add(
     "f3_both_models_with_warnings",
     lambda d: fits(d).select("route_code", "fitted", F.col("slope.value").isNotNull().alias("log_linear"), "warnings"),
-    None,
+    sql(
+        f"""
+        SELECT route_code, {FITTED} AS fitted, n >= 12 AND windows > 1 AS log_linear, array_to_string(list_filter([
+            CASE WHEN n < 12 THEN 'exponential fit not identified: ' || cast(n AS bigint) || ' observations, need 12'
+                 WHEN windows < 4 THEN 'exponential fit not identified: ' || windows || ' distinct windows, need 4' END,
+            CASE WHEN {FITTED} AND a_low <= 0 THEN 'the amplitude''s confidence interval includes zero: this route shows no statistically distinguishable last-minute premium' END,
+            CASE WHEN n < 12 OR windows < 2 THEN 'log-linear fit not identified: ' || cast(n AS bigint) || ' observations, need 12' END],
+            lambda x: x IS NOT NULL), '|') AS warnings FROM best""",
+        **F1,
+    ),
 )
 add(
     "f4_estimates",
@@ -265,10 +289,20 @@ add(
     ).select("route_code", "parameter", "e.*"),
     None,
 )
+# Parameters to the digits that a least-squares optimum carries: money to the paisa, the rest to four places.
+BEST = f"{num('round(l, 2)')} AS floor, {num('a')} AS amplitude, {num('tau')} AS decay_days, {num('r_squared')} AS r_squared"
 add(
     "f5_leadtime_response",
-    lambda d: lt.ratio_to_longest(stats(d)).join(params(d).select("route_code", "floor", "amplitude", "decay_days", "r_squared"), "route_code", "left"),
-    None,
+    lambda d: lt.ratio_to_longest(stats(d)).join(params(d).filter("fitted").select(
+        "route_code", F.round("floor", 2).alias("floor"), "amplitude", "decay_days", "r_squared"
+    ), "route_code", "left"),
+    sql(
+        f"""
+        SELECT * FROM (SELECT {STATS}, {num('round_even(cast(median_fare AS decimal(20,6)), 2)')} AS median_2dp,
+                  {num('round_even(mean_fare / last_value(mean_fare) OVER (PARTITION BY route_code ORDER BY stats.window_days ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4)')} AS ratio_to_longest_window
+           FROM stats) LEFT JOIN (SELECT route_code, {BEST} FROM best WHERE {FITTED}) USING (route_code)""",
+        **F1,
+    ),
 )
 add("q6_leadtime_one_route", lambda d: lt.ratio_to_longest(lt.leadtime_stats(d.usable, d.routes.filter("route_code = 'BLR-DEL'"), "2024-01-01", "2024-01-20")).drop("median_2dp"), sql(
     f"""
@@ -280,7 +314,17 @@ add("q6_leadtime_one_route", lambda d: lt.ratio_to_longest(lt.leadtime_stats(d.u
                min(total_fare) AS min_fare, quantile_cont(cast(total_fare AS double), 0.5) AS median_fare
         FROM usable WHERE route_code = 'BLR-DEL' AND scrape_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' GROUP BY ALL""",
 ))
-add("x17_multiplier_curve", lambda d: lt.fitted_curve(params(d), stats(d)).drop("observed"), None)
+add(
+    "x17_multiplier_curve",
+    lambda d: lt.fitted_curve(params(d), stats(d)).select("route_code", "window_days", F.round("fitted_fare", 2).alias("fitted_fare")),
+    sql(
+        f"""
+        SELECT route_code, h / 2.0 AS window_days, {num('round(l * (1 + a * exp(-h / 2.0 / tau)), 2)')} AS fitted_fare
+        FROM best JOIN (SELECT route_code, greatest(max(window_days), 45) AS reach FROM stats GROUP BY 1) USING (route_code), range(2, 2000) t(h)
+        WHERE {FITTED} AND h <= 2 * reach""",
+        **F1,
+    ),
+)
 add(
     "j15_curve_with_observed_means",
     lambda d: lt.fitted_curve(params(d), stats(d)).select("route_code", "window_days", "observed"),
