@@ -492,6 +492,46 @@ def weight_history(d):
     return d.spark.read.parquet(path).groupBy("weight_ref_start").agg(F.count(F.lit(1)).alias("routes"), F.sum("passengers").alias("passengers"))
 
 
+def fare_reference_upsert(d):
+    """Load the reference fares, then a revision of one month of routes with a higher fare."""
+    path = folder(d)
+    rows = ld.accepted(reference_parsed(d))
+    keys = ["route_id", "ref_month"]
+    sinks.upsert(d.spark, rows, path, keys, ["ref_month"])
+    sinks.upsert(d.spark, rows.filter("route_id % 2 = 0").withColumn("avg_fare", F.col("avg_fare") + 100), path, keys, ["ref_month"])
+    return d.spark.read.parquet(path).select("route_id", "ref_month", "avg_fare")
+
+
+add(
+    "k6_fare_reference_upsert",
+    fare_reference_upsert,
+    sql(
+        f"SELECT {big('route_id')} AS route_id, {day('CASE WHEN window_days = 7 THEN m + INTERVAL 1 MONTH ELSE m END')} AS ref_month,"
+        f" {num('top + CASE WHEN route_id % 2 = 0 THEN 100 ELSE 0 END')} AS avg_fare FROM refs WHERE window_days IN (1, 7)",
+        refs=REF,
+    ),
+)
+
+
+def window_history(d):
+    """Windows that quotes were seen for, stamped with two reference periods: the later load keeps the earlier one."""
+    path = folder(d)
+    seen = d.usable.groupBy("window_days").agg(F.count(F.lit(1)).alias("quotes"))
+    rows = d.windows.join(seen, "window_days").select("window_days", "label", "weight", "quotes")
+    keys = ["window_days", "weight_ref_start"]
+    for start in ("2024-01-01", "2025-01-01", "2024-01-01"):
+        sinks.upsert(d.spark, rows.withColumn("weight_ref_start", F.lit(start).cast("date")), path, keys, ["weight_ref_start"])
+    return d.spark.read.parquet(path).select("window_days", "weight_ref_start", "weight", "quotes")
+
+
+add(
+    "k7_window_history_upsert",
+    window_history,
+    sql(
+        f"SELECT {big('window_days')} AS window_days, p AS weight_ref_start, {num('weight')} AS weight, quotes FROM windows"
+        " JOIN (SELECT window_days, count(*) AS quotes FROM usable GROUP BY 1) USING (window_days), (SELECT unnest(['2024-01-01', '2025-01-01']) AS p)"
+    ),
+)
 add(
     "k7_weight_history_upsert",
     weight_history,

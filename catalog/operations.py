@@ -124,7 +124,6 @@ GAPS = f"""
            || date_diff('day', scrape_raw, DATE '2024-01-30') || ' day(s) later') AS reason
     FROM (SELECT *, miss.scrape_date AS scrape_raw FROM miss) WHERE scrape_raw BETWEEN DATE '2024-01-05' AND DATE '2024-01-29' GROUP BY 1"""
 add("a23_gap_report", lambda d: c.gap_report(gaps(d), c.gap_runs(gaps(d)), "2024-01-05", "2024-01-29"), sql(GAPS, **V))
-add("j10_cells_with_run", lambda d: c.gap_report(gaps(d), c.gap_runs(gaps(d)), "2024-01-05", "2024-01-29"), sql(GAPS, **V))
 
 
 def results(d):
@@ -137,6 +136,20 @@ RES = """
     FROM plan p LEFT JOIN (SELECT scrape_date, source_code, least(origin, destination) AS o, greatest(origin, destination) AS d, window_days,
                                   count(*) FILTER (NOT is_sold_out) AS quotes, count(*) FILTER (is_sold_out) AS sold FROM fares GROUP BY ALL) f
          ON f.scrape_date = p.scrape_date AND f.source_code = p.source_code AND f.o = p.origin AND f.d = p.destination AND f.window_days = p.window_days"""
+add(
+    "j10_cells_with_run",
+    lambda d: c.cells_with_run(gaps(d), c.run_totals(results(d))).groupBy("scrape_date", "run_planned_cells", "run_ok_cells", "run_quotes_written").agg(
+        F.count(F.lit(1)).alias("missed_cells")
+    ),
+    sql(
+        f"""
+        SELECT {day('g.d')} AS scrape_date, planned AS run_planned_cells, ok AS run_ok_cells, {big('written')} AS run_quotes_written, missed_cells
+        FROM (SELECT miss.scrape_date AS d, count(*) AS missed_cells FROM miss WHERE miss.scrape_date < DATE '2024-01-30' GROUP BY 1) g
+        LEFT JOIN (SELECT scrape_date, count(*) AS planned, count(*) FILTER (outcome IN ('ok', 'sold_out', 'no_flights')) AS ok, sum(quotes) AS written FROM res GROUP BY 1) r
+             ON r.scrape_date = g.d""",
+        res=RES, **V,
+    ),
+)
 add("a22_outcome_histogram", lambda d: c.outcomes(results(d)), sql(
     f"SELECT {day('scrape_date')} AS scrape_date, outcome, count(*) AS cells FROM res GROUP BY ALL", res=RES, **V))
 add(
@@ -163,7 +176,46 @@ SQL_COMPLIANCE = sql(
     FROM audit JOIN registry ON code = source GROUP BY 1, 2, 3"""
 )
 add("a17_compliance_summary", lambda d: c.compliance_summary(audit(d), d.sources), SQL_COMPLIANCE)
-add("q10_compliance", lambda d: c.compliance_summary(audit(d), d.sources), SQL_COMPLIANCE)
+def compliance_answer(d):
+    """All public sources: those that were asked with their figures, disabled ones as excluded or pending."""
+    used = c.compliance_summary(audit(d), d.sources).select(F.col("source").alias("code"), "requests", "requests_sent", "robots_blocked", "ok", "errors")
+    off = c.excluded_and_pending(d.sources).select("code", "status", "exclusion_reason")
+    rows = c.public_sources(d.sources).select("code", "tier").join(used, "code", "left").join(off, "code", "left")
+    return rows.withColumn("status", F.coalesce("status", F.when(F.col("code") == "seed", "synthetic").otherwise("active")))
+
+
+add(
+    "q10_compliance",
+    compliance_answer,
+    sql(
+        f"""
+        SELECT code, {big('tier')} AS tier, count(source) FILTER (source IS NOT NULL) + CASE WHEN count(source) = 0 THEN NULL ELSE 0 END AS requests,
+               CASE WHEN count(source) > 0 THEN count(*) FILTER (robots_allowed) END AS requests_sent,
+               CASE WHEN count(source) > 0 THEN count(*) FILTER (NOT robots_allowed) END AS robots_blocked,
+               CASE WHEN count(source) > 0 THEN count(*) FILTER (outcome = 'ok') END AS ok,
+               CASE WHEN count(source) > 0 THEN count(*) FILTER (outcome IN ('http_error', 'timeout', 'rate_limited')) END AS errors,
+               CASE WHEN code = 'seed' THEN 'synthetic' WHEN enabled THEN 'active' WHEN tier >= 3 THEN 'excluded' ELSE 'pending' END AS status,
+               CASE WHEN NOT enabled AND code <> 'seed' THEN exclusion_reason END AS exclusion_reason
+        FROM registry LEFT JOIN audit ON source = code WHERE code NOT LIKE '\\_\\_%' ESCAPE '\\' GROUP BY ALL"""
+    ),
+)
+DELAYS = [("click", 6.0, 5.0), ("error", 6.0, 8.0), ("purchase", 6.0, None), ("signup", 3.0, 12.5), ("view", 9.0, 2.0)]
+
+
+def delays(d):
+    return d.spark.createDataFrame(DELAYS, "source string, min_delay double, crawl_delay double")
+
+
+FLOOR = "CASE source " + " ".join(f"WHEN '{s}' THEN {max(x for x in (a, b) if x is not None)}" for s, a, b in DELAYS) + " END"
+add(
+    "w12_intervals_by_source_floor",
+    lambda d: c.intervals_by_floor(audit(d), delays(d)).select("request_id", "floor_s", "below_floor"),
+    sql(
+        f"""
+        SELECT request_id, {num(FLOOR)} AS floor_s, coalesce((epoch_us(requested_at) - epoch_us(p)) / 1000000.0 < {FLOOR}, false) AS below_floor
+        FROM (SELECT *, lag(requested_at) OVER (PARTITION BY source ORDER BY requested_at, request_id) AS p FROM audit WHERE robots_allowed)"""
+    ),
+)
 add(
     "j9_audit_with_source",
     lambda d: audit(d).join(d.sources.withColumnRenamed("code", "source"), "source").groupBy("source", "kind", "tier").agg(F.count(F.lit(1)).alias("requests")),
@@ -230,6 +282,22 @@ add(
     sql("SELECT source, outcome, count(*) AS row_count FROM audit GROUP BY ALL"),
 )
 
+
+def log_append(d):
+    """The log of every day appended in two halves; a second table gets it in one."""
+    out = folder(d)
+    rows = audit(d)
+    for k in (0, 1):
+        sinks.append_requests(d.spark, rows.filter(F.col("request_id") % 2 == k), d.sources, f"{out}/log")
+    return d.spark.read.parquet(f"{out}/log").groupBy("log_date", "source", "outcome").agg(F.count(F.lit(1)).alias("row_count"), F.sum("delay_applied_s").alias("delay"))
+
+
+add(
+    "k13_request_log_append",
+    log_append,
+    sql(f"SELECT {day('requested_at')} AS log_date, source, outcome, count(*) AS row_count, {num('sum(delay_applied_s)')} AS delay FROM audit GROUP BY ALL"),
+)
+
 # Provenance and health.
 add(
     "a24_provenance",
@@ -301,6 +369,28 @@ add(
     sql(f"SELECT {num('sum(weight)')} AS total_weight FROM route_weights WHERE route_id IN (SELECT route_id FROM fares)"),
 )
 
+
+def basket_answer(d):
+    """Weighted basket, booking windows, and every route that fares are known for, in one list."""
+    basket = q.basket(d.routes, defaults.airports(d.spark), d.route_weights, defaults.WEIGHT_REF_START)
+    known = d.fares.select("route_id").distinct().join(d.routes, "route_id")
+    return (
+        basket.select(F.lit("basket").alias("part"), F.col("route_code").alias("name"), F.col("weight").cast("double").alias("weight"))
+        .unionByName(d.windows.filter("in_basket").select(F.lit("window").alias("part"), F.col("window_days").cast("string").alias("name"), F.col("weight").cast("double").alias("weight")))
+        .unionByName(known.select(F.lit("known_route").alias("part"), F.col("route_code").alias("name"), F.lit(None).cast("double").alias("weight")))
+    )
+
+
+add(
+    "q9_basket_windows_routes",
+    basket_answer,
+    sql(
+        f"SELECT 'basket' AS part, route_code AS name, {num('weight')} AS weight FROM routes JOIN route_weights USING (route_id)"
+        f" UNION ALL SELECT 'window', cast(window_days AS varchar), {num('weight')} FROM windows"
+        " UNION ALL SELECT DISTINCT 'known_route', route_code, cast(NULL AS double) FROM fares"
+    ),
+)
+
 # Robots rules over the page table: one stored file per host.
 BODIES = {
     0: "User-agent: *\nAllow: /\nDisallow: /fr/  # french pages\nDisallow: /*?utm_source=\nDisallow: /de/*.html$\n\nUser-agent: pricebot\nCrawl-delay: 5\nDisallow: /es/\nAllow: /es/1\n",

@@ -246,6 +246,19 @@ def interval_floor(min_delay: Column, crawl_delay: Column) -> Column:
     return F.greatest(min_delay, crawl_delay)
 
 
+def intervals_by_floor(audit: DataFrame, delays: DataFrame) -> DataFrame:
+    """Intervals judged by each source's own floor; delays: source, min_delay, crawl_delay (null: none asked for)."""
+    floors = delays.select("source", interval_floor(F.col("min_delay"), F.col("crawl_delay")).alias("floor_s"))
+    rows = request_intervals(audit, 0.0).drop("below_floor").join(floors, "source", "left")
+    return rows.withColumn("below_floor", ~F.col("is_first") & F.coalesce(F.col("interval_s") < F.col("floor_s"), F.lit(False)))
+
+
+def cells_with_run(gaps: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every missed cell beside the run row of its day; a cell whose day has no run row keeps nulls."""
+    run = runs.select("scrape_date", *[F.col(c).alias(f"run_{c}") for c in runs.columns if c != "scrape_date"])
+    return gaps.join(run, "scrape_date", "left")
+
+
 def excluded_and_pending(sources: DataFrame) -> DataFrame:
     """Disabled sources, split into excluded on principle (tier three up) and not built yet."""
     rows = sources.filter(~F.col("enabled") & ~F.col("code").isin("seed", "__robots__"))
