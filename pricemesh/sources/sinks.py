@@ -14,13 +14,14 @@ from pricemesh.functions.common import must, same_keys
 from pricemesh.operators.cleaning import first_arrivals
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or null where nothing has been written yet."""
+def read_table(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame | None:
+    """The stored table, or null where nothing has been written yet; with the columns of `like`, which a
+    table that holds no rows cannot tell by itself."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop) or len(fs.listStatus(hadoop)) == 0:
         return None
-    return spark.read.parquet(path)
+    return (spark.read if like is None else spark.read.schema(like.schema)).parquet(path)
 
 
 def absent_rows(new: DataFrame, stored: DataFrame | None, keys: list[str], where=None) -> DataFrame:
@@ -87,7 +88,7 @@ def insert_absent(
 ) -> None:
     """Append what the target lacks. Replaying the same input adds nothing."""
     beside, work = staged(spark, new, path, partition_by)
-    stored = touched(read_table(spark, path), beside, partition_by[0])
+    stored = touched(read_table(spark, path, beside), beside, partition_by[0])
     keyed = beside if where is None else beside.filter(where)
     unique = first_arrivals(keyed, keys, F.col(order)).drop("copies")
     fresh = absent_rows(unique, stored, keys)
@@ -111,7 +112,7 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], part
     The merged rows are staged too, because the overwrite replaces the files they come from.
     """
     beside, work = staged(spark, new, path, partition_by)
-    stored = touched(read_table(spark, path), beside, partition_by[0])
+    stored = touched(read_table(spark, path, beside), beside, partition_by[0])
     if stored is None:
         _overwrite(beside, path, partition_by)
     else:

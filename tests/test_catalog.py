@@ -15,6 +15,8 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="needs the dri
 SAMPLE = [
     "p1_plausibility", "u1_deduplicate", "d1_mad_log_scores", "a18_cleaning_report", "w1_carry_forward", "u6_three_frequencies",
     "a14_leadtime_by_day", "d4_series_anomalies", "m8_compare_levels", "w12_request_intervals", "x33_url_verdicts", "i7_route_weights",
+    "r1_idempotent_raw_ingest", "r3_incremental_daily_index", "r3_incremental_elementary", "r3_incremental_routes", "r2_late_observations",
+    "x11_depth_overflow", "n5_seasonal_damped_trend", "n10_recommendation", "o4_sector_sort_modes",
 ]
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricemesh.operators import collection as c
+from pricemesh.operators import fares, weights
 from pricemesh.operators import governance as g
-from pricemesh.sources import defaults, sinks
+from pricemesh.sources import defaults, loaders, sinks
 from pricemesh.streaming import ingest
 
 D = dt.date
@@ -110,8 +111,8 @@ def test_every_rule_is_valid_sql_over_its_table(spark):
 
 def test_late_observations_are_gaps(spark):
     q = spark.createDataFrame(
-        [("s", D(2026, 9, 4), D(2026, 9, 4), "A", "B", D(2026, 9, 11)), ("s", D(2026, 9, 4), D(2026, 9, 6), "A", "B", D(2026, 9, 11))],
-        "source_code string, scrape_date date, observed_on date, origin string, destination string, departure_date date",
+        [("s", D(2026, 9, 4), D(2026, 9, 4), "A", "B", D(2026, 9, 11), 1), ("s", D(2026, 9, 4), D(2026, 9, 6), "A", "B", D(2026, 9, 11), 2)],
+        "source_code string, scrape_date date, observed_on date, origin string, destination string, departure_date date, ingest_seq long",
     )
     on_time, late = ingest.split_late(q)
     assert on_time.count() == 1 and late.first().age_days == 2 and late.first().outcome == "missed"
@@ -128,3 +129,44 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
     batch = ingest.stored_raw(spark.read.parquet(src))
     assert sorted(r.raw_id for r in batch.collect()) == [0, 1, 2]
+
+
+def test_old_days_are_stored_too(spark, tmp_path):
+    """A batch that brings a day long before the newest one loses nothing."""
+    schema = "raw_id long, source string, origin string, destination string, scrape_date date, departure_date date, scraped_at timestamp, payload string"
+    src, out = str(tmp_path / "in"), str(tmp_path / "raw")
+    for day in (20, 2, 11):
+        rows = [(day * 10 + i, "s", "A", "B", D(2026, 9, day), D(2026, 10, 1), dt.datetime(2026, 9, day, 10), '{"a": %d}' % i) for i in range(4)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        ingest.ingest_raw(spark, stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(out).count() == 12
+
+
+def test_hard_checks_hold_whatever_is_read(spark):
+    """Each check fails although only a count, or a column it does not touch, is asked for."""
+    routes = defaults.routes(spark)
+    rows = spark.createDataFrame([("DEL", "BLR", 5.0), ("DEL", "XXX", 7.0)], "origin string, destination string, fare double")
+    log = spark.createDataFrame([(1, "s"), (2, "nobody")], "request_id long, source string")
+    refs = spark.createDataFrame([("DEL-BLR", "2026-01", "100", "", None)], "route string, month string, fare string, fare_basis string, source_url string")
+    traffic = spark.createDataFrame([("BLR", "DEL", 100)], "origin string, destination string, passengers long")
+    checks = [
+        (fares.require_known_routes(rows, routes).agg(F.sum("fare")), "not in the basket"),
+        (fares.require_known_routes(rows, routes).agg(F.count(F.lit(1))), "not in the basket"),
+        (sinks.require_registered(log, spark.createDataFrame([("s",)], "code string")).agg(F.max("request_id")), "not registered"),
+        (loaders.parse_reference_fares(refs, routes).agg(F.avg("avg_fare")), "mandatory"),
+        (weights.basket_traffic(traffic, routes).agg(F.count(F.lit(1))), "no traffic found"),
+    ]
+    for df, message in checks:
+        with pytest.raises(Exception, match=message):
+            df.collect()
+    assert fares.require_known_routes(rows.limit(1), routes).agg(F.sum("fare")).first()[0] == 5.0
+
+
+def test_upserts_leave_no_work_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for v in (1.0, 2.0):
+        sinks.upsert(spark, table(spark, [(1, "a", v)]), path, ["k"], ["part"])
+        sinks.replace_partitions(spark, table(spark, [(2, "b", v)]), path, ["part"])
+    assert not any((tmp_path / "t_staging").iterdir())
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 2.0), (2, 2.0)]
