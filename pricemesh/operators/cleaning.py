@@ -69,7 +69,16 @@ def first_arrivals(quotes: DataFrame, key: list[str], order: Column, copies: str
 
 
 def deduplicate(quotes: DataFrame) -> DataFrame:
-    return first_arrivals(quotes, S.QUOTE_IDENTITY, F.col("ingest_seq"))
+    """The first quote of every identity by ingest_seq, with the number of rows it stands for.
+
+    Identities are counted by a hash aggregate of fixed width (first number and count), so copies collapse before the
+    shuffle and no full row is sorted for it; the rows themselves come by their number, which no key can crowd.
+    ingest_seq must name one row each; a store that may see a row twice merges it first (see streaming.ingest).
+    """
+    first = quotes.groupBy(*S.QUOTE_IDENTITY).agg(F.min("ingest_seq").alias("_first"), F.count(F.lit(1)).alias("copies"))
+    numbers = first.select(F.col("scrape_date").alias("_day"), "_first", "copies")
+    same = F.col("scrape_date").eqNullSafe(F.col("_day")) & (F.col("ingest_seq") == F.col("_first"))
+    return quotes.join(numbers, same).drop("_day", "_first")
 
 
 def validation_errors() -> Column:
