@@ -11,6 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pricemesh.functions.common import same_keys
+
+#: Width of a bucket of the ranking step, in units of the value.
+BUCKET = 100.0
+
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per (keys, value) with its multiplicity `cnt`."""
@@ -18,7 +23,10 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def ranked(hist: DataFrame, keys: list[str], order: str, prefix: str = "") -> DataFrame:
-    """Add group size `n` and the half-open rank range [lo, hi) each histogram row covers."""
+    """Add group size `n` and the half-open rank range [lo, hi) each histogram row covers.
+
+    One window per group: for groups of bounded size, such as one day of one cell.
+    """
     up_to = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     return (
@@ -28,6 +36,23 @@ def ranked(hist: DataFrame, keys: list[str], order: str, prefix: str = "") -> Da
     )
 
 
+def ranked_in_steps(hist: DataFrame, keys: list[str], order: str, width: float = BUCKET) -> DataFrame:
+    """The same ranks for groups of any size: rows are ordered only inside one bucket of `width`, and what lies below
+    a bucket comes from the bucket totals, of which a group has as many as its value range holds."""
+    rows = hist.withColumn("_bucket", F.floor(F.col(order).cast("double") / width))
+    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_held"))
+    group = Window.partitionBy(*keys)
+    below = F.sum("_held").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.withColumns({"_below": F.coalesce(below, F.lit(0)), "n": F.sum("_held").over(group)}).drop("_held")
+    joined = rows.alias("r").join(totals.alias("t"), same_keys("r", "t", [*keys, "_bucket"])).select("r.*", "t._below", "t.n")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        joined.withColumn("hi", F.col("_below") + F.sum("cnt").over(inside))
+        .withColumn("lo", F.col("hi") - F.col("cnt"))
+        .drop("_bucket", "_below")
+    )
+
+
 def order_statistic(value: Column, rank: Column, lo: str, hi: str) -> Column:
     """The value covering a zero-based rank, null on every other histogram row."""
     return F.when((F.col(lo) <= rank) & (rank < F.col(hi)), value)
@@ -51,7 +76,7 @@ def quantile_over(hist: DataFrame, keys: list[str], value: Column, p: float, lo:
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group: n, total, min, max, mean parts and the exact quantiles asked for."""
-    hist = ranked(histogram(df, keys, value), keys, value)
+    hist = ranked_in_steps(histogram(df, keys, value), keys, value)
     x = F.col(value).cast("double")
     picks = []
     for name, p in probs.items():

@@ -166,3 +166,21 @@ def test_storage_identity_and_unknown_route(spark):
     assert f.unknown_routes(bad, routes).count() == 1
     with pytest.raises(Exception, match="route not in the basket"):
         f.require_known_routes(bad, routes).collect()
+
+
+def test_quantiles_of_a_hot_group_use_many_tasks(spark):
+    """One group holds nine tenths of all distinct prices; its ranks come from many buckets and stay exact."""
+    import numpy as np
+
+    from pricemesh.functions import stats
+
+    rng = np.random.default_rng(4)
+    prices = {"hot": np.round(rng.uniform(500, 9000, 9000), 2), "cold": np.round(rng.uniform(500, 9000, 1000), 2), None: np.array([7.0, 9.5])}
+    rows = [(g, float(v)) for g, vs in prices.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r.g: r for r in stats.grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q9": 0.9}).collect()}
+    for g, vs in prices.items():
+        assert got[g].n == len(vs) and [got[g].q1, got[g].q2, got[g].q9] == pytest.approx(np.quantile(vs, [0.25, 0.5, 0.9]).tolist())
+    ranked = stats.ranked_in_steps(stats.histogram(df, ["g"], "v"), ["g"], "v")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and ranked.filter("g = 'hot'").agg({"hi": "max"}).first()[0] == 9000
