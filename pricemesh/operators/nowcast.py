@@ -8,9 +8,11 @@ origins, pairing with actuals, scores, verdicts) is relational.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pricemesh import staging
 from pricemesh.operators.series import ordered, seasonal_scale
 
 # Season, smallest training window, horizons, parameter grid of the damped trend.
@@ -30,40 +32,38 @@ def positions(series: DataFrame) -> DataFrame:
     )
 
 
-def _targets(pos: DataFrame, h: int, min_train: int) -> DataFrame:
-    """Rows that can be forecast h steps ahead: the origin saw at least min_train points."""
-    return pos.withColumn("origin", F.col("pos") - (h - 1)).withColumn("horizon", F.lit(h)).filter(
-        F.col("origin") >= min_train
-    )
+def _naive(h: int) -> Column:
+    return F.lag("value", h).over(ordered())
 
 
-def _pairs(df: DataFrame, model: str) -> DataFrame:
-    return df.select(
-        "series_id", F.lit(model).alias("model"), "origin", "horizon", "predicted", F.col("value").alias("actual")
-    )
+def _seasonal_naive(h: int) -> Column:
+    origin = F.col("pos") - (h - 1)
+    seasonal = F.lag("value", SEASON * ((h - 1) // SEASON + 1)).over(ordered())
+    return F.when(origin < SEASON, _naive(h)).otherwise(seasonal)
 
 
-def naive(series: DataFrame, h: int, min_train: int) -> DataFrame:
-    pos = positions(series).withColumn("predicted", F.lag("value", h).over(ordered()))
-    return _pairs(_targets(pos, h, min_train), "naive")
+def _drift(h: int) -> Column:
+    first = F.first("value").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
+    last, origin = _naive(h), F.col("pos") - (h - 1)
+    return last + F.when(origin >= 2, (last - first) / (origin - 1)).otherwise(0.0) * h
 
 
-def seasonal_naive(series: DataFrame, h: int, min_train: int) -> DataFrame:
-    back = SEASON * ((h - 1) // SEASON + 1)
-    pos = positions(series)
-    seasonal = F.lag("value", back).over(ordered())
-    origin = F.col("pos") - (h - 1)
-    pos = pos.withColumn("predicted", F.when(origin < SEASON, F.lag("value", h).over(ordered())).otherwise(seasonal))
-    return _pairs(_targets(pos, h, min_train), "seasonal_naive")
+#: Baselines are lags of the series: all of them, at all horizons, come from one pass over it.
+LAGS = {"naive": _naive, "seasonal_naive": _seasonal_naive, "drift": _drift}
 
 
-def drift(series: DataFrame, h: int, min_train: int) -> DataFrame:
-    first = F.first("value").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
-    last = F.lag("value", h).over(ordered())
-    origin = F.col("pos") - (h - 1)
-    slope = F.when(origin >= 2, (last - first) / (origin - 1)).otherwise(0.0)
-    pos = positions(series).withColumn("predicted", last + slope * h)
-    return _pairs(_targets(pos, h, min_train), "drift")
+def lag_pairs(series: DataFrame, horizons: tuple[int, ...], min_train: int, models: list[str]) -> DataFrame:
+    """(predicted, actual) of the named baselines wherever the origin saw at least min_train points."""
+    asked = [(m, h) for m in models for h in horizons]
+    pos = positions(series).withColumns({f"p{k}": LAGS[m](h) for k, (m, h) in enumerate(asked)})
+    pairs = [
+        F.struct(
+            F.lit(m).alias("model"), (F.col("pos") - (h - 1)).alias("origin"), F.lit(h).alias("horizon"),
+            F.col(f"p{k}").alias("predicted"), F.col("value").alias("actual"),
+        )
+        for k, (m, h) in enumerate(asked)
+    ]
+    return pos.select("series_id", F.inline(F.array(*pairs))).filter(F.col("origin") >= min_train)
 
 
 def _origin_blocks(series: DataFrame, min_train: int, horizons: tuple[int, ...]) -> DataFrame:
@@ -166,36 +166,24 @@ def _trend_model(name: str, seasonal: bool):
     return build
 
 
-def _lag_model(fn):
-    def build(series: DataFrame, horizons: tuple[int, ...], min_train: int) -> DataFrame:
-        out = None
-        for h in horizons:
-            part = fn(series, h, min_train)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    return build
-
-
-# name -> (builder, is_baseline); the order breaks ties between equal scores.
-MODELS = {
-    "naive": (_lag_model(naive), True),
-    "seasonal_naive": (_lag_model(seasonal_naive), True),
-    "drift": (_lag_model(drift), True),
-    "damped_trend": (_trend_model("damped_trend", False), False),
-    "seasonal_damped_trend": (_trend_model("seasonal_damped_trend", True), False),
+# The damped-trend models by name.
+TRENDS = {
+    "damped_trend": _trend_model("damped_trend", False),
+    "seasonal_damped_trend": _trend_model("seasonal_damped_trend", True),
 }
+# name -> is_baseline; the order breaks ties between equal scores.
+MODELS = {**dict.fromkeys(LAGS, True), **dict.fromkeys(TRENDS, False)}
 
 
 def rolling_origin(
     series: DataFrame, horizons=HORIZONS, min_train: int = MIN_TRAIN, models: list[str] | None = None
 ) -> DataFrame:
     """(predicted, actual) of every model at every horizon and valid origin."""
-    out = None
-    for name in models or MODELS:
-        part = MODELS[name][0](series, tuple(horizons), min_train)
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = list(models or MODELS)
+    lags = [m for m in asked if m in LAGS]
+    parts = [lag_pairs(series, tuple(horizons), min_train, lags)] if lags else []
+    parts += [TRENDS[m](series, tuple(horizons), min_train) for m in asked if m in TRENDS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def eligibility(series: DataFrame, horizons=HORIZONS, min_train: int = MIN_TRAIN) -> DataFrame:
@@ -217,7 +205,7 @@ def _registry_order(model: Column) -> Column:
 def score(pairs: DataFrame, eligible: DataFrame) -> DataFrame:
     """MAE, RMSE and MASE per series, model and horizon, for series worth scoring."""
     err = F.col("predicted") - F.col("actual")
-    baselines = [m for m, (_, b) in MODELS.items() if b]
+    baselines = [m for m, is_baseline in MODELS.items() if is_baseline]
     return (
         pairs.groupBy("series_id", "model", "horizon")
         .agg(
@@ -325,7 +313,8 @@ def recommend(scores: DataFrame, eligible: DataFrame, horizons=HORIZONS) -> Data
 
 
 def evaluate(series: DataFrame, horizons=HORIZONS, min_train: int = MIN_TRAIN, models=None) -> DataFrame:
-    """Scores of all models on all eligible series."""
+    """Scores of all models on all eligible series; the series is computed once and read back by every model."""
+    series = staging.written(series.select("series_id", "index_date", "value"), "nowcast")
     eligible = eligibility(series, horizons, min_train)
     fit_for = series.join(eligible.filter(F.col("refusal").isNull()), "series_id", "left_semi")
     return score(rolling_origin(fit_for, horizons, min_train, models), eligible)
