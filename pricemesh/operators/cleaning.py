@@ -120,6 +120,7 @@ class CleaningResult:
     classified: DataFrame
     survivors: DataFrame
     groups: DataFrame
+    method: str = "mad_log"
 
     @property
     def rejected(self) -> DataFrame:
@@ -151,20 +152,26 @@ class CleaningResult:
             F.count(F.lit(1)).alias("input_quotes"),
             F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"),
         )
-        kept = self.survivors.groupBy("scrape_date").agg(
+        ok, sold = ~F.col("is_outlier") & ~F.col("is_sold_out"), F.col("is_sold_out")
+        # One pass over the survivors: a comparison group is also an index cell, so everything is counted by it first.
+        cells = self.survivors.groupBy(*S.COMPARISON_GROUP).agg(
             F.sum(F.col("copies") - 1).alias("exact_duplicates"),
-            F.count_if("is_sold_out").alias("sold_out"),
+            F.count_if(sold).alias("sold_out"),
             F.count_if("is_outlier").alias("outliers"),
             F.count_if("components_complete").alias("components_complete"),
             F.count_if(~F.col("components_complete")).alias("components_missing"),
-            F.count_if(~F.col("is_outlier") & ~F.col("is_sold_out")).alias("output_quotes"),
+            F.count_if(ok).alias("output_quotes"),
+            F.count_if(~sold).alias("priced"),
         )
-        groups = self.groups.groupBy("scrape_date").agg(
-            F.count(F.lit(1)).alias("comparison_groups"),
-            F.count_if("too_small").alias("groups_too_small_to_assess"),
+        totals = ["exact_duplicates", "sold_out", "outliers", "components_complete", "components_missing", "output_quotes"]
+        small = (F.col("priced") < S.MIN_GROUP_FOR_DISPERSION) & F.lit(self.method != "none")
+        kept = cells.groupBy("scrape_date").agg(
+            *[F.sum(c).alias(c) for c in totals],
+            F.count_if(F.col("priced") > 0).alias("comparison_groups"),
+            F.count_if((F.col("priced") > 0) & small).alias("groups_too_small_to_assess"),
+            F.count_if(F.col("output_quotes") > 0).alias("index_cells"),
         )
-        cells = self.index_prices.groupBy("scrape_date").agg(F.count(F.lit(1)).alias("index_cells"))
-        out = intake.join(kept, "scrape_date", "left").join(groups, "scrape_date", "left").join(cells, "scrape_date", "left")
+        out = intake.join(kept, "scrape_date", "left")
         out = out.na.fill(0)
         discarded = F.col("rejected") + F.col("exact_duplicates") + F.col("outliers")
         split = F.col("components_complete") + F.col("components_missing")
@@ -185,4 +192,4 @@ def clean_quotes(quotes: DataFrame, method: str = "mad_log", **options) -> Clean
         "quality_flags",
         F.when(F.col("is_outlier"), F.concat("quality_flags", F.array(outlier_flag()))).otherwise(F.col("quality_flags")),
     )
-    return CleaningResult(classified, survivors, outliers.group_summary(hist, S.COMPARISON_GROUP, method))
+    return CleaningResult(classified, survivors, outliers.group_summary(hist, S.COMPARISON_GROUP, method), method)
