@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from catalog import add
 from catalog.views import big, day, num, sql
+from pricemesh import staging
 from pricemesh import schema as S
 from pricemesh.functions import parse as ps
 from pricemesh.operators import payload as pl
 from pricemesh.operators import weights as w
 from pricemesh.plans import export
-from pricemesh.session import checkpoint_dir
 from pricemesh.sources import loaders as ld
 from pricemesh.sources import sinks
 
@@ -23,7 +22,7 @@ START, END = 199601, 200012
 
 
 def folder(d) -> str:
-    return f"{checkpoint_dir(d.spark)}/files-{uuid.uuid4().hex}"
+    return staging.folder(d.spark, "files")
 
 
 # Traffic and weights.

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalog import add
 from catalog.views import big, day, num, sql, text_list
+from pricemesh import staging
 from pricemesh.operators import collection as c
 from pricemesh.operators import governance as g
 from pricemesh.operators import robots as r
 from pricemesh.operators import serving as q
 from pricemesh.plans.domain import quotes_from_events
-from pricemesh.session import checkpoint_dir
 from pricemesh.sources import defaults, sinks
 from pricemesh.streaming import ingest
 
@@ -503,7 +501,7 @@ add(
 
 # Streaming: the event file replayed as a stream must equal the batch result.
 def folder(d) -> str:
-    return f"{checkpoint_dir(d.spark)}/stream-{uuid.uuid4().hex}"
+    return staging.folder(d.spark, "stream")
 
 
 def event_stream(d):

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pricemesh import staging
 from pricemesh.functions.common import fixed4
 from pricemesh.operators import fares as fare_ops
 from pricemesh.operators import index as index_ops
 from pricemesh.operators.cleaning import CleaningResult, clean_quotes
-from pricemesh.session import checkpoint_dir
 from pricemesh.sources import defaults
 from pricemesh.sources.inline import inline_table
 
@@ -201,7 +200,14 @@ def traffic(lineitem, orders, customer, supplier) -> DataFrame:
     )
 
 
-_KNOWN: dict[tuple[str, str], Domain] = {}
+_KNOWN: dict[tuple[str, str], tuple[frozenset, Domain]] = {}
+
+
+def _state(spark: SparkSession, path: str) -> frozenset:
+    """Names, sizes and change times of the tables in a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return frozenset((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 @dataclass
@@ -219,15 +225,16 @@ class Domain:
 
     @classmethod
     def of(cls, spark: SparkSession, path: str) -> Domain:
-        """The staged views of a folder, shared by all queries of a session."""
+        """The staged views of a folder, shared by all queries of a session until a file of the folder changes."""
         key = (spark.sparkContext.applicationId, path)
-        if key not in _KNOWN:
-            _KNOWN[key] = cls(spark, path, staged=True)
-        return _KNOWN[key]
+        state = _state(spark, path)
+        if key not in _KNOWN or _KNOWN[key][0] != state:
+            _KNOWN[key] = (state, cls(spark, path, staged=True))
+        return _KNOWN[key][1]
 
     @cached_property
     def _folder(self) -> str:
-        return f"{checkpoint_dir(self.spark)}/stage-{uuid.uuid4().hex}"
+        return staging.folder(self.spark, "stage")
 
     def stage(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         if not self.staged:

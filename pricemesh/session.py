@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,11 +28,18 @@ def local_session(app: str = "pricemesh", cpus: str | int = 8, memory: str = "8g
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a fresh local one where none is named."""
+    """The shared folder the cluster names, or a local one of the session, removed at exit, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="pricemesh-", dir=os.environ.get("TMPDIR", "/tmp"))
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="pricemesh-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
