@@ -224,6 +224,19 @@ add(
         refs=REF,
     ),
 )
+add(
+    "j12_monthly_with_reference",
+    lambda d: d.headline.filter("frequency = 'monthly'").join(
+        ld.accepted(reference_parsed(d)).groupBy(F.col("ref_month").alias("index_date")).agg(F.avg("avg_fare").alias("reference_fare")), "index_date"
+    ).select("index_date", "index_value", "reference_fare"),
+    sql(
+        f"""
+        SELECT {day('index_date')} AS index_date, {num('index_value')} AS index_value, {num('reference_fare')} AS reference_fare
+        FROM headline JOIN (SELECT CASE WHEN window_days = 7 THEN m + INTERVAL 1 MONTH ELSE m END AS index_date, avg(cast(top AS double)) AS reference_fare
+                            FROM refs WHERE window_days IN (1, 7) GROUP BY 1) USING (index_date) WHERE frequency = 'monthly'""",
+        refs=REF,
+    ),
+)
 add(
     "a26_reference_fare_mean",
     lambda d: ld.accepted(reference_parsed(d)).groupBy("ref_month").agg(F.avg("avg_fare").alias("avg_fare")),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import add
+from catalog import add, loading
 from catalog.views import big, day, num, sql
 from pricemesh.functions.common import fixed4
 from pricemesh.operators import anomalies as an
 from pricemesh.operators import leadtime as lt
 from pricemesh.operators import metrics as m
 from pricemesh.operators import series as so
+from pricemesh.sources import loaders as ld
 
 W = "(PARTITION BY series_id ORDER BY index_date)"
 ID = f"series_id, {day('index_date')} AS index_date"
@@ -346,19 +347,37 @@ add(
 LEV = """
     SELECT *, (a / lag(a) OVER w - 1) * 100 AS ca, (b / lag(b) OVER w - 1) * 100 AS cb, a / first_value(a) OVER w * 100 AS xa,
            b / first_value(b) OVER w * 100 AS xb FROM rlev WINDOW w AS (PARTITION BY pair_id ORDER BY period)"""
-SQL_LEVELS = sql(
-    f"""
+LEVEL_SCORES = f"""
     SELECT pair_id, metric, {num('value')} AS value, n, n >= 6 AS reliable
     FROM (SELECT pair_id, unnest(['pearson_r_on_changes', 'spearman_rho_on_levels', 'direction_agreement', 'mape_rebased', 'rmse_rebased']) AS metric,
                  unnest([count(ca), count(*), count(ca), count(*), count(*)]) AS n,
                  unnest([corr(ca, cb), corr(ra, rb),
                          avg(CASE WHEN ca IS NULL THEN NULL WHEN (CASE WHEN ca > 0.05 THEN 1 WHEN ca < -0.05 THEN -1 ELSE 0 END) = (CASE WHEN cb > 0.05 THEN 1 WHEN cb < -0.05 THEN -1 ELSE 0 END) THEN 1.0 ELSE 0.0 END),
                          avg(abs((xa - xb) / xa)) * 100, sqrt(avg((xa - xb) * (xa - xb)))]) AS value
-          FROM lev GROUP BY 1)""",
-    lev=LEV, **P,
-)
+          FROM lev GROUP BY 1)"""
+SQL_LEVELS = sql(LEVEL_SCORES, lev=LEV, **P)
 add("m8_compare_levels", lambda d: m.compare_levels(pairs(d)), SQL_LEVELS)
-add("v14_external_comparison", lambda d: m.compare_levels(pairs(d)).filter("n >= 2"), SQL_LEVELS)
+
+
+def external_pairs(d):
+    """Monthly means of every series beside the loaded official index (combined sector), where two months or more are common."""
+    official = ld.accepted(loading.cpi_parsed(d)).filter("sector = 'combined'").groupBy(F.col("ref_month").alias("period")).agg(F.avg("index_value").alias("b"))
+    monthly = so.monthly_mean(d.series)
+    month = next(c for c in monthly.columns if c not in ("series_id", "value"))
+    pairs = monthly.select(F.col("series_id").alias("pair_id"), F.col(month).alias("period"), F.col("value").alias("a")).join(official, "period")
+    enough = pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").select("pair_id")
+    return pairs.join(enough, "pair_id", "left_semi")
+
+
+EXTERNAL = """
+    SELECT pair_id, period, a, b FROM (SELECT *, count(*) OVER (PARTITION BY pair_id) AS k
+        FROM (SELECT series_id AS pair_id, cast(date_trunc('month', index_date) AS date) AS period, avg(value) AS a FROM series GROUP BY 1, 2)
+        JOIN (SELECT cast(m AS date) AS period, avg(cast(n AS double)) AS b FROM cpiok WHERE mm % 2 <> 0 GROUP BY 1) USING (period)) WHERE k >= 2"""
+add(
+    "v14_external_comparison",
+    lambda d: m.compare_levels(external_pairs(d)),
+    sql(LEVEL_SCORES, lev=LEV, **{**P, "pairs0": EXTERNAL}, **loading.C),
+)
 add(
     "e2_metric_presets",
     lambda d: m.compare_growth(pairs(d), "level").filter("value IS NOT NULL").select("pair_id", "metric", "value"),
