@@ -304,6 +304,22 @@ add(
         **F1,
     ),
 )
+RANGED_OBS = """
+    SELECT route_code, cast(window_days AS double) AS w, cast(total_fare AS double) AS y, ln(cast(total_fare AS double)) AS ly
+    FROM usable WHERE route_code = 'CCU-DEL' AND scrape_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20'"""
+add(
+    "q6_leadtime_with_fit",
+    lambda d: lt.response_for_route(d.usable, d.routes, "ccu-del", "2024-01-01", "2024-01-20").select(
+        "route_code", "window_days", "n", "mean_fare", "fitted", F.round("floor", 2).alias("floor"), "amplitude", "decay_days", "r_squared"
+    ),
+    sql(
+        f"""
+        SELECT p.route_code, {big('p.w')} AS window_days, p.n, {num('pm')} AS mean_fare, b.n >= 12 AND windows >= 4 AS fitted, {BEST}
+        FROM (SELECT route_code, w, count(*) AS n, cast((2 * cast(sum(y * 100) AS bigint) + count(*)) // (2 * count(*)) AS double) / 100 AS pm FROM obs GROUP BY 1, 2) p
+        JOIN best b USING (route_code)""",
+        **{**F1, "obs": RANGED_OBS},
+    ),
+)
 add("q6_leadtime_one_route", lambda d: lt.ratio_to_longest(lt.leadtime_stats(d.usable, d.routes.filter("route_code = 'BLR-DEL'"), "2024-01-01", "2024-01-20")).drop("median_2dp"), sql(
     f"""
     SELECT {STATS}, {num('round_even(mean_fare / last_value(mean_fare) OVER (ORDER BY ranged.window_days ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4)')} AS ratio_to_longest_window

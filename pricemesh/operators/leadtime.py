@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pricemesh.functions.stats import grouped_quantiles
+from pricemesh.operators import elasticity
 
 
 def with_code(rows: DataFrame, routes: DataFrame) -> DataFrame:
@@ -74,6 +75,26 @@ def multiplier(amplitude, tau, window):
     return 1.0 + amplitude * F.exp(-window / tau)
 
 
+def response_for_route(usable: DataFrame, routes: DataFrame, code: str, start=None, end=None) -> DataFrame:
+    """Observed points of one route in a date range beside the fit over the same fares.
+
+    An unknown code is refused with the list of known ones; the route register is small.
+    """
+    one = routes.filter(F.col("route_code") == code.strip().upper())
+    if not one.take(1):
+        known = sorted(r.route_code for r in routes.select("route_code").collect())
+        raise ValueError(f"unknown route {code!r}; known: {', '.join(known)}")
+    days = F.lit(True)
+    if start is not None:
+        days = days & (F.col("scrape_date") >= F.lit(start).cast("date"))
+    if end is not None:
+        days = days & (F.col("scrape_date") <= F.lit(end).cast("date"))
+    rows = with_code(usable.filter(days).join(one.select("route_id"), "route_id", "left_semi"), routes)
+    fit = elasticity.parameters(elasticity.fit_routes(rows, ["route_code"]), ["route_code"])
+    points = ratio_to_longest(leadtime_stats(usable, one, start, end))
+    return points.join(fit.select("route_code", "fitted", "floor", "amplitude", "decay_days", "r_squared", "warnings"), "route_code", "left")
+
+
 def fitted_curve(fits: DataFrame, stats: DataFrame) -> DataFrame:
     """Evaluate each fit on a half-day grid up to the longest window, with observed means."""
     reach = stats.groupBy("route_code").agg(F.greatest(F.max("window_days"), F.lit(45)).alias("reach"))
