@@ -9,7 +9,7 @@ in a match.
 A phrase is 13 consecutive words of an item (an item of fewer words is one phrase). Its terms are ordered by their
 count in the whole corpus; the list of the rarest gives the candidates, and the lists of the others, each moved by
 its offset, are intersected with them from rare to frequent. Proximity matches are places where the rarest terms of
-an item stand near each other in any order.
+an item stand near each other in any order; of equally rare terms the first in byte order counts.
 
 The benchmark is collected in blocks of about BLOCK_CHARS characters; each block is one index and one search, so
 neither the driver nor a task ever holds more of it. Null or wordless texts match nothing. Repeated rows are judged
@@ -199,10 +199,11 @@ def search(index: DataFrame, found: Phrases, counts: dict[int, int]) -> DataFram
     """One row per indexed row: its words, the stretches that phrases of an item cover, and proximity matches."""
     weight = np.array([counts.get(t, 0) for t in range(len(found.vocabulary))] + [np.iinfo(np.int64).max], np.int64)
     order = np.argsort(weight[found.terms], axis=1, kind="stable") if len(found.terms) else found.terms
+    spelling = np.argsort(np.argsort(np.array(list(found.vocabulary), object))) if found.vocabulary else np.zeros(0, np.int64)
     rare = np.full((len(found.items), NEAR_TERMS), -1, np.int64)
     for i, ids in enumerate(found.items):
         distinct = np.unique(ids)
-        best = distinct[np.argsort(weight[distinct], kind="stable")][:NEAR_TERMS]
+        best = distinct[np.lexsort((spelling[distinct], weight[distinct]))][:NEAR_TERMS]
         rare[i, : len(best)] = best
     shared = index.sparkSession.sparkContext.broadcast((found._replace(vocabulary={}), order, rare))
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,7 +85,40 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@register()
+def _plain_words_sql(text: str) -> str:
+    lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"coalesce(regexp_extract_all({lowered}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), [])"
+
+
+OP7_SQL = rf"""
+WITH docs AS (SELECT doc_id, {_plain_words_sql("text")} AS words FROM documents),
+items AS (SELECT cast(item_id AS varchar) AS item_id, {_plain_words_sql("text")} AS words FROM benchmark),
+phrases AS (
+    SELECT DISTINCT item_id, least(len(words), {decontaminate.WINDOW}) AS l, array_to_string(words[i : i + least(len(words), {decontaminate.WINDOW}) - 1], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, greatest(2, len(words) - {decontaminate.WINDOW} + 2))) AS i FROM items WHERE len(words) > 0)),
+grams AS (
+    SELECT doc_id, i, l, array_to_string(words[i : i + l - 1], ' ') AS gram
+    FROM (SELECT doc_id, words, l, unnest(range(1, len(words) - l + 2)) AS i FROM docs, (SELECT DISTINCT l FROM phrases))),
+found AS (SELECT DISTINCT doc_id, i, l, item_id FROM grams JOIN phrases USING (l, gram)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM found) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1),
+places AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM docs),
+rare AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(c, 0), w) AS r, count(*) OVER (PARTITION BY item_id) AS k
+                   FROM (SELECT DISTINCT item_id, unnest(words) AS w FROM items) LEFT JOIN (SELECT w, count(*) AS c FROM places GROUP BY 1) USING (w))
+    WHERE r <= {decontaminate.NEAR_TERMS} AND k > 1),
+spots AS (SELECT item_id, r, least(k, {decontaminate.NEAR_TERMS}) AS k, doc_id, p FROM rare JOIN places USING (w)),
+near AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_near_items
+    FROM (SELECT a.doc_id, a.item_id, a.p FROM spots a JOIN spots b ON b.item_id = a.item_id AND b.doc_id = a.doc_id AND b.r > 1
+              AND b.p BETWEEN a.p - {decontaminate.NEAR_WORDS} AND a.p + {decontaminate.NEAR_WORDS}
+          WHERE a.r = 1 GROUP BY a.doc_id, a.item_id, a.p, a.k HAVING count(DISTINCT b.r) = a.k - 1) GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
+
+@register(OP7_SQL)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -196,7 +229,25 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register()
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}' || chr(92) || '{control[1:]}')"
+    return out
+
+
+OP2_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT cast(conv_id AS bigint) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (role = '{chat.LOSS}'), 0) AS bigint) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{chat.LOSS}'), '')) AS loss_sha256,
+       cast(sum({len(chat.TURN + chat.BODY + chat.END)} + length({_escaped_sql("role")}) + length({_escaped_sql("text")})) AS bigint) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+@register(OP2_SQL)
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     sample = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
