@@ -1,10 +1,11 @@
-"""Row rules and keys of the tables that the cleaning queries do not audit: registers, log, cells, index rows, references."""
+"""Row rules and keys of the tables that the cleaning queries do not audit: registers, log, cells, index rows, references;
+and the sizes of the exported result sets."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import add, loading, operations
+from catalog import add, loading, operations, timeseries
 from catalog.views import sql
 from pricemesh.operators import governance as g
 from pricemesh.operators import index as x
@@ -118,3 +119,33 @@ add(
         **VIEWS,
     ),
 )
+
+
+# Every exported set counted from the tables it is made of.
+DAILY = sql("SELECT 'headline' AS series_id, index_date, cast(index_value AS double) AS value FROM headline WHERE frequency = 'daily'")
+EPISODES = timeseries.flags_sql(
+    f"SELECT count(*) FROM (SELECT series_id, episode FROM ({timeseries.episodes_sql(2)}) GROUP BY 1, 2)", DAILY, "3.5"
+)
+SIZES = {
+    "series": "SELECT count(*) FROM headline",
+    "routes": "SELECT count(*) FROM route_rows",
+    "leadtime": "SELECT count(*) FROM elementary WHERE NOT is_dropped",
+    "leadtime_fares": "SELECT count(*) FROM stats",
+    "fares_daily": "SELECT count(*) FROM (SELECT DISTINCT route_id, window_days, scrape_date FROM usable)",
+    "leadtime_fit": "SELECT count(DISTINCT route_id) FROM usable",
+    "anomalies": EPISODES,
+    # Five models at two horizons, where the daily series is long enough and not constant.
+    "nowcast": "SELECT CASE WHEN count(*) >= 28 AND count(DISTINCT index_value) > 1 THEN 10 ELSE 0 END FROM headline WHERE frequency = 'daily'",
+    "compliance": "SELECT count(DISTINCT source) FROM audit JOIN registry ON code = source",
+    "sources": "SELECT count(*) FROM registry WHERE NOT starts_with(code, '__')",
+    "basket": "SELECT count(*) FROM routes",
+    "windows": "SELECT count(*) FROM windows",
+    "cpi_dispersion": "SELECT count(DISTINCT date_trunc('month', index_date)) FROM headline WHERE frequency = 'daily'",
+    "provenance": "SELECT 1",
+    "cleaning_report": "SELECT count(DISTINCT scrape_date) FROM classified",
+}
+add(
+    "k8_json_export",
+    loading.exported,
+    sql(" UNION ALL ".join(f"SELECT '{name}' AS dataset, cast(({query}) AS bigint) AS row_count" for name, query in SIZES.items())),
+)

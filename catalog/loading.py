@@ -573,6 +573,5 @@ def exported(d):
     return out
 
 
-add("k8_json_export", exported, None)
 add("k10_backtest_tables", lambda d: export.backtest(d)["summary"], None)
 add("v15_backtest_payload", lambda d: export.backtest(d)["payload"], None)

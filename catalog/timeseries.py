@@ -178,9 +178,10 @@ SQL_FLAGS = f"""
 
 
 def flags_sql(body: str, view: str = "weekly", threshold: str = "3.0") -> str:
+    """Flags of a known view, or of a query that gives series_id, index_date and value."""
     from catalog.views import VIEWS
 
-    text = SQL_FLAGS.format(views=f"weekly AS ({VIEWS[view]})", body=body)
+    text = SQL_FLAGS.format(views=f"weekly AS ({VIEWS.get(view, view)})", body=body)
     return text.replace("abs(s.sc) > 3.0", f"abs(s.sc) > {threshold}")
 
 
