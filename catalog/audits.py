@@ -3,13 +3,16 @@ and the sizes of the exported result sets."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from catalog import add, loading, operations, timeseries
-from catalog.views import sql
+from catalog import ORACLES, add, index, loading, operations, timeseries  # noqa: F401 - index registers oracles used here
+from catalog.views import big, day, num, sql
 from pricemesh.operators import governance as g
 from pricemesh.operators import index as x
-from pricemesh.sources import defaults, loaders
+from pricemesh.plans import export
+from pricemesh.sources import defaults, loaders, sinks
 
 
 def spoiled_cells(d):
@@ -149,3 +152,59 @@ add(
     loading.exported,
     sql(" UNION ALL ".join(f"SELECT '{name}' AS dataset, cast(({query}) AS bigint) AS row_count" for name, query in SIZES.items())),
 )
+
+
+# The back-test written as JSON, one folder per part, and read back.
+PARTS = ("checks", "robustness", "concepts", "benchmark", "span")
+
+
+def backtest_files(d):
+    path = loading.folder(d)
+    sets = export.backtest(d)
+    sinks.export_json({part: sets[part] for part in PARTS}, path)
+    return {part: d.spark.read.schema(sets[part].schema).json(f"{path}/{part}") for part in PARTS}
+
+
+MEASURES = {
+    "robustness": ("scenario", ["n", "first", "last", "min", "max", "mean", "max_gap_vs_baseline", "mean_gap_vs_baseline"]),
+    "concepts": ("concept", ["n", "mean", "min", "max"]),
+    "benchmark": (None, ["n", "correlation_on_changes", "max_divergence_points", "mean_divergence_points", "index_min", "index_max", "naive_min", "naive_max"]),
+}
+
+
+def report_rows(d):
+    """One row per figure of the report: part, what it is about, measure, value."""
+    files = backtest_files(d)
+    parts = []
+    for part, (key, measures) in MEASURES.items():
+        about = F.col(key) if key else F.lit("index")
+        pairs = [F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").cast("double").alias("value")) for m in measures]
+        parts.append(files[part].select(F.lit(part).alias("part"), about.alias("about"), F.inline(F.array(*pairs))))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+add(
+    "k10_backtest_tables",
+    lambda d: backtest_files(d)["checks"].select("check", "passed", "severity"),
+    " UNION ALL ".join(f'SELECT "check", passed, severity FROM ({ORACLES[k]})' for k in ("v1_base_period", "v2_temporal_consistency", "v4_coverage_reported"))
+    + f" UNION ALL SELECT 'contributions_sum_to_headline', bool_and(ok), 'error' FROM ({ORACLES['v3_contribution_gaps']})",
+)
+_REPORT = {"robustness": "v11_window_weight_robustness", "concepts": "v12_price_concept_robustness", "benchmark": "v13_benchmark_naive"}
+add(
+    "v15_backtest_payload",
+    report_rows,
+    " UNION ALL ".join(
+        f"SELECT '{part}' AS part, {key or chr(39) + 'index' + chr(39)} AS about, unnest({measures}) AS measure,"
+        f" unnest([{', '.join(f'cast({chr(34)}{m}{chr(34)} AS double)' for m in measures)}]) AS value FROM ({ORACLES[_REPORT[part]]})"
+        for part, (key, measures) in MEASURES.items()
+    ),
+)
+add(
+    "v15_backtest_span",
+    lambda d: backtest_files(d)["span"],
+    sql(
+        f"""
+        SELECT {day('min(index_date)')} AS start, {day('max(index_date)')} AS "end", {big('count(*)')} AS n_days, {num('arg_max(coverage_ratio, index_date)')} AS coverage_latest,
+               {num('arg_max(observed_pax_share, index_date)')} AS pax_share_latest, count(*) >= 30 AS meets_30_days FROM headline WHERE frequency = 'daily'"""
+    ),
+)

@@ -571,7 +571,3 @@ def exported(d):
         part = d.spark.read.text(f"{path}/{name}").agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("row_count"))
         out = part if out is None else out.unionByName(part)
     return out
-
-
-add("k10_backtest_tables", lambda d: export.backtest(d)["summary"], None)
-add("v15_backtest_payload", lambda d: export.backtest(d)["payload"], None)
