@@ -208,15 +208,17 @@ def search(index: DataFrame, found: Phrases, counts: dict[int, int]) -> DataFram
     shared = index.sparkSession.sparkContext.broadcast((found._replace(vocabulary={}), order, rare))
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, order, rare = shared.value
+        distinct, naming = np.unique(np.array(found.names, object), return_inverse=True)
         for batch in batches:
             for i in range(batch.num_rows):
                 x = _unpacked(batch, i)
                 phrase, doc, start = _exact(x, found, order) if len(order) else (np.zeros(0, np.int64),) * 3
-                item = found.item[phrase]
+                named_as = naming[found.item[phrase]]
                 stretches: dict[int, list] = {}
-                for k in np.lexsort((start, item, doc)):
+                # Rows that share a name interleave: only in order of start per name is a merge a union.
+                for k in np.lexsort((start, named_as, doc)):
                     mine = stretches.setdefault(int(doc[k]), [])
-                    name, a, b = found.names[item[k]], int(start[k]), int(start[k] + found.length[phrase[k]])
+                    name, a, b = str(distinct[named_as[k]]), int(start[k]), int(start[k] + found.length[phrase[k]])
                     if mine and mine[-1]["item_id"] == name and a <= mine[-1]["stop"]:
                         mine[-1]["stop"] = max(b, mine[-1]["stop"])
                     else:

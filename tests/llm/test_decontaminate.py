@@ -65,3 +65,16 @@ def test_empty_tables(spark, items):
     assert decontaminate.matches(cases.empty(spark), bench).count() == 0
     none = decontaminate.matches(cases.docs(spark), bench.limit(0)).collect()
     assert len(none) == len(cases.rows()) and all(r.n_hit == 0 and r["items"] == [] for r in none)
+
+
+@pytest.mark.parametrize("chars", [decontaminate.BLOCK_CHARS, 150])
+def test_rows_that_share_a_name_keep_all_their_words(spark, monkeypatch, chars):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+    text = " ".join(f"w{i}" for i in range(200))
+    part = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    # Per name the later row of the benchmark stands earlier in the document.
+    items = [(7, part(100, 113)), (7, part(10, 23)), (None, part(150, 163)), (None, part(40, 53))]
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    (got,) = decontaminate.matches(docs, spark.createDataFrame(items, "item_id int, text string").coalesce(1)).collect()
+    assert (got.n_words, got.n_hit, got["items"]) == brute(text, items)
+    assert [(p.start, p.stop, p.item_id) for p in got.phrases] == [(10, 23, "7"), (40, 53, ""), (100, 113, "7"), (150, 163, "")]
