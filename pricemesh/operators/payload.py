@@ -60,14 +60,19 @@ def _text_of(value) -> str | None:
     if isinstance(value, bool):
         return "true" if value else "false"
 
-    def written(v) -> str:
-        if isinstance(v, dict):
-            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{written(x)}" for k, x in v.items()) + "}"
-        if isinstance(v, list):
-            return "[" + ",".join(map(written, v)) + "]"
-        return v if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
-
-    return written(value)
+    # A stack of its own, no recursion: what is to be written next lies on top, texts as Number.
+    out, stack = [], [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, (dict, list)):
+            parts = [Number("{" if isinstance(v, dict) else "[")]
+            for i, x in enumerate(v):
+                parts += [Number(",")] if i else []
+                parts += [Number(json.dumps(x, ensure_ascii=False) + ":"), v[x]] if isinstance(v, dict) else [x]
+            stack += reversed([*parts, Number("}" if isinstance(v, dict) else "]")])
+        else:
+            out.append(v if isinstance(v, Number) else json.dumps(v, ensure_ascii=False))
+    return "".join(out)
 
 
 def _parsed(text: str | None):

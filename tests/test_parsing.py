@@ -179,3 +179,12 @@ def test_robots_status_policy(spark, status, allowed):
 def test_intent_comes_first(spark):
     got = judged(spark, "User-agent: *\nAllow: /\n", ["/api/v1", "/ok"], intent=["/api"])
     assert got["/api/v1"] == (False, "intent_denied:/api") and got["/ok"][0]
+
+
+def test_deeply_nested_members_are_written():
+    value = {"a": [pl.Number("1.50"), None, "x\"y", {}, []], "b": True}
+    assert pl._text_of(value) == '{"a":[1.50,null,"x\\"y",{},[]],"b":true}'
+    for _ in range(20_000):
+        value = {"in": [value]}
+    text = pl._text_of(value)
+    assert text.startswith('{"in":[{"in":[') and text.count("in") == 20_000
