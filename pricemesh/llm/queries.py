@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricemesh.llm import chat, decontaminate, line_runs, mixing, quality_model, rules, secret_spans, simhash, toxicity, wrappers
+from pricemesh.llm import (
+    chat,
+    decontaminate,
+    line_runs,
+    mixing,
+    packing,
+    prefix_trie,
+    quality_model,
+    rules,
+    secret_spans,
+    simhash,
+    spelling,
+    toxicity,
+    wrappers,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,3 +289,105 @@ def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_model.judge(table(spark, sf_dir, "documents"), trusted_rows(spark, sf_dir))
     return judged.select("doc_id", "lang", "perplexity", F.col("most").alias("limit"), "kept")
+
+
+def _crc32_sql(octets: str) -> str:
+    """CRC-32 of a list of octets: eight shifts each, the first after the octet is mixed in."""
+    bits = f"flatten(list_transform({octets}, lambda o: [o, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda a, x: {step}), 4294967295)"
+
+
+def _octets_sql(text: str) -> str:
+    """UTF-8 octets of a text whose code points are below 2048."""
+    return (
+        f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::bigint]"
+        " ELSE [(192 | (ord(c) >> 6))::bigint, (128 | (ord(c) & 63))::bigint] END))"
+    )
+
+
+#: Conversations whose ids agree but for the remainder by OPENING share up to three opening turns.
+OPENING, OPENING_TURNS = 20, 4
+OP11_SQL = rf"""
+WITH turns AS (
+    SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+picked AS (
+    SELECT *, c - ((c % {OPENING}) + {OPENING}) % {OPENING} AS base, {_crc32_sql(_octets_sql("cast(c AS varchar)"))} % {OPENING_TURNS} AS h FROM turns),
+rebuilt AS (
+    SELECT p.c, list_concat(list_slice(coalesce(b.own, []), 1, h), list_slice(p.own, h + 1, len(p.own))) AS seq
+    FROM picked p LEFT JOIN turns b ON b.c = p.base),
+members AS (SELECT c, len(seq) AS n, d, list_slice(seq, 1, d) AS node FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT node, d, min(c) AS low, count(*) AS n_convs, string_agg(cast(c AS varchar), ',' ORDER BY c) FILTER (n = d) AS ends
+    FROM members GROUP BY node, d),
+kids AS (SELECT list_slice(node, 1, d - 1) AS node, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (
+    SELECT nodes.*, coalesce(k, 0) AS k, CASE WHEN d > 0 THEN (n_convs - 1) * len({_words_sql("node[d].t")}) ELSE 0 END AS saved
+    FROM nodes LEFT JOIN kids USING (node, d)),
+sums AS (
+    SELECT list_slice(node, 1, a) AS node, a AS d, count(*) FILTER (k = 0) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM whole) GROUP BY ALL)
+SELECT w.low AS conv_id, w.d AS depth, p.low AS parent_conv_id, w.n_convs, w.k AS n_children, n_leaves, cast(saved_tokens AS bigint) AS saved_tokens,
+       sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM whole w JOIN sums USING (node, d) LEFT JOIN nodes p ON p.d = w.d - 1 AND p.node = list_slice(w.node, 1, w.d - 1)"""
+
+
+@register(OP11_SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.conversations(prefix_trie.turn_keys(table(spark, sf_dir, "conversations")))
+    opening = F.crc32(F.col("conv_id").cast("string")) % OPENING_TURNS
+    return prefix_trie.trie(prefix_trie.with_shared_openings(own, OPENING, opening)).drop("node_id", "parent_id")
+
+
+TYPO_EVERY = 97
+_RUN = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = rf"""
+WITH found AS (
+    SELECT key, {_RUN} AS w, count(*) AS n
+    FROM (SELECT coalesce(cast(doc_id AS varchar), '') AS key, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+    GROUP BY ALL),
+hashed AS (SELECT w, n, {_crc32_sql(_octets_sql("key || ':' || w"))} AS h FROM found),
+spoiled AS (
+    SELECT n, CASE WHEN h % {TYPO_EVERY} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (
+    SELECT word, cast(sum(n) AS bigint) AS n FROM spoiled WHERE length(word) >= {spelling.LEAST_LETTERS}
+    GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+cuts AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS left_over
+         FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+replaced AS (SELECT a.word, b.word AS other FROM cuts a JOIN cuts b USING (l, i, left_over) WHERE a.word <> b.word),
+deleted AS (SELECT DISTINCT c.word, w.word AS other FROM cuts c JOIN words w ON w.word = c.left_over),
+near AS (SELECT * FROM replaced UNION ALL SELECT * FROM deleted UNION ALL SELECT other, word FROM deleted),
+ranked AS (
+    SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+           row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS r
+    FROM near JOIN words w ON w.word = other),
+formed AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {spelling.FACTOR} * n THEN other END AS form,
+           CASE WHEN other_n >= {spelling.FACTOR} * n THEN other_n END AS form_n
+    FROM words LEFT JOIN (SELECT * FROM ranked WHERE r = 1) AS best ON best.word = words.word),
+walk AS (
+    WITH RECURSIVE go AS (
+        SELECT word, word AS here, form AS next FROM formed
+        UNION ALL SELECT go.word, go.next, f.form FROM go JOIN formed f ON f.word = go.next)
+    SELECT word, here AS root FROM go WHERE next IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN walk USING (word)"""
+
+
+@register(OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), typo_every=TYPO_EVERY)
+    return spelling.group(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register()
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
