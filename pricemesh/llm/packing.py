@@ -21,11 +21,14 @@ place in the input.
 
 from __future__ import annotations
 
+import json
 import os
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,11 @@ CAPACITY, END = 4096, 1
 CELL, LOOSE = 4096, 16
 ISLANDS, POPULATION, ELITES, EPOCHS, CHILDREN = 3, 5, 2, 3, 16
 #: Bytes of texts' chunks whose ids a worker remembers.
-KNOWN_BYTES = 1 << 23
+KNOWN_BYTES = 12 << 20
 
+#: Marks that may follow a word, and words of ASCII digits or of Latin-1 letters, in UTF-8.
+_MARKS = b".,;:!?#$%&*)]}"
+_WORD = re.compile(rb"[0-9]+|(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _TOKENIZERS: dict[str, _Encoder] = {}
 
 
@@ -48,66 +54,98 @@ class _Encoder:
     """Ids of texts, chunk by chunk between ASCII white space, with the ids of chunks seen before remembered.
 
     White space always separates tokens for the tokenizers this is meant for (white space dropped, words merged alone),
-    so the ids of a text are those of its chunks end to end.
+    so the ids of a text are those of its chunks end to end. A chunk of ASCII letters is one word, in lower case, whose
+    last token alone carries the end-of-word mark: new ones are encoded as long lists of words by the merges alone, and
+    the ids cut where words end. Where a tokenizer does not agree with that on a few words, none of this is used.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(1 + max(words.values()), bool)
+        self.ends_word[[k for token, k in words.items() if mark and token.endswith(mark)]] = True
+        probe = "The QUICK brown fox JumpsOver lazydogs unwordlike qzx"
+        want = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        found = self.merges.encode(probe.lower(), add_special_tokens=False).ids
+        self.plain_words = want == found and int(self.ends_word[found].sum()) == len(probe.split())
         self.forget()
 
     def forget(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.held = 0
+        self.held = self.count = 0
+        self.new_ids: list[np.ndarray] = []
+        self.new_sizes: list[np.ndarray] = []
         self.ids = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
+    def _remember(self, chunks: list[bytes], ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        first = self.count
+        self.codes.update(zip(chunks, range(first, first + len(chunks))))
+        self.count += len(chunks)
+        self.held += sum(map(len, chunks))
+        self.new_ids += ids
+        self.new_sizes.append(sizes)
+
+    def _settle(self) -> None:
+        """Append what was remembered to the arrays that are gathered from, at once."""
+        if self.new_sizes:
+            self.ids = np.concatenate([self.ids, *self.new_ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(self.new_sizes), dtype=np.int64)])
+            self.new_ids, self.new_sizes = [], []
+
+    def _words(self, tokenizer, words: list[bytes]) -> None:
+        """Remember words that are one token run each: many are encoded as one text, cut again where words end."""
+        lists = [words[i : i + 512] for i in range(0, len(words), 512)]
+        for part, e in zip(lists, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lists], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(self.ends_word[ids])
+            if len(stops) == len(part):
+                self._remember(part, [ids], np.diff(stops, prepend=-1))
+
     def _learn(self, chunks: list[bytes]) -> None:
-        """Remember new chunks. A word with full stops or commas after it is the word and these: both are looked up alone."""
-        split = {}
-        plain = dict.fromkeys(chunks)
-        for c in chunks:
-            stem = c.rstrip(b".,")
-            if stem and stem != c and stem[-1:].isalnum():
-                split[c] = (stem, c[len(stem) :])
-                del plain[c]
-                plain.update(dict.fromkeys(x for x in split[c] if x not in self.codes))
-        fresh = list(plain)
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)
-        parts = [self.ids] + [np.array(e.ids, np.uint32) for e in found]
-        sizes = [len(p) for p in parts[1:]]
-        for c in fresh:
-            self.codes[c] = len(self.codes)
-        self.ids = np.concatenate(parts)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
-        parts, sizes = [self.ids], []
-        for c, (stem, tail) in split.items():
-            for x in (stem, tail):
-                k = self.codes[x]
-                parts.append(self.ids[self.ends[k] : self.ends[k + 1]])
-            sizes.append(len(parts[-1]) + len(parts[-2]))
-            self.codes[c] = len(self.codes)
-        self.ids = np.concatenate(parts)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
-        self.held += sum(map(len, self.codes)) if not self.held else sum(map(len, fresh)) + sum(map(len, split))
+        """Remember new chunks. Marks after a word are a token run of their own: word and marks are looked up alone."""
+        stems = [c.rstrip(_MARKS) for c in chunks]
+        split = [(c, s, c[len(s) :]) for c, s in zip(chunks, stems) if len(s) < len(c) and _WORD.fullmatch(s)]
+        fresh = dict.fromkeys(c for c, s in zip(chunks, stems) if len(s) == len(c) or not _WORD.fullmatch(s))
+        fresh.update(dict.fromkeys(x for _, s, tail in split for x in (s, tail) if x not in self.codes))
+        if self.plain_words:
+            cased = [(c, c.lower()) for c in fresh if c.isalpha()]
+            self._words(self.merges, [w for w in dict.fromkeys(w for _, w in cased) if w not in self.codes])
+            self.codes.update((c, self.codes[w]) for c, w in cased if c != w and w in self.codes)
+            self._words(self.tokenizer, [c for c in fresh if c not in self.codes and not c.isdigit() and _WORD.fullmatch(c)])
+        others = [c for c in fresh if c not in self.codes]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)]
+        self._remember(others, found, np.array([len(x) for x in found], np.int64))
+        if split:
+            parts = np.array([[self.codes[s], self.codes[tail]] for _, s, tail in split]).ravel()
+            ids, size = self._gather(parts)
+            self._remember([c for c, _, _ in split], [ids], size.reshape(-1, 2).sum(axis=1))
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks with these codes end to end, and how many each has."""
+        self._settle()
+        first = self.ends[which]
+        size = self.ends[which + 1] - first
+        stop = np.cumsum(size)
+        return self.ids[np.repeat(first - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], size
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Token ids of every text."""
         if self.held > KNOWN_BYTES:
             self.forget()
         split = [x.split() for x in texts]
-        chunks = [c for x in split for c in x]
+        chunks = list(chain.from_iterable(split))
         codes = list(map(self.codes.get, chunks))
         if None in codes:
-            self._learn(list(dict.fromkeys(c for c, k in zip(chunks, codes) if k is None)))
-            codes = list(map(self.codes.__getitem__, chunks))
-        which = np.array(codes, np.int64)
-        size = self.ends[which + 1] - self.ends[which]
-        stop = np.cumsum(size)
-        ids = self.ids[np.repeat(self.ends[which] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
-        edges = np.concatenate([[0], stop])[np.cumsum([0, *map(len, split)])]
+            self._learn(list(dict.fromkeys([c for c, k in zip(chunks, codes) if k is None])))
+            codes = [self.codes[c] if k is None else k for c, k in zip(chunks, codes)]
+        ids, size = self._gather(np.array(codes, np.int64))
+        edges = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, split)])]
         return [ids[a:z] for a, z in zip(edges, edges[1:])]
 
 
