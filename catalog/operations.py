@@ -547,7 +547,7 @@ def streamed(d):
     """Tables of the incremental index after all steps have arrived, and the first one again; run once per domain."""
     if id(d) not in _STREAMED or _STREAMED[id(d)][0] is not d:
         out = folder(d)
-        tables = {t: f"{out}/{t}" for t in ("quotes", "late", "fares", "prices", "elementary", "headline", "routes")}
+        tables = {t: f"{out}/{t}" for t in ("quotes", "late", "fares", "prices", *ingest.INDEX_TABLES)}
         state = d.routes, d.base, d.weights, d.shares
         for stream in arriving(d, f"{out}/events"):
             ingest.ingest_quotes(d.spark, quotes_from_events(stream), tables, *state, f"{out}/checkpoint").awaitTermination()
@@ -560,7 +560,7 @@ def streamed(d):
 def late_filings(d):
     """Quotes filed for another day, as the ingest puts them into the gap table."""
     out = folder(d)
-    tables = {t: f"{out}/{t}" for t in ("quotes", "late", "fares", "prices", "elementary", "headline", "routes")}
+    tables = {t: f"{out}/{t}" for t in ("quotes", "late", "fares", "prices", *ingest.INDEX_TABLES)}
     quotes = quotes_from_events(event_stream(d)).withColumn(
         "observed_on", F.date_add("scrape_date", F.when(F.col("ingest_seq") % 9 == 0, 2).otherwise(0))
     )

@@ -57,31 +57,46 @@ def basket_spine(cells: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def carry_forward(
+def carried_cells(
     observed: DataFrame,
     spine: DataFrame,
     max_carry: int = S.MAX_CARRY_FORWARD,
     policy: str = "reference",
+    snapshot: DataFrame | None = None,
 ) -> DataFrame:
-    """Fill missing cell-days from the last stored value, or drop them.
+    """Elementary outcome per cell and day, with the state that the next day starts from (last_value, missing_days).
 
     Within a run of consecutive missing days the position k decides. Under `reference` a drop
     leaves no stored row, which restarts the streak, so every (max_carry+1)-th day is dropped;
     under `documented` only the first max_carry days are filled. A calendar day that was not
     processed ends the run. Windows are per cell, so a partition holds at most one row per day.
+
+    snapshot (index_date, cell, last_value, missing_days) is the state of a day before the first one of spine; the
+    outcome is then the same as if all days up to it had been in spine as well.
     """
     if policy not in ("reference", "documented"):
         raise ValueError(f"unknown carry-forward policy {policy!r}")
     history = Window.partitionBy(*S.CELL).orderBy("scrape_date")
     before = history.rowsBetween(Window.unboundedPreceding, -1)
     joined = spine.join(observed, ["scrape_date", *S.CELL], "left")
+    if snapshot is None:
+        held = {"_held": F.lit(None).cast(MONEY4), "_open": F.lit(0).cast("bigint"), "_from": F.lit(None).cast("date")}
+        joined = joined.withColumns(held)
+    else:
+        state = snapshot.select(
+            *S.CELL, F.col("last_value").alias("_held"), F.col("missing_days").alias("_open"), F.col("index_date").alias("_from")
+        )
+        joined = joined.join(state, S.CELL, "left")
     seen = F.col("index_value").isNotNull()
-    gap = F.coalesce(F.datediff("scrape_date", F.lag("scrape_date").over(history)) > 1, F.lit(False))
+    day_before = F.coalesce(F.lag("scrape_date").over(history), "_from")
+    gap = F.coalesce(F.datediff("scrape_date", day_before) > 1, F.lit(False))
     runs = joined.withColumn("_seen", seen).withColumn("_break", (seen | gap).cast("int"))
-    runs = runs.withColumn("_prior", F.last(F.col("index_value").cast(MONEY4), ignorenulls=True).over(before))
+    value = F.col("index_value").cast(MONEY4)
+    runs = runs.withColumn("_prior", F.coalesce(F.last(value, ignorenulls=True).over(before), "_held"))
     runs = runs.withColumn("_run", F.sum("_break").over(history))
     run = Window.partitionBy(*S.CELL, "_run").orderBy("scrape_date")
-    runs = runs.withColumn("_k", F.sum((~F.col("_seen")).cast("int")).over(run))
+    opened = F.when(F.col("_run") == 0, F.coalesce("_open", F.lit(0))).otherwise(0)
+    runs = runs.withColumn("_k", F.sum((~F.col("_seen")).cast("int")).over(run) + opened)
     period = max_carry + 1
     if policy == "reference":
         streak = (F.col("_k") - 1) % period
@@ -111,14 +126,36 @@ def carry_forward(
         dropped.alias("is_dropped"),
         note.alias("imputation_note"),
         why.alias("drop_reason"),
+        F.when(F.col("_seen"), value).otherwise(F.col("_prior")).alias("last_value"),
+        F.when(F.col("_seen"), 0).otherwise(F.col("_k")).cast("bigint").alias("missing_days"),
     )
 
 
+CARRY_STATE = ["last_value", "missing_days"]
+
+
+def carry_forward(
+    observed: DataFrame,
+    spine: DataFrame,
+    max_carry: int = S.MAX_CARRY_FORWARD,
+    policy: str = "reference",
+) -> DataFrame:
+    """Fill missing cell-days from the last stored value, or drop them (see carried_cells)."""
+    return carried_cells(observed, spine, max_carry, policy).drop(*CARRY_STATE)
+
+
 def build_elementary(prices, base, cells, days, max_carry=S.MAX_CARRY_FORWARD, policy="reference") -> DataFrame:
     """Elementary outcome of every basket cell on every processed day."""
     return carry_forward(jevons_cells(prices, base), basket_spine(cells, days), max_carry, policy)
 
 
+def continue_elementary(
+    prices, base, cells, days, snapshot: DataFrame | None, max_carry=S.MAX_CARRY_FORWARD, policy="reference"
+) -> DataFrame:
+    """build_elementary for the days after a snapshot alone, with the carry state of every day (see carried_cells)."""
+    return carried_cells(jevons_cells(prices, base), basket_spine(cells, days), max_carry, policy, snapshot)
+
+
 def stored_elementary(elementary: DataFrame) -> DataFrame:
     """Rows as stored: dropped cells leave no row, values at four decimals."""
     return elementary.filter(~F.col("is_dropped")).withColumn("index_value", F.col("index_value").cast(MONEY4))

@@ -38,6 +38,24 @@ def absent_rows(new: DataFrame, stored: DataFrame | None, keys: list[str], where
     return missing if where is None else missing.unionByName(new.filter(~where))
 
 
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column as its folders name them, in order; empty where nothing has been written yet.
+
+    A listing of one folder level: as many names as partitions (days), no file is opened.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+
+def read_partitions(spark: SparkSession, path: str, column: str, values: list[str]) -> DataFrame:
+    """Rows of the named partitions alone: no other folder is listed, no other file opened, not even for its schema."""
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{column}={v}" for v in values])
+
+
 def staged(spark: SparkSession, new: DataFrame, path: str, partition_by: list[str]) -> tuple[DataFrame, str]:
     """Write the incoming rows beside the table once, and read them back: the rows, and the folder to remove.
 
@@ -66,7 +84,7 @@ def touched(stored: DataFrame | None, new: DataFrame, column: str) -> DataFrame
     return stored.filter(F.col(column).isin(values))
 
 
-def _overwrite(rows: DataFrame, path: str, partition_by: list[str]) -> None:
+def overwrite(rows: DataFrame, path: str, partition_by: list[str]) -> None:
     (
         rows.hint("rebalance", *partition_by)
         .write.mode("overwrite")
@@ -79,10 +97,30 @@ def _overwrite(rows: DataFrame, path: str, partition_by: list[str]) -> None:
 def replace_partitions(spark: SparkSession, new: DataFrame, path: str, partition_by: list[str]) -> None:
     """Swap in whole partitions; new may be computed from the rows it replaces, so it is staged first."""
     beside, work = staged(spark, new, path, partition_by)
-    _overwrite(beside, path, partition_by)
+    overwrite(beside, path, partition_by)
     remove(spark, work)
 
 
+def replace_from(
+    spark: SparkSession, new: DataFrame, path: str, column: str, start: str, values: list[str] | None = None
+) -> None:
+    """Swap in all partitions from `start` on: those without new rows go. Older partitions are neither read nor written.
+
+    new is not computed from the table itself. values names its partitions where they are known; else new is staged and
+    they are read off the folders.
+    """
+    work = None
+    if values is None:
+        new, work = staged(spark, new, path, [column])
+        values = partition_values(spark, work, column)
+    overwrite(new, path, [column])
+    for value in partition_values(spark, path, column):
+        if value >= start and value not in values:
+            remove(spark, f"{path}/{column}={value}")
+    if work:
+        remove(spark, work)
+
+
 def insert_absent(
     spark: SparkSession, new: DataFrame, path: str, keys: list[str], partition_by: list[str], order: str, where=None
 ) -> None:
@@ -114,7 +152,7 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], part
     beside, work = staged(spark, new, path, partition_by)
     stored = touched(read_table(spark, path, beside), beside, partition_by[0])
     if stored is None:
-        _overwrite(beside, path, partition_by)
+        overwrite(beside, path, partition_by)
     else:
         replace_partitions(spark, merged(beside, stored, keys), path, partition_by)
     remove(spark, work)

@@ -6,6 +6,10 @@ borders: quotes are merged into their day, and every touched day is cleaned agai
 
 from __future__ import annotations
 
+import functools
+import operator
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricemesh import schema as S
@@ -55,28 +59,67 @@ def store_quotes(spark: SparkSession, quotes: DataFrame, path: str) -> None:
     sinks.remove(spark, work)
 
 
+#: Tables that build_days keeps: the published ones, and the state from which a day is continued.
+INDEX_TABLES = ["elementary", "headline", "routes", "snapshots", "daily", "daily_routes"]
+
+
+def snapshot_before(spark: SparkSession, path: str, day) -> DataFrame | None:
+    """Carry state of all cells at the end of the last processed day before `day`: one partition."""
+    earlier = [v for v in sinks.partition_values(spark, path, "index_date") if v < str(day)]
+    if not earlier:
+        return None
+    return sinks.read_partitions(spark, path, "index_date", earlier[-1:])
+
+
+def _first_of_periods(start) -> dict[str, object]:
+    """First day of the period of every frequency that `start` belongs to."""
+    return {"daily": start, "weekly": start - timedelta(days=start.weekday()), "monthly": start.replace(day=1)}
+
+
+def _publish(spark: SparkSession, rows: DataFrame, path: str, start) -> None:
+    """Swap in the published rows of all periods that `start` or a later day belongs to; periods left without rows go."""
+    first = _first_of_periods(start)
+    wanted = functools.reduce(
+        operator.or_, [(F.col("frequency") == f) & (F.col("index_date") >= F.lit(day)) for f, day in first.items()]
+    )
+    beside, work = sinks.staged(spark, rows.filter(wanted), path, ["frequency", "index_date"])
+    sinks.overwrite(beside, path, ["frequency", "index_date"])
+    for f, day in first.items():
+        kept = set(sinks.partition_values(spark, f"{work}/frequency={f}", "index_date"))
+        for value in sinks.partition_values(spark, f"{path}/frequency={f}", "index_date"):
+            if value >= str(day) and value not in kept:
+                sinks.remove(spark, f"{path}/frequency={f}/index_date={value}")
+    sinks.remove(spark, work)
+
+
 def build_days(
     spark: SparkSession, days: list, tables: dict[str, str], base: DataFrame, weights: DataFrame, shares: DataFrame | None
 ) -> None:
     """Rebuild the index from the earliest of `days` on: what is carried forward from a day changes the days after it.
 
-    The price table is the state. It is small (days x carrier cells), so cells are derived from all of it, while fares
-    are read for the touched days only; rows before the earliest touched day, and periods that end before it, stay.
+    The state is a snapshot per day: last observed value and days missing of every cell. Prices and cells are read from
+    the earliest touched day on, the snapshot of the day before it and, for periods under way, the exact daily rows since
+    their month began (one row per day and route). Cost follows the days from there on, not the history; rows before
+    that day, and periods that end before it, are neither read nor written.
     """
     start = min(days)
-    table = spark.read.parquet(tables["prices"])
-    elementary = index_ops.build_elementary(fare_ops.daily_prices(table), base, weights, fare_ops.scrape_dates(table))
-    cells, work = sinks.staged(spark, elementary, f"{tables['elementary']}_work", ["index_date"])
-    from_start = F.col("index_date") >= F.lit(start)
-    sinks.replace_partitions(spark, cells.filter(from_start), tables["elementary"], ["index_date"])
-    in_period = from_start | (
-        (F.col("frequency") == "weekly") & (F.col("index_date") >= F.trunc(F.lit(start), "week"))
-        | (F.col("frequency") == "monthly") & (F.col("index_date") >= F.trunc(F.lit(start), "month"))
-    )
-    headline = index_ops.stored_index(index_ops.all_frequencies(index_ops.daily_headline(cells, weights, shares)))
-    sinks.upsert(spark, headline.filter(in_period), tables["headline"], ["index_date", "frequency"], ["frequency"])
-    routes = index_ops.all_route_frequencies(index_ops.route_index(cells, weights))
-    sinks.upsert(spark, routes.filter(in_period), tables["routes"], ["index_date", "frequency", "route_id"], ["frequency"])
+    later = [v for v in sinks.partition_values(spark, tables["prices"], "scrape_date") if v >= str(start)]
+    table = sinks.read_partitions(spark, tables["prices"], "scrape_date", later)
+    state = snapshot_before(spark, tables["snapshots"], start)
+    built = index_ops.continue_elementary(fare_ops.daily_prices(table), base, weights, fare_ops.scrape_dates(table), state)
+    cells, work = sinks.staged(spark, built, f"{tables['elementary']}_work", ["index_date"])
+    sinks.replace_from(spark, cells.select("index_date", *S.CELL, *index_ops.CARRY_STATE), tables["snapshots"], "index_date", str(start), later)
+    cells = cells.drop(*index_ops.CARRY_STATE)
+    sinks.replace_from(spark, cells, tables["elementary"], "index_date", str(start), later)
+    # A week may begin in the month before, so daily rows are read from the earlier of the two.
+    since = F.col("index_date") >= F.lit(min(_first_of_periods(start).values()))
+    for exact, published, daily, frequencies, finish in (
+        ("daily", "headline", index_ops.daily_headline(cells, weights, shares), index_ops.all_frequencies, index_ops.stored_index),
+        ("daily_routes", "routes", index_ops.route_index(cells, weights), index_ops.all_route_frequencies, lambda rows: rows),
+    ):
+        sinks.replace_from(spark, daily, tables[exact], "index_date", str(start))
+        current = spark.read.schema(daily.schema).parquet(tables[exact]).filter(since)
+        _publish(spark, finish(frequencies(current)), tables[published], start)
     sinks.remove(spark, work)
 
 
@@ -86,7 +129,7 @@ def ingest_quotes(
 ):
     """Store every micro-batch of quotes and bring the index up to date with it.
 
-    tables names the folders quotes, late, fares, prices, elementary, headline and routes. Quotes with a column
+    tables names the folders quotes, late, fares, prices and those of INDEX_TABLES. Quotes with a column
     observed_on other than their day go to the gap table `late` and are not indexed. The touched days are cleaned anew
     from all their stored quotes, because outlier groups and duplicates span batches. Replaying a batch changes nothing.
     """
