@@ -1,8 +1,9 @@
 """Rolling-origin scoring of short-horizon forecasts, and the verdict on them.
 
-Baselines are lags. The damped-trend models are recursions in time with no closed form, so a
-small vectorised helper folds one series per row; everything before and after it (blocks of
-origins, pairing with actuals, scores, verdicts) is relational.
+Baselines are lags. The damped-trend models are linear recursions in time: blocks of a series are summed up on
+their own by a small vectorised helper, put together in order, and only then followed once more, so a long series
+spreads over tasks and its cost grows with its length. Everything before and after (blocks, pairing with actuals,
+scores, verdicts) is relational.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ GRID_ALPHA = (0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 GRID_BETA = (0.02, 0.05, 0.1, 0.2, 0.4)
 GRID_PHI = (0.80, 0.90, 0.95, 0.98)
 # End of fixed values.
-ORIGINS_PER_BLOCK = 64
+#: Observations of a block, a whole number of seasons; series followed side by side in a task.
+HALF = SEASON // 2
+BLOCK = 16 * SEASON
+ROWS = 256
 
 
 def positions(series: DataFrame) -> DataFrame:
@@ -66,95 +70,266 @@ def lag_pairs(series: DataFrame, horizons: tuple[int, ...], min_train: int, mode
     return pos.select("series_id", F.inline(F.array(*pairs))).filter(F.col("origin") >= min_train)
 
 
-def _origin_blocks(series: DataFrame, min_train: int, horizons: tuple[int, ...]) -> DataFrame:
-    """One row per (series, block of origins): a long series is spread over several tasks."""
-    packed = series.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct("index_date", F.col("value").cast("double").alias("v")))).alias("points")
+def _blocks(series: DataFrame) -> DataFrame:
+    """(series_id, block, n, base, x, dev): each series cut into blocks of BLOCK observations, as arrays.
+
+    x are values less the series' first one; dev, where six values came before, is how far the value three places back
+    lies from the mean of the seven around it, known from this observation on.
+    """
+    order = ordered()
+    near = order.rowsBetween(-2 * HALF, 0)
+    at = positions(series).withColumns(
+        {
+            "base": F.first("value").over(order),
+            "dev": F.when(F.col("pos") >= 2 * HALF, F.lag("value", HALF).over(order) - F.avg("value").over(near)),
+        }
     )
-    last = F.size("points") - min(horizons)
-    starts = F.when(last >= min_train, F.sequence(F.lit(min_train), last, F.lit(ORIGINS_PER_BLOCK)))
-    return (
-        packed.withColumn("starts", starts)
-        .select(
-            "series_id",
-            F.transform("points", lambda p: p["v"]).alias("y"),
-            F.explode("starts").alias("first"),
-        )
-        .withColumn("last", F.least(F.col("first") + ORIGINS_PER_BLOCK - 1, F.size("y") - min(horizons)))
-        # A fixed count: adaptive coalescing would fold these small rows into one busy task.
-        .repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "first")
+    point = F.struct("pos", (F.col("value") - F.col("base")).alias("x"), "dev")
+    packed = at.groupBy("series_id", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
+        F.first("base").alias("base"), F.array_sort(F.collect_list(point)).alias("p")
     )
+    return packed.select("series_id", "block", "base", F.col("p.x").alias("x"), F.col("p.dev").alias("dev"))
+
+
+class _Scan:
+    """Damped Holt over blocks of observations, for all grid points and many series at once.
+
+    Level and trend follow an affine map per observation, s -> A s + b x, and the one-step error is x - c s. So the state
+    after a block is affine in the state before it, and the block's sum of squared errors quadratic in that: blocks are
+    summed up on their own and put together in order. Weekly factors differ per origin but enter linearly: besides the
+    values, the seven indicators of the weekday are followed as inputs. For factors f the state is that of the values
+    less f times those of the indicators, and the sum of squares (1, -f) G (1, -f) with G the products of errors. What
+    concerns the indicators alone is the same for every series.
+    """
+
+    def __init__(self, seasonal: bool):
+        import numpy as np
+
+        grid = [(a, b, p) for a in GRID_ALPHA for b in GRID_BETA for p in GRID_PHI]
+        alpha, beta, self.phi = (np.array(c) for c in zip(*grid))
+        self.n, self.seasonal = len(grid), seasonal
+        self.a = np.array([[1 - alpha, (1 - alpha) * self.phi], [-alpha * beta, self.phi * (1 - alpha * beta)]])
+        self.b = np.array([alpha, alpha * beta])
+        # Over a whole block: A^BLOCK, and the sum of (c A^j)' (c A^j), the weight of the incoming state in the squares.
+        power, weight = np.tile(np.eye(2)[:, :, None], self.n), np.zeros((2, 2, self.n))
+        rows = np.empty((BLOCK, 2, self.n))
+        for j in range(BLOCK):
+            rows[j] = power[0] + self.phi * power[1]
+            weight += rows[j][:, None] * rows[j][None, :]
+            power = np.einsum("ikg,klg->ilg", self.a, power)
+        self.power, self.weight, self.rows = power, weight, rows
+        self.starts = [(np.zeros((2, SEASON, self.n)), np.zeros((SEASON, SEASON, self.n)))]
+
+    def step(self, state, x):
+        """Error of each prediction and the state after observing x; state: (2, ..., grid), x: (..., 1) or wider."""
+        error = x - state[0] - self.phi * state[1]
+        level = self.a[0, 0] * state[0] + self.a[0, 1] * state[1] + self.b[0] * x
+        trend = self.a[1, 0] * state[0] + self.a[1, 1] * state[1] + self.b[1] * x
+        return error, (level, trend)
+
+    def weekdays(self, block: int):
+        """Indicator states before `block`, their error products so far, and the errors in the block: (BLOCK, 7, grid)."""
+        import numpy as np
+
+        while True:
+            k = min(block, len(self.starts) - 1)
+            state, products = self.starts[k]
+            state, errors = (state[0], state[1]), np.zeros((BLOCK, SEASON, self.n))
+            for j in range(BLOCK):
+                x = (np.arange(SEASON) == j % SEASON).astype(float)[:, None]
+                if k == 0 and j == 0:  # the first two values set the state
+                    state = (x + np.zeros(self.n), (np.arange(SEASON) == 1).astype(float)[:, None] - x + np.zeros(self.n))
+                else:
+                    errors[j], state = self.step(state, x)
+            if k == block:
+                return self.starts[k][0], products, errors
+            total = products + np.einsum("jsg,jtg->stg", errors, errors)
+            self.starts.append((np.array(state), total))
+
+    def follow(self, block: int, x, state):
+        """(place, errors, state) after every observation of the blocks x (rows, length), from the state before them;
+        the first two values of a series set its state, so its first place has no error."""
+        import numpy as np
 
+        for j in range(x.shape[1]):
+            error = None
+            if block == 0 and j == 0:
+                slope = x[:, 1:2] if x.shape[1] > 1 else np.zeros((len(x), 1))
+                state = np.zeros((len(x), self.n)), np.repeat(slope, self.n, axis=1)
+            else:
+                error, state = self.step(state, x[:, j : j + 1])
+            yield j, error, state
 
-def _fold(horizons: tuple[int, ...], seasonal: bool):
-    """Helper for mapInPandas: damped Holt over one series for every origin of a block."""
-    grid = [(a, b, p) for a in GRID_ALPHA for b in GRID_BETA for p in GRID_PHI]
-    season = SEASON
 
-    def forecast(batches: Iterable):
+def _pack(arrays) -> list:
+    import numpy as np
+
+    return np.concatenate([np.ravel(a) for a in arrays]).tolist()
+
+
+def _summed(seasonal: bool):
+    """Helper for mapInPandas: what a full block adds, whatever the state before it.
+
+    Numbers of a block: state after, from none; sums of errors by the incoming state's share in them; squares; products.
+    """
+
+    def run(batches: Iterable):
         import numpy as np
         import pandas as pd
 
-        alpha, beta, phi = (np.array(c) for c in zip(*grid))
-
-        def factors(y, origins):
-            dev = np.full(len(y), np.nan)
-            half = season // 2
-            for t in range(half, len(y) - half):
-                dev[t] = y[t] - y[t - half : t + half + 1].mean()
-            out = np.zeros((len(origins), season))
-            for i, n in enumerate(origins):
-                if n < 2 * season:
-                    continue
-                known = np.arange(half, n - half)
-                for s in range(season):
-                    slot = dev[known[known % season == s]]
-                    out[i, s] = slot.mean() if len(slot) else 0.0
-                out[i] -= out[i].mean()
-            return out
+        scan = _Scan(seasonal)
+        slot = (np.arange(BLOCK) - HALF) % SEASON
+        for batch in batches:
+            for block, part in batch.groupby("block"):
+                known = scan.weekdays(int(block))[2] if seasonal else None
+                for first in range(0, len(part), ROWS):
+                    some = part.iloc[first : first + ROWS]
+                    x, dev = (np.array([list(v) for v in some[c]], float) for c in ("x", "dev"))
+                    rows = len(x)
+                    state = np.zeros((rows, scan.n)), np.zeros((rows, scan.n))
+                    errors, squares = np.zeros((rows, 2, scan.n)), np.zeros((rows, scan.n))
+                    products = np.zeros((rows, SEASON if seasonal else 0, scan.n))
+                    for j, error, state in scan.follow(int(block), x, state):
+                        if error is not None:
+                            squares += error * error
+                            errors += error[:, None] * scan.rows[j] if block else 0
+                            products += error[:, None] * known[j] if seasonal else 0
+                    parts = zip(state[0], state[1], errors, squares, products)
+                    yield pd.DataFrame(
+                        {
+                            "series_id": some["series_id"].to_numpy(), "block": block, "sums": [_pack(p) for p in parts],
+                            "dev_sums": [[np.nansum(d[slot == s]) for s in range(SEASON)] for d in dev],
+                            "dev_counts": [[float(np.isfinite(d[slot == s]).sum()) for s in range(SEASON)] for d in dev],
+                        }
+                    )
+
+    return run
+
+
+def _carried(seasonal: bool):
+    """Helper for applyInPandas: the numbers before every block of a series, by putting its blocks together in order."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        scan = _Scan(seasonal)
+        n = scan.n
+        state, squares = np.zeros((2, n)), np.zeros(n)
+        products = np.zeros((SEASON, n))
+        sums, counts = np.zeros(SEASON), np.zeros(SEASON)
+        out = []
+        for row in pdf.sort_values("block").itertuples(index=False):
+            numbers = np.asarray(row.sums, float)
+            after, errors, own = numbers[: 2 * n].reshape(2, n), numbers[2 * n : 4 * n].reshape(2, n), numbers[4 * n : 5 * n]
+            shift = np.einsum("ig,ijg,jg->g", state, scan.weight, state)
+            squares = squares + own - 2 * (errors * state).sum(axis=0) + (shift if row.block else 0)
+            if seasonal:
+                known = scan.weekdays(int(row.block))[2]
+                cross = np.einsum("jig,jsg->isg", scan.rows, known)
+                products = products + numbers[5 * n :].reshape(SEASON, n) - (np.einsum("isg,ig->sg", cross, state) if row.block else 0)
+            state = after + np.einsum("ijg,jg->ig", scan.power, state)
+            sums, counts = sums + np.asarray(row.dev_sums), counts + np.asarray(row.dev_counts)
+            out.append((row.series_id, row.block + 1, _pack([state, squares, products]), sums.tolist(), counts.tolist()))
+        return pd.DataFrame(out, columns=["series_id", "block", "before", "dev_sums", "dev_counts"])
+
+    return run
+
+
+def _forecasts(horizons: tuple[int, ...], seasonal: bool, min_train: int):
+    """Helper for mapInPandas: forecasts at every origin of a block, from the numbers before it."""
+
+    def run(batches: Iterable):
+        import numpy as np
+        import pandas as pd
 
+        scan = _Scan(seasonal)
+        n = scan.n
         for batch in batches:
-            rows = []
-            for sid, y, first, last in batch[["series_id", "y", "first", "last"]].itertuples(index=False):
-                y = np.asarray(y, dtype=float)
-                origins = np.arange(first, last + 1)
-                shape = factors(y, origins) if seasonal else np.zeros((1, season))
-                level = (y[0] - shape[:, 0])[:, None] + np.zeros((1, len(grid)))
-                trend = (y[1] - shape[:, 1])[:, None] - level
-                sse = np.zeros_like(level)
-                picked = np.zeros((3, len(origins)))
-                for i in range(1, int(last)):
-                    # Seasonal factors differ per origin, so each origin keeps its own state and
-                    # leaves when its history ends; without them one state serves all origins.
-                    live = slice(max(0, i - int(first) + 1) if seasonal else 0, None)
-                    obs = (y[i] - shape[live, i % season])[:, None]
-                    pred = level[live] + phi * trend[live]
-                    sse[live] += (obs - pred) ** 2
-                    new = alpha * obs + (1 - alpha) * pred
-                    trend[live] = beta * (new - level[live]) + (1 - beta) * phi * trend[live]
-                    level[live] = new
-                    at = i + 1 - int(first)
-                    if at >= 0:
-                        row = at if seasonal else 0
-                        best = sse[row].argmin()
-                        picked[:, at] = level[row, best], trend[row, best], phi[best]
-                for h in horizons:
-                    damp = sum(picked[2] ** k for k in range(1, h + 1))
-                    value = picked[0] + damp * picked[1]
-                    if seasonal:
-                        value = value + shape[np.arange(len(origins)), (origins + h - 1) % season]
-                    rows.append(pd.DataFrame({"series_id": sid, "origin": origins, "horizon": h, "predicted": value}))
-            if rows:
-                yield pd.concat(rows)
-
-    return forecast
+            size = batch["x"].map(len)
+            for (block, length), part in batch.groupby(["block", size]):
+                for first in range(0, len(part), ROWS):
+                    some = part.iloc[first : first + ROWS]
+                    yield from block_rows(scan, n, int(block), int(length), some, np, pd)
+
+    def block_rows(scan, n, block, length, some, np, pd):
+        rows, index = len(some), np.arange(len(some))
+        x, dev = (np.array([list(v) for v in some[c]], float) for c in ("x", "dev"))
+        width = n * (3 + SEASON)
+        before = np.array([np.zeros(width) if b is None else np.asarray(b, float) for b in some["before"]])
+        squares, products = before[:, 2 * n : 3 * n].copy(), before[:, 3 * n :].reshape(rows, SEASON, n).copy()
+        zero = [0.0] * SEASON
+        sums, counts = (np.array([zero if v is None else list(v) for v in some[c]], float) for c in ("dev_sums", "dev_counts"))
+        if seasonal:
+            days, both, errors7 = scan.weekdays(block)
+            days, both = (days[0], days[1]), both.copy()
+        origins, values = [], []
+        for j, error, (level, trend) in scan.follow(block, x, (before[:, :n], before[:, n : 2 * n])):
+            at = block * BLOCK + j
+            squares += 0 if error is None else error * error
+            if seasonal:
+                x7 = (np.arange(SEASON) == at % SEASON).astype(float)[:, None]
+                if error is None:
+                    one = (np.arange(SEASON) == 1).astype(float)[:, None]
+                    days = x7 + np.zeros(n), one - x7 + np.zeros(n)
+                else:
+                    days = scan.step(days, x7)[1]
+                    products += error[:, None] * errors7[j]
+                    both += errors7[j][:, None] * errors7[j][None, :]
+                fresh = np.isfinite(dev[:, j])
+                sums[fresh, (at - HALF) % SEASON] += dev[fresh, j]
+                counts[fresh, (at - HALF) % SEASON] += 1
+            origin = at + 1
+            if origin < min_train:
+                continue
+            total = squares
+            if seasonal:
+                factors = sums / np.maximum(counts, 1) if origin >= 2 * SEASON else np.zeros((rows, SEASON))
+                factors = factors - factors.mean(axis=1, keepdims=True)
+                outer = (factors[:, :, None] * factors[:, None, :]).reshape(rows, -1)
+                total = squares - 2 * np.einsum("rs,rsg->rg", factors, products) + outer @ both.reshape(-1, n)
+            best = _first_least(total, np)
+            level, trend = level[index, best] + some["base"].to_numpy(float), trend[index, best]
+            if seasonal:
+                level = level - (factors * days[0][:, best].T).sum(axis=1)
+                trend = trend - (factors * days[1][:, best].T).sum(axis=1)
+            damped = scan.phi[best]
+            for h in horizons:
+                value = level + sum(damped**k for k in range(1, h + 1)) * trend
+                values.append(value + factors[:, (origin + h - 1) % SEASON] if seasonal else value)
+            origins.append(origin)
+        if origins:
+            yield pd.DataFrame(
+                {
+                    "series_id": np.tile(some["series_id"].to_numpy(), len(values)),
+                    "origin": np.repeat(origins, rows * len(horizons)),
+                    "horizon": np.tile(np.repeat(horizons, rows), len(origins)),
+                    "predicted": np.concatenate(values),
+                }
+            )
+
+    return run
+
+
+def _first_least(total, np):
+    """First grid point whose sum of squares is the least, but for the rounding of sums put together differently."""
+    least = total.min(axis=1, keepdims=True)
+    return (total <= least + 1e-11 * np.maximum(np.abs(least), 1e-12 * np.abs(total).max(axis=1, keepdims=True))).argmax(axis=1)
 
 
 def _trend_model(name: str, seasonal: bool):
     def build(series: DataFrame, horizons: tuple[int, ...], min_train: int) -> DataFrame:
-        blocks = _origin_blocks(series, max(min_train, 3), horizons)
-        made = blocks.mapInPandas(
-            _fold(tuple(horizons), seasonal), "series_id string, origin long, horizon int, predicted double"
+        blocks = staging.written(_blocks(series), "nowcast-blocks")
+        # Only what is followed by another block is summed up; a series of one block needs neither sum nor carry.
+        full = blocks.where(F.size("x") == BLOCK)
+        sums = full.mapInPandas(
+            _summed(seasonal), "series_id string, block long, sums array<double>, dev_sums array<double>, dev_counts array<double>"
+        )
+        before = sums.groupBy("series_id").applyInPandas(
+            _carried(seasonal), "series_id string, block long, before array<double>, dev_sums array<double>, dev_counts array<double>"
+        )
+        made = blocks.join(before, ["series_id", "block"], "left").mapInPandas(
+            _forecasts(tuple(horizons), seasonal, max(min_train, 3)), "series_id string, origin long, horizon int, predicted double"
         )
         actual = positions(series).select("series_id", "pos", F.col("value").alias("actual"))
         return (

@@ -86,6 +86,34 @@ def test_damped_trend_by_brute_force_across_blocks(spark):
         assert got[key] == pytest.approx(damped(values[: key[0]], key[1]), rel=1e-9)
 
 
+def seasonal_damped(y, h):
+    """The same on values less the weekly factors that the origin's history gives."""
+    factors = [0.0] * 7
+    if len(y) >= 14:
+        slots = [[] for _ in range(7)]
+        for t in range(3, len(y) - 3):
+            slots[t % 7].append(y[t] - sum(y[t - 3 : t + 4]) / 7)
+        means = [sum(s) / len(s) for s in slots]
+        factors = [m - sum(means) / 7 for m in means]
+    return damped([v - factors[i % 7] for i, v in enumerate(y)], h) + factors[(len(y) + h - 1) % 7]
+
+
+def test_damped_models_of_a_series_of_many_blocks(spark):
+    rng = random.Random(7)
+    size = 3 * n.BLOCK + 30
+    values = [5000 + 0.4 * i + 20 * math.sin(2 * math.pi * i / 7) + rng.gauss(0, 12) for i in range(size)]
+    both = series(spark, values, "long").unionByName(series(spark, [v / 7 - i for i, v in enumerate(values[:50])], "short"))
+    rows = n.rolling_origin(both, (1, 7), 21, ["damped_trend", "seasonal_damped_trend"]).collect()
+    got = {(r.series_id, r.model, r.origin, r.horizon): r.predicted for r in rows}
+    assert len(got) == 2 * (size - 21 + size - 27 + 50 - 21 + 50 - 27)
+    for origin in (21, n.BLOCK - 1, n.BLOCK, n.BLOCK + 1, 2 * n.BLOCK + 3, 3 * n.BLOCK, size - 7):
+        for h in (1, 7):
+            assert got[("long", "damped_trend", origin, h)] == pytest.approx(damped(values[:origin], h), rel=1e-9)
+            assert got[("long", "seasonal_damped_trend", origin, h)] == pytest.approx(seasonal_damped(values[:origin], h), rel=1e-9)
+    small = [v / 7 - i for i, v in enumerate(values[:50])]
+    assert got[("short", "seasonal_damped_trend", 43, 7)] == pytest.approx(seasonal_damped(small[:43], 7), rel=1e-9)
+
+
 def test_refusals(spark):
     short, flat = series(spark, range(20), "a"), series(spark, [5.0] * 60, "b")
     both = short.unionByName(flat)
