@@ -7,6 +7,7 @@ member texts and member types, and everything after that is column expressions.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -53,8 +54,8 @@ def _kind(value) -> str:
     return kinds.get(type(value), "VOID")
 
 
-def _text_of(value) -> str | None:
-    """Text of a member: strings bare, numbers as written, containers as JSON."""
+def _text_of(value, sort_keys: bool = False) -> str | None:
+    """Text of a value: strings bare, numbers as written, containers as JSON, their keys sorted if asked."""
     if value is None or isinstance(value, str):
         return value
     if isinstance(value, bool):
@@ -66,7 +67,7 @@ def _text_of(value) -> str | None:
         v = stack.pop()
         if isinstance(v, (dict, list)):
             parts = [Number("{" if isinstance(v, dict) else "[")]
-            for i, x in enumerate(v):
+            for i, x in enumerate(sorted(v) if sort_keys and isinstance(v, dict) else v):
                 parts += [Number(",")] if i else []
                 parts += [Number(json.dumps(x, ensure_ascii=False) + ":"), v[x]] if isinstance(v, dict) else [x]
             stack += reversed([*parts, Number("}" if isinstance(v, dict) else "]")])
@@ -75,59 +76,164 @@ def _text_of(value) -> str | None:
     return "".join(out)
 
 
+def _member(value) -> str | None:
+    """Text of an object's member. A container is written with its own scalar members only: what lies deeper has rows of
+    its own, and the texts of all members of a document stay as long as the document, however deep it is."""
+    if isinstance(value, dict):
+        value = {k: v for k, v in value.items() if not isinstance(v, (dict, list))}
+    elif isinstance(value, list):
+        value = [v for v in value if not isinstance(v, (dict, list))]
+    return _text_of(value)
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_LITERALS = {"t": ("true", True), "f": ("false", False), "n": ("null", None), "N": ("NaN", Number("NaN")), "I": ("Infinity", Number("Infinity"))}
+
+
+def _read_deep(text: str):
+    """The document as json.loads reads it, without recursion: open containers lie on a stack.
+
+    Every step reads one value, or one key, or closes a container; ValueError where the text is no JSON.
+    """
+    at, size = _SPACE.match(text).end(), len(text)
+    stack: list = []
+    root = key = None
+    while True:
+        # A value is due.
+        if at >= size:
+            raise ValueError("a value is missing")
+        c = text[at]
+        opened = c in "{["
+        if opened:
+            value, at = ({} if c == "{" else []), at + 1
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+        elif c in _LITERALS and text.startswith(_LITERALS[c][0], at):
+            value, at = _LITERALS[c][1], at + len(_LITERALS[c][0])
+        elif text.startswith("-Infinity", at):
+            value, at = Number("-Infinity"), at + 9
+        elif number := _NUMBER.match(text, at):
+            value, at = Number(number[0]), number.end()
+        else:
+            raise ValueError("no value")
+        if not stack:
+            root = value
+        elif isinstance(stack[-1], dict):
+            stack[-1][key] = value
+        else:
+            stack[-1].append(value)
+        if opened:
+            stack.append(value)
+        # Close what ends here, then read on to the next value.
+        fresh = opened
+        while True:
+            at = _SPACE.match(text, at).end()
+            if not stack:
+                if at < size:
+                    raise ValueError("text after the document")
+                return root
+            top, c = stack[-1], text[at : at + 1]
+            if c == ("}" if isinstance(top, dict) else "]"):
+                stack.pop()
+                at, fresh = at + 1, False
+                continue
+            if not fresh:
+                if c != ",":
+                    raise ValueError("a comma is missing")
+                at = _SPACE.match(text, at + 1).end()
+            if isinstance(top, dict):
+                if text[at : at + 1] != '"':
+                    raise ValueError("a key is missing")
+                key, at = json.decoder.scanstring(text, at + 1, True)
+                at = _SPACE.match(text, at).end()
+                if text[at : at + 1] != ":":
+                    raise ValueError("a colon is missing")
+                at = _SPACE.match(text, at + 1).end()
+            break
+
+
 def _parsed(text: str | None):
-    """The document, or None where the text is no JSON container."""
+    """The document, whatever its depth, or None where the text is no JSON object or array."""
     try:
         root = json.loads(text or "", parse_int=Number, parse_float=Number, parse_constant=Number)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
+    except RecursionError:  # deeper than the fast reader goes
+        try:
+            root = _read_deep(text)
+        except ValueError:
+            return None
     return root if isinstance(root, (dict, list)) else None
 
 
-def _walk(root) -> Iterator[tuple[list[int], dict]]:
-    """Every object below the root, however deep, with its path; a stack of its own, no recursion."""
-    stack = [([], root)]
+def _walk(root) -> Iterator[dict]:
+    """Every object below the root in document order, however deep; a stack of its own, no recursion."""
+    stack = [root]
     while stack:
-        path, node = stack.pop()
+        node = stack.pop()
         if isinstance(node, dict):
-            yield path, node
-        members = list(node.values()) if isinstance(node, dict) else node
-        stack += [([*path, i], m) for i, m in reversed(list(enumerate(members))) if isinstance(m, (dict, list))]
+            yield node
+        members = node.values() if isinstance(node, dict) else node
+        stack += reversed([m for m in members if isinstance(m, (dict, list))])
+
+
+def _sound(text: str | None) -> str | None:
+    """The text with lone halves of surrogate pairs, which JSON can spell but no table can hold, replaced."""
+    return text if text is None or text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+#: Objects handed on at once.
+OBJECTS = 1 << 14
 
 
 def objects(documents: DataFrame) -> DataFrame:
-    """Every JSON object of every document: its path as an order key (pre-order), the text of its
-    members and their types, both as maps.
+    """Every JSON object of every document: its place among them in document order, the text of its
+    members and their types, both as maps (a container's text holds its own scalar members only).
 
     Each document is parsed once, in Arrow batches where it is read, and walked to the bottom.
     """
     keep = [c for c in documents.columns if c != "payload"]
     maps = T.MapType(T.StringType(), T.StringType())
-    schema = documents.select(*keep).schema.add("path", T.ArrayType(T.IntegerType())).add("members", maps).add("kinds", maps)
+    schema = documents.select(*keep).schema.add("place", T.LongType()).add("members", maps).add("kinds", maps)
     arrow_maps = pa.map_(pa.string(), pa.string())
 
+    def table(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        of, places, members, kinds = zip(*found)
+        at = pa.array(of, pa.int64())
+        columns = [pa.array(places, pa.int64()), pa.array(members, arrow_maps), pa.array(kinds, arrow_maps)]
+        # The text itself is not repeated for its objects.
+        return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[1:]], *columns], [*keep, "place", "members", "kinds"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, paths, members, kinds = [], [], [], []
+            found: list[tuple] = []
             for i, text in enumerate(batch.column(0).to_pylist()):
                 root = _parsed(text)
-                for path, node in _walk(root) if root is not None else ():
-                    of.append(i)
-                    paths.append(path)
-                    members.append([(k, _text_of(v)) for k, v in node.items()])
-                    kinds.append([(k, _kind(v)) for k, v in node.items()])
-            rows = batch.take(pa.array(of, pa.int64()))
-            found = [pa.array(paths, pa.list_(pa.int32())), pa.array(members, arrow_maps), pa.array(kinds, arrow_maps)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], *found], [*keep, "path", "members", "kinds"])
+                for place, node in enumerate(_walk(root)) if root is not None else ():
+                    named = [(_sound(k), v) for k, v in node.items()]
+                    found.append((i, place, [(k, _sound(_member(v))) for k, v in named], [(k, _kind(v)) for k, v in named]))
+                    if len(found) >= OBJECTS:
+                        yield table(batch, found)
+                        found = []
+            if found:
+                yield table(batch, found)
 
     return documents.select("payload", *keep).mapInArrow(run, schema)
 
 
 def unreadable(documents: DataFrame) -> DataFrame:
-    """Documents whose payload is no JSON object or array; they have no objects and so no quotes."""
-    root = F.try_parse_json("payload")
-    kind = F.schema_of_variant(root)
-    return documents.filter(root.isNull() | ~F.rlike(kind, F.lit("^(OBJECT|ARRAY)")))
+    """Documents whose payload is no JSON object or array; they have no objects and so no quotes.
+
+    Read by the same parser as objects(), so no document that gave one is listed.
+    """
+    at = documents.columns.index("payload")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_parsed(t) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def without_quotes(documents: DataFrame) -> DataFrame:
@@ -240,7 +346,7 @@ def quotes(documents: DataFrame) -> DataFrame:
             "fare_brand": brand(),
         }
     ).drop("members", "kinds")
-    unique = first_arrivals(node, ["raw_id", "flight_number", "departure_at"], F.col("path")).drop("copies")
+    unique = first_arrivals(node, ["raw_id", "flight_number", "departure_at"], F.col("place")).drop("copies")
     base, taxes = residual_taxes(
         F.col("total"), F.col("base"), F.col("taxes"), [F.col("udf"), F.col("convenience"), F.col("other")]
     )
@@ -265,8 +371,20 @@ def observed_keys(documents: DataFrame, limit: int | None = None) -> DataFrame:
     return keys.groupBy("raw_id").agg((F.slice(listed, 1, limit) if limit else listed).alias("keys"))
 
 
+@F.udf(T.StringType(), useArrow=True)
+def _deep_document(text: str | None) -> str | None:
+    """A document deeper than variants go, with sorted keys and no spaces; null where the text is no JSON container."""
+    root = None if text is None else _parsed(text)
+    return None if root is None else _sound(_text_of(root, sort_keys=True))
+
+
 def payload_hash(text: Column | str) -> Column:
     """SHA-256 of the document with sorted keys (variants store members in key order), written without
-    spaces; a text that is no JSON is hashed as it is, so malformed payloads stay apart."""
+    spaces; a text that is no JSON is hashed as it is, so malformed payloads stay apart.
+
+    Documents that no variant holds, those nested too deep, are written by the payload reader; no others are sent to it.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(text)), text), 256)
+    shallow = F.to_json(F.try_parse_json(text))
+    deep = _deep_document(F.when(shallow.isNull() & F.rlike(text, F.lit(r"^[ \t\n\r]*[{\[]")), text))
+    return F.sha2(F.coalesce(shallow, deep, text), 256)

@@ -188,3 +188,46 @@ def test_deeply_nested_members_are_written():
         value = {"in": [value]}
     text = pl._text_of(value)
     assert text.startswith('{"in":[{"in":[') and text.count("in") == 20_000
+
+
+@pytest.mark.parametrize("text", [
+    "{}", "[]", ' {"a" : [1, -2.50, 1e5, true, false, null, "x\\u00e9\\n"], "b":{"c":[]}, "a":2} ', "[[[]],{}]", '{"a":NaN,"b":-Infinity,"c":Infinity}',
+    "", " ", "{", "[1", "[1,]", "[,1]", '{"a"}', '{"a":}', '{"a":1,}', '{a:1}', "[1 2]", "{} x", "[01]", "[1.]", "[tru]", '["a\nb"]', "[}", '{"a":1]', "7", '"x"', "nul",
+])
+def test_the_deep_reader_reads_what_json_reads(text):
+    def whole(read):
+        try:
+            return read(text)
+        except ValueError:
+            return "no JSON"
+
+    want = whole(lambda t: json.loads(t, parse_int=pl.Number, parse_float=pl.Number, parse_constant=pl.Number))
+    assert whole(pl._read_deep) == want
+
+
+def deep(levels, core, space=""):
+    return "".join(f'{{{space}"in":{space}[' for _ in range(levels // 2)) + core + "]}" * (levels // 2)
+
+
+def test_documents_of_any_depth(spark):
+    core = json.dumps(DOC["trips"][0]["journeys"][0])
+    turned = json.dumps(dict(reversed(DOC["trips"][0]["journeys"][0].items())))
+    levels = [10, 900, 3000, 5000, 9000, 20_000, 200_000]
+    texts = [deep(k, core) for k in levels] + [deep(k, turned, " ") for k in levels] + [deep(200_000, core)[:-1], deep(5000, '{"odd":1}')]
+    rows = [(i, "qp", "QP", "DEL", "BOM", "2026-09-04", "2026-09-11", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "raw_id int, source string, carrier string, origin string, destination string, s string, d string, payload string")
+    df = df.selectExpr("raw_id", "source", "carrier", "origin", "destination", "to_date(s) scrape_date", "to_date(d) departure_date", "payload")
+    got = {r.raw_id: float(r.total_fare) for r in pl.quotes(df).collect()}
+    assert got == {i: 5000.0 for i in range(2 * len(levels))}
+    assert [r.raw_id for r in pl.unreadable(df).collect()] == [2 * len(levels)]
+    silent = {r.raw_id: r["keys"] for r in pl.without_quotes(df).collect()}
+    assert silent == {2 * len(levels): None, 2 * len(levels) + 1: ["in", "odd"]}
+    hashes = {r.raw_id: r.h for r in df.select("raw_id", pl.payload_hash("payload").alias("h")).collect()}
+    for i in range(len(levels)):
+        assert hashes[i] == hashes[i + len(levels)]
+    assert len(set(hashes.values())) == len(levels) + 2
+
+
+def test_lone_surrogates_are_replaced(spark):
+    df, q = payload_quotes(spark, with_fields(fareType="X\ud800Y"))
+    assert q[0].fare_brand == "X\ufffdY"
