@@ -10,8 +10,11 @@ import pyarrow as pa
 BLOCK_BYTES = 4 << 20
 
 
-def cut(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about `limit` bytes of `column` each (one row at least)."""
+def cut(
+    batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, most_rows: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold at most `limit` bytes of `column` each, a longer text being a slice of its own,
+    and at most most_rows rows."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -20,6 +23,7 @@ def cut(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES
         while start < n:
             base = sizes[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
+            stop = stop if most_rows is None else min(stop, start + most_rows)
             yield batch.slice(start, stop - start)
             start = stop
 

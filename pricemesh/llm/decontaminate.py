@@ -11,9 +11,13 @@ count in the whole corpus; the list of the rarest gives the candidates, and the
 its offset, are intersected with them from rare to frequent. Proximity matches are places where the rarest terms of
 an item stand near each other in any order; of equally rare terms the first in byte order counts.
 
-The benchmark is collected in blocks of about BLOCK_CHARS characters; each block is one index and one search, so
-neither the driver nor a task ever holds more of it. Null or wordless texts match nothing. Repeated rows are judged
-one by one; items that share an item_id count once; a null item_id is written as the empty text.
+The benchmark is taken in blocks of about BLOCK_CHARS characters, equal rows once, long items in overlapping pieces of
+PIECE_WORDS words, so neither the driver nor a task ever holds more of it. Blocks share an index as long as their
+distinct words fit into VOCABULARY; the corpus is read once for each index, and every block searches it. Null or
+wordless texts match nothing, whatever their length texts are read whole, an empty table of documents gives no rows and
+an empty benchmark no matches. Repeated rows are judged one by one; items that share an item_id count once; a null
+item_id is written as the empty text. Proximity of an item in pieces is that of its pieces. Clashing columns of docs do
+no harm, only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,11 @@ from pricemesh.llm import blocks, rows
 
 WINDOW = 13
 BLOCK_CHARS = 2_000_000
-SEGMENT_BYTES = 8 << 20
+#: Distinct benchmark words of one index, and words of a piece of a long item.
+VOCABULARY, PIECE_WORDS = 1 << 20, 100_000
+#: A segment holds so many bytes and rows. With them 16 bits name a document and 24 a position in it; a text of more
+#: bytes is a segment of its own, its only document number 0, and its positions may run on through the unused bits.
+SEGMENT_BYTES, SEGMENT_ROWS = 8 << 20, 1 << 16
 #: Proximity: this many of an item's rarest terms, each at most so many words from the rarest one.
 NEAR_TERMS, NEAR_WORDS = 3, 20
 
@@ -57,9 +65,11 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-def phrases(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
-    """The phrases of (item_id, text) rows."""
-    vocabulary: dict[bytes, int] = {}
+def phrases(
+    items: Iterable[tuple[object, str | None]], window: int = WINDOW, vocabulary: dict[bytes, int] | None = None
+) -> Phrases:
+    """The phrases of (item_id, text) rows in the term ids of vocabulary, or of their own."""
+    vocabulary = {} if vocabulary is None else vocabulary
     names: list[str] = []
     owner, grams, length, whole = [], [], [], []
     for name, text in items:
@@ -79,12 +89,14 @@ def phrases(items: Iterable[tuple[object, str | None]], window: int = WINDOW) ->
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "text") -> DataFrame:
     """Index segments of docs for the words of `vocabulary`."""
+    if len(vocabulary) >= 1 << 24:
+        raise ValueError("an index takes fewer than 2^24 distinct words")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     wide = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        for batch in blocks.cut(batches, "_text", SEGMENT_BYTES):
+        for batch in blocks.cut(batches, "_text", SEGMENT_BYTES, SEGMENT_ROWS):
             counts, found = [], []
             for x in blocks.raw(batch.column(0)):
                 tokens = words(x)
@@ -250,21 +262,53 @@ def _covered(stretches: Column) -> Column:
     )
 
 
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct (item_id, text); a text of more than PIECE_WORDS words in pieces that overlap by a phrase less a word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, texts = [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                split = words((body or "").encode()) if len(body or "") > PIECE_WORDS else []
+                for k in range(0, max(1, len(split) - window + 1), PIECE_WORDS):
+                    of.append(i)
+                    texts.append(b" ".join(split[k : k + PIECE_WORDS + window - 1]).decode() if len(split) > PIECE_WORDS else body)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    distinct = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    return distinct.mapInArrow(run, distinct.schema)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, row_hash, n_words, n_hit, items, phrases, near.
 
     benchmark has item_id and text. A word is hit if any occurrence of a phrase covers it; items are the sorted
     ids of the items with occurring phrases.
     """
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    items = staging.written(_pieces(benchmark, window), "benchmark")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-size // BLOCK_CHARS) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    found = []
-    for k in range(parts):
-        block = phrases(((r.item_id, r.text) for r in benchmark.where(part == k).select("item_id", "text").collect()), window)
-        index = staging.written(build_index(docs, block.vocabulary, text), "postings")
-        counts = {r.term: r.n for r in term_counts(index).collect()}  # one row per word of the block at most
-        found.append(search(index, block, counts))
+
+    def block(k: int) -> list[tuple[object, str | None]]:
+        return [(r.item_id, r.text) for r in items.where(part == k).collect()]
+
+    found, k = [], 0
+    while k < parts:
+        # As many blocks as share an index: their words are gathered first, their phrases when they are searched.
+        vocabulary, last = {}, k
+        while last < parts:
+            wider = dict(vocabulary)
+            for _, body in block(last):
+                for w in words((body or "").encode()):
+                    wider.setdefault(w, len(wider))
+            if last > k and len(wider) > VOCABULARY:
+                break
+            vocabulary, last = wider, last + 1
+        index = staging.written(build_index(docs, vocabulary, text), "postings")
+        counts = {r.term: r.n for r in term_counts(index).collect()}  # one row per word of the vocabulary at most
+        found += [search(index, phrases(block(i), window, vocabulary), counts) for i in range(k, last)]
+        k = last
     total = found[0]
     if parts > 1:
         more = found[1]

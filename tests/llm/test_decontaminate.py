@@ -78,3 +78,58 @@ def test_rows_that_share_a_name_keep_all_their_words(spark, monkeypatch, chars):
     (got,) = decontaminate.matches(docs, spark.createDataFrame(items, "item_id int, text string").coalesce(1)).collect()
     assert (got.n_words, got.n_hit, got["items"]) == brute(text, items)
     assert [(p.start, p.stop, p.item_id) for p in got.phrases] == [(10, 23, "7"), (40, 53, ""), (100, 113, "7"), (150, 163, "")]
+
+
+@pytest.mark.parametrize("batch", [0, 200_000])
+def test_more_documents_than_a_segment_holds(spark, batch):
+    """Short documents by the hundred thousand in one Arrow batch: document numbers must not wrap."""
+    bad = {5: "a phrase of the benchmark", 70_005: "x a phrase of the benchmark y", 139_999: "another one"}
+    docs = spark.range(140_000).select(F.col("id").alias("doc_id"), F.lit("w q").alias("text"))
+    for i, t in bad.items():
+        docs = docs.withColumn("text", F.when(F.col("doc_id") == i, t).otherwise(F.col("text")))
+    bench = spark.createDataFrame([(1, "A phrase of the benchmark"), (2, "another one"), (1, "A phrase of the benchmark")], "item_id int, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = decontaminate.matches(docs.coalesce(1), bench).where("n_hit > 0").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in found} == {5: (5, ["1"]), 70_005: (5, ["1"]), 139_999: (2, ["2"])}
+
+
+def test_a_text_longer_than_a_segment_beside_short_ones(spark, monkeypatch):
+    """Positions of a long text go beyond 24 bits of what a shared segment may use."""
+    phrase = " ".join(f"k{i}" for i in range(13))
+    long = "a " * 4_300_000 + phrase + " a" * 5
+    rows = [(1, "short " + phrase), (2, long), (3, "a a a"), (4, phrase)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([(9, phrase), (8, "a b"), (9, phrase)], "item_id int, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], [(p.start, p.stop) for p in r.phrases]) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {
+        1: (14, 13, ["9"], [(1, 14)]), 2: (4_300_018, 13, ["9"], [(4_300_000, 4_300_013)]), 3: (3, 0, [], []), 4: (13, 13, ["9"], [(0, 13)])
+    }
+
+
+@pytest.mark.parametrize("vocabulary", [decontaminate.VOCABULARY, 30])
+def test_long_and_repeated_items_over_many_blocks(spark, monkeypatch, vocabulary):
+    """Pieces of long items and blocks that share an index, or not, find what the whole items hold."""
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(decontaminate, "VOCABULARY", vocabulary)
+    built = []
+    build = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda *a: built.append(1) or build(*a))
+    texts = {i: t for i, t, *_ in cases.rows() if t}
+    items = [(1, " ".join(texts[20].split()[:200])), (1, " ".join(texts[20].split()[:200])), (2, " ".join(texts[50].split()[400:640])), (3, texts[43])]
+    got = decontaminate.matches(cases.docs(spark), spark.createDataFrame(items, "item_id int, text string")).collect()
+    want = sorted((str(i), *brute(t, items)) for i, t, *_ in cases.rows())
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == want
+    assert len(built) == 1 if vocabulary > 30 else len(built) > 1
+
+
+def test_pieces_of_long_items_keep_every_phrase(spark):
+    size = decontaminate.PIECE_WORDS
+    text = " ".join(f"w{i}" for i in range(2 * size + 5))
+    pieces = decontaminate._pieces(spark.createDataFrame([(1, text), (2, "x"), (3, None)], "item_id int, text string"), 13).collect()
+    grams = {tuple(w[k : k + 13]) for p in pieces if p.item_id == 1 for w in [p.text.split()] for k in range(len(w) - 12)}
+    assert grams == {tuple(f"w{j}" for j in range(k, k + 13)) for k in range(2 * size + 5 - 12)}
+    assert sorted((p.item_id, p.text) for p in pieces if p.item_id != 1) == [(2, "x"), (3, None)]
