@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricemesh import schema as S
+from pricemesh.functions.common import same_keys
 from pricemesh.operators import outliers
 
 
@@ -57,15 +58,26 @@ def verify_decomposition(quotes: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(F.col("components_complete"), F.col(c)) for c in S.COMPONENTS})
 
 
-def first_arrivals(quotes: DataFrame, key: list[str], order: Column, copies: str = "copies") -> DataFrame:
+def first_arrivals(
+    quotes: DataFrame, key: list[str], order: Column, copies: str = "copies", number: str | None = None
+) -> DataFrame:
     """One row per key, the earliest in `order`, with the number of rows it stands for.
 
     An aggregate rather than a ranking window: copies collapse map-side, so a key that holds
     a third of the input costs one row per upstream task after the shuffle.
+
+    number names a column that tells the rows of a written table apart (it is not returned): then only numbers go through
+    the aggregate, which has a fixed width and sorts nothing, and the rows come by an equi-join on their number, which no
+    key can crowd. Without it whole rows go through, for inputs that are dearer to compute twice than to sort.
     """
-    payload = F.struct(*[F.col(c) for c in quotes.columns if c not in key])
+    names = [c for c in quotes.columns if c != number]
+    if number is not None:
+        first = quotes.groupBy(*key).agg(F.min_by(number, order).alias("_first"), F.count(F.lit(1)).alias(copies))
+        same = same_keys("q", "f", key) & (F.col(f"q.{number}") == F.col("f._first"))
+        return quotes.alias("q").join(first.alias("f"), same).select(*[f"q.{c}" for c in names], f"f.{copies}")
+    payload = F.struct(*[F.col(c) for c in names if c not in key])
     rows = quotes.groupBy(*key).agg(F.min_by(payload, order).alias("_first"), F.count(F.lit(1)).alias(copies))
-    return rows.select(*[c if c in key else f"_first.{c}" for c in quotes.columns], copies)
+    return rows.select(*[c if c in key else f"_first.{c}" for c in names], copies)
 
 
 def deduplicate(quotes: DataFrame) -> DataFrame:

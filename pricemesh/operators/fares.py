@@ -116,7 +116,7 @@ def prices_by_concept(fares: DataFrame) -> DataFrame:
     All four come from one price histogram per carrier cell and day.
     """
     keys = ["scrape_date", *S.CARRIER_CELL]
-    q = grouped_quantiles(usable(fares), keys, "total_fare", {"median": 0.5})
+    q = grouped_quantiles(usable(fares), keys, "total_fare", {"median": 0.5}, bounded=True)
     return q.select(
         *keys,
         F.expr(

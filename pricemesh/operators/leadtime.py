@@ -19,7 +19,7 @@ def fare_stats(usable: DataFrame, keys: list[str], start=None, end=None) -> Data
         rows = rows.filter(F.col("scrape_date") >= F.lit(start))
     if end is not None:
         rows = rows.filter(F.col("scrape_date") <= F.lit(end))
-    q = grouped_quantiles(rows, keys, "total_fare", {"median_fare": 0.5})
+    q = grouped_quantiles(rows, keys, "total_fare", {"median_fare": 0.5}, bounded="scrape_date" in keys)
     return q.select(
         *keys,
         "n",

@@ -38,6 +38,11 @@ def absent_rows(new: DataFrame, stored: DataFrame | None, keys: list[str], where
     return missing if where is None else missing.unionByName(new.filter(~where))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows read from files, with `_row`: a number by file and place in it, the same whenever they are read."""
+    return rows.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of a partition column as its folders name them, in order; empty where nothing has been written yet.
 
@@ -127,8 +132,8 @@ def insert_absent(
     """Append what the target lacks. Replaying the same input adds nothing."""
     beside, work = staged(spark, new, path, partition_by)
     stored = touched(read_table(spark, path, beside), beside, partition_by[0])
-    keyed = beside if where is None else beside.filter(where)
-    unique = first_arrivals(keyed, keys, F.col(order)).drop("copies")
+    keyed = numbered(beside if where is None else beside.filter(where))
+    unique = first_arrivals(keyed, keys, F.col(order), number="_row").drop("copies")
     fresh = absent_rows(unique, stored, keys)
     if where is not None:
         fresh = fresh.unionByName(absent_rows(beside.filter(~where), stored, [order]))

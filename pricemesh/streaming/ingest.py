@@ -54,8 +54,9 @@ def store_quotes(spark: SparkSession, quotes: DataFrame, path: str) -> None:
     """Merge quotes into their days: of equal ones the first in arrival order stays, whichever batch brought it."""
     beside, work = sinks.staged(spark, quotes, path, ["scrape_date"])
     stored = sinks.touched(sinks.read_table(spark, path, beside), beside, "scrape_date")
-    both = beside if stored is None else beside.unionByName(stored)
-    sinks.replace_partitions(spark, cleaning.first_arrivals(both, QUOTE_KEY, F.col("ingest_seq")).drop("copies"), path, ["scrape_date"])
+    both = sinks.numbered(beside) if stored is None else sinks.numbered(beside).unionByName(sinks.numbered(stored))
+    first = cleaning.first_arrivals(both, QUOTE_KEY, F.col("ingest_seq"), number="_row").drop("copies")
+    sinks.replace_partitions(spark, first, path, ["scrape_date"])
     sinks.remove(spark, work)
 
 

@@ -181,6 +181,24 @@ def test_quantiles_of_a_hot_group_use_many_tasks(spark):
     got = {r.g: r for r in stats.grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q9": 0.9}).collect()}
     for g, vs in prices.items():
         assert got[g].n == len(vs) and [got[g].q1, got[g].q2, got[g].q9] == pytest.approx(np.quantile(vs, [0.25, 0.5, 0.9]).tolist())
-    ranked = stats.ranked_in_steps(stats.histogram(df, ["g"], "v"), ["g"], "v")
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert "_bucket" in plan and ranked.filter("g = 'hot'").agg({"hi": "max"}).first()[0] == 9000
+    chosen = stats.chosen_rows(stats.histogram(df, ["g"], "v"), ["g"], "v", {"q2": 0.5}).filter("g = 'hot'")
+    # Only the bucket of the median is ordered: as many rows as fit into its width.
+    assert 0 < chosen.count() <= 2 * stats.BUCKET * 100 and {float(r.v) // stats.BUCKET for r in chosen.collect()} <= {
+        float(np.quantile(vs, 0.5, method=m)) // stats.BUCKET for vs in [[float(r.v) for r in df.filter("g = 'hot'").collect()]] for m in ("lower", "higher")
+    }
+    for bounded in (False, True):
+        again = {r.g: r.q2 for r in stats.grouped_quantiles(df, ["g"], "v", {"q2": 0.5}, bounded).collect()}
+        assert again == {g: r.q2 for g, r in got.items()}
+
+
+def test_first_arrivals_by_number_equal_those_by_row(spark, tmp_path):
+    from pricemesh.sources import sinks
+
+    rows = [(k % 5 if k % 11 else None, k // 3 % 7, f"v{k}") for k in range(200)] * 2 + [(9, 1, "same")] * 4
+    spark.createDataFrame(rows, "k int, seq long, v string").repartition(6).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    by_number = c.first_arrivals(sinks.numbered(stored), ["k"], F.col("seq"), number="_row")
+    want = {r.k: (r.seq, r.copies) for r in c.first_arrivals(stored, ["k"], F.col("seq")).collect()}
+    got = by_number.collect()
+    assert len(got) == len(want) and {r.k: (r.seq, r.copies) for r in got} == want and by_number.columns == ["k", "seq", "v", "copies"]
+    assert "SortAggregate" not in by_number._jdf.queryExecution().executedPlan().toString()
