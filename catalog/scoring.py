@@ -76,8 +76,8 @@ V["allpred"] = """
     UNION ALL SELECT series_id, 'seasonal_damped_trend', horizon, origin, predicted, actual FROM seasonal_damped"""
 V["board"] = """
     SELECT *, (bar_mase - mase) / nullif(bar_mase, 0) AS margin0, list_position(['naive', 'seasonal_naive', 'drift'], model) IS NOT NULL AS is_baseline
-    FROM (SELECT *, min(mase) FILTER (reg <= 3) OVER g AS bar_mase, arg_min(model, (mase, reg)) FILTER (reg <= 3) OVER g AS bar,
-                 arg_min(rmse, (mase, reg)) FILTER (reg <= 3) OVER g AS bar_rmse
+    FROM (SELECT *, min(mase) FILTER (reg <= 3) OVER g AS bar_mase, arg_min(model, (round(mase, 9), reg)) FILTER (reg <= 3) OVER g AS bar,
+                 arg_min(rmse, (round(mase, 9), reg)) FILTER (reg <= 3) OVER g AS bar_rmse
           FROM (SELECT p.series_id, model, horizon, count(*) AS n_forecasts, avg(abs(predicted - actual)) AS mae,
                        sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse, avg(abs(predicted - actual)) / max(c.scale) AS mase,
                        list_position(['naive', 'seasonal_naive', 'drift', 'damped_trend', 'seasonal_damped_trend'], model) AS reg
@@ -204,11 +204,73 @@ add(
         **V,
     ),
 )
-add(
-    "q8_nowcast",
-    lambda d: n.scoreboard(n.evaluate(d.series, H, MIN_TRAIN)),
-    None,
+# The five models on the daily series. Folding every history anew would be quadratic, so the damped models are followed
+# day by day: errors of the values (track) and, once for all series, of the seven weekday indicators (week). Their running
+# products give the sum of squares for the factors of any origin.
+ZERO = "list_transform(range(1, 8), lambda s: 0::double)"
+DAILY = dict(
+    eligible=f"""
+        SELECT series_id, n, scale FROM (SELECT series_id, count(*) AS n, avg(abs(value - p)) AS scale
+              FROM (SELECT *, lag(value, 7) OVER (PARTITION BY series_id ORDER BY index_date) AS p FROM series) GROUP BY 1)
+        WHERE n >= {MIN_TRAIN} + 7 + 7 AND scale > 0""",
+    weekly="SELECT s.* FROM series s JOIN eligible USING (series_id)",
+    grid=GRID_SQL,
+    pos0=POS,
+    pred=PRED.replace(">= 21", f">= {MIN_TRAIN}"),
+    week=f"""
+        WITH RECURSIVE go AS (
+            SELECT gi, a, b, p, 0 AS i, [1, 0, 0, 0, 0, 0, 0]::double[] AS l, [-1, 1, 0, 0, 0, 0, 0]::double[] AS t, {ZERO} AS e, list_transform(range(0, 49), lambda s: 0::double) AS q
+            FROM grid
+            UNION ALL
+            SELECT gi, a, b, p, i + 1, new_l, list_transform(range(1, 8), lambda s: b * (new_l[s] - l[s]) + (1 - b) * p * t[s]), new_e,
+                   list_transform(range(0, 49), lambda k: q[k + 1] + new_e[k // 7 + 1] * new_e[k % 7 + 1])
+            FROM (SELECT *, list_transform(range(1, 8), lambda s: l[s] + p * t[s] + a * new_e[s]) AS new_l
+                  FROM (SELECT *, list_transform(range(1, 8), lambda s: CASE WHEN (i + 1) % 7 = s - 1 THEN 1 ELSE 0 END - l[s] - p * t[s]) AS new_e
+                        FROM go WHERE i + 1 < (SELECT max(n) FROM eligible))))
+        SELECT gi, i, p, l, t, e, q FROM go""",
+    track="""
+        WITH RECURSIVE go AS (
+            SELECT z.series_id, gi, a, b, p, 0::bigint AS i, 0::double AS l, y.value - z.value AS t, 0::double AS e, z.value AS base
+            FROM pos0 z JOIN pos0 y ON y.series_id = z.series_id AND z.pos = 0 AND y.pos = 1 CROSS JOIN grid
+            UNION ALL
+            SELECT series_id, gi, a, b, p, i + 1, l + p * t + a * new_e, b * (p * t + a * new_e) + (1 - b) * p * t, new_e, base
+            FROM (SELECT go.*, v.value - base - l - p * t AS new_e FROM go JOIN pos0 v ON v.series_id = go.series_id AND v.pos = go.i + 1))
+        SELECT series_id, gi, i, p, l, t, e, base FROM go""",
+    shape=f"""
+        SELECT series_id, o, list(f - m ORDER BY slot) AS f
+        FROM (SELECT *, avg(f) OVER (PARTITION BY series_id, o) AS m
+              FROM (SELECT h.series_id, h.o, v.pos % 7 AS slot, avg(v.dev) AS f
+                    FROM (SELECT series_id, pos, value - avg(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS dev FROM pos0) v
+                    JOIN (SELECT series_id, pos + 1 AS o FROM pos0 WHERE pos + 1 >= {MIN_TRAIN}) h ON h.series_id = v.series_id AND v.pos BETWEEN 3 AND h.o - 4
+                    GROUP BY 1, 2, 3)) GROUP BY 1, 2""",
+    sums="""
+        SELECT k.series_id, k.i + 1 AS o, k.gi, k.p, k.l + k.base AS l, k.t, w.l AS wl, w.t AS wt, w.q, sum(k.e * k.e) OVER g AS s,
+               """ + ", ".join(f"sum(k.e * w.e[{s}]) OVER g AS c{s}" for s in range(1, 8)) + """
+        FROM track k JOIN week w USING (gi, i) WINDOW g AS (PARTITION BY k.series_id, k.gi ORDER BY k.i)""",
+    plain="SELECT series_id, o, l, t, p, [0, 0, 0, 0, 0, 0, 0]::double[] AS f, row_number() OVER (PARTITION BY series_id, o ORDER BY s, gi) AS place FROM sums",
+    seasonal="""
+        SELECT series_id, o, p, f, l - list_sum(list_transform(range(1, 8), lambda s: f[s] * wl[s])) AS l, t - list_sum(list_transform(range(1, 8), lambda s: f[s] * wt[s])) AS t,
+               row_number() OVER (PARTITION BY series_id, o ORDER BY s - 2 * ("""
+    + " + ".join(f"f[{s}] * c{s}" for s in range(1, 8))
+    + """) + list_sum(list_transform(range(0, 49), lambda k: f[k // 7 + 1] * f[k % 7 + 1] * q[k + 1])), gi) AS place
+        FROM sums JOIN shape USING (series_id, o)""",
+)
+
+
+def followed(model: str, view: str) -> str:
+    ahead = "list_sum(list_transform(range(1, h + 1), lambda k: pow(p, k)))"
+    return f"""
+        SELECT r.series_id, '{model}' AS model, h AS horizon, o AS origin, l + {ahead} * t + f[(o + h - 1) % 7 + 1] AS predicted, v.value AS actual
+        FROM {view} r CROSS JOIN (VALUES (1), (7)) x(h) JOIN pos0 v ON v.series_id = r.series_id AND v.pos = o + h - 1
+        WHERE place = 1 AND o >= {MIN_TRAIN}"""
+
+
+DAILY["allpred"] = (
+    "SELECT series_id, model, horizon, origin, predicted, actual FROM pred UNION ALL "
+    + followed("damped_trend", "plain") + " UNION ALL " + followed("seasonal_damped_trend", "seasonal")
 )
+DAILY["board"] = V["board"]
+add("q8_nowcast", lambda d: n.scoreboard(n.evaluate(d.series, H, MIN_TRAIN)), sql(f"SELECT {BOARD} FROM board", **DAILY))
 add(
     "e1_forecaster_registry",
     lambda d: n.evaluate(d.series, (1,), MIN_TRAIN, ["naive", "drift"]).select("series_id", "model", "n_forecasts"),

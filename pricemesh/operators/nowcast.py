@@ -398,13 +398,18 @@ def score(pairs: DataFrame, eligible: DataFrame) -> DataFrame:
     )
 
 
+def _score() -> Column:
+    """The score that models are compared by; equal scores must not differ in the last bits of their sums."""
+    return F.round("mase", 9).alias("mase")
+
+
 def _percent(x: Column, places: int) -> Column:
     return F.concat(F.format_string(f"%.{places}f", x * 100), F.lit("%"))
 
 
 def scoreboard(scores: DataFrame) -> DataFrame:
     """Scores with the best baseline at the same horizon, margin and verdict."""
-    row = F.struct("mase", _registry_order(F.col("model")).alias("o"), "model", "rmse")
+    row = F.struct(_score(), _registry_order(F.col("model")).alias("o"), "model", "rmse")
     at = Window.partitionBy("series_id", "horizon")
     bar = F.min(F.when(F.col("is_baseline"), row)).over(at)
     s = scores.withColumn("bar", bar).withColumn(
@@ -429,7 +434,7 @@ def scoreboard(scores: DataFrame) -> DataFrame:
 
 def best_at_horizon(scores: DataFrame) -> DataFrame:
     """Best candidate and best baseline per series and horizon, registry order on ties."""
-    row = F.struct("mase", _registry_order(F.col("model")).alias("o"), "model", "rmse", "n_forecasts")
+    row = F.struct(_score(), _registry_order(F.col("model")).alias("o"), "model", "rmse", "n_forecasts")
     return scores.groupBy("series_id", "horizon").agg(
         F.min(row).alias("best"),
         F.min(F.when(~F.col("is_baseline"), row)).alias("m"),
