@@ -78,8 +78,7 @@ def chosen_group(lines: DataFrame, user_agent: str) -> DataFrame:
 def policies(snapshots: DataFrame, user_agent: str) -> DataFrame:
     """One row per snapshot: verdict policy from the status and the packed rules for an agent.
 
-    The rules of one file are one array, so judging a URL joins a single row per host however
-    many URLs and rules the host has.
+    The rules of one file are one array, as its text is one row; rule_index() takes them apart again.
     """
     lines = directives(snapshots)
     group = chosen_group(lines, user_agent)
@@ -117,21 +116,46 @@ def match_path(url: Column) -> Column:
     return F.concat(bare_path(url), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
 
 
-def winning_rule(rules: Column, path: Column) -> Column:
-    """Longest matching pattern; Allow wins among equals."""
-    hits = F.filter(rules, lambda r: F.rlike(path, r["regex"]))
-    ranked = F.transform(
-        hits, lambda r: F.struct(F.length(r["pattern"]).alias("size"), r["allow"].alias("allow"), r["pattern"].alias("pattern"))
+def literal_head(pattern: Column) -> Column:
+    """What a path must begin with to match: the pattern up to its first wildcard, without a final `$`."""
+    return F.substring_index(F.regexp_replace(pattern, r"\$$", ""), "*", 1)
+
+
+def rule_index(policy: DataFrame) -> DataFrame:
+    """(snapshot_id, head, plain, allow, pattern, regex): rules by their literal head; plain ones are nothing else."""
+    rules = policy.filter(F.col("policy") == "parse").select("snapshot_id", F.inline("rules"))
+    head = literal_head(F.col("pattern"))
+    return rules.select("snapshot_id", head.alias("head"), (head == F.col("pattern")).alias("plain"), "allow", "pattern", "regex")
+
+
+def winning_rules(paths: DataFrame, index: DataFrame) -> DataFrame:
+    """(snapshot_id, path, win) for distinct paths: the longest matching pattern; Allow wins among equals.
+
+    A path is looked up by its beginnings of the lengths that heads of its file have, an equi-join. Only rules that go on
+    after their head are tried as expressions, and only on paths that begin with it.
+    """
+    sizes = index.groupBy("snapshot_id").agg(F.collect_set(F.length("head")).alias("sizes"))
+    probes = paths.join(sizes, "snapshot_id").select(
+        "snapshot_id", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("size")
     )
-    return F.array_max(ranked)
+    probes = probes.withColumn("head", F.expr("substring(path, 1, size)")).drop("size")
+    hits = probes.join(index, ["snapshot_id", "head"]).filter(F.col("plain") | F.rlike("path", F.col("regex")))
+    rank = F.struct(F.length("pattern").alias("size"), "allow", "pattern")
+    return hits.groupBy("snapshot_id", "path").agg(F.max(rank).alias("win"))
 
 
 def judge(urls: DataFrame, policy: DataFrame, intent_denied: list[str], url: str = "url") -> DataFrame:
-    """Allowed or not, and the rule that decided, for every URL."""
+    """Allowed or not, and the rule that decided, for every URL.
+
+    Rules meet distinct paths only, and never travel with the URLs.
+    """
     u = F.col(url)
     j = urls.withColumn("host", url_host(u)).withColumn("path", match_path(u))
-    j = j.join(policy.select("host", "policy", "rules", "crawl_delay"), "host", "left")
-    j = j.withColumn("win", F.when(F.col("policy") == "parse", winning_rule(F.col("rules"), F.col("path"))))
+    known = policy.select("host", F.col("snapshot_id").alias("_snapshot"), "policy", "crawl_delay")
+    j = j.join(known, "host", "left")
+    paths = j.filter(F.col("policy") == "parse").select(F.col("_snapshot").alias("snapshot_id"), "path").distinct()
+    won = winning_rules(paths, rule_index(policy)).select(F.col("snapshot_id").alias("_snapshot"), "path", "win")
+    j = j.join(won, ["_snapshot", "path"], "left")
     hit = F.array_compact(F.array(*[F.when(F.startswith(bare_path(u), F.lit(p)), F.lit(p)) for p in intent_denied]))
     intent = F.get(hit, F.lit(0)) if intent_denied else F.lit(None).cast("string")
     unknown = F.col("policy").isNull()

@@ -171,6 +171,36 @@ def test_robots_groups_and_anchors(spark):
     assert judged(spark, "User-agent: *\nDisallow: /x.y\n", ["/x.y", "/xzy"])["/xzy"][0]
 
 
+def slow_winner(rules, path):
+    import re
+
+    best = None
+    for allow, pattern in rules:
+        body, end = (pattern[:-1], "$") if pattern.endswith("$") else (pattern, "")
+        if re.match("".join(".*" if c == "*" else re.escape(c) for c in body) + end, path):
+            best = max(best or (0, False, ""), (len(pattern), allow, pattern))
+    return (True, "robots:no_matching_rule") if best is None else (best[1], f"robots:{'allow' if best[1] else 'disallow'}:{best[2]}")
+
+
+def test_rules_by_prefix_equal_all_rules_in_turn(spark):
+    import random
+
+    rng = random.Random(3)
+    piece = lambda n: "".join(rng.choice("/ab*.$") for _ in range(n))
+    rules = [(rng.random() < 0.5, "/" + piece(rng.randrange(6))) for _ in range(150)] + [(False, "*b"), (True, "*"), (False, "$"), (True, "/a$b")]
+    body = "User-agent: *\n" + "".join(f"{'Allow' if a else 'Disallow'}: {p}\n" for a, p in rules)
+    paths = ["/" + "".join(rng.choice("/ab.") for _ in range(rng.randrange(7))) for _ in range(200)]
+    got = judged(spark, body, sorted(set(paths)))
+    assert got == {p: slow_winner(rules, p) for p in set(paths)}
+
+
+def test_a_host_with_a_hundred_thousand_rules(spark):
+    body = "User-agent: *\n" + "".join(f"Disallow: /item/{k}/\n" for k in range(100_000)) + "Allow: /item/77/open*\n"
+    got = judged(spark, body, ["/item/99999/x", "/item/100000/x", "/item/77/", "/item/77/open/1", "/other"])
+    assert got["/item/99999/x"] == (False, "robots:disallow:/item/99999/") and got["/item/77/open/1"][0] and not got["/item/77/"][0]
+    assert got["/item/100000/x"] == got["/other"] == (True, "robots:no_matching_rule")
+
+
 @pytest.mark.parametrize("status,allowed", [(200, True), (401, False), (403, False), (404, True), (429, True), (500, False), (None, False)])
 def test_robots_status_policy(spark, status, allowed):
     assert judged(spark, "", ["/p"], status=status)["/p"][0] is allowed
