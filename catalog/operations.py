@@ -13,7 +13,7 @@ from pricemesh.operators import robots as r
 from pricemesh.operators import serving as q
 from pricemesh.plans.domain import quotes_from_events
 from pricemesh.sources import defaults, sinks
-from pricemesh.streaming import ingest
+from pricemesh.streaming import closing, ingest
 
 TODAY = "2024-01-30"
 
@@ -573,6 +573,35 @@ add(
     late_filings,
     sql(f"SELECT {day('scrape_date')} AS scrape_date, 2 AS age_days, 'missed' AS outcome, count(*) AS quotes FROM quotes WHERE ingest_seq % 9 = 0 GROUP BY 1"),
 )
+def closed_gaps(d):
+    """Cells that closed days lacked, told while the stream runs and once more under a new checkpoint."""
+    out = folder(d)
+    tables = {t: f"{out}/{t}" for t in ("gaps", "closed")}
+    known = quote_sources(d), d.routes, d.windows
+    for again in ("", "-again"):
+        quotes = quotes_from_events(event_stream(d)).filter(GAPPY)
+        closing.record_gaps(d.spark, quotes, *known, tables, f"{out}/checkpoint{again}", "2 days").awaitTermination()
+    return d.spark.read.parquet(tables["gaps"]).groupBy("scrape_date", "outcome").agg(F.count(F.lit(1)).alias("cells"))
+
+
+#: Leaves out what most days have, so that there are gaps, and every seventh day as a whole.
+GAPPY = "ingest_seq % 50 = 0 AND dayofmonth(scrape_date) % 7 <> 3"
+add(
+    "r2_gaps_of_closed_days",
+    closed_gaps,
+    sql(
+        f"""
+        SELECT * FROM (WITH kept AS (SELECT * FROM quotes WHERE ingest_seq % 50 = 0 AND dayofmonth(scrape_date) % 7 <> 3),
+        ends AS (SELECT min(scrape_date) AS a, max(scrape_date) - 3 AS z FROM kept),
+        closed AS (SELECT max(scrape_date) AS z FROM kept, ends WHERE scrape_date <= ends.z),
+        span AS (SELECT cast(unnest(generate_series(cast(ends.a AS timestamp), cast(closed.z AS timestamp), INTERVAL 1 DAY)) AS date) AS scrape_date FROM ends, closed)
+        SELECT {day('s.scrape_date')} AS scrape_date, 'missed' AS outcome, count(*) AS cells
+        FROM span s CROSS JOIN routes CROSS JOIN windows CROSS JOIN (SELECT DISTINCT source_code FROM quotes)
+        WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.scrape_date = s.scrape_date AND least(k.origin, k.destination) = routes.origin
+                          AND greatest(k.origin, k.destination) = routes.destination AND date_diff('day', k.scrape_date, k.departure_date) = windows.window_days)
+        GROUP BY 1) AS told"""
+    ),
+)
 add(
     "r3_incremental_daily_index",
     lambda d: streamed(d)["headline"].select("index_date", "frequency", "index_value", "n_cells", "coverage_ratio"),

@@ -136,3 +136,30 @@ def test_periods_left_without_rows_go(spark, parts, tmp_path):
     ingest.build_days(spark, [day], tables, base, weights, shares)
     assert sinks.partition_values(spark, tables["daily"], "index_date") == []
     assert all(sinks.partition_values(spark, f"{tables['headline']}/frequency={f}", "index_date") == [] for f in ("daily", "weekly", "monthly"))
+
+
+def test_gaps_of_closed_days_are_told_once(spark, tmp_path):
+    """Files out of order, a day without quotes, a late quote for a closed day, and the whole stream once more."""
+    from pricemesh.streaming import closing
+
+    schema = "scrape_date date, departure_date date, origin string, destination string"
+    day = lambda k: FIRST + timedelta(days=k)
+    quote = lambda k, w, a="DEL", b="BOM": (day(k), day(k + w), a, b)
+    files = [[quote(1, 7), quote(0, 7)], [quote(1, 30, "BOM", "DEL")], [quote(4, 7)], [quote(4, 7)], [quote(0, 30)], [quote(9, 7), quote(9, 30)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        parts = sorted((tmp_path / "in").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime)
+        __import__("os").utime(parts[-1], (1_700_000_000 + k, 1_700_000_000 + k))
+    sources = spark.createDataFrame([("s1",)], "code string")
+    routes = spark.createDataFrame([("BOM-DEL", "BOM", "DEL")], "route_code string, origin string, destination string")
+    windows = spark.createDataFrame([(7,), (30,)], "window_days int")
+    tables = {t: str(tmp_path / t) for t in ("gaps", "closed")}
+    for run in ("a", "b"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        closing.record_gaps(spark, stream, sources, routes, windows, tables, str(tmp_path / f"cp{run}"), "1 day").awaitTermination()
+        gaps = sorted((r.scrape_date, r.window_days) for r in spark.read.parquet(tables["gaps"]).collect())
+        # Day 0 closed before its late quote came; days 2 and 3 had no quote at all; day 9 is still open.
+        want = [(day(0), 30), (day(2), 7), (day(2), 30), (day(3), 7), (day(3), 30), (day(4), 30)]
+        assert gaps == want
+    closed = {r.scrape_date: (r.cells, r.missing) for r in spark.read.parquet(tables["closed"]).collect()}
+    assert closed == {day(0): (2, 1), day(1): (2, 0), day(2): (2, 2), day(3): (2, 2), day(4): (2, 1)}
