@@ -10,6 +10,7 @@ Null text counts as empty, null role as the empty role. Rows of one conversation
 text, null turns first; rows with a null conv_id form one conversation. Repeated rows are turns of their own. An empty
 table gives no conversations. A conversation is one row of the output and so must fit into memory, but not twice: tasks
 cut their input where conversations end.
+Only conv_id, turn, role and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

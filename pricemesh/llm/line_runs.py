@@ -14,6 +14,7 @@ and backward from its last one, so together they delete exactly the later copies
 As every line has a word, no shortest run is longer than MIN_WORDS lines and doubling ends there. Null text counts as
 empty. Rows equal in all columns are one document here: they stay alike. Rows without doc_id come last. Blank lines
 between deleted lines go with them; texts with nothing deleted stay byte for byte. Clashing columns are replaced.
+Texts of any length are read whole, and an empty table has no copies.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ Null language or source counts as the empty name, null text as no tokens. Rows t
 taken together or not at all; rows without doc_id share one key. Texts without tokens cost nothing and ride along
 with the prefix. Leaves without weight, or without tokens, get nothing. Columns of docs that
 clash with a column of the result, or of the way to it, are dropped.
+Texts of any length are counted whole, and an empty table gives an empty mix.
 """
 
 from __future__ import annotations

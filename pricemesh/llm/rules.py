@@ -3,6 +3,7 @@
 Everything is a built-in column expression: no user function, no shuffle, one pass over the text.
 Null text counts as empty. Rows are judged one by one, so ties, repeated rows and an empty table need no
 special care; all columns of the input stay, except that columns named like a measure are replaced.
+Texts of any length are measured whole.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ There are no hand-made labels: the field learns from what the rules find in at m
 hash; the bound of training, with at most TRAIN_CHAINS stretches in pieces of PIECE tokens), with each occurrence also shown once without its neighbouring words and once
 without its shape, so that either can carry a tag. Every text is scored whole. Null text counts as empty; repeated
 rows get equal spans; without any rule match in the training texts the field adds nothing.
+Texts of any length are read whole, an empty table gives no rows, and only doc_id and text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations

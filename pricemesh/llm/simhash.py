@@ -14,6 +14,7 @@ connect a component stay complete while output grows with members, not with pair
 Null text counts as empty; texts without words share fingerprint zero. Rows without doc_id, and repeated doc_ids,
 are ordinary rows: each gets its own fingerprint, and a component's id is its smallest doc_id (null only where
 no row of it has one). Clashing columns of the input are replaced.
+Texts of any length are read whole, and an empty table has no groups.
 """
 
 from __future__ import annotations

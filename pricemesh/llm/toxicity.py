@@ -9,6 +9,7 @@ words, pass through a logistic curve fitted on the training rows.
 Training reads at most TRAIN_ROWS labelled texts (a bound, picked by hash); everything scored is scored whole. Null
 text counts as empty and scores the curve's value at no hits; repeated rows score alike; without training rows of
 both kinds the lexicon is empty and every score is the share of toxic training rows (0 without any).
+An empty table gives no rows; clashing columns of documents are replaced, and training reads doc_id and text alone.
 """
 
 from __future__ import annotations

@@ -43,7 +43,7 @@ def test_held_out_accuracy(spark):
     docs = spark.createDataFrame(rows + [(900, None), (901, ""), (902, "n4stYw0rd " * 9), (None, "clean")], "doc_id bigint, text string")
     known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     train = known.where(~toxicity.held_out(F.col("doc_id")))
-    lexicon = toxicity.train(docs.withColumn("toxic", F.lit("clash")).drop("toxic"), train)
+    lexicon = toxicity.train(docs.withColumn("toxic", F.lit("clash")), train)
     assert set(lexicon.weights) == {"nastyword", "vileterm"}
     got = {r.doc_id: r for r in toxicity.score(docs.withColumns({"score": F.lit("x"), "hits": F.lit(1)}), lexicon).collect()}
     assert len(got) == 404 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
