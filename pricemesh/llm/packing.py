@@ -32,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pricemesh import staging
@@ -43,6 +44,8 @@ CELL, LOOSE = 4096, 16
 ISLANDS, POPULATION, ELITES, EPOCHS, CHILDREN = 3, 5, 2, 3, 16
 #: Bytes of texts' chunks whose ids a worker remembers.
 KNOWN_BYTES = 12 << 20
+#: Bytes of texts that are encoded together.
+BLOCK_BYTES = 8 << 20
 
 #: Marks that may follow a word, and words of ASCII digits or of Latin-1 letters, in UTF-8.
 _MARKS = b".,;:!?#$%&*)]}"
@@ -82,6 +85,7 @@ class _Encoder:
         self.new_sizes: list[np.ndarray] = []
         self.ids = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self._remember([b""], [], np.zeros(1, np.int64))  # what stands before leading white space
 
     def _remember(self, chunks: list[bytes], ids: list[np.ndarray], sizes: np.ndarray) -> None:
         first = self.count
@@ -134,18 +138,19 @@ class _Encoder:
         stop = np.cumsum(size)
         return self.ids[np.repeat(first - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], size
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Token ids of every text."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Token ids of every text (null: none). Only the distinct chunks of a block are looked up one by one."""
         if self.held > KNOWN_BYTES:
             self.forget()
-        split = [x.split() for x in texts]
-        chunks = list(chain.from_iterable(split))
-        codes = list(map(self.codes.get, chunks))
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        codes = list(map(self.codes.get, distinct))
         if None in codes:
-            self._learn(list(dict.fromkeys([c for c, k in zip(chunks, codes) if k is None])))
-            codes = [self.codes[c] if k is None else k for c, k in zip(chunks, codes)]
-        ids, size = self._gather(np.array(codes, np.int64))
-        edges = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, split)])]
+            self._learn([c for c, k in zip(distinct, codes) if k is None])
+            codes = [self.codes[c] if k is None else k for c, k in zip(distinct, codes)]
+        ids, size = self._gather(np.array(codes, np.int64)[np.asarray(chunks.indices)])
+        edges = np.concatenate([[0], np.cumsum(size)])[np.asarray(split.offsets)]
         return [ids[a:z] for a, z in zip(edges, edges[1:])]
 
 
@@ -171,9 +176,9 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        for batch in blocks.cut(batches, "_text"):
+        for batch in blocks.cut(batches, "_text", BLOCK_BYTES):
             of, number, ids = [], [], []
-            for i, found in enumerate(encoder(tokenizer).encode(blocks.raw(batch.column(1)))):
+            for i, found in enumerate(encoder(tokenizer).encode(batch.column(1))):
                 found = np.append(found, np.uint32(end)).astype("<u4")
                 for k in range(-(-len(found) // capacity)):
                     of.append(i)
