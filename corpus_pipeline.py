@@ -3,7 +3,7 @@
 Each stage takes all rows that the one before kept and returns rows with the columns of documents (the last one adds
 domain, n_tokens and copies). run() writes every stage's rows to the shared folder and reads them back, so a lost
 executor costs one stage at most. Empty documents, null texts and ids, repeated rows and extra columns are treated as the
-operators say.
+operators say; texts of any length are taken whole, ties go to the smaller id, and empty documents give an empty mix.
 """
 
 from __future__ import annotations
