@@ -87,4 +87,7 @@ def test_queries_cover_their_tables(spark, name):
     source = {"op2": "conversations", "op3": "pages"}.get(name.split("_")[0], "documents")
     rows = spark.read.parquet(f"{TABLES}/{source}.parquet")
     want = rows.select(F.countDistinct("conv_id") + 1).first()[0] if source == "conversations" else rows.count()
-    assert queries.QUERIES[name](spark, str(TABLES)).count() == want
+    got = queries.QUERIES[name](spark, str(TABLES))
+    # Packing returns a row per piece; every document has a first one.
+    got = got.where("piece = 0") if "piece" in got.columns else got
+    assert got.count() == want
