@@ -187,7 +187,8 @@ MOMENTS = """
 
 def tau_level(grid: str) -> str:
     return f"""
-    SELECT route_code, tau, any_value(l) AS l, any_value(a) AS a, sum(n) AS n, sum(ss) AS within, sum(n * (m - l * (1 + a * x)) * (m - l * (1 + a * x))) AS cost
+    SELECT route_code, tau, any_value(l) AS l, any_value(a) AS a, sum(n) AS n, sum(ss) AS within, sum(n * (m - l * (1 + a * x)) * (m - l * (1 + a * x))) AS cost,
+           sum(n * (m - l * (1 + a * x)) * x * w) AS pull
     FROM (SELECT *, exp(-w / tau) AS x,
                  CASE WHEN l0 < 1 THEN 1 WHEN s0 < 0 THEN sy / nn WHEN s0 > 20 * l0 THEN g / gg ELSE l0 END AS l,
                  CASE WHEN l0 < 1 THEN greatest(0, least(20, (sxy - sx) / sxx)) WHEN s0 < 0 THEN 0 WHEN s0 > 20 * l0 THEN 20 ELSE s0 / l0 END AS a
@@ -211,39 +212,95 @@ def finer(level: str, step: float) -> str:
 F1 = dict(obs=MOM, pts=MOMENTS)
 F1["tau1"] = tau_level("SELECT DISTINCT route_code, 0.5 * exp(ln(800) * i / 400.0) AS tau FROM pts, range(401) t(i)")
 F1["tau2"] = tau_level(finer("tau1", 0.034))
-F1["tau3"] = tau_level(finer("tau2", 0.0007))
-F1["tau4"] = tau_level(finer("tau3", 0.000014))
-F1["tau5"] = tau_level(finer("tau4", 0.0000003))
-# The optimum, and the determinant and one minor of the squared Jacobian there: what the amplitude's error needs.
+# Where the slope of the cost changes its sign inside a cell: tau by the straight line through the cell's ends.
+F1["cell"] = tau_level(finer("tau2", 0.0034))
+
+
+def crossing(level: str) -> str:
+    return (
+        "SELECT route_code, coalesce(max(tau) FILTER (pull > 0), min(tau)) AS lo, coalesce(min(tau) FILTER (pull <= 0), max(tau)) AS hi"
+        f" FROM {level} GROUP BY 1"
+    )
+
+
+F1["ends"] = crossing("cell")
+F1["cell2"] = tau_level("SELECT route_code, least(400, lo + (hi - lo) * i / 100.0) AS tau FROM ends, range(101) t(i) GROUP BY ALL")
+F1["ends2"] = crossing("cell2")
+F1["taus"] = """
+    SELECT c.route_code, CASE WHEN c.a = 0 THEN c.tau WHEN u.pull > 0 AND v.pull < 0 THEN lo + (hi - lo) * u.pull / (u.pull - v.pull)
+           WHEN u.pull > 0 THEN hi ELSE lo END AS tau
+    FROM (SELECT route_code, arg_min(a, (cost, tau)) AS a, arg_min(tau, (cost, tau)) AS tau FROM tau2 GROUP BY 1) c
+    JOIN ends2 USING (route_code) JOIN cell2 u ON u.route_code = c.route_code AND u.tau = lo JOIN cell2 v ON v.route_code = c.route_code AND v.tau = hi"""
+F1["optimum"] = tau_level("SELECT route_code, tau FROM taus")
+# Errors from the Jacobian there, its columns made orthogonal in the order floor, amplitude, tau.
+F1["jac"] = """
+    SELECT q.route_code, q.n, 1 + o.a * exp(-w / tau) AS jl, o.l * exp(-w / tau) AS ja, o.l * o.a * exp(-w / tau) * w / (tau * tau) AS jt
+    FROM pts q JOIN optimum o USING (route_code)"""
+F1["jac2"] = """
+    SELECT route_code, n, jl, ll, pa, pt, aa, tt, ja - pa * jl AS ka, jt - pt * jl AS kt
+    FROM jac JOIN (SELECT route_code, sum(n * jl * jl) AS ll, sum(n * jl * ja) / sum(n * jl * jl) AS pa, sum(n * jl * jt) / sum(n * jl * jl) AS pt,
+                          sum(n * ja * ja) AS aa, sum(n * jt * jt) AS tt FROM jac GROUP BY 1) USING (route_code)"""
+F1["pivots"] = """
+    SELECT route_code, any_value(ll) AS ll, any_value(pa) AS pa, any_value(pt) AS pt, any_value(aa) AS aa, any_value(tt) AS tt,
+           any_value(ka2) AS ka2, any_value(qt) AS qt, sum(n * (kt - qt * ka) * (kt - qt * ka)) AS kt2
+    FROM jac2 JOIN (SELECT route_code, sum(n * ka * ka) AS ka2, sum(n * ka * kt) / sum(n * ka * ka) AS qt FROM jac2 GROUP BY 1) USING (route_code) GROUP BY 1"""
 F1["best"] = """
-    SELECT *, 1 - (within + cost) / sst AS r_squared,
-           CASE WHEN det > 0 AND within + cost > 0 THEN a - 1.959963984540054 * sqrt((within + cost) / (n - 3) * (ll * tt - lt * lt) / det) END AS a_low
-    FROM (SELECT *, ll * (aa * tt - at_ * at_) - la * (la * tt - at_ * lt) + lt * (la * at_ - aa * lt) AS det
-          FROM (SELECT b.route_code, b.n, b.tau, b.l, b.a, b.within, b.cost, s.sst, s.windows,
-                       sum(p.n * jl * jl) AS ll, sum(p.n * jl * ja) AS la, sum(p.n * jl * jt) AS lt, sum(p.n * ja * ja) AS aa, sum(p.n * ja * jt) AS at_, sum(p.n * jt * jt) AS tt
-                FROM (SELECT *, row_number() OVER (PARTITION BY route_code ORDER BY cost, tau) AS place FROM tau5) b
-                JOIN (SELECT route_code, var_pop(y) * count(*) AS sst, count(DISTINCT w) AS windows FROM obs GROUP BY 1) s USING (route_code)
-                JOIN (SELECT q.*, 1 + o.a * exp(-w / o.tau) AS jl, o.l * exp(-w / o.tau) AS ja, o.l * o.a * exp(-w / o.tau) * w / (o.tau * o.tau) AS jt
-                      FROM pts q JOIN (SELECT route_code, arg_min({'l': l, 'a': a, 'tau': tau}, (cost, tau)) AS o FROM tau5 GROUP BY 1) USING (route_code)) p USING (route_code)
-                WHERE place = 1 GROUP BY ALL))"""
+    SELECT *, 1 - (within + cost) / sst AS r_squared, a - 1.959963984540054 * a_se AS a_low
+    FROM (SELECT o.*, s.sst, s.windows, CASE WHEN sound THEN sqrt(s2 * (1 / ll + pa * pa / ka2 + (pt - pa * qt) * (pt - pa * qt) / kt2)) END AS l_se,
+                 CASE WHEN sound THEN sqrt(s2 * (1 / ka2 + qt * qt / kt2)) END AS a_se, CASE WHEN sound THEN sqrt(s2 / kt2) END AS tau_se
+          FROM (SELECT *, (within + cost) / (n - 3) AS s2 FROM optimum) o
+          JOIN (SELECT *, ka2 > 0 AND kt2 > 0 AND ka2 >= 1e-14 * aa AND kt2 >= 1e-14 * tt AS sound FROM pivots) USING (route_code)
+          JOIN (SELECT route_code, var_pop(y) * count(*) AS sst, count(DISTINCT w) AS windows FROM obs GROUP BY 1) s USING (route_code))"""
 FITTED = "n >= 12 AND windows >= 4"
+F1["warned"] = f"""
+    SELECT *, array_to_string(list_filter([
+        CASE WHEN n < 12 THEN 'exponential fit not identified: ' || cast(n AS bigint) || ' observations, need 12'
+             WHEN windows < 4 THEN 'exponential fit not identified: ' || windows || ' distinct windows, need 4' END,
+        CASE WHEN {FITTED} AND a_low <= 0 THEN 'the amplitude''s confidence interval includes zero: this route shows no statistically distinguishable last-minute premium' END,
+        CASE WHEN n < 12 OR windows < 2 THEN 'log-linear fit not identified: ' || cast(n AS bigint) || ' observations, need 12' END],
+        lambda x: x IS NOT NULL), '|') AS warnings FROM best"""
 add(
     "f1_exponential_fit_quality",
     lambda d: params(d).filter("fitted").select("route_code", F.col("n").cast("bigint").alias("n"), "r_squared", F.round("rmse", 2).alias("rmse")),
     sql(
         f"""
         SELECT route_code, {big('max(n)')} AS n, {num('1 - min(within + cost) / max(sst)')} AS r_squared, {num('round(sqrt(min(within + cost) / max(n)), 2)')} AS rmse
-        FROM tau3 JOIN (SELECT route_code, var_pop(y) * count(*) AS sst FROM obs GROUP BY 1) USING (route_code)
+        FROM optimum JOIN (SELECT route_code, var_pop(y) * count(*) AS sst FROM obs GROUP BY 1) USING (route_code)
         WHERE route_code IN (SELECT route_code FROM pts GROUP BY 1 HAVING sum(n) >= 12 AND count(*) >= 4) GROUP BY 1""",
         **F1,
     ),
 )
-add("f1_exponential_fit", params, None)
 LOGLIN = """
     SELECT route_code, count(*) AS n, regr_slope(ly, w) AS slope, regr_intercept(ly, w) AS intercept, regr_r2(ly, w) AS r2,
            sqrt((regr_syy(ly, w) - regr_slope(ly, w) * regr_sxy(ly, w)) / (count(*) - 2) / regr_sxx(ly, w)) AS se_slope,
            sqrt((regr_syy(ly, w) - regr_slope(ly, w) * regr_sxy(ly, w)) / (count(*) - 2) * (1.0 / count(*) + avg(w) * avg(w) / regr_sxx(ly, w))) AS se_intercept
     FROM obs GROUP BY 1 HAVING count(*) >= 12"""
+Z95 = 1.959963984540054
+
+
+def bounds(value: str, se: str, name: str) -> str:
+    return f"{num(f'{value} - {Z95} * {se}')} AS {name}_ci_low, {num(f'{value} + {Z95} * {se}')} AS {name}_ci_high"
+
+
+def fitted(x: str) -> str:
+    return f"CASE WHEN {FITTED} THEN {x} END"
+
+
+F1["loglin"] = LOGLIN
+add(
+    "f1_exponential_fit",
+    params,
+    sql(
+        f"""
+        SELECT route_code, fitted, n, floor, amplitude, {bounds('amplitude0', 'a_se', 'amplitude')}, decay_days, {bounds('tau0', 'tau_se', 'decay')},
+               r_squared, rmse, percent_per_day, warnings
+        FROM (SELECT route_code, {FITTED} AS fitted, w.n::double AS n, {num(fitted('l'))} AS floor, {num(fitted('a'))} AS amplitude, {fitted('a')} AS amplitude0,
+                     {num(fitted('tau'))} AS decay_days, {fitted('tau')} AS tau0, {fitted('a_se')} AS a_se, {fitted('tau_se')} AS tau_se, {num(fitted('r_squared'))} AS r_squared,
+                     {num(fitted('sqrt((within + cost) / w.n)'))} AS rmse, {num('slope * 100')} AS percent_per_day, warnings
+              FROM (SELECT w.*, g.slope FROM warned w LEFT JOIN loglin g USING (route_code)) w)""",
+        **F1,
+    ),
+)
 add(
     "f2_log_linear_fit",
     lambda d: e.fit_log_linear(e.pack(e.window_moments(rows(d), KEY), KEY), KEY).select(
@@ -271,23 +328,32 @@ add(
 add(
     "f3_both_models_with_warnings",
     lambda d: fits(d).select("route_code", "fitted", F.col("slope.value").isNotNull().alias("log_linear"), "warnings"),
-    sql(
-        f"""
-        SELECT route_code, {FITTED} AS fitted, n >= 12 AND windows > 1 AS log_linear, array_to_string(list_filter([
-            CASE WHEN n < 12 THEN 'exponential fit not identified: ' || cast(n AS bigint) || ' observations, need 12'
-                 WHEN windows < 4 THEN 'exponential fit not identified: ' || windows || ' distinct windows, need 4' END,
-            CASE WHEN {FITTED} AND a_low <= 0 THEN 'the amplitude''s confidence interval includes zero: this route shows no statistically distinguishable last-minute premium' END,
-            CASE WHEN n < 12 OR windows < 2 THEN 'log-linear fit not identified: ' || cast(n AS bigint) || ' observations, need 12' END],
-            lambda x: x IS NOT NULL), '|') AS warnings FROM best""",
-        **F1,
-    ),
+    sql(f"SELECT route_code, {FITTED} AS fitted, n >= 12 AND windows > 1 AS log_linear, warnings FROM warned", **F1),
+)
+# The 97.5 % point of Student's t by its expansion in the degrees of freedom.
+T975 = (
+    f"({Z95} + {(Z95**3 + Z95) / 4} / df + {(5 * Z95**5 + 16 * Z95**3 + 3 * Z95) / 96} / df ** 2"
+    f" + {(3 * Z95**7 + 19 * Z95**5 + 17 * Z95**3 - 15 * Z95) / 384} / df ** 3"
+    f" + {(79 * Z95**9 + 776 * Z95**7 + 1482 * Z95**5 - 1920 * Z95**3 - 945 * Z95) / 92160} / df ** 4)"
 )
+F1["estimates"] = f"""
+    SELECT route_code, 'floor' AS parameter, l AS v, l_se AS se, {Z95} AS q, {FITTED} AS known FROM best
+    UNION ALL SELECT route_code, 'amplitude', a, a_se, {Z95}, {FITTED} FROM best
+    UNION ALL SELECT route_code, 'decay_days', tau, tau_se, {Z95}, {FITTED} FROM best
+    UNION ALL SELECT b.route_code, 'slope', slope, se_slope, {T975}, slope IS NOT NULL
+              FROM best b LEFT JOIN (SELECT *, n - 2.0 AS df FROM loglin) g USING (route_code)"""
 add(
     "f4_estimates",
     lambda d: fits(d).select(
         "route_code", F.inline(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("e")) for n in ("floor", "amplitude", "decay_days", "slope")]))
     ).select("route_code", "parameter", "e.*"),
-    None,
+    sql(
+        f"""
+        SELECT route_code, parameter, {num('CASE WHEN known THEN v END')} AS value, {num('CASE WHEN known THEN se END')} AS std_error,
+               {num('CASE WHEN known THEN v - q * se END')} AS ci_low, {num('CASE WHEN known THEN v + q * se END')} AS ci_high,
+               CASE WHEN known THEN coalesce(v - q * se > 0 OR v + q * se < 0, false) END AS significant FROM estimates""",
+        **F1,
+    ),
 )
 # Parameters to the digits that a least-squares optimum carries: money to the paisa, the rest to four places.
 BEST = f"{num('round(l, 2)')} AS floor, {num('a')} AS amplitude, {num('tau')} AS decay_days, {num('r_squared')} AS r_squared"

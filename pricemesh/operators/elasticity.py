@@ -20,7 +20,11 @@ TAU_MIN, TAU_MAX = 0.5, 400.0
 Z95 = 1.959963984540054
 # End of fixed values.
 GRID = 40
-ROUNDS = 7
+#: Rounds of the grid over tau, and halvings of the last cell by the sign of the slope.
+ROUNDS = 2
+HALVINGS = 50
+#: Beyond this condition number of the Jacobian half of a double's digits are lost: no errors are given.
+MAX_CONDITION = 1e7
 
 
 def window_moments(usable: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +72,8 @@ def _sums(points: Column, x) -> Column:
 
 
 def _solve(points: Column, n: Column, sy: Column, tau: Column) -> Column:
-    """Best floor and amplitude for one tau inside the bounds, and the cost between windows."""
+    """Best floor and amplitude for one tau inside the bounds, the cost between windows, and `pull`: positive where the
+    cost falls as tau grows (at the best floor and amplitude, bounded or not, only tau itself moves the cost)."""
     x = lambda p: F.exp(-p["w"] / tau)
 
     def free(s: Column) -> Column:
@@ -98,13 +103,20 @@ def _solve(points: Column, n: Column, sy: Column, tau: Column) -> Column:
     def cost(q: Column) -> Column:
         err = lambda p: p["mean"] - q["floor"] * (1 + q["amp"] * x(p))
         c = F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p["n"] * err(p) * err(p))
-        return F.struct(c.alias("cost"), tau.alias("tau"), q["floor"].alias("floor"), q["amp"].alias("amp"))
+        pull = F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p["n"] * err(p) * x(p) * p["w"])
+        return F.struct(
+            c.alias("cost"), tau.alias("tau"), q["floor"].alias("floor"), q["amp"].alias("amp"), pull.alias("pull")
+        )
 
     return let(let(let(_sums(points, x), free), bounded), cost)
 
 
+_BEST = "struct<cost:double,tau:double,floor:double,amp:double,pull:double>"
+
+
 def _profile(points: Column, n: Column, sy: Column) -> Column:
-    """Minimise the cost over tau: a log-spaced grid, narrowed around its best point each round."""
+    """Minimise the cost over tau: a log-spaced grid, narrowed around its best point, then halvings of that cell by the
+    sign of the slope. A cost is flat at its least and fixes tau to half the digits only; its slope fixes all of them."""
 
     def one_round(state: Column, _: Column) -> Column:
         step = (state["hi"] - state["lo"]) / GRID
@@ -119,15 +131,29 @@ def _profile(points: Column, n: Column, sy: Column) -> Column:
             ),
         )
 
+    def halve(state: Column, _: Column) -> Column:
+        middle = (state["lo"] + state["hi"]) / 2
+        return let(
+            _solve(points, n, sy, F.exp(middle)),
+            lambda b: F.struct(
+                F.when(b["pull"] > 0, middle).otherwise(state["lo"]).alias("lo"),
+                F.when(b["pull"] > 0, state["hi"]).otherwise(middle).alias("hi"),
+                b.alias("best"),
+            ),
+        )
+
     start = F.struct(
-        F.log(F.lit(TAU_MIN)).alias("lo"),
-        F.log(F.lit(TAU_MAX)).alias("hi"),
-        F.lit(None).cast("struct<cost:double,tau:double,floor:double,amp:double>").alias("best"),
-    )
-    shape = "struct<lo:double,hi:double,best:struct<cost:double,tau:double,floor:double,amp:double>>"
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, i: one_round(s, i).cast(shape), lambda s: s["best"]
+        F.log(F.lit(TAU_MIN)).alias("lo"), F.log(F.lit(TAU_MAX)).alias("hi"), F.lit(None).cast(_BEST).alias("best")
     )
+    shape = f"struct<lo:double,hi:double,best:{_BEST}>"
+    coarse = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, i: one_round(s, i).cast(shape))
+
+    def finish(c: Column) -> Column:
+        fine = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), c, lambda s, i: halve(s, i).cast(shape))
+        # Without amplitude no tau differs from another: the grid's first stands.
+        return F.when(c["best"]["amp"] == 0, c["best"]).otherwise(fine["best"])
+
+    return let(coarse, finish)
 
 
 def estimate(value: Column, se: Column, critical: Column | float = Z95) -> Column:
@@ -140,7 +166,11 @@ def estimate(value: Column, se: Column, critical: Column | float = Z95) -> Colum
 
 
 def fit_exponential(packed: DataFrame, keys: list[str], keep: list[str] = []) -> DataFrame:
-    """fare(w) = L (1 + a exp(-w / tau)), with standard errors from the Jacobian at the optimum."""
+    """fare(w) = L (1 + a exp(-w / tau)), with standard errors from the Jacobian at the optimum.
+
+    An amplitude of zero, or columns that are one another's multiples (`condition` above MAX_CONDITION), identify no
+    errors: they are null and `converged` is false.
+    """
     ok = (F.col("n") >= MIN_OBSERVATIONS) & (F.col("distinct_windows") >= MIN_DISTINCT_WINDOWS)
     fit = packed.withColumn("b", F.when(ok, _profile(F.col("m"), F.col("n"), F.col("sy"))))
     L, a, tau = F.col("b.floor"), F.col("b.amp"), F.col("b.tau")
@@ -151,26 +181,33 @@ def fit_exponential(packed: DataFrame, keys: list[str], keep: list[str] = []) ->
         "t": lambda p: L * a * x(p) * p["w"] / (tau * tau),
     }
     total = lambda f: F.aggregate("m", F.lit(0.0), lambda acc, p: acc + p["n"] * f(p))
-    for i, j in ("ll", "la", "lt", "aa", "at", "tt"):
-        fit = fit.withColumn(f"j_{i}{j}", total(lambda p, i=i, j=j: jac[i](p) * jac[j](p)))
-    c = {k: F.col(f"j_{k}") for k in ("ll", "la", "lt", "aa", "at", "tt")}
-    minor_l = c["aa"] * c["tt"] - c["at"] * c["at"]
-    minor_a = c["ll"] * c["tt"] - c["lt"] * c["lt"]
-    minor_t = c["ll"] * c["aa"] - c["la"] * c["la"]
-    det = (
-        c["ll"] * minor_l - c["la"] * (c["la"] * c["tt"] - c["at"] * c["lt"])
-        + c["lt"] * (c["la"] * c["at"] - c["aa"] * c["lt"])
-    )
+    # The Jacobian's columns are made orthogonal one after the other: u holds what earlier columns explain of later ones,
+    # s the squares that remain, so nothing is subtracted that the determinant of their products would lose.
+    own = lambda p: jac["l"](p)
+    fit = fit.withColumns({f"q_{k}": total(lambda p, k=k: jac[k](p) * jac[k](p)) for k in "lat"})
+    fit = fit.withColumns({f"u_l{k}": total(lambda p, k=k: own(p) * jac[k](p)) / F.col("q_l") for k in "at"})
+    left = {k: (lambda p, k=k: jac[k](p) - F.col(f"u_l{k}") * own(p)) for k in "at"}
+    fit = fit.withColumn("s_a", total(lambda p: left["a"](p) * left["a"](p)))
+    fit = fit.withColumn("u_at", F.when(F.col("s_a") > 0, total(lambda p: left["a"](p) * left["t"](p)) / F.col("s_a")))
+    last = lambda p: left["t"](p) - F.col("u_at") * left["a"](p)
+    fit = fit.withColumn("s_t", total(lambda p: last(p) * last(p)))
+    shares = F.least(F.col("s_a") / F.nullif(F.col("q_a"), F.lit(0.0)), F.col("s_t") / F.nullif(F.col("q_t"), F.lit(0.0)))
+    fit = fit.withColumn("condition", F.when((F.col("s_a") > 0) & (F.col("s_t") > 0), 1 / F.sqrt(shares)))
+    spread = {
+        "l": 1 / F.col("q_l") + F.col("u_la") ** 2 / F.col("s_a")
+        + (F.col("u_lt") - F.col("u_la") * F.col("u_at")) ** 2 / F.col("s_t"),
+        "a": 1 / F.col("s_a") + F.col("u_at") ** 2 / F.col("s_t"),
+        "t": 1 / F.col("s_t"),
+    }
     mean = F.col("sy") / F.col("n")
     between = total(lambda p: (p["mean"] - mean) * (p["mean"] - mean))
     fit = (
         fit.withColumn("sse", F.col("within") + F.col("b.cost"))
         .withColumn("sst", F.col("within") + between)
         .withColumn("s2", F.col("sse") / (F.col("n") - 3))
-        .withColumn("det", det)
     )
-    usable = (F.col("det") > 0) & (F.col("s2") > 0)
-    se = lambda minor: F.when(usable, F.sqrt(F.col("s2") * minor / F.col("det")))
+    usable = (F.col("condition") <= MAX_CONDITION) & (F.col("s2") > 0)
+    se = lambda k: F.when(usable, F.sqrt(F.col("s2") * spread[k]))
     warnings = F.array_compact(
         F.array(
             F.when(
@@ -190,14 +227,14 @@ def fit_exponential(packed: DataFrame, keys: list[str], keep: list[str] = []) ->
         )
     )
     return (
-        fit.withColumn("floor", F.when(ok, estimate(L, se(minor_l))))
-        .withColumn("amplitude", F.when(ok, estimate(a, se(minor_a))))
-        .withColumn("decay_days", F.when(ok, estimate(tau, se(minor_t))))
+        fit.withColumn("floor", F.when(ok, estimate(L, se("l"))))
+        .withColumn("amplitude", F.when(ok, estimate(a, se("a"))))
+        .withColumn("decay_days", F.when(ok, estimate(tau, se("t"))))
         .select(
             *keys, *keep, "n", "distinct_windows", ok.alias("fitted"), "floor", "amplitude", "decay_days",
             F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(0.0).alias("r_squared"),
             F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
-            F.coalesce(usable, F.lit(False)).alias("converged"),
+            F.coalesce(usable, F.lit(False)).alias("converged"), F.when(ok, F.col("condition")).alias("condition"),
             warnings.alias("warnings"),
         )
     )

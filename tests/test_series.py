@@ -168,6 +168,42 @@ def test_fit_matches_row_level_least_squares(spark):
     assert (r.intercept.value, r.slope.value) == pytest.approx(tuple(beta), rel=1e-9)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 8])
+def test_errors_of_ill_conditioned_fits(spark, seed):
+    """Fares without a trend: errors equal those of a QR decomposition where products of the Jacobian lose their digits."""
+    import numpy as np
+
+    rng = random.Random(seed)
+    rows = [("R", w, 5000 + rng.uniform(-400, 400)) for w in (1, 7, 15, 30, 45) for _ in range(30)]
+    r = e.fit_routes(spark.createDataFrame(rows, "route_code string, window_days int, total_fare double"), ["route_code"]).first()
+    w, y = np.array([x[1] for x in rows], float), np.array([x[2] for x in rows])
+    L, a, t = r.floor.value, r.amplitude.value, r.decay_days.value
+    if a == 0:
+        assert r.floor.std_error is None and not r.converged
+        return
+    ex = np.exp(-w / t)
+    J = np.stack([1 + a * ex, L * ex, L * a * ex * w / t**2], axis=1)
+    res = y - L * (1 + a * ex)
+    inverse = np.linalg.inv(np.linalg.qr(J)[1])
+    se = np.sqrt((inverse**2).sum(axis=1) * (res @ res) / (len(y) - 3))
+    assert (r.floor.std_error, r.amplitude.std_error, r.decay_days.std_error) == pytest.approx(tuple(se), rel=1e-7)
+    if 0.51 < t < 399 and a < 20 and L > 1:
+        # Inside the bounds the slope by tau is zero to rounding, not to the root of it.
+        assert abs(J[:, 2] @ res) < 1e-9 * (np.abs(J[:, 2]) @ np.abs(y))
+
+
+def test_no_errors_where_columns_are_multiples(spark):
+    """Only the nearest window can tell floor, amplitude and decay apart from noise: the fit gives no errors."""
+    means = [(1, 9000.0), (200, 5000.0), (250, 5000.0), (300, 5000.0)]
+    moments = spark.createDataFrame([("R", w, 20.0, m, 1000.0, math.log(m), 0.0) for w, m in means],
+                                    "route_code string, window_days int, n double, mean double, ss double, lmean double, lss double")
+    fits = e.fit_exponential(e.pack(moments, ["route_code"]), ["route_code"])
+    r = fits.first()
+    assert r.fitted and r.floor.value == pytest.approx(5000) and not r.converged
+    assert r.floor.std_error is None and r.decay_days.std_error is None and not r.amplitude.significant
+    assert r.condition is None or r.condition > e.MAX_CONDITION
+
+
 def test_fit_refusals(spark):
     few = spark.createDataFrame([("R", w, 4000.0) for w in (1, 7, 15, 30, 45)], "route_code string, window_days int, total_fare double")
     r = e.fit_routes(few, ["route_code"]).first()
