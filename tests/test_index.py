@@ -179,3 +179,28 @@ def test_naive_benchmark(spark):
 
 def test_default_weights_sum_to_one(spark):
     assert float(defaults.route_weights(spark).agg(F.sum("weight")).first()[0]) == 1.0
+
+
+def test_rebuilds_are_compared_by_checksums(spark):
+    days = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), 100.0 + i % 7) for i in range(200)]
+    schema = "index_date date, index_value double"
+    first, again = spark.createDataFrame(days, schema), spark.createDataFrame(days[::-1], schema).repartition(5)
+    assert v.changed_rows(first, again) is None
+    assert v.reproducible(first, again).first().passed
+    plan = v.reproducible(first, again)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # equal sums: no row is joined
+    # A changed value, a lost and an added day, and two values that changed places are found and named.
+    other = dict(days)
+    other[dt.date(2024, 3, 5)] += 0.0001
+    lost = other.pop(dt.date(2024, 5, 9))
+    other[dt.date(2025, 1, 1)] = 7.0
+    x1, x2 = dt.date(2024, 2, 1), dt.date(2024, 2, 2)
+    other[x1], other[x2] = other[x2], other[x1]
+    second = spark.createDataFrame(list(other.items()), schema)
+    expected = {d: (dict(days).get(d), other.get(d)) for d in {*other, *dict(days)} if dict(days).get(d) != other.get(d)}
+    assert len(expected) == 5 and expected[dt.date(2024, 5, 9)] == (lost, None)
+    for kept in (None, v.checksums(v._comparable(first), F.trunc("index_date", "month"))):
+        found = {r.index_date: (r.first_value, r.second_value) for r in v.changed_rows(first, second, kept).collect()}
+        assert found == expected
+    assert not v.reproducible(first, second).first().passed
+    assert v.reproducible(first.limit(0), second.limit(0)).first().passed
