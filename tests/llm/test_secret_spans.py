@@ -39,29 +39,78 @@ def field():
 
 def test_field_finds_what_rules_miss(field):
     rng = random.Random(5)
+    decoder = S.Decoder(field)
     for text in (f"my login key is '{secret(rng).upper()}' ok", f"{cases.prose(3, 8)} credential: {secret(rng).upper()}"):
-        base, spans = S.all_spans(text, field)
+        base, spans = S.all_spans(text, decoder)
         assert base == [] and [k for *_, k in spans] == ["crf"]
         a, b, _ = spans[0]
         assert re.fullmatch("[0-9A-F]{40}", text[a:b])
-    assert S.all_spans("see release-2.0.1-beta3 and ISO27001:2013 for more", field)[1] == []
+    assert S.all_spans("see release-2.0.1-beta3 and ISO27001:2013 for more", decoder)[1] == []
+
+
+def test_secrets_of_any_letters(field):
+    """Letters only, digits only, short and punctuated values in a secret's place are found, plain text is left alone."""
+    rng = random.Random(8)
+    decoder = S.Decoder(field)
+    values = ["correcthorsebatterystaple", "48219377", "P@ss!w0rd#9", "q7x", "zu\u00e7\u00e7hini"]
+    for k in range(40):
+        name, value = rng.choice(["pwd", "auth_key", "passphrase", "login"]), values[k % len(values)]
+        text = f'{cases.prose(400 + k, 30)} {name} = "{value}" {cases.prose(500 + k, 12)}'
+        base, spans = S.all_spans(text, decoder)
+        assert base == [] and [text[a:b] for a, b, _ in spans] == [value]
+        assert S.all_spans(cases.prose(600 + k, 200), decoder)[1] == []
+
+
+def whole_path(decoder, scores):
+    """Viterbi over all tokens, with no stretch left out."""
+    return decoder.path(scores, True, True)
+
+
+def random_decoder(field, rng):
+    decoder = S.Decoder(field)
+    decoder.steps = np.array([[rng.gauss(0, 1) for _ in range(3)] for _ in range(3)])
+    decoder.steps -= decoder.steps[0, 0]
+    decoder.steps[0, 2] = -np.inf
+    decoder.bound = decoder.steps[:, 1].max(), decoder.steps[1:, 2].max(), max(0.0, *decoder.steps[1:, 0])
+    return decoder
 
 
 def test_viterbi_is_the_best_path(field):
     rng = random.Random(6)
-    for _ in range(20):
-        tokens = rng.choices(["token", "=", "a1b2c3d4e5", "x", ":", "ABCD12345678", '"'], k=6)
-        allowed = [S._candidate(t) or (t == ":" and rng.random() < 0.5) for t in tokens]
-        chain = S.Chain(tokens, list(range(0, 60, 10)), allowed, ("file code 0",))
-        scores = S._potentials(chain, field)
+    for _ in range(40):
+        decoder = random_decoder(field, rng)
+        scores = np.array([[rng.gauss(-1, 2), rng.gauss(-1, 2)] for _ in range(6)])
 
         def value(tags):
-            with np.errstate(invalid="ignore"):
-                start = S._START[tags[0]] + scores[0][tags[0]]
-                return start + sum(field.steps[a][b] + scores[i + 1][b] for i, (a, b) in enumerate(zip(tags, tags[1:])))
+            if tags[0] == 2:
+                return -np.inf
+            gains = [0.0 if t == 0 else row[t - 1] for t, row in zip(tags, scores)]
+            return sum(gains) + sum(decoder.steps[a][b] for a, b in zip(tags, tags[1:]))
 
         every = [[k // 3**i % 3 for i in range(6)] for k in range(3**6)]
-        assert value(S.viterbi(chain, field)) == pytest.approx(max(map(value, every)))
+        found = decoder.tags(scores)
+        assert value([found.get(i, 0) for i in range(6)]) == pytest.approx(max(map(value, every)))
+
+
+def test_stretches_lose_nothing(field):
+    rng = random.Random(9)
+    for k in range(60):
+        decoder = random_decoder(field, rng)
+        scores = np.array([[rng.gauss(-2, 2), rng.gauss(-2, 2)] for _ in range(200)])
+        found = decoder.tags(scores)
+        assert [found.get(i, 0) for i in range(200)] == whole_path(decoder, scores)
+
+
+def test_scores_are_sums_of_features(field):
+    decoder = S.Decoder(field)
+    text = ' \n' + cases.prose(2, 30) + ' token: "ab\u00e9-12" x=3; "q" \u03b1\u03b2 ' + cases.prose(3, 5)
+    tokens, start = S.tokens_of(text)
+    assert text[:start].strip() == "" and text[start:] == "".join(tokens)
+    whole = S._text_features(text)
+    weights = field.weights - field.weights[:, :1]
+    for i, row in enumerate(decoder.scores(tokens, whole)):
+        names = [*S._shape(tokens[i].rstrip()), *S.around(tokens, i), *whole]
+        assert row == pytest.approx(sum(weights[field.index[f], 1:] for f in names if f in field.index))
 
 
 def test_whole_table(spark):
