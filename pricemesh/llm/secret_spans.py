@@ -53,8 +53,6 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: A token with the white space behind it; all tokens of a text together are the text, but for white space before them.
 _TOKEN = re.compile(r"(?:[\w+/.-]+={0,2}|[^\w\s])\s*")
 _HINTS = re.compile(r"pass|pwd|secret|token|key|auth|bearer|cred|login|private|access")
-#: What holds every text with a rule hit, for Spark's own expressions.
-MAYBE = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)"
 _NEAR = (-3, -2, -1, 1, 2)
 _SIGNS = "@#!$%&*"
 
@@ -280,6 +278,19 @@ class Decoder:
         return spans
 
 
+class _Worker:
+    """The decoder of the last field seen: tasks of a worker share what it remembers of tokens."""
+
+    decoder: Decoder | None = None
+    field: Field | None = None
+
+    @classmethod
+    def of(cls, field: Field | None) -> Decoder | None:
+        if cls.field is not field:
+            cls.field, cls.decoder = field, None if field is None else Decoder(field)
+        return cls.decoder
+
+
 def all_spans(text: str, decoder: Decoder | None) -> tuple[list[Span], list[Span]]:
     """What the rules find, and that together with what only the field sees."""
     base = rule_spans(text)
@@ -326,9 +337,9 @@ def _replaced(value: str) -> list[str]:
 
 def hits(text: str) -> Iterator[Example]:
     """Windows around what the rules find, and the same with other values in its place."""
-    values = _values(text)
-    if not values:
+    if not rule_spans(text):
         return
+    values = _values(text)
     whole = _text_features(text)
     reach = 16 * MARGIN
     for a, b in values:
@@ -448,7 +459,7 @@ def train(docs: DataFrame, text: str = "text", n_hits: int = TRAIN_HITS, n_plain
     rows = docs.select(F.col(f"`{text}`").alias("_text"))
     total = rows.count()
     # Equal texts fall on the same side of the hash; a distinct keeps copies from outweighing the rest.
-    found = staging.written(_examples(rows.where(F.col("_text").rlike(MAYBE)), hits).distinct(), "secret-hits")
+    found = staging.written(_examples(rows, hits).distinct(), "secret-hits")
     all_hits = found.where("not made").count()
     if not all_hits:
         return None
@@ -473,7 +484,7 @@ def scan(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     spans = "array<struct<start:bigint,stop:bigint,kind:string>>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = None if shared.value is None else Decoder(shared.value)
+        decoder = _Worker.of(shared.value)
         for batch in blocks.cut(batches, "_text"):
             found = [all_spans(t, decoder) for t in blocks.texts(batch.column(0))]
             columns = [pa.array([[dict(zip(("start", "stop", "kind"), s)) for s in x[k]] for x in found], span) for k in (0, 1)]
