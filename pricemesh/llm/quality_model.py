@@ -6,8 +6,9 @@ sharded by n-gram or by context: continuation counts (how many different charact
 count-of-count discounts, context totals and back-off mass, and from them the probability of every n-gram that any
 document holds, level by level.
 
-A table of probabilities has at most 64**4 rows whatever the input (64 MiB as a dense array of floats): with this
-proven bound it is broadcast, and every text is scored where it is read. A limit is the QUANTILE of the excess of
+Scoring is a join too: the n-gram counts of the documents, packed per block of texts and shard of n-grams, meet the
+same shard of the table of probabilities and are summed per document; the table is never collected or broadcast. Groups
+of documents, whose number grows with the characters read, bound what one shard of counts holds. A limit is the QUANTILE of the excess of
 trusted texts the model was not trained on, by histograms of exact counts, per language and length class. One rule holds
 for every count: a class is mixed with its language and that with all languages, each weighing as PRIOR texts, so a
 class with no trusted text is judged by its language, and a language with none by all.
@@ -20,6 +21,7 @@ Texts of any length are scored whole; an empty table of documents gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,6 +46,14 @@ PRIOR = 30
 EDGE = ORDER * BITS * float(np.log(2))
 #: Histogram steps of the excess.
 STEP = 100
+#: The table of probabilities is dealt to so many shards by n-gram, once per group of documents of GROUP characters.
+SHARDS, GROUP = 17, 1 << 28
+#: A document weighs as so many characters more in its group.
+ROW_CHARS = 64
+#: At most 2**ROW_BITS documents share a block.
+ROW_BITS = 16
+#: Log-probabilities are multiples of 1 / UNIT, so their sums do not depend on the order.
+UNIT = 1 << 27
 
 #: Letters beyond a-z with a class of their own.
 ACCENTED = "äöüßéèêëàâçùûîïôñáíóúœæ"
@@ -140,27 +150,97 @@ def probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     return p.select("gram", F.log("p").alias("log_p"))
 
 
-def score(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, row_hash, lang, length, nll (mean negative log-probability per character, null for empty texts)."""
-    known = staging.written(table.select(F.col("gram").cast("int"), F.col("log_p").cast("float")), "kn-table").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((known["gram"].to_numpy(), known["log_p"].to_numpy()))
+#: What a block tells of its rows.
+_TOLD = [pa.field(*f) for f in (("doc_id", pa.int64()), ("row_hash", pa.int64()), ("lang", pa.string()), ("length", pa.int64()))]
+_DOCS = "array<struct<doc_id: bigint, row_hash: bigint, lang: string, length: bigint>>"
+
+
+def _packed(gram: np.ndarray, row: np.ndarray, n: np.ndarray) -> bytes:
+    """Document n-gram counts sorted by gram and row, as steps from one to the next, compressed."""
+    steps = [np.diff(gram, prepend=0).astype(np.uint32), np.diff(row, prepend=0).astype(np.uint16), n.astype(np.min_scalar_type(n.max(initial=0)))]
+    batch = pa.record_batch(steps, ["gram", "row", "n"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps = pa.ipc.open_stream(packed).read_all().combine_chunks()
+    gram, row, n = (steps.column(k).to_numpy() for k in range(3))
+    return np.cumsum(gram, dtype=np.int64), np.cumsum(row, dtype=np.uint16), n
+
+
+def document_counts(docs: DataFrame, text: str = "text", groups: int = 1) -> DataFrame:
+    """The n-gram counts of every document: (cell, block, counts, docs), a row per block of texts and shard of grams.
+
+    A cell is one shard of one group of blocks; docs tells the rows of a block and stands with one of its shards only.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values = shared.value
-        dense = np.zeros(1 << BITS * ORDER, np.float32)
-        dense[at] = values
-        for batch in blocks.cut(batches, "_text"):
+        for batch in blocks.cut(batches, "_text", most_rows=1 << ROW_BITS):
             packed, lengths = grams(blocks.texts(batch.column(0)))
-            total = np.concatenate([[0.0], np.cumsum(dense[packed], dtype=np.float64)])
-            ends = np.cumsum(lengths)
-            nll = (total[ends - lengths] - total[ends]) / np.maximum(lengths, 1)
+            key = packed.astype(np.int64) << ROW_BITS | np.repeat(np.arange(len(lengths)), lengths)
+            key.sort()
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            key, n = key[first], np.diff(first, append=len(key))
+            gram, row = key >> ROW_BITS, key & (1 << ROW_BITS) - 1
+            block = batch.column(1)[0].as_py()
+            home = zlib.crc32(b"%d" % block)
+            group, teller = home % groups, home // groups % SHARDS
+            parts = [np.flatnonzero(gram % SHARDS == k) for k in range(SHARDS)]
+            parts = {k: at for k, at in enumerate(parts) if len(at) or k == teller}
+            told = pa.StructArray.from_arrays([*batch.columns[2:], pa.array(lengths)], fields=_TOLD)
+            ends = np.cumsum([0] + [len(told) * (k == teller) for k in parts])
+            told = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told, mask=pa.array([k != teller for k in parts]))
+            counts = [_packed(gram[at], row[at], n[at]) for at in parts.values()]
+            cells = [group * SHARDS + k for k in parts]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(lengths), pa.array(nll, mask=lengths == 0)], ["doc_id", "row_hash", "lang", "length", "nll"]
+                [pa.array(cells, pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array(counts, pa.binary()), told],
+                ["cell", "block", "counts", "docs"],
             )
 
-    columns = [F.col(f"`{text}`").alias("_text"), F.col("doc_id").cast("bigint").alias("doc_id"), rows.row_hash(docs).alias("row_hash")]
+    columns = [F.col(f"`{text}`").alias("_text"), F.monotonically_increasing_id().alias("_row")]
+    columns += [F.col("doc_id").cast("bigint").alias("doc_id"), rows.row_hash(docs).alias("row_hash")]
     source = docs.select(*columns, F.coalesce("lang", F.lit("")).alias("lang"))
-    return source.mapInArrow(run, "doc_id bigint, row_hash bigint, lang string, length bigint, nll double")
+    return source.mapInArrow(run, f"cell bigint, block bigint, counts binary, docs {_DOCS}")
+
+
+def score(docs: DataFrame, table: DataFrame, text: str = "text", groups: int = 1) -> DataFrame:
+    """doc_id, row_hash, lang, length, nll (mean negative log-probability per character, null for empty texts).
+
+    The n-gram counts of the documents meet the table of probabilities cell by cell and are summed per document, first
+    within a shard of grams, then over the shards.
+    """
+    log_p = (F.round(F.col("log_p").cast("float") * UNIT) / UNIT).alias("log_p")
+    group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = table.select("gram", log_p, group.alias("cell")).withColumn("cell", F.col("cell") * SHARDS + F.col("gram") % SHARDS)
+
+    def summed(counts: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("gram")
+        grams_known, values = known["gram"].to_numpy(), known["log_p"].to_numpy()
+        sums = []
+        for packed in counts["counts"]:
+            gram, row, n = _unpacked(packed.as_py())
+            found = np.searchsorted(grams_known, gram)
+            found[found == len(grams_known)] = 0
+            p = np.where(grams_known[found] == gram, values[found], 0.0) if len(grams_known) else np.zeros(len(gram))
+            sums.append(np.bincount(row, n * p).astype("<f8").tobytes())
+        return pa.table([counts["block"], pa.array(sums, pa.binary()), counts["docs"]], ["block", "sums", "docs"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        told = parts["docs"].drop_null().combine_chunks().flatten().flatten()
+        total = np.zeros(len(told[0]))
+        for part in parts["sums"].to_pylist():
+            some = np.frombuffer(part, "<f8")
+            total[: len(some)] += some
+        length = told[3].to_numpy()
+        nll = pa.array(-total / np.maximum(length, 1), mask=length == 0)
+        return pa.table([*told, nll], ["doc_id", "row_hash", "lang", "length", "nll"])
+
+    found = document_counts(docs, text, groups).groupBy("cell").cogroup(dealt.groupBy("cell"))
+    parts = found.applyInArrow(summed, f"block bigint, sums binary, docs {_DOCS}")
+    return parts.groupBy("block").applyInArrow(added, "doc_id bigint, row_hash bigint, lang string, length bigint, nll double")
 
 
 def _size() -> Column:
@@ -225,7 +305,9 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", quantile: flo
     held_back = F.pmod(F.xxhash64("doc_id"), F.lit(FOLD)) == 0
     texts = docs.select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     counts = staging.written(count(texts.hint("merge").join(ids.where(~held_back), "doc_id", "left_semi")), "kn-counts")
-    scored = staging.written(score(docs, probabilities(count(texts), counts), text), "perplexities")
+    wanted = staging.written(count(texts), "kn-wanted")
+    groups = 1 + ((wanted.agg(F.sum("n")).first()[0] or 0) + ROW_CHARS * texts.count()) // GROUP
+    scored = staging.written(score(docs, probabilities(wanted, counts), text, groups), "perplexities")
     known, other = limits(scored.join(ids.where(held_back), "doc_id", "left_semi"), quantile)
     center, excess = other or (None, None)
     found = scored.withColumn("size", _size()).join(known.withColumnRenamed("most", "_most"), ["lang", "size"], "left")

@@ -106,3 +106,42 @@ def test_limit_is_a_quantile_of_trusted_texts(spark):
         (r,) = known.where("size = 4").collect()
         passing = sum(x[3] <= r.center + r.most * 20 / 400 for x in rows) / len(rows)
         assert passing == pytest.approx(q, abs=0.011)
+
+
+def test_documents_meet_the_sharded_table_in_a_join(spark, texts, monkeypatch):
+    docs = spark.createDataFrame([(k // 2, t, "en") for k, t in enumerate(texts * 4)] + [(None, None, None)], "doc_id bigint, text string, lang string")
+    table = Q.probabilities(Q.count(docs.where("text is not null")), Q.count(docs.where("text like '%alpha%'")))
+    whole = Q.staging.written(table, "table")
+
+    def refuse(*_):
+        raise AssertionError("the table is collected")
+
+    monkeypatch.setattr(type(whole), "toPandas", refuse)
+    monkeypatch.setattr(type(whole), "collect", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    found = [Q.staging.written(Q.score(docs.repartition(parts), whole, groups=g), "scores") for parts, g in ((1, 1), (5, 3))]
+    monkeypatch.undo()
+    one, other = (sorted(map(str, f.collect())) for f in found)
+    assert one == other and len(one) == len(texts) * 4 + 1
+    log_p = {r.gram: r.log_p for r in whole.collect()}
+    want = {t: -np.mean([log_p[g] for g in Q.grams([t])[0].tolist()]) for t in texts if t}
+    got = sorted(r.nll for r in found[1].collect() if r.nll is not None)
+    assert got == pytest.approx(sorted(x for x in want.values() for _ in range(4)), rel=1e-5)
+
+
+def test_packed_counts_are_those_of_every_document(spark, texts):
+    awkward = ["a" * 70_000, "", "\u4e2d\U0001f600" * 3, *texts]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(awkward)], "doc_id bigint, text string, lang string").repartition(3)
+    found, told = defaultdict(Counter), {}
+    parts = Q.document_counts(docs, groups=2).collect()
+    for r in parts:
+        if r.docs is not None:
+            assert r.block not in told
+            told[r.block] = [d.doc_id for d in r.docs]
+    for r in parts:
+        for gram, row, n in zip(*(x.tolist() for x in Q._unpacked(bytes(r.counts)))):
+            assert gram % Q.SHARDS == r.cell % Q.SHARDS
+            found[told[r.block][row]][gram] += n
+    assert sorted(k for ids in told.values() for k in ids) == list(range(len(awkward)))
+    for k, t in enumerate(awkward):
+        assert found[k] == Counter(Q.grams([t])[0].tolist())
