@@ -91,3 +91,14 @@ def test_queries_cover_their_tables(spark, name):
     # Packing returns a row per piece; every document has a first one.
     got = got.where("piece = 0") if "piece" in got.columns else got
     assert got.count() == want
+
+
+def test_quality_stage_scores_by_a_join(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def refuse(*_):
+        raise AssertionError("the table of probabilities is broadcast")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, folder).collect()}
+    assert kept.isdisjoint(range(500, 505)) and kept.issuperset(range(600, 900))
