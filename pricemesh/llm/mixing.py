@@ -27,11 +27,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pricemesh import staging
 
 LEVELS = ("domain", "lang", "source")
-TOKENS = r"[^\x20\x09-\x0D]+"
+#: White space, which parts tokens, and a token with the white space behind it.
+SPACE = " \t\n\x0b\x0c\r"
+TOKEN = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 #: Hex digits of the key that name a range.
 RANGE_DIGITS = 3
 
 
+def _n_tokens(text: Column) -> Column:
+    """Every token shrinks to one letter: regexp_count would hold all tokens of a text at once."""
+    return F.length(F.ltrim(F.regexp_replace(text, TOKEN, "x"), F.lit(SPACE)))
+
+
 def _weight(level: str, weights: Mapping[str, Mapping[str, int]], default: int) -> Column:
     known = weights.get(level, {})
     chosen = F.lit(default)
@@ -127,7 +134,7 @@ def mix(
             "domain": F.coalesce(domain, F.lit("")),
             "_lang": F.coalesce(F.col("lang"), F.lit("")),
             "_source": F.coalesce(F.col("source"), F.lit("")),
-            "n_tokens": F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(TOKENS)), F.lit(0)).cast("bigint"),
+            "n_tokens": F.coalesce(_n_tokens(F.col(f"`{text}`")), F.lit(0)).cast("bigint"),
         }
     )
     light = named.select("doc_id", "domain", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n_tokens")

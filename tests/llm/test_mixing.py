@@ -58,3 +58,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert mixing.mix(cases.empty(spark), F.lit("a"), 50, {}).count() == 0
     clash = cases.docs(spark).withColumns({"domain": F.lit(1), "_lang": F.lit(2), "copies": F.lit("x")})
     assert mixing.mix(clash, F.lit("a"), 300, {}).count() > 0
+
+
+def test_tokens_are_counted_without_holding_them(spark, capsys):
+    awkward = [None, "", " \n\t\x0b\x0c\r ", "a", "  a\tb\r\n\x0bc  ", "\u00a0a\u2003b c", "\U0001f600 \u4e2d\u0085x\x00 y\x1fz", "$1 \\1 x", "w " * 50_000 + "\n" * 50_000]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(awkward)], "doc_id bigint, text string, lang string, source string")
+    mixed = mixing.mix(docs, F.lit("a"), 300, {}, max_epochs=3)
+    got = {r.doc_id: r.n_tokens for r in mixed.collect()}
+    assert got == {k: len((t or "").encode().split()) for k, t in enumerate(awkward)}
+    mixed.explain(True)
+    assert "regexp_extract_all" not in capsys.readouterr().out.lower()
