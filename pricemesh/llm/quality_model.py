@@ -9,13 +9,16 @@ document holds, level by level.
 Scoring is a join too: the n-gram counts of the documents, packed per block of texts and shard of n-grams, meet the
 same shard of the table of probabilities and are summed per document; the table is never collected or broadcast. Groups
 of documents, whose number grows with the characters read, bound what one shard of counts holds. A limit is the QUANTILE of the excess of
-trusted texts the model was not trained on, by histograms of exact counts, per language and length class. One rule holds
-for every count: a class is mixed with its language and that with all languages, each weighing as PRIOR texts, so a
-class with no trusted text is judged by its language, and a language with none by all.
+trusted texts the model was not trained on, by histograms of exact counts, per language and length class; nothing is
+added to it. One rule holds for every count, and every text counts once: a class is mixed with the rest of its language,
+that with the other languages and these with a wide spread, each weighing as PRIOR texts, so a class with no trusted
+text is judged by its language, and a language with none by all. The wide spread (Student's t with three degrees of
+freedom, the fewest with a variance, scaled to that of all held-back texts) stands for what few texts cannot show: below
+1 / (1 - QUANTILE) of them the quantile lies beyond all that were seen. With more texts it fades.
 
 Null text counts as empty; empty texts have no perplexity and are rejected. Null languages form a class. Rows with null
-or repeated doc_ids are scored one by one. Without held-back trusted text no limit is known and nothing is rejected but
-empty texts. Clashing columns are replaced.
+or repeated doc_ids are scored one by one. With fewer than two held-back trusted texts no limit is known and nothing is
+rejected but empty texts. Texts shorter than all of those spread as the shortest. Clashing columns are replaced.
 Texts of any length are scored whole; an empty table of documents gives no rows.
 """
 
@@ -40,10 +43,9 @@ FOLD = 5
 QUANTILE = 0.995
 #: Ends of the length classes, in characters.
 SIZES = (16, 32, 96, 256, 1024)
-#: A language weighs against all languages, and a length class against its language, as so many texts.
+#: The rest of a language weighs against a length class, other languages against it, and the wide spread against them,
+#: as so many texts.
 PRIOR = 30
-#: One character never seen spoils the ORDER n-grams that hold it: every text may cost as much more.
-EDGE = ORDER * BITS * float(np.log(2))
 #: Histogram steps of the excess.
 STEP = 100
 #: The table of probabilities is dealt to so many shards by n-gram, once per group of documents of GROUP characters.
@@ -251,49 +253,72 @@ def _size() -> Column:
     return size
 
 
-def limits(trusted: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, tuple[float, float] | None]:
-    """(lang, size, center, most) of every language with trusted texts, and (center, most) for any other one.
+def limits(trusted: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, tuple[float, float, int] | None]:
+    """(lang, size, center, most) of every language with trusted texts, and (center, most, shortest) for any other one.
 
-    center: mean negative log-probability, most: highest excess over it that passes (see _excess); both drawn toward
-    all languages as PRIOR texts of them would. None where no trusted text is at hand.
+    center: mean negative log-probability, most: highest excess over it that passes (see _excess), shortest: length of
+    the shortest trusted text; center and most are drawn toward all languages as PRIOR texts of them would. None where
+    fewer than two trusted texts are at hand.
     """
     texts = trusted.where("nll is not null").select("lang", "length", "nll")
     langs = texts.groupBy("lang").agg(F.count("*").alias("n"), F.sum("nll").alias("total"))
-    n, total = texts.agg(F.count("*"), F.sum("nll")).first()
-    mean = total / n if n else 0.0
+    n, total, shortest = texts.agg(F.count("*"), F.sum("nll"), F.min("length")).first()
+    if n < 2:
+        return langs.select("lang", F.lit(0).alias("size"), *[F.lit(0.0).alias(c) for c in ("center", "most")]).where("false"), None
+    mean = total / n
     langs = staging.written(langs.select("lang", F.round((F.col("total") + PRIOR * mean) / (F.col("n") + PRIOR), 6).alias("center")), "centers")
-    binned = texts.join(langs, "lang").select("lang", "center", _size().alias("size"), F.floor(_excess() * STEP).alias("bin"))
+    binned = texts.join(langs, "lang").select("lang", "center", _size().alias("size"), F.floor(_excess(shortest) * STEP).alias("bin"))
     counted = staging.written(binned.groupBy("lang", "center", "size", "bin").agg(F.count("*").alias("n")), "excess-bins")
-    whole = counted.groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # one row per bin of a histogram
+    whole = counted.groupBy("bin").agg(F.sum("n").alias("n")).toPandas().set_index("bin")["n"]  # one row per bin of a histogram
+    wide = _wide(whole, quantile)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        everywhere = whole.set_index("bin")["n"].sort_index()
-        everywhere = everywhere / everywhere.sum()
-        mine = pdf.groupby("bin")["n"].sum().reindex(everywhere.index, fill_value=0)
-        shares = (mine + PRIOR * everywhere) / (mine.sum() + PRIOR)
+        mine = pdf.groupby("bin")["n"].sum()
+        others = _mixed(whole.sub(mine, fill_value=0), wide)
         found = []
         for size in range(len(SIZES) + 1):
-            here = pdf[pdf["size"] == size].set_index("bin")["n"].reindex(everywhere.index, fill_value=0)
-            found.append((_quantile((here + PRIOR * shares) / (here.sum() + PRIOR), quantile) + 1) / STEP)
+            here = pdf[pdf["size"] == size].set_index("bin")["n"]
+            found.append((_quantile(_mixed(here, _mixed(mine.sub(here, fill_value=0), others)), quantile) + 1) / STEP)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "size": range(len(found)), "center": pdf["center"].iloc[0], "most": found})
 
     found = staging.written(counted.groupBy("lang").applyInPandas(run, "lang string, size int, center double, most double"), "limits")
-    if not n:
-        return found, None
-    shares = whole.set_index("bin")["n"].sort_index() / n
-    return found, (mean, (_quantile(shares, quantile) + 1) / STEP)
+    return found, (mean, (_quantile(_mixed(whole, wide), quantile) + 1) / STEP, shortest)
 
 
-def _quantile(shares: pd.Series, quantile: float) -> int:
-    """First bin up to which `quantile` of a histogram lies."""
-    upto = shares.cumsum().to_numpy()
-    return int(shares.index[min(np.searchsorted(upto, quantile - 1e-9), len(upto) - 1)])
+def _wide(counts: pd.Series, quantile: float) -> pd.Series:
+    """Share of Student's t with three degrees of freedom, as wide as a histogram, up to every bin of it and on to the
+    quantile."""
+    scale = STEP * np.sqrt((counts * ((counts.index + 0.5) / STEP) ** 2).sum() / (counts.sum() - 1))
 
+    def upto(bins: np.ndarray) -> np.ndarray:
+        t = (bins + 1) / scale / np.sqrt(3)
+        return 0.5 + (t / (1 + t * t) + np.arctan(t)) / np.pi
 
-def _excess() -> Column:
-    """What a text costs beyond the center of its language, over the root of its length: sums of as many characters
-    spread by that root."""
-    return (F.col("nll") - F.col("center")) * F.sqrt("length")
+    top = scale
+    while upto(top) < quantile - 1e-9:
+        top *= 2
+    bins = np.union1d(counts.index, np.arange(int(top) + 1))
+    return pd.Series(upto(bins), bins)
+
+
+def _mixed(counts: pd.Series, prior: pd.Series) -> pd.Series:
+    """Share up to every bin of prior, which weighs against the counts as PRIOR texts."""
+    return (counts.reindex(prior.index, fill_value=0).cumsum() + PRIOR * prior) / (counts.sum() + PRIOR)
+
+
+def _quantile(upto: pd.Series, quantile: float) -> int:
+    """First bin up to which `quantile` of a distribution lies."""
+    return int(upto.index[min(np.searchsorted(upto.to_numpy(), quantile - 1e-9), len(upto) - 1)])
+
+
+def _spread(shortest: int) -> Column:
+    """Sums of as many characters as a text has spread by the root of its length."""
+    return F.sqrt(F.greatest(F.col("length"), F.lit(shortest)))
+
+
+def _excess(shortest: int) -> Column:
+    """What a text costs beyond the center of its language, over its spread."""
+    return (F.col("nll") - F.col("center")) * F.col("length") / _spread(shortest)
 
 
 def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", quantile: float = QUANTILE) -> DataFrame:
@@ -309,10 +334,10 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", quantile: flo
     groups = 1 + ((wanted.agg(F.sum("n")).first()[0] or 0) + ROW_CHARS * texts.count()) // GROUP
     scored = staging.written(score(docs, probabilities(wanted, counts), text, groups), "perplexities")
     known, other = limits(scored.join(ids.where(held_back), "doc_id", "left_semi"), quantile)
-    center, excess = other or (None, None)
+    center, excess, shortest = other or (None, None, 0)
     found = scored.withColumn("size", _size()).join(known.withColumnRenamed("most", "_most"), ["lang", "size"], "left")
     center, excess = (F.coalesce(c, F.lit(x).cast("double")) for c, x in (("center", center), ("_most", excess)))
-    most = F.when(F.col("length") > 0, center + (EDGE + excess * F.sqrt("length")) / F.col("length"))
+    most = F.when(F.col("length") > 0, center + excess * _spread(shortest) / F.col("length"))
     passes = F.col("nll").isNotNull() & F.coalesce(F.col("nll") <= most, F.lit(True))
     return found.select(
         "doc_id", "row_hash", "lang", F.exp("nll").alias("perplexity"), F.exp(most).alias("most"), passes.alias("kept")

@@ -102,3 +102,16 @@ def test_quality_stage_scores_by_a_join(spark, folder, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, folder).collect()}
     assert kept.isdisjoint(range(500, 505)) and kept.issuperset(range(600, 900))
+
+
+def test_quality_stage_grants_nothing_beyond_the_quantile(spark, tmp_path):
+    clean = [(k, cases.prose(k, 60), "en", "src0", 1) for k in range(1000)]
+    marked = []
+    for k in range(2020, 2030):
+        split = cases.prose(3000 + k, 60).split()
+        split[4] = split[13] = "%"
+        marked.append((k, " ".join(split), "en", "src0", 1))
+    spark.createDataFrame([(r[0], 1, 0) for r in clean], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(clean + marked, cases.SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(1000))

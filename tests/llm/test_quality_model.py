@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -108,6 +109,53 @@ def test_limit_is_a_quantile_of_trusted_texts(spark):
         assert passing == pytest.approx(q, abs=0.011)
 
 
+def test_limits_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["en", "en", "en", "de", "fr"]), rng.choice([9, 20, 300, 2000]), 1.5 + rng.random()) for k in range(90)]
+    rows += [(100, "es", 40, 1.9)]
+    trusted = spark.createDataFrame(rows, "doc_id bigint, lang string, length bigint, nll double")
+    mean = sum(r[3] for r in rows) / len(rows)
+    centers = {}
+    for lang in ("en", "de", "fr", "es"):
+        own = [r[3] for r in rows if r[1] == lang]
+        centers[lang] = round((sum(own) + 30 * mean) / (len(own) + 30), 6)
+    size = {9: 0, 20: 1, 40: 2, 300: 4, 2000: 5}
+    bins = [(lang, size[n], math.floor((nll - centers[lang]) * math.sqrt(n) * 100)) for _, lang, n, nll in rows]
+    sd = math.sqrt(sum(((b + 0.5) / 100) ** 2 for *_, b in bins) / (len(bins) - 1))
+
+    def wide(b):
+        t = (b + 1) / 100 / sd / math.sqrt(3)
+        return 0.5 + (t / (1 + t * t) + math.atan(t)) / math.pi
+
+    def mixed(b, own, prior):
+        return (sum(x <= b for x in own) + 30 * prior) / (len(own) + 30)
+
+    def first(share):
+        seen = sorted({x for *_, x in bins} | set(range(20000)))
+        return (next(b for b in seen if share(b) >= 0.995 - 1e-9) + 1) / 100
+
+    known, (center, most, shortest) = Q.limits(trusted)
+    got = {(r.lang, r["size"]): (r.center, r.most) for r in known.collect()}
+    assert len(got) == 4 * 6 and shortest == 9
+    assert (center, most) == (pytest.approx(mean), pytest.approx(first(lambda b: mixed(b, [x for *_, x in bins], wide(b)))))
+    for (lang, k), (at, limit) in got.items():
+        here = [x for g, n, x in bins if g == lang and n == k]
+        rest = [x for g, n, x in bins if g == lang and n != k]
+        others = [x for g, _, x in bins if g != lang]
+        want = first(lambda b: mixed(b, here, mixed(b, rest, mixed(b, others, wide(b)))))
+        assert (at, limit) == (pytest.approx(centers[lang]), pytest.approx(want)), (lang, k)
+    assert Q.limits(trusted.limit(1))[1] is None and Q.limits(trusted.limit(1))[0].count() == 0
+
+
+def test_no_more_than_the_quantile_of_short_texts_passes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "ab cd", "en") for k in range(5000)], "doc_id bigint, text string, lang string")
+    nll = (1 + F.pmod(F.hash("doc_id"), F.lit(10007)) / 5000).alias("nll")
+    told = [F.lit(0).cast("bigint").alias("row_hash"), "lang", F.length("text").cast("bigint").alias("length")]
+    monkeypatch.setattr(Q, "score", lambda docs, *_: docs.select("doc_id", *told, nll))
+    got = Q.judge(docs, docs.select("doc_id"), quantile=0.9)
+    assert got.agg(F.avg(F.col("kept").cast("double"))).first()[0] == pytest.approx(0.9, abs=0.03)
+
+
 def test_documents_meet_the_sharded_table_in_a_join(spark, texts, monkeypatch):
     docs = spark.createDataFrame([(k // 2, t, "en") for k, t in enumerate(texts * 4)] + [(None, None, None)], "doc_id bigint, text string, lang string")
     table = Q.probabilities(Q.count(docs.where("text is not null")), Q.count(docs.where("text like '%alpha%'")))
