@@ -138,6 +138,28 @@ def test_periods_left_without_rows_go(spark, parts, tmp_path):
     assert all(sinks.partition_values(spark, f"{tables['headline']}/frequency={f}", "index_date") == [] for f in ("daily", "weekly", "monthly"))
 
 
+def test_a_step_of_many_files_is_one_micro_batch(spark, tmp_path):
+    """Days are cleaned anew in every batch, so the number of batches must not follow the number of files."""
+    from types import SimpleNamespace
+
+    from catalog import operations
+
+    made = "timestamp'2026-06-24' + make_dt_interval(cast(id % 9 AS int)) AS ts"
+    spark.range(0, 360, 1, 6).selectExpr("id AS event_id", made).write.parquet(str(tmp_path / "all"))
+    events = spark.read.parquet(str(tmp_path / "all"))
+    source, batches, seen = str(tmp_path / "events"), [], []
+
+    def write(batch, number):
+        batches.append(number)
+        seen.extend(r[0] for r in batch.select("event_id").collect())
+
+    for stream in operations.arriving(SimpleNamespace(spark=spark, events=events.repartition(6)), source):
+        run = stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "checkpoint"))
+        run.trigger(availableNow=True).start().awaitTermination()
+    assert len(list(Path(source).glob("*.parquet"))) > operations.PARTS
+    assert len(batches) == operations.PARTS and sorted(seen) == list(range(360))
+
+
 def test_gaps_of_closed_days_are_told_once(spark, tmp_path):
     """Files out of order, a day without quotes, a late quote for a closed day, and the whole stream once more."""
     from pricemesh.streaming import closing
