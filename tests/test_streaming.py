@@ -160,6 +160,68 @@ def test_a_step_of_many_files_is_one_micro_batch(spark, tmp_path):
     assert len(batches) == operations.PARTS and sorted(seen) == list(range(360))
 
 
+QUOTES = (
+    "source_code string, scrape_date date, carrier string, flight_number string, departure_date date, fare_class string,"
+    " fare_brand string, total_fare decimal(12,2), origin string, destination string, base_fare int, ingest_seq bigint"
+)
+
+
+def quote_rows(n=240):
+    """Quotes on few days, with many copies of which some come without flight number or brand; ingest_seq names each."""
+    from decimal import Decimal
+
+    rng = random.Random(7)
+    return [
+        (
+            "web", FIRST + timedelta(days=rng.randrange(3)), "AA", rng.choice(["AA1", "AA2", None]), FIRST + timedelta(days=30), "ECONOMY",
+            rng.choice(["FLEX", None]), Decimal(rng.choice(["5000.00", "6000.00", "7000.00"])), "BOM", rng.choice(["DEL", "BLR"]), k * 10, k,
+        )
+        for k in range(n)
+    ]
+
+
+def test_stored_quotes_are_the_first_arrivals_of_all_batches_in_any_order(spark, tmp_path):
+    path, rows = str(tmp_path / "quotes"), quote_rows()
+    wanted = {}
+    for r in rows:
+        wanted.setdefault(r[:10], r)
+    shuffled = rows[:]
+    random.Random(2).shuffle(shuffled)
+    for k in (0, 60, 120, 180, 60):
+        part = shuffled[k : k + 60]
+        assert set(ingest.store_quotes(spark, spark.createDataFrame(part, QUOTES), path)) == {r[1] for r in part}
+    names = [c.split(" ")[0] for c in QUOTES.split(", ")]
+    stored = [tuple(r) for r in spark.read.parquet(path).select(*names).collect()]
+    assert sorted(stored, key=lambda r: r[-1]) == sorted(wanted.values(), key=lambda r: r[-1])
+    assert ingest.store_quotes(spark, spark.createDataFrame([], QUOTES), path) == []
+
+
+def test_storing_quotes_rewrites_only_days_with_an_earlier_arrival(spark, tmp_path):
+    """A day that only gains quotes, or gets those it has, keeps its files as they are."""
+    path = str(tmp_path / "quotes")
+
+    def files(day):
+        return {f.name: f.stat().st_mtime_ns for f in Path(path, f"scrape_date={day}").glob("*.parquet")}
+
+    from decimal import Decimal
+
+    like = quote_rows(1)[0]
+
+    def quote(day, fare, seq):
+        return (like[0], FIRST + timedelta(days=day), *like[2:7], fare, *like[8:11], seq)
+
+    low, high = Decimal("5000.00"), Decimal("6000.00")
+    ingest.store_quotes(spark, spark.createDataFrame([quote(0, low, 10), quote(1, low, 11)], QUOTES), path)
+    first = [files(FIRST + timedelta(days=k)) for k in (0, 1)]
+    ingest.store_quotes(spark, spark.createDataFrame([quote(0, low, 10), quote(0, low, 20), quote(1, low, 11)], QUOTES), path)
+    assert [files(FIRST + timedelta(days=k)) for k in (0, 1)] == first
+    ingest.store_quotes(spark, spark.createDataFrame([quote(0, high, 21), quote(1, low, 3), quote(1, high, 22)], QUOTES), path)
+    now = [files(FIRST + timedelta(days=k)) for k in (0, 1)]
+    assert first[0].items() < now[0].items() and not first[1].keys() & now[1].keys()
+    stored = sorted((r.scrape_date, r.total_fare, r.ingest_seq) for r in spark.read.parquet(path).collect())
+    assert stored == [(FIRST, low, 10), (FIRST, high, 21), (FIRST + timedelta(days=1), low, 3), (FIRST + timedelta(days=1), high, 22)]
+
+
 def test_gaps_of_closed_days_are_told_once(spark, tmp_path):
     """Files out of order, a day without quotes, a late quote for a closed day, and the whole stream once more."""
     from pricemesh.streaming import closing
